@@ -1,0 +1,286 @@
+"""Similarity search: top-k nearest stored vectors per question (JN1, WN1, ST1).
+
+Strategy (``nearest``): the question matrix is small and size-checked, so it is
+broadcast once; every store partition is scanned exactly once by a
+``mapInArrow`` kernel that multiplies the question block by each Arrow batch
+(one numpy matmul per tile), applies the per-question filters as a boolean
+mask and keeps, per question, every row whose distance is at or below the
+batch's k-th smallest (ties kept, so the global tie-break by id stays exact).
+At most (batches x questions x ~k) rows leave the scan; the final top-k is a
+``row_number`` window per question, which Catalyst turns into a partial
+``WindowGroupLimit`` before the shuffle and a final one after it.
+
+No pair table is ever materialised and there is no join between questions and
+the store. When the question set is larger than ``max_block_bytes`` it is
+streamed to the driver in bounded blocks and each block makes one pass over
+the store (exact search costs one scan per block by nature).
+
+Global filters (metadata predicates, time ranges) are ordinary ``filter``
+calls on the store *before* the kernel, so Catalyst pushes them into the
+Parquet scan and prunes partitions. Per-question filters (sender / addressee /
+time window differing by question) are evaluated inside the kernel.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.vectors import cosine_distance
+
+# Budget for one broadcast question block and for one in-kernel score tile.
+DEFAULT_BLOCK_BYTES = 128 << 20
+TILE_ELEMENTS = 4_000_000
+
+
+@dataclass(frozen=True)
+class QuestionFilter:
+    """Per-question filter evaluated inside the search kernel.
+
+    ``equals`` maps a store column to the question column holding the wanted
+    value; null question values are skipped and the present ones are combined
+    with ``combine`` ("or" as the question processor does, or "and"). All
+    question values null means no equality filter. ``time_col`` is tested
+    against ``[start_col, end_col)``; a null end is open; both null = no filter.
+    """
+
+    equals: tuple[tuple[str, str], ...] = ()
+    combine: str = "or"
+    time_col: str | None = None
+    start_col: str | None = None
+    end_col: str | None = None
+    start_inclusive: bool = True
+    end_inclusive: bool = False
+
+    def store_columns(self) -> list[str]:
+        cols = [s for s, _ in self.equals]
+        if self.time_col:
+            cols.append(self.time_col)
+        return cols
+
+    def question_columns(self) -> list[str]:
+        cols = [q for _, q in self.equals]
+        cols += [c for c in (self.start_col, self.end_col) if c]
+        return cols
+
+
+def top_k_per_group(df: DataFrame, k: int, group: str = "query_id", order=("distance", "id"), rank_col: str = "rank") -> DataFrame:
+    """WN1: keep the first k rows of each group by ``order`` (ties broken by the later keys)."""
+    w = Window.partitionBy(group).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+
+
+def nearest_one(store: DataFrame, vector, k: int = 5, vec_col: str = "embedding", id_col: str = "id",
+                norm_col: str | None = None) -> DataFrame:
+    """ST1: nearest-first top-k for a single question vector, all in SQL expressions.
+
+    ``vector`` is a Column (e.g. ``F.lit`` of a list) or a python list; the plan
+    becomes ``TakeOrderedAndProject`` (a per-partition top-k, then a merge).
+    """
+    q = F.array(*[F.lit(float(x)) for x in vector]) if isinstance(vector, (list, tuple, np.ndarray)) else vector
+    dist = cosine_distance(F.col(vec_col), q, a_norm=F.col(norm_col) if norm_col else None)
+    return (store.withColumn("distance", dist)
+            .filter(F.col("distance").isNotNull())
+            .orderBy(F.col("distance").asc(), F.col(id_col).asc())
+            .limit(k)
+            .drop(vec_col))
+
+
+def _to_micros(arr: pa.Array) -> np.ndarray:
+    """Timestamp/date Arrow array -> int64 microseconds with nulls as int64 min."""
+    if pa.types.is_date32(arr.type):
+        arr = pc.cast(pc.cast(arr, pa.timestamp("us")), pa.int64())
+    elif pa.types.is_timestamp(arr.type):
+        arr = pc.cast(pc.cast(arr, pa.timestamp("us")), pa.int64())
+    else:
+        arr = pc.cast(arr, pa.int64())
+    return arr.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+
+
+def _eq_matrix(store_vals: np.ndarray, q_vals: list) -> np.ndarray:
+    """(nq, n) boolean: store value equals the question's value (False for null question values)."""
+    nq, n = len(q_vals), len(store_vals)
+    out = np.zeros((nq, n), dtype=bool)
+    uniq: dict = {}
+    for i, v in enumerate(q_vals):
+        if v is None:
+            continue
+        if v not in uniq:
+            uniq[v] = store_vals == v
+        out[i] = uniq[v]
+    return out
+
+
+def _make_kernel(bc, k: int, dim: int, vec_col: str, payload: list[str], qfilter: QuestionFilter | None,
+                 out_schema: pa.Schema):
+    def run(batches):
+        qids, Q, qn, qcols = bc.value
+        nq = Q.shape[0]
+        tile = max(1, TILE_ELEMENTS // max(nq, 1))
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            vec = batch.column(vec_col)
+            lengths = pc.fill_null(pc.list_value_length(vec), -1)
+            batch = batch.filter(pc.equal(lengths, dim))
+            for lo in range(0, batch.num_rows, tile):
+                b = batch.slice(lo, tile)
+                n = b.num_rows
+                flat = pc.list_flatten(b.column(vec_col))
+                D = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, dim)
+                norms = np.sqrt(np.einsum("ij,ij->i", D, D))
+                ok = norms > 0  # zero or NaN-bearing vectors never rank
+                # 1 - dot / (|q| |d|): with integer-valued vectors (term counts) the dot
+                # product is exact, so equal vectors tie exactly and break by id.
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    dist = 1.0 - (Q @ D.T) / (qn[:, None] * norms[None, :])
+                dist[:, ~ok] = np.inf
+                dist[~np.isfinite(dist)] = np.inf
+                if qfilter is not None:
+                    keep = np.ones((nq, n), dtype=bool)
+                    if qfilter.equals:
+                        parts = []
+                        present = np.zeros(nq, dtype=bool)
+                        for s_col, q_col in qfilter.equals:
+                            svals = np.asarray(b.column(s_col).to_pandas(), dtype=object)
+                            qv = qcols[q_col]
+                            parts.append(_eq_matrix(svals, qv))
+                            present |= np.array([v is not None for v in qv])
+                        if qfilter.combine == "and":
+                            # null question fields are skipped: treat them as True
+                            comb = np.ones((nq, n), dtype=bool)
+                            for (s_col, q_col), m in zip(qfilter.equals, parts):
+                                isnull = np.array([v is None for v in qcols[q_col]])
+                                comb &= m | isnull[:, None]
+                        else:
+                            comb = reduce(np.logical_or, parts)
+                        keep &= comb | ~present[:, None]
+                    if qfilter.time_col:
+                        ts = _to_micros(b.column(qfilter.time_col))
+                        tnull = ts == np.iinfo(np.int64).min
+                        if qfilter.start_col:
+                            st = qcols[qfilter.start_col]
+                            has = st != np.iinfo(np.int64).min
+                            cmp = (ts[None, :] >= st[:, None]) if qfilter.start_inclusive else (ts[None, :] > st[:, None])
+                            keep &= ~has[:, None] | (cmp & ~tnull[None, :])
+                        if qfilter.end_col:
+                            en = qcols[qfilter.end_col]
+                            has = en != np.iinfo(np.int64).min
+                            cmp = (ts[None, :] <= en[:, None]) if qfilter.end_inclusive else (ts[None, :] < en[:, None])
+                            keep &= ~has[:, None] | (cmp & ~tnull[None, :])
+                    dist[~keep] = np.inf
+                if n > k:
+                    kth = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
+                    sel = (dist <= kth) & np.isfinite(dist)
+                else:
+                    sel = np.isfinite(dist)
+                qi, di = np.nonzero(sel)
+                if len(qi) == 0:
+                    continue
+                taken = b.select(payload).take(pa.array(di, type=pa.int64()))
+                cols = [pa.array(qids[qi]), pa.array(dist[qi, di], type=pa.float64())] + list(taken.columns)
+                yield pa.RecordBatch.from_arrays(cols, schema=out_schema)
+    return run
+
+
+def _question_blocks(questions: DataFrame, qid_col: str, qvec_col: str, extra: list[str], block_rows: int):
+    block = []
+    for row in questions.select(qid_col, qvec_col, *extra).toLocalIterator():
+        block.append(row)
+        if len(block) >= block_rows:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def _pack_block(rows, dim: int, qvec_col: str, qid_col: str, qcols: list[str], time_cols: set[str]):
+    qids = np.array([r[qid_col] for r in rows])
+    Q = np.zeros((len(rows), dim), dtype=np.float64)
+    for i, r in enumerate(rows):
+        v = r[qvec_col]
+        if v is not None and len(v) == dim:
+            Q[i] = np.asarray(v, dtype=np.float64)
+    qn = np.sqrt(np.einsum("ij,ij->i", Q, Q))
+    qn = np.where(qn > 0, qn, np.nan)  # zero question -> NaN distances -> no rows
+    cols = {}
+    for c in qcols:
+        vals = [r[c] for r in rows]
+        if c in time_cols:
+            sentinel = np.iinfo(np.int64).min
+            cols[c] = np.array([sentinel if v is None else _py_micros(v) for v in vals], dtype=np.int64)
+        else:
+            cols[c] = vals
+    return qids, Q, qn, cols
+
+
+def _py_micros(v) -> int:
+    import datetime as _dt
+    if isinstance(v, _dt.datetime):
+        if v.tzinfo is not None:
+            v = v.astimezone(_dt.timezone.utc).replace(tzinfo=None)
+        delta = v - _dt.datetime(1970, 1, 1)
+    else:
+        delta = _dt.datetime(v.year, v.month, v.day) - _dt.datetime(1970, 1, 1)
+    return (delta.days * 86_400 + delta.seconds) * 1_000_000 + delta.microseconds
+
+
+def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str = "id", vec_col: str = "embedding",
+            qid_col: str = "query_id", qvec_col: str = "embedding", payload: list[str] | None = None,
+            question_filter: QuestionFilter | None = None, dim: int | None = None,
+            max_block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+    """JN1 + WN1: exact cosine top-k of ``store`` rows for every question.
+
+    Returns ``qid_col, distance, rank`` plus ``payload`` store columns (default:
+    ``id_col``). Rows with a null distance (zero vector, wrong length) never
+    appear. Ties are broken by ``id_col``.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    payload = list(payload) if payload is not None else [id_col]
+    if id_col not in payload:
+        payload = [id_col] + payload
+    spark = store.sparkSession
+    qf = question_filter
+    qextra = qf.question_columns() if qf else []
+    time_cols = {c for c in (qf.start_col, qf.end_col) if c} if qf else set()
+
+    if dim is None:
+        first = questions.select(F.size(qvec_col).alias("n")).filter("n > 0").limit(1).collect()
+        if not first:
+            dim = 0
+        else:
+            dim = int(first[0]["n"])
+    per_q_bytes = max(dim, 1) * 8 + 64 * (1 + len(qextra))
+    block_rows = max(1, max_block_bytes // per_q_bytes)
+
+    store_cols = list(dict.fromkeys(payload + [vec_col] + (qf.store_columns() if qf else [])))
+    scan = store.select(*store_cols)
+    qid_type = questions.schema[qid_col].dataType
+    out_struct = T.StructType([T.StructField(qid_col, qid_type), T.StructField("distance", T.DoubleType())]
+                              + [store.schema[c] for c in payload])
+    from pyspark.sql.pandas.types import to_arrow_schema
+    out_arrow = to_arrow_schema(out_struct)
+
+    parts = []
+    for rows in _question_blocks(questions, qid_col, qvec_col, qextra, block_rows):
+        packed = _pack_block(rows, dim, qvec_col, qid_col, qextra, time_cols)
+        bc = spark.sparkContext.broadcast(packed)
+        kernel = _make_kernel(bc, k, dim, vec_col, payload, qf, out_arrow)
+        parts.append(scan.mapInArrow(kernel, out_struct))
+    if not parts:
+        return spark.createDataFrame([], out_struct.add("rank", T.IntegerType()))
+    cand = reduce(DataFrame.unionByName, parts)
+    return top_k_per_group(cand, k, group=qid_col, order=("distance", id_col))
+
+
+def with_distance(df: DataFrame, a: str | Column, b: str | Column, out: str = "distance") -> DataFrame:
+    """SC1 on a DataFrame that already pairs two vectors per row."""
+    return df.withColumn(out, cosine_distance(a, b))
