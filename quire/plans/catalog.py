@@ -45,3 +45,147 @@ QUERIES = {
     "topk_batch": topk_batch,
     "text_search": text_search,
 }
+
+
+# ---------------------------------------------------------------- filtered search (PF5-PF8)
+import datetime as _dt  # noqa: E402
+
+from ..operators.predicates import Predicate, apply_filters  # noqa: E402
+from ..operators import store as vstore  # noqa: E402
+from ..functions.meta import expand_metadata  # noqa: E402
+from ..functions.times import iso  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+
+
+def _filtered_topk(spark, d, k=3, **filters):
+    s = apply_filters(derived.vector_store(spark, d), **filters)
+    res = search.nearest(s, derived.label_questions(spark, d), k=k)
+    return _report(res, ["query_id", "rank", "id", "distance"])
+
+
+def topk_filtered_eq(spark, d):
+    """PF5: equality dict (AND) on hot keys, pushed into the scan."""
+    return _filtered_topk(spark, d, filter={"lang": "de", "source": "src1"})
+
+
+def topk_filter_list(spark, d):
+    """PF5: list of dicts (OR)."""
+    return _filtered_topk(spark, d, filter=[{"lang": "de"}, {"source": "src3"}])
+
+
+def topk_predicates(spark, d):
+    """PF6 + PF7: (lang == en & label >= 5) | (lang == fr & label < 3)."""
+    p = (Predicate("lang", "==", "en") & Predicate("label", ">=", 5)) | (Predicate("lang", "==", "fr") & Predicate("label", "<", 3))
+    return _filtered_topk(spark, d, predicates=p)
+
+
+def topk_metadata_json(spark, d):
+    """PF6 on keys that only live in the JSON metadata text (typed from the literal)."""
+    s = derived.vector_store(spark, d).drop("lang", "source", "label")
+    p = Predicate("label", ">", 6) & Predicate("source", "!=", "src0") & Predicate("no_such_key", "!=", "x") \
+        | Predicate("lang", "==", "es")
+    res = search.nearest(apply_filters(s, predicates=p), derived.label_questions(spark, d), k=3)
+    return _report(res, ["query_id", "rank", "id", "distance"])
+
+
+def topk_unknown_key(spark, d):
+    """PF5: a key no record has -> no rows."""
+    return _filtered_topk(spark, d, filter={"no_such_key": "x"})
+
+
+def topk_time_range(spark, d):
+    """PF8 + SC17: ingest time in [2024-01-01 06:00, 2024-01-02 00:00)."""
+    return _filtered_topk(spark, d, time=(_dt.datetime(2024, 1, 1, 6), _dt.datetime(2024, 1, 2)))
+
+
+def topk_time_empty(spark, d):
+    """PF8: a month without ingests returns nothing."""
+    return _filtered_topk(spark, d, time=(_dt.datetime(2024, 8, 1), _dt.datetime(2024, 8, 30)))
+
+
+# ---------------------------------------------------------------- vector table maintenance
+def _flat_store(spark, d):
+    return derived.vector_store(spark, d).select("id", "ingest_ts", "lang", "source", "label", "contents")
+
+
+def _relabelled(spark, d):
+    """A re-ingest batch: every labelled document with its quality as label (updates + inserts)."""
+    lab = table(spark, d, "labels").select("doc_id", "quality")
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    ev = table(spark, d, "events").select("event_id", "ts")
+    b = lab.join(docs, "doc_id").join(ev, ev.event_id == lab.doc_id, "left")
+    return b.select(F.col("doc_id").alias("id"), F.col("ts").alias("ingest_ts"), "lang", "source",
+                    F.col("quality").alias("label"), F.col("text").alias("contents"))
+
+
+def _store_report(df):
+    return df.select("id", iso("ingest_ts").alias("ingest_ts"), "lang", "source", "label",
+                     F.length("contents").alias("n_chars"))
+
+
+def upsert_update(spark, d):
+    """SK5 / JN5: insert-or-update by id."""
+    return _store_report(vstore.merge_upsert(_flat_store(spark, d), _relabelled(spark, d), on_conflict="update"))
+
+
+def upsert_ignore(spark, d):
+    """SK5 ignore mode: insert only ids not stored yet."""
+    return _store_report(vstore.merge_upsert(_flat_store(spark, d), _relabelled(spark, d), on_conflict="ignore"))
+
+
+def delete_ids(spark, d):
+    """SK8: drop every document labelled toxic."""
+    ids = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    return _store_report(vstore.remove_ids(_flat_store(spark, d), ids))
+
+
+def delete_metadata(spark, d):
+    """SK9: delete by metadata equality read from the JSON text (rows without the key stay)."""
+    from ..operators.predicates import metadata_filter
+    s = derived.vector_store(spark, d)
+    pred = metadata_filter({"lang": "de", "label": 3}, columns=None)
+    return _store_report(vstore.remove_matching(s, pred))
+
+
+def exists_flag(spark, d):
+    """JN2: for every labelled document, is it in the vector table?"""
+    ids = table(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    return vstore.flag_existing(ids, derived.vector_store(spark, d))
+
+
+def record_count(spark, d):
+    """AG1."""
+    return derived.vector_store(spark, d).agg(F.count(F.lit(1)).alias("record_count"))
+
+
+def metadata_expand(spark, d):
+    """PF2 + PF4 + SC16: pack metadata to JSON, expand it back to typed columns, id as text."""
+    s = derived.vector_store(spark, d)
+    return s.select(F.col("id").cast("string").alias("id"), "metadata",
+                    *expand_metadata("metadata", {"lang": "string", "source": "string", "label": "bigint"}))
+
+
+def event_props(spark, d):
+    """PF4 on the events' JSON props: typed key, unknown key is null."""
+    ev = table(spark, d, "events")
+    return ev.select(F.col("event_id").cast("string").alias("id"),
+                     *expand_metadata("props", {"k": "bigint", "missing": "string"}))
+
+
+QUERIES.update({
+    "topk_filtered_eq": topk_filtered_eq,
+    "topk_filter_list": topk_filter_list,
+    "topk_predicates": topk_predicates,
+    "topk_metadata_json": topk_metadata_json,
+    "topk_unknown_key": topk_unknown_key,
+    "topk_time_range": topk_time_range,
+    "topk_time_empty": topk_time_empty,
+    "upsert_update": upsert_update,
+    "upsert_ignore": upsert_ignore,
+    "delete_ids": delete_ids,
+    "delete_metadata": delete_metadata,
+    "exists_flag": exists_flag,
+    "record_count": record_count,
+    "metadata_expand": metadata_expand,
+    "event_props": event_props,
+})

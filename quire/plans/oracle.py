@@ -56,3 +56,50 @@ pairs AS (SELECT qn.k AS query_id, dn.k AS id, 1 - coalesce(dots.dot, 0) / (qn.n
           FROM q_n qn CROSS JOIN d_n dn LEFT JOIN dots ON dots.qk = qn.k AND dots.dk = dn.k),
 {_rank('pairs', 5)}""",
 }
+
+
+def _ftopk(where: str, k: int = 3) -> str:
+    return f"""
+WITH {STORE_CTE}, {LABEL_Q_CTE},
+fs AS (SELECT * FROM store WHERE {where}),
+pairs AS (SELECT lq.query_id, s.id,
+   1 - list_dot_product(s.embedding, lq.q) / (sqrt(list_dot_product(s.embedding, s.embedding)) * sqrt(list_dot_product(lq.q, lq.q))) AS distance
+   FROM lq, fs s),
+{_rank('pairs', k)}"""
+
+
+FLAT_STORE = """
+flat AS (SELECT e.vec_id AS id, ev.ts AS ingest_ts, d.lang, d.source, e.label, d.text AS contents
+         FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN events ev ON ev.event_id = e.vec_id),
+relab AS (SELECT l.doc_id AS id, ev.ts AS ingest_ts, d.lang, d.source, l.quality AS label, d.text AS contents
+          FROM labels l JOIN documents d ON d.doc_id = l.doc_id LEFT JOIN events ev ON ev.event_id = l.doc_id)"""
+
+STORE_REPORT = "id, strftime(ingest_ts, '%Y-%m-%dT%H:%M:%S') AS ingest_ts, lang, source, label, length(contents) AS n_chars"
+
+ORACLE.update({
+    "topk_filtered_eq": _ftopk("lang = 'de' AND source = 'src1'"),
+    "topk_filter_list": _ftopk("lang = 'de' OR source = 'src3'"),
+    "topk_predicates": _ftopk("(lang = 'en' AND label >= 5) OR (lang = 'fr' AND label < 3)"),
+    "topk_metadata_json": _ftopk("(label > 6 AND source <> 'src0' AND NULL) OR lang = 'es'"),
+    "topk_unknown_key": _ftopk("NULL"),
+    "topk_time_range": _ftopk("ingest_ts >= TIMESTAMP '2024-01-01 06:00:00' AND ingest_ts < TIMESTAMP '2024-01-02'"),
+    "topk_time_empty": _ftopk("ingest_ts >= TIMESTAMP '2024-08-01' AND ingest_ts < TIMESTAMP '2024-08-30'"),
+    "upsert_update": f"""WITH {FLAT_STORE},
+m AS (SELECT * FROM flat WHERE id NOT IN (SELECT id FROM relab) UNION ALL SELECT * FROM relab)
+SELECT {STORE_REPORT} FROM m""",
+    "upsert_ignore": f"""WITH {FLAT_STORE},
+m AS (SELECT * FROM flat UNION ALL SELECT * FROM relab WHERE id NOT IN (SELECT id FROM flat))
+SELECT {STORE_REPORT} FROM m""",
+    "delete_ids": f"""WITH {FLAT_STORE}
+SELECT {STORE_REPORT} FROM flat WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+    "delete_metadata": f"""WITH {FLAT_STORE}
+SELECT {STORE_REPORT} FROM flat WHERE NOT coalesce(lang = 'de' AND label = 3, false)""",
+    "exists_flag": f"""WITH {STORE_CTE}
+SELECT l.doc_id AS id, l.doc_id IN (SELECT id FROM store) AS "exists" FROM labels l""",
+    "record_count": f"""WITH {STORE_CTE} SELECT count(*) AS record_count FROM store""",
+    "metadata_expand": f"""WITH {STORE_CTE}
+SELECT CAST(id AS VARCHAR) AS id, json_object('lang', lang, 'source', source, 'label', label)::VARCHAR AS metadata,
+       lang, source, CAST(label AS BIGINT) AS label FROM store""",
+    "event_props": """SELECT CAST(event_id AS VARCHAR) AS id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k,
+       json_extract_string(props, '$.missing') AS missing FROM events""",
+})
