@@ -189,3 +189,118 @@ QUERIES.update({
     "metadata_expand": metadata_expand,
     "event_props": event_props,
 })
+
+
+# ---------------------------------------------------------------- documents and actions (PF13-PF21, SK2-SK4, JN3-JN6)
+from ..operators import actions as act  # noqa: E402
+from ..operators import folders as fold  # noqa: E402
+from ..operators import assembly  # noqa: E402
+from ..operators.embed import token_buckets, hash_embed  # noqa: E402
+from ..operators.records import vector_records  # noqa: E402
+
+
+def calendar_events(spark, d):
+    """PF13-PF15 + SK3 + SC6 + JN6: event rows for every dated action."""
+    ev = act.calendar_events(derived.doc_records(spark, d))
+    return ev.select("doc_id", "action_no", "summary", "location", "description",
+                     iso("start_ts").alias("start_ts"), iso("end_ts").alias("end_ts"), "tz",
+                     F.to_json("reminders").alias("reminders"))
+
+
+def action_overview(spark, d):
+    """PF16 + SC8."""
+    return act.action_overview(derived.doc_records(spark, d))
+
+
+def tasks(spark, d):
+    """SK4 + SC5 + SC7: tasks with RFC 3339 UTC due time (Berlin wall time converted, DST aware)."""
+    return act.tasks(derived.doc_records(spark, d))
+
+
+def file_paths(spark, d):
+    """SK2 + SC9-SC11."""
+    return act.stored_files(derived.doc_records(spark, d))
+
+
+def folder_get_or_create(spark, d):
+    """JN3 + JN4 + ST2: folders filed before 1998 exist (with their own ids); create the rest."""
+    docs = act.has_actions(derived.doc_records(spark, d))
+    old = docs.filter(F.col("sent_date") < F.lit("1998-01-01").cast("date"))
+    created = fold.get_or_create_folders(old, spark.createDataFrame([], "id string, name string, parent_id string, path string"))
+    existing = created.select(F.concat(F.lit("old-"), F.substring(F.sha2("path", 256), 1, 12)).alias("id"), "name",
+                              "path").alias("e")
+    # re-key the existing folders and their parents to the old ids
+    pmap = existing.select(F.col("path").alias("ppath"), F.col("id").alias("pid"))
+    parent_path = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    existing = (existing.withColumn("ppath", parent_path).join(pmap, "ppath", "left")
+                .select("id", "name", F.col("pid").alias("parent_id"), "path"))
+    return fold.get_or_create_folders(docs, existing)
+
+
+def document_card(spark, d):
+    """PF17 on the last partial record of each document (fields still missing show placeholders)."""
+    return act.document_card(derived.partial_records(spark, d))
+
+
+def summary_text(spark, d):
+    """PF18 + SC12 + SC13."""
+    return act.summary_text(derived.doc_records(spark, d))
+
+
+def record_rules(spark, d):
+    """PF21 on customer-supplied names and titles."""
+    return act.record_rules(derived.raw_records(spark, d))
+
+
+def embedding_text(spark, d):
+    """PF1 + PF3 + SC2 + D20: embedded text and deterministic id of every document with actions."""
+    v = vector_records(act.has_actions(derived.doc_records(spark, d)), embed=False)
+    return v.select("doc_id", "id", "contents", "sender", "addressed_to", F.date_format("sent_date", "yyyy-MM-dd").alias("sent_date"))
+
+
+def hash_embed_stats(spark, d):
+    """UD2: token count, non-empty buckets and a position checksum of every document's vector."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    v = docs.select("doc_id", hash_embed("text", derived.HASH_DIM).alias("e"))
+    return v.select("doc_id",
+                    F.aggregate("e", F.lit(0.0), lambda a, x: a + x).cast("bigint").alias("n_tokens"),
+                    F.size(F.filter("e", lambda x: x > 0)).cast("bigint").alias("n_buckets"),
+                    F.aggregate(F.transform("e", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+                    .cast("bigint").alias("checksum"))
+
+
+def page_assembly(spark, d):
+    """SR2 + AG3: page texts joined by newline in page order (conversations as pages)."""
+    pages = derived.conversation_pages(spark, d)
+    return assembly.assemble_pages(pages)
+
+
+def page_prepend(spark, d):
+    """PF19: a summary page placed before page 1, then assembled."""
+    pages = derived.conversation_pages(spark, d)
+    summ = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select(
+        "doc_id", F.concat(F.lit("Summary: "), F.col("n").cast("string"), F.lit(" pages")).alias("text"))
+    return assembly.assemble_pages(assembly.prepend_page(pages, summ))
+
+
+def last_partial(spark, d):
+    """AG5: the last partial version of each record wins."""
+    parts = derived.conversation_partials(spark, d)
+    return assembly.last_partial(parts).select("doc_id", "seq", F.col("record").alias("text"))
+
+
+QUERIES.update({
+    "calendar_events": calendar_events,
+    "action_overview": action_overview,
+    "tasks": tasks,
+    "file_paths": file_paths,
+    "folder_get_or_create": folder_get_or_create,
+    "document_card": document_card,
+    "summary_text": summary_text,
+    "record_rules": record_rules,
+    "embedding_text": embedding_text,
+    "hash_embed_stats": hash_embed_stats,
+    "page_assembly": page_assembly,
+    "page_prepend": page_prepend,
+    "last_partial": last_partial,
+})

@@ -70,3 +70,125 @@ def text_questions(spark: SparkSession, d: str, dim: int = HASH_DIM) -> DataFram
     b = table(spark, d, "benchmark").select("item_id", "text")
     return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"),
                     hash_embed("text", dim).alias("embedding"))
+
+
+# ---------------------------------------------------------------- extracted document records (F1)
+# Fixed mapping used to derive records from the driver tables: market segment -> sender domain.
+SEGMENT_SENDER = {
+    "AUTOMOBILE": "Employment Agency",
+    "BUILDING": "Tax",
+    "FURNITURE": "Health",
+    "HOUSEHOLD": "Immigration",
+    "MACHINERY": "Other",
+}
+
+
+def doc_records(spark: SparkSession, d: str) -> DataFrame:
+    """One extracted record per order (schemas.DOC + doc_id, source_path).
+
+    sender from the customer's segment, addressee = customer name, sent_date =
+    order date, title from the priority. Actions: status P -> payment, O ->
+    appointment, F -> reply; priority 5-LOW -> no actions, 4-NOT SPECIFIED ->
+    only ``no_action``, 3-MEDIUM -> the action plus ``no_action``.
+    """
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                         "o_orderdate", "o_orderpriority")
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    seg = F.col("c_mktsegment")
+    sender = F.coalesce(*[F.when(seg == k, F.lit(v)) for k, v in SEGMENT_SENDER.items()], F.lit("Other"))
+    pr, od, nk = F.col("o_orderpriority"), F.col("o_orderdate"), F.col("c_nationkey").cast("string")
+    null_s = F.lit(None).cast("string")
+    appt = F.struct(
+        F.expr("o_orderdate + INTERVAL 7 DAYS + INTERVAL 9 HOURS").alias("date"),
+        F.concat(F.lit("Office "), nk).alias("location"),
+        F.when(pr == "2-HIGH", F.lit(None).cast("array<string>"))
+         .otherwise(F.array(F.lit("passport"), F.concat(F.lit("form "), pr))).alias("required_documents"),
+        F.when(pr == "1-URGENT", F.lit("Bring originals")).otherwise(null_s).alias("additional_notes"))
+    reply = F.struct(
+        F.array(F.lit("Antwortbogen")).alias("documents_to_send_in_original_language"),
+        F.array(F.lit("Reply form")).alias("documents_to_send_in_english"),
+        F.expr("o_orderdate + INTERVAL 30 DAYS + INTERVAL 12 HOURS").alias("deadline"),
+        F.concat(F.lit("PO Box "), nk).alias("address_to_send_to"))
+    pay = F.struct(
+        F.concat(F.lit("Treasury "), nk).alias("recipient"),
+        F.col("o_totalprice").alias("amount"),
+        F.expr("o_orderdate + INTERVAL 14 DAYS").alias("deadline"),
+        F.create_map(F.lit("iban"), F.concat(F.lit("DE"), F.lpad(F.col("c_custkey").cast("string"), 20, "0"))).alias("bank_details"),
+        F.when(pr == "1-URGENT", F.concat(F.lit("REF-"), F.col("o_orderkey").cast("string"))).otherwise(null_s)
+         .alias("reference_number"))
+    from ..schemas import ACTION
+    none_a, none_r, none_p = (F.lit(None).cast(ACTION["appointment"].dataType), F.lit(None).cast(ACTION["reply"].dataType),
+                              F.lit(None).cast(ACTION["payment"].dataType))
+
+    def act(tag, a=none_a, r=none_r, p=none_p):
+        return F.struct(F.lit(tag).alias("action_type"), a.alias("appointment"), r.alias("reply"), p.alias("payment"))
+
+    st = F.col("o_orderstatus")
+    main = (F.when(st == "P", act("payment_required", p=pay)).when(st == "O", act("appointment", a=appt))
+            .otherwise(act("reply_required", r=reply)))
+    no_action = act("no_action")
+    from pyspark.sql.types import ArrayType
+    actions = (F.when(pr == "5-LOW", F.array().cast(ArrayType(ACTION)))
+               .when(pr == "4-NOT SPECIFIED", F.array(no_action))
+               .when(pr == "3-MEDIUM", F.array(main, no_action))
+               .otherwise(F.array(main)))
+    return j.select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.concat(F.lit("Bescheid "), pr).alias("title_in_original_language"),
+        F.concat(F.lit("Notice "), F.substring(pr, 3, 100)).alias("title_in_english"),
+        sender.alias("sender"),
+        F.to_date(od).alias("sent_date"),
+        F.col("c_name").alias("addressed_to"),
+        F.concat(F.lit("Betrag "), F.format_string("%.2f", F.col("o_totalprice"))).alias("content_in_original_language"),
+        F.concat(F.lit("Amount "), F.format_string("%.2f", F.col("o_totalprice"))).alias("content_in_english"),
+        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" status "), st).alias("summary_in_english"),
+        actions.alias("required_actions"),
+        F.concat(F.lit("/scans/"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("source_path"),
+    )
+
+
+def conversation_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as extracted pages: (doc_id, page_no, text, error)."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_no"), "text",
+                    F.lit(None).cast("string").alias("error"))
+
+
+def conversation_partials(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as a stream of partial records: (doc_id, seq, record)."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.col("text").alias("record"))
+
+
+def partial_records(spark: SparkSession, d: str) -> DataFrame:
+    """Last partial record per conversation as a document record with the fields seen so far.
+
+    Turn t fills the first t+1 of (sender, addressed_to, title_in_english,
+    summary_in_english); the rest are still missing (null).
+    """
+    from ..operators.assembly import last_partial
+    last = last_partial(conversation_partials(spark, d))
+    s = F.col("seq")
+    return last.select(
+        "doc_id",
+        F.when(s >= 0, F.concat(F.lit("Sender "), F.col("doc_id").cast("string"))).alias("sender"),
+        F.when(s >= 1, F.concat(F.lit("Person "), F.col("doc_id").cast("string"))).alias("addressed_to"),
+        F.when(s >= 2, F.concat(F.lit("Title "), F.col("seq").cast("string"))).alias("title_in_english"),
+        F.when(s >= 3, F.col("record")).alias("summary_in_english"),
+    )
+
+
+def raw_records(spark: SparkSession, d: str) -> DataFrame:
+    """Record fields before the rules: honorific-prefixed names, long titles, open sender text."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    st = F.col("o_orderstatus")
+    prefix = F.when(st == "P", F.lit("Herr ")).when(st == "O", F.lit("Frau Dr. ")).otherwise(F.lit(""))
+    sender = F.coalesce(*[F.when(F.col("c_mktsegment") == k, F.lit(v)) for k, v in SEGMENT_SENDER.items()
+                          if k != "MACHINERY"], F.col("c_mktsegment"))
+    return j.select(F.col("o_orderkey").alias("doc_id"),
+                    F.concat(F.lit("Notice of "), F.col("o_orderpriority"), F.lit(" order status")).alias("title_in_english"),
+                    sender.alias("sender"),
+                    F.concat(prefix, F.col("c_name")).alias("addressed_to"))

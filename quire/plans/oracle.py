@@ -103,3 +103,149 @@ SELECT CAST(id AS VARCHAR) AS id, json_object('lang', lang, 'source', source, 'l
     "event_props": """SELECT CAST(event_id AS VARCHAR) AS id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k,
        json_extract_string(props, '$.missing') AS missing FROM events""",
 })
+
+
+DOCS_CTE = """
+docs AS (
+  SELECT o.o_orderkey AS doc_id, 'Notice ' || substr(o.o_orderpriority, 3) AS title,
+    CASE c.c_mktsegment WHEN 'AUTOMOBILE' THEN 'Employment Agency' WHEN 'BUILDING' THEN 'Tax'
+      WHEN 'FURNITURE' THEN 'Health' WHEN 'HOUSEHOLD' THEN 'Immigration' ELSE 'Other' END AS sender,
+    CAST(o.o_orderdate AS DATE) AS sent_date, c.c_name AS addressed_to,
+    'Amount ' || printf('%.2f', o.o_totalprice) AS content,
+    'Order ' || o.o_orderkey || ' status ' || o.o_orderstatus AS summary,
+    o.o_orderstatus AS st, o.o_orderpriority AS pr, o.o_totalprice AS amount, o.o_orderdate AS od,
+    CAST(c.c_nationkey AS VARCHAR) AS nk, c.c_custkey AS custkey, '/scans/' || o.o_orderkey || '.pdf' AS source_path
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
+acts AS (
+  SELECT d.*, 0 AS action_no,
+         CASE st WHEN 'P' THEN 'payment_required' WHEN 'O' THEN 'appointment' ELSE 'reply_required' END AS action_type
+  FROM docs d WHERE pr NOT IN ('5-LOW', '4-NOT SPECIFIED')
+  UNION ALL SELECT d.*, 0, 'no_action' FROM docs d WHERE pr = '4-NOT SPECIFIED'
+  UNION ALL SELECT d.*, 1, 'no_action' FROM docs d WHERE pr = '3-MEDIUM'),
+actd AS (SELECT *,
+   od + INTERVAL 7 DAY + INTERVAL 9 HOUR AS appt_date, 'Office ' || nk AS appt_loc,
+   CASE WHEN pr = '2-HIGH' THEN NULL ELSE 'passport, form ' || pr END AS appt_docs,
+   CASE WHEN pr = '1-URGENT' THEN 'Bring originals' END AS appt_notes,
+   od + INTERVAL 30 DAY + INTERVAL 12 HOUR AS reply_deadline, 'PO Box ' || nk AS reply_addr,
+   'Treasury ' || nk AS pay_recipient, od + INTERVAL 14 DAY AS pay_deadline,
+   CASE WHEN pr = '1-URGENT' THEN 'REF-' || doc_id END AS pay_ref,
+   json_object('iban', 'DE' || lpad(CAST(custkey AS VARCHAR), 20, '0'))::VARCHAR AS bank,
+   addressed_to || '/' || sender || '/' || strftime(sent_date, '%Y-%m-%d') || '_' || replace(title, ' ', '_') || '.pdf' AS link
+  FROM acts)"""
+
+TS = "'%Y-%m-%dT%H:%M:%S'"
+DTS = "'%Y-%m-%d %H:%M:%S'"
+
+ORACLE.update({
+    "calendar_events": f"""WITH {DOCS_CTE},
+e AS (SELECT *, CASE action_type WHEN 'appointment' THEN appt_date WHEN 'reply_required' THEN reply_deadline
+                 ELSE pay_deadline END AS st_ts FROM actd WHERE action_type <> 'no_action')
+SELECT doc_id, action_no,
+  CASE action_type WHEN 'appointment' THEN 'Appointment: ' || title WHEN 'reply_required' THEN 'Deadline: Reply Required - ' || title
+       ELSE 'Deadline: Payment Required - ' || title END AS summary,
+  CASE action_type WHEN 'appointment' THEN appt_loc WHEN 'reply_required' THEN reply_addr ELSE '' END AS location,
+  CASE action_type
+    WHEN 'appointment' THEN concat_ws(chr(10), 'Summary: ' || summary, 'Required Documents: ' || coalesce(appt_docs, 'None'),
+         'Additional Notes: ' || coalesce(appt_notes, 'None'), 'Document Link: ' || link)
+    WHEN 'reply_required' THEN concat_ws(chr(10), 'Summary: ' || summary, 'Documents to send (Original): Antwortbogen',
+         'Documents to send (English): Reply form', 'Address: ' || reply_addr, 'Document Link: ' || link)
+    ELSE concat_ws(chr(10), 'Summary: ' || summary, 'Amount: ' || printf('%.2f', amount), 'Recipient: ' || pay_recipient,
+         'Reference: ' || coalesce(pay_ref, 'None'), 'Bank Details: ' || bank) END AS description,
+  strftime(st_ts, {TS}) AS start_ts, strftime(st_ts + INTERVAL 1 HOUR, {TS}) AS end_ts, 'Europe/Berlin' AS tz,
+  '[{{"method":"email","minutes":10}},{{"method":"popup","minutes":10}}]' AS reminders
+FROM e""",
+
+    "action_overview": f"""WITH {DOCS_CTE}
+SELECT doc_id, action_no,
+  CASE action_type WHEN 'no_action' THEN 'No Action' WHEN 'appointment' THEN 'Appointment'
+       WHEN 'reply_required' THEN 'Reply Required' ELSE 'Payment Required' END AS type,
+  CASE action_type
+    WHEN 'appointment' THEN 'Date: ' || strftime(appt_date, {DTS}) || chr(10) || 'Location: ' || appt_loc
+    WHEN 'reply_required' THEN 'Deadline: ' || strftime(reply_deadline, {DTS}) || chr(10) || 'Address: ' || reply_addr
+    WHEN 'payment_required' THEN 'Amount: ' || printf('%.2f', amount) || chr(10) || 'Deadline: ' || strftime(pay_deadline, {DTS})
+    ELSE '' END AS details
+FROM actd""",
+
+    "tasks": f"""WITH {DOCS_CTE},
+t AS (SELECT *, CASE action_type WHEN 'reply_required' THEN reply_deadline WHEN 'payment_required' THEN pay_deadline END AS due_ts FROM actd)
+SELECT doc_id, action_no, CASE action_type WHEN 'reply_required' THEN 'Reply: ' || title ELSE 'Pay: ' || title END AS title,
+  summary AS notes, strftime(timezone('UTC', timezone('Europe/Berlin', due_ts)), '%Y-%m-%dT%H:%M:%SZ') AS due
+FROM t WHERE due_ts IS NOT NULL""",
+
+    "file_paths": f"""WITH {DOCS_CTE},
+f AS (SELECT *, strftime(sent_date, '%Y-%m-%d') || '_' || replace(title, ' ', '_') || '.pdf' AS name FROM docs WHERE pr <> '5-LOW')
+SELECT doc_id, name, addressed_to || '/' || sender AS folder_path, addressed_to || '/' || sender || '/' || name AS path,
+  regexp_replace(source_path, '\\.[^./]*$', '') || '_with_summary.pdf' AS uploaded_from
+FROM f""",
+
+    "folder_get_or_create": f"""WITH {DOCS_CTE},
+w AS (SELECT DISTINCT addressed_to, sender, sent_date < DATE '1998-01-01' AS old FROM docs WHERE pr <> '5-LOW'),
+l1 AS (SELECT addressed_to AS name, bool_or(old) AS old FROM w GROUP BY addressed_to),
+l2 AS (SELECT addressed_to, sender, bool_or(old) AS old FROM w GROUP BY addressed_to, sender),
+f1 AS (SELECT CASE WHEN old THEN 'old-' || substr(sha256(name), 1, 12) ELSE substr(sha256(name), 1, 16) END AS id,
+              name, CAST(NULL AS VARCHAR) AS parent_id, name AS path FROM l1),
+f2 AS (SELECT CASE WHEN l2.old THEN 'old-' || substr(sha256(l2.addressed_to || '/' || l2.sender), 1, 12)
+                   ELSE substr(sha256(l2.addressed_to || '/' || l2.sender), 1, 16) END AS id,
+              l2.sender AS name, f1.id AS parent_id, l2.addressed_to || '/' || l2.sender AS path
+       FROM l2 JOIN f1 ON f1.name = l2.addressed_to)
+SELECT * FROM f1 UNION ALL SELECT * FROM f2""",
+
+    "document_card": """WITH last AS (SELECT conv_id AS doc_id, max(turn) AS seq, arg_max(text, turn) AS record FROM conversations GROUP BY conv_id)
+SELECT doc_id,
+  coalesce(CASE WHEN seq >= 0 THEN 'Sender ' || doc_id END, 'Processing...') AS from_,
+  coalesce(CASE WHEN seq >= 1 THEN 'Person ' || doc_id END, 'Processing...') AS to_,
+  coalesce(CASE WHEN seq >= 2 THEN 'Title ' || seq END, 'Processing...') AS title,
+  coalesce(CASE WHEN seq >= 3 THEN record END, 'Processing summary...') AS summary
+FROM last""",
+
+    "summary_text": f"""WITH {DOCS_CTE},
+atext AS (SELECT doc_id, action_no, CASE action_type
+   WHEN 'appointment' THEN concat_ws(chr(10), 'Appointment:', '- Date: ' || strftime(appt_date, {DTS}), '- Location: ' || appt_loc,
+        '- Required Documents: ' || coalesce(appt_docs, 'None'))
+   WHEN 'reply_required' THEN concat_ws(chr(10), 'Reply Required:', '- Deadline: ' || strftime(reply_deadline, {DTS}),
+        '- Documents (Original): Antwortbogen', '- Documents (English): Reply form')
+   WHEN 'payment_required' THEN concat_ws(chr(10), 'Payment Required:', '- Amount: ' || printf('%.2f', amount),
+        '- Deadline: ' || strftime(pay_deadline, {DTS}), '- Recipient: ' || pay_recipient)
+   ELSE 'No specific action details' END AS t FROM actd),
+agg AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY action_no) AS acts FROM atext GROUP BY doc_id)
+SELECT d.doc_id, concat_ws(chr(10), 'Document Summary', 'Sender: ' || d.sender, 'Addressed To: ' || d.addressed_to,
+  'Document Title: ' || d.title, 'Summary: ' || d.summary, 'Required Actions:', coalesce(agg.acts, 'No actions required')) AS summary_text
+FROM docs d LEFT JOIN agg USING (doc_id)""",
+
+    "record_rules": """SELECT o.o_orderkey AS doc_id,
+  array_to_string(list_slice(string_split_regex(trim('Notice of ' || o.o_orderpriority || ' order status'), '\\s+'), 1, 3), ' ') AS title_in_english,
+  CASE c.c_mktsegment WHEN 'AUTOMOBILE' THEN 'Employment Agency' WHEN 'BUILDING' THEN 'Tax' WHEN 'FURNITURE' THEN 'Health'
+       WHEN 'HOUSEHOLD' THEN 'Immigration' ELSE 'Other' END AS sender,
+  regexp_replace(trim(CASE o.o_orderstatus WHEN 'P' THEN 'Herr ' WHEN 'O' THEN 'Frau Dr. ' ELSE '' END || c.c_name),
+                 '^((Herr|Frau|Dr\\.)\\s+)+', '') AS addressed_to
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""",
+
+    "embedding_text": f"""WITH {DOCS_CTE},
+aj AS (SELECT doc_id, action_no, json_object('action_type', action_type,
+    'appointment', CASE WHEN action_type = 'appointment' THEN json_object('date', strftime(appt_date, {TS}), 'location', appt_loc,
+        'required_documents', CASE WHEN pr = '2-HIGH' THEN NULL ELSE ['passport', 'form ' || pr] END, 'additional_notes', appt_notes) END,
+    'reply', CASE WHEN action_type = 'reply_required' THEN json_object('documents_to_send_in_original_language', ['Antwortbogen'],
+        'documents_to_send_in_english', ['Reply form'], 'deadline', strftime(reply_deadline, {TS}), 'address_to_send_to', reply_addr) END,
+    'payment', CASE WHEN action_type = 'payment_required' THEN json_object('recipient', pay_recipient, 'amount', amount,
+        'deadline', strftime(pay_deadline, {TS}), 'bank_details', json_object('iban', 'DE' || lpad(CAST(custkey AS VARCHAR), 20, '0')),
+        'reference_number', pay_ref) END)::VARCHAR AS j FROM actd),
+lines AS (SELECT doc_id, string_agg(chr(10) || 'Required Action: ' || j, '' ORDER BY action_no) AS l FROM aj GROUP BY doc_id),
+c AS (SELECT d.doc_id, d.sender, d.addressed_to, d.sent_date,
+        'Sender: ' || d.sender || chr(10) || 'Addressed to: ' || d.addressed_to || chr(10) || d.content || coalesce(lines.l, '') AS contents
+      FROM docs d JOIN lines USING (doc_id))
+SELECT doc_id, sha256(contents) AS id, contents, sender, addressed_to, strftime(sent_date, '%Y-%m-%d') AS sent_date FROM c""",
+
+    "hash_embed_stats": f"""WITH {_hash_counts('d', 'documents', 'doc_id')}
+SELECT doc_id, CAST(sum(c) AS BIGINT) AS n_tokens, CASE WHEN count(b) = 0 THEN NULL ELSE count(b) END::BIGINT AS n_buckets,
+       CAST(sum((b + 1) * c) AS BIGINT) AS checksum
+FROM documents LEFT JOIN d_b ON d_b.k = documents.doc_id GROUP BY doc_id""",
+
+    "page_assembly": """SELECT conv_id AS doc_id, coalesce(string_agg(text, chr(10) ORDER BY turn), '') AS text
+FROM conversations GROUP BY conv_id""",
+
+    "page_prepend": """WITH p AS (SELECT conv_id AS doc_id, turn AS page_no, text FROM conversations
+  UNION ALL SELECT conv_id, -1, 'Summary: ' || count(*) || ' pages' FROM conversations GROUP BY conv_id)
+SELECT doc_id, coalesce(string_agg(text, chr(10) ORDER BY page_no), '') AS text FROM p GROUP BY doc_id""",
+
+    "last_partial": """SELECT conv_id AS doc_id, max(turn) AS seq, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id""",
+})
