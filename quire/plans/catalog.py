@@ -304,3 +304,45 @@ QUERIES.update({
     "page_prepend": page_prepend,
     "last_partial": last_partial,
 })
+
+
+# ---------------------------------------------------------------- question answering (PF9-PF12, UD4, UD5)
+from ..operators import rag  # noqa: E402
+
+
+def _pre(spark, d):
+    return rag.preprocess_questions(derived.questions(spark, d), derived.addressees(spark, d))
+
+
+def question_filters(spark, d):
+    """PF12: sender, addressee and time window read from each question."""
+    p = _pre(spark, d)
+    return p.select("query_id", F.col("q_sender").alias("sender"), F.col("q_addressed_to").alias("addressed_to"),
+                    iso("start_ts").alias("start_ts"), iso("end_ts").alias("end_ts"))
+
+
+def rag_search(spark, d):
+    """PF11 + JN1 + WN1: top-3 documents per question under its own filters (OR of sender / addressee)."""
+    hits = rag.retrieve(derived.doc_store(spark, d), _pre(spark, d), k=3)
+    return _report(hits, ["query_id", "rank", "doc_id", "distance"])
+
+
+def rag_context(spark, d):
+    """PF9 + AG4: the context JSON handed to the answerer, per question."""
+    keep = ["title_in_english", "sender", "sent_date", "addressed_to", "summary_in_english"]
+    hits = rag.retrieve(derived.doc_store(spark, d), _pre(spark, d), k=3)
+    return rag.contexts(hits, keep=keep).select("query_id", "context", "n_context")
+
+
+def default_answer(spark, d):
+    """UD4 + UD5 with the default extractive answerer."""
+    a = rag.answer_questions(derived.questions(spark, d), derived.doc_store(spark, d), derived.addressees(spark, d), k=3)
+    return a.select("query_id", "answer", "enough_context", "n_context")
+
+
+QUERIES.update({
+    "question_filters": question_filters,
+    "rag_search": rag_search,
+    "rag_context": rag_context,
+    "default_answer": default_answer,
+})

@@ -192,3 +192,35 @@ def raw_records(spark: SparkSession, d: str) -> DataFrame:
                     F.concat(F.lit("Notice of "), F.col("o_orderpriority"), F.lit(" order status")).alias("title_in_english"),
                     sender.alias("sender"),
                     F.concat(prefix, F.col("c_name")).alias("addressed_to"))
+
+
+# ---------------------------------------------------------------- question answering inputs
+AS_OF = "2001-07-20"
+
+
+def doc_store(spark: SparkSession, d: str, dim: int = HASH_DIM) -> DataFrame:
+    """Every extracted record as a vector table row (ingested the day after it was sent, 08:00)."""
+    from ..operators.records import vector_records
+    docs = doc_records(spark, d)
+    ts = F.expr("CAST(sent_date AS TIMESTAMP_NTZ) + INTERVAL 1 DAY + INTERVAL 8 HOURS")
+    return vector_records(docs, embed=True, dim=dim, ingest_ts=ts)
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as user questions; four phrasings name no filter, a sender and a month,
+    an addressee (the customer with the item's number), or an addressee, a sender and a year."""
+    b = table(spark, d, "benchmark").select("item_id", "text")
+    c = table(spark, d, "customer").select("c_custkey", "c_name")
+    j = b.join(c, b.item_id == c.c_custkey, "left")
+    form = F.pmod(F.col("item_id"), F.lit(4))
+    name = F.coalesce(F.col("c_name"), F.lit("nobody"))
+    suffix = (F.when(form == 1, F.lit(" Which letters came from the tax office last month?"))
+              .when(form == 2, F.concat(F.lit(" Show letters addressed to "), name, F.lit(" please.")))
+              .when(form == 3, F.concat(F.lit(" Anything for "), name, F.lit(" from health this year?")))
+              .otherwise(F.lit("")))
+    return j.select(F.col("item_id").alias("query_id"), F.concat(F.col("text"), suffix).alias("question"),
+                    F.lit(AS_OF).cast("date").alias("as_of"))
+
+
+def addressees(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_name").alias("name"))

@@ -249,3 +249,80 @@ SELECT doc_id, coalesce(string_agg(text, chr(10) ORDER BY page_no), '') AS text
 
     "last_partial": """SELECT conv_id AS doc_id, max(turn) AS seq, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id""",
 })
+
+
+_SENDER_RE = "(^|[^a-z]){w}([^a-z]|$)"
+
+
+def _sender_case(q: str) -> str:
+    def m(w):
+        return f"regexp_matches(lower({q}), '{_SENDER_RE.format(w=w)}')"
+    return (f"CASE WHEN {m('employment agency')} OR {m('employment')} THEN 'Employment Agency' "
+            f"WHEN {m('tax')} THEN 'Tax' WHEN {m('health')} THEN 'Health' WHEN {m('immigration')} THEN 'Immigration' END")
+
+
+def _window(q: str, d: str, part: str) -> str:
+    wk, mo, yr = f"CAST(date_trunc('week', {d}) AS DATE)", f"CAST(date_trunc('month', {d}) AS DATE)", f"CAST(date_trunc('year', {d}) AS DATE)"
+    rules = [("last week", f"{wk} - INTERVAL 7 DAY", wk), ("this week", wk, f"{wk} + INTERVAL 7 DAY"),
+             ("last month", f"{mo} - INTERVAL 1 MONTH", mo), ("this month", mo, f"{mo} + INTERVAL 1 MONTH"),
+             ("last year", f"{yr} - INTERVAL 1 YEAR", yr), ("this year", yr, f"{yr} + INTERVAL 1 YEAR"),
+             ("yesterday", f"{d} - INTERVAL 1 DAY", d), ("today", d, f"{d} + INTERVAL 1 DAY")]
+    idx = 1 if part == "start" else 2
+    whens = " ".join(f"WHEN contains(lower({q}), '{r[0]}') THEN CAST({r[idx]} AS TIMESTAMP)" for r in rules)
+    return f"CASE {whens} END"
+
+
+QUESTIONS_CTE = f"""
+qs AS (SELECT b.item_id AS query_id,
+   b.text || CASE b.item_id % 4 WHEN 1 THEN ' Which letters came from the tax office last month?'
+     WHEN 2 THEN ' Show letters addressed to ' || coalesce(c.c_name, 'nobody') || ' please.'
+     WHEN 3 THEN ' Anything for ' || coalesce(c.c_name, 'nobody') || ' from health this year?' ELSE '' END AS question,
+   DATE '2001-07-20' AS as_of
+   FROM benchmark b LEFT JOIN customer c ON b.item_id = c.c_custkey),
+pre AS (SELECT qs.*, {_sender_case('question')} AS q_sender,
+   (SELECT min(c_name) FROM customer WHERE contains(qs.question, c_name)) AS q_addressed_to,
+   {_window('question', 'as_of', 'start')} AS start_ts, {_window('question', 'as_of', 'end')} AS end_ts FROM qs)"""
+
+DOC_STORE_CTE = f"""{DOCS_CTE},
+aj AS (SELECT doc_id, action_no, json_object('action_type', action_type,
+    'appointment', CASE WHEN action_type = 'appointment' THEN json_object('date', strftime(appt_date, {TS}), 'location', appt_loc,
+        'required_documents', CASE WHEN pr = '2-HIGH' THEN NULL ELSE ['passport', 'form ' || pr] END, 'additional_notes', appt_notes) END,
+    'reply', CASE WHEN action_type = 'reply_required' THEN json_object('documents_to_send_in_original_language', ['Antwortbogen'],
+        'documents_to_send_in_english', ['Reply form'], 'deadline', strftime(reply_deadline, {TS}), 'address_to_send_to', reply_addr) END,
+    'payment', CASE WHEN action_type = 'payment_required' THEN json_object('recipient', pay_recipient, 'amount', amount,
+        'deadline', strftime(pay_deadline, {TS}), 'bank_details', json_object('iban', 'DE' || lpad(CAST(custkey AS VARCHAR), 20, '0')),
+        'reference_number', pay_ref) END)::VARCHAR AS j FROM actd),
+lines AS (SELECT doc_id, string_agg(chr(10) || 'Required Action: ' || j, '' ORDER BY action_no) AS l FROM aj GROUP BY doc_id),
+ds AS (SELECT d.*, 'Sender: ' || d.sender || chr(10) || 'Addressed to: ' || d.addressed_to || chr(10) || d.content || coalesce(lines.l, '') AS contents,
+        CAST(d.sent_date AS TIMESTAMP) + INTERVAL 1 DAY + INTERVAL 8 HOUR AS ingest_ts
+      FROM docs d LEFT JOIN lines USING (doc_id)),
+dsi AS (SELECT *, sha256(contents) AS id FROM ds),
+{_hash_counts('s', 'dsi', 'id', 'contents')}, {_hash_counts('q', 'pre', 'query_id', 'question')},
+dots AS (SELECT q.k AS qk, s.k AS sk, sum(q.c * s.c) AS dot FROM q_b q JOIN s_b s USING (b) GROUP BY ALL),
+cand AS (SELECT pre.query_id, dsi.id, dsi.doc_id, dsi.title, dsi.sender, dsi.sent_date, dsi.addressed_to, dsi.summary, dsi.contents,
+           1 - coalesce(dots.dot, 0) / (qn.n * sn.n) AS distance
+   FROM pre JOIN q_n qn ON qn.k = pre.query_id CROSS JOIN dsi JOIN s_n sn ON sn.k = dsi.id
+   LEFT JOIN dots ON dots.qk = pre.query_id AND dots.sk = dsi.id
+   WHERE ((pre.q_sender IS NULL AND pre.q_addressed_to IS NULL) OR dsi.sender = pre.q_sender OR dsi.addressed_to = pre.q_addressed_to)
+     AND (pre.start_ts IS NULL OR dsi.ingest_ts >= pre.start_ts) AND (pre.end_ts IS NULL OR dsi.ingest_ts < pre.end_ts)),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM cand) WHERE rank <= 3)"""
+
+ORACLE.update({
+    "question_filters": f"""WITH {QUESTIONS_CTE}
+SELECT query_id, q_sender AS sender, q_addressed_to AS addressed_to, strftime(start_ts, {TS}) AS start_ts,
+       strftime(end_ts, {TS}) AS end_ts FROM pre""",
+    "rag_search": f"""WITH {QUESTIONS_CTE}, {DOC_STORE_CTE}
+SELECT query_id, rank, doc_id, round(distance, 6) AS distance FROM hits""",
+    "rag_context": f"""WITH {QUESTIONS_CTE}, {DOC_STORE_CTE}
+SELECT query_id, '[' || string_agg(json_object('content', contents, 'title_in_english', title, 'sender', sender,
+   'sent_date', strftime(sent_date, '%Y-%m-%d'), 'addressed_to', addressed_to, 'summary_in_english', summary)::VARCHAR, ',' ORDER BY rank) || ']' AS context,
+   count(*) AS n_context FROM hits GROUP BY query_id""",
+    "default_answer": f"""WITH {QUESTIONS_CTE}, {DOC_STORE_CTE},
+agg AS (SELECT query_id, min(distance) AS md, count(*) AS n FROM hits GROUP BY query_id),
+top AS (SELECT * FROM hits WHERE rank = 1)
+SELECT qs.query_id,
+  CASE WHEN coalesce(agg.md <= 0.35, false) THEN 'According to ''' || top.title || ''' (' || strftime(top.sent_date, '%Y-%m-%d') || '): ' || top.summary
+       ELSE 'I cannot answer this from the stored documents.' END AS answer,
+  coalesce(agg.md <= 0.35, false) AS enough_context, coalesce(agg.n, 0) AS n_context
+FROM qs LEFT JOIN agg USING (query_id) LEFT JOIN top USING (query_id)""",
+})
