@@ -122,6 +122,7 @@ def _make_kernel(bc, k: int, dim: int, vec_col: str, payload: list[str], qfilter
                  out_schema: pa.Schema):
     def run(batches):
         qids, Q, qn, qcols = bc.value
+        cells = qcols.get("__cells__")  # (store cell column, allowed[nq, n_cells]) for IVF probing
         nq = Q.shape[0]
         tile = max(1, TILE_ELEMENTS // max(nq, 1))
         for batch in batches:
@@ -143,6 +144,13 @@ def _make_kernel(bc, k: int, dim: int, vec_col: str, payload: list[str], qfilter
                     dist = 1.0 - (Q @ D.T) / (qn[:, None] * norms[None, :])
                 dist[:, ~ok] = np.inf
                 dist[~np.isfinite(dist)] = np.inf
+                if cells is not None:
+                    cell_col, allowed = cells
+                    cv = pc.fill_null(b.column(cell_col), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                    inside = (cv >= 0) & (cv < allowed.shape[1])
+                    m = np.zeros((nq, n), dtype=bool)
+                    m[:, inside] = allowed[:, cv[inside]]
+                    dist[~m] = np.inf
                 if qfilter is not None:
                     keep = np.ones((nq, n), dtype=bool)
                     if qfilter.equals:
@@ -235,7 +243,7 @@ def _py_micros(v) -> int:
 def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str = "id", vec_col: str = "embedding",
             qid_col: str = "query_id", qvec_col: str = "embedding", payload: list[str] | None = None,
             question_filter: QuestionFilter | None = None, dim: int | None = None,
-            max_block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+            max_block_bytes: int = DEFAULT_BLOCK_BYTES, probe=None) -> DataFrame:
     """JN1 + WN1: exact cosine top-k of ``store`` rows for every question.
 
     Returns ``qid_col, distance, rank`` plus ``payload`` store columns (default:
@@ -261,7 +269,8 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str =
     per_q_bytes = max(dim, 1) * 8 + 64 * (1 + len(qextra))
     block_rows = max(1, max_block_bytes // per_q_bytes)
 
-    store_cols = list(dict.fromkeys(payload + [vec_col] + (qf.store_columns() if qf else [])))
+    store_cols = list(dict.fromkeys(payload + [vec_col] + (qf.store_columns() if qf else [])
+                                    + ([probe.cell_col] if probe is not None else [])))
     scan = store.select(*store_cols)
     qid_type = questions.schema[qid_col].dataType
     out_struct = T.StructType([T.StructField(qid_col, qid_type), T.StructField("distance", T.DoubleType())]
@@ -272,9 +281,16 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str =
     parts = []
     for rows in _question_blocks(questions, qid_col, qvec_col, qextra, block_rows):
         packed = _pack_block(rows, dim, qvec_col, qid_col, qextra, time_cols)
+        block_scan = scan
+        if probe is not None:
+            allowed = probe.allowed(packed[1])
+            packed[3]["__cells__"] = (probe.cell_col, allowed)
+            probed = np.nonzero(allowed.any(axis=0))[0].tolist()
+            # partition pruning: only the probed cells' files are read
+            block_scan = scan.filter(F.col(probe.cell_col).isin(probed))
         bc = spark.sparkContext.broadcast(packed)
         kernel = _make_kernel(bc, k, dim, vec_col, payload, qf, out_arrow)
-        parts.append(scan.mapInArrow(kernel, out_struct))
+        parts.append(block_scan.mapInArrow(kernel, out_struct))
     if not parts:
         return spark.createDataFrame([], out_struct.add("rank", T.IntegerType()))
     cand = reduce(DataFrame.unionByName, parts)

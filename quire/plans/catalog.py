@@ -346,3 +346,31 @@ QUERIES.update({
     "rag_context": rag_context,
     "default_answer": default_answer,
 })
+
+
+# ---------------------------------------------------------------- approximate index (SK7) and streaming (SM1)
+from ..operators.ivf import IvfIndex  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+
+def ann_topk(spark, d):
+    """SK7: IVF (16 cells, 4 probed) top-3 per label question; exact fallback for short answers."""
+    idx = IvfIndex(spark, scratch_path(spark, "ivf")).build(derived.vector_store(spark, d), n_cells=16)
+    res = idx.search(derived.label_questions(spark, d), k=3, nprobe=4)
+    return _report(res, ["query_id", "rank", "id", "distance", "exact"])
+
+
+def stream_last_partial(spark, d):
+    """SM1: the partial-record fold run as a stream over the conversations file; final state."""
+    from ..streaming.fold import run_fold
+    out, ck = scratch_path(spark, "fold-out"), scratch_path(spark, "fold-ck")
+    q = run_fold(spark, f"{d.rstrip('/')}/conversations.parquet", "conv_id bigint, turn bigint, role string, text string",
+                 out, ck, rename={"conv_id": "doc_id", "turn": "seq", "text": "record"})
+    q.awaitTermination()
+    return spark.read.parquet(out).select("doc_id", "seq", F.col("record").alias("text"))
+
+
+QUERIES.update({
+    "ann_topk": ann_topk,
+    "stream_last_partial": stream_last_partial,
+})

@@ -326,3 +326,5 @@ SELECT qs.query_id,
   coalesce(agg.md <= 0.35, false) AS enough_context, coalesce(agg.n, 0) AS n_context
 FROM qs LEFT JOIN agg USING (query_id) LEFT JOIN top USING (query_id)""",
 })
+
+ORACLE["stream_last_partial"] = ORACLE["last_partial"]
