@@ -20,16 +20,22 @@ def new_folder_id(path) -> Column:
     return F.substring(F.sha2(F.col(path) if isinstance(path, str) else path, 256), 1, 16)
 
 
-def lookup_folder(wanted: DataFrame, folders: DataFrame, out: str = "folder_id") -> DataFrame:
+def _first_ids(folders: DataFrame, out: str = "folder_id") -> DataFrame:
+    """(name, parent_id) -> smallest id: the first match of a lookup (D17)."""
+    return folders.groupBy("name", "parent_id").agg(F.min("id").alias(out))
+
+
+def lookup_folder(wanted: DataFrame, folders: DataFrame, out: str = "folder_id", first: DataFrame | None = None) -> DataFrame:
     """JN3 + ST2: id of the first (smallest id) folder named ``name`` under ``parent_id``, or null."""
-    f = (folders.groupBy("name", "parent_id").agg(F.min("id").alias(out)))
-    cond = (wanted["name"] == f["name"]) & wanted["parent_id"].eqNullSafe(f["parent_id"])
-    return wanted.join(f, cond, "left").select(wanted["*"], f[out])
+    f = (first if first is not None else _first_ids(folders, out)).alias("f")
+    w = wanted.alias("w")
+    cond = (F.col("w.name") == F.col("f.name")) & F.col("w.parent_id").eqNullSafe(F.col("f.parent_id"))
+    return w.join(f, cond, "left").select("w.*", F.col(f"f.{out}").alias(out))
 
 
-def _level(wanted: DataFrame, folders: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _level(wanted: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
     """wanted(name, parent_id, path) -> (ids for every wanted row, newly created folder rows)."""
-    found = lookup_folder(wanted, folders)
+    found = lookup_folder(wanted, None, first=first)
     created = (found.filter(F.col("folder_id").isNull())
                .select(new_folder_id("path").alias("id"), "name", "parent_id", "path"))
     resolved = found.select("name", "parent_id", "path",
@@ -39,14 +45,20 @@ def _level(wanted: DataFrame, folders: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def get_or_create_folders(paths: DataFrame, folders: DataFrame, top: str = "addressed_to",
                           sub: str = "sender") -> DataFrame:
-    """JN4: the folder table after ensuring ``top`` / ``sub`` folders exist for every row of ``paths``."""
+    """JN4: the folder table after ensuring ``top`` / ``sub`` folders exist for every row of ``paths``.
+
+    Both levels look up the same (name, parent) -> first-id aggregate of the
+    existing table: a sub-folder cannot already exist under a parent created in
+    this run (its id is new), so level 2 never needs level 1's new rows.
+    """
     folders = folders.select(*FOLDER_COLS)
+    first = _first_ids(folders)
     p = paths.select(top, sub).distinct()
     l1_wanted = p.select(F.col(top).alias("name"), F.lit(None).cast("string").alias("parent_id"),
                          F.col(top).alias("path")).distinct()
-    l1, c1 = _level(l1_wanted, folders)
+    l1, c1 = _level(l1_wanted, first)
     l2_wanted = (p.join(l1.select(F.col("name").alias(top), F.col("id").alias("parent_id")), top)
                  .select(F.col(sub).alias("name"), "parent_id",
                          F.concat_ws("/", F.col(top), F.col(sub)).alias("path")).distinct())
-    _, c2 = _level(l2_wanted, folders.unionByName(c1))
+    _, c2 = _level(l2_wanted, first)
     return folders.unionByName(c1).unionByName(c2)

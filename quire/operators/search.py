@@ -200,7 +200,7 @@ def _make_kernel(bc, k: int, dim: int, vec_col: str, payload: list[str], qfilter
 
 def _question_blocks(questions: DataFrame, qid_col: str, qvec_col: str, extra: list[str], block_rows: int):
     block = []
-    for row in questions.select(qid_col, qvec_col, *extra).toLocalIterator():
+    for row in questions.select(qid_col, qvec_col, *extra).toLocalIterator(prefetchPartitions=True):
         block.append(row)
         if len(block) >= block_rows:
             yield block
@@ -260,14 +260,18 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str =
     qextra = qf.question_columns() if qf else []
     time_cols = {c for c in (qf.start_col, qf.end_col) if c} if qf else set()
 
+    qsel = questions.select(qid_col, qvec_col, *qextra)
+    # one job for the common case: every question fits one broadcast block
+    guess_dim = dim or 1536
+    block_rows = max(1, max_block_bytes // (guess_dim * 8 + 64 * (1 + len(qextra))))
+    head = qsel.take(block_rows + 1)
     if dim is None:
-        first = questions.select(F.size(qvec_col).alias("n")).filter("n > 0").limit(1).collect()
-        if not first:
-            dim = 0
-        else:
-            dim = int(first[0]["n"])
-    per_q_bytes = max(dim, 1) * 8 + 64 * (1 + len(qextra))
-    block_rows = max(1, max_block_bytes // per_q_bytes)
+        dim = next((len(r[qvec_col]) for r in head if r[qvec_col]), 0)
+    if len(head) <= block_rows:
+        blocks = [head] if head else []
+    else:  # more questions than one block: stream them in bounded blocks
+        block_rows = max(1, max_block_bytes // (max(dim, 1) * 8 + 64 * (1 + len(qextra))))
+        blocks = _question_blocks(questions, qid_col, qvec_col, qextra, block_rows)
 
     store_cols = list(dict.fromkeys(payload + [vec_col] + (qf.store_columns() if qf else [])
                                     + ([probe.cell_col] if probe is not None else [])))
@@ -279,7 +283,7 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str =
     out_arrow = to_arrow_schema(out_struct)
 
     parts = []
-    for rows in _question_blocks(questions, qid_col, qvec_col, qextra, block_rows):
+    for rows in blocks:
         packed = _pack_block(rows, dim, qvec_col, qid_col, qextra, time_cols)
         block_scan = scan
         if probe is not None:

@@ -234,6 +234,8 @@ def folder_get_or_create(spark, d):
     parent_path = F.when(F.instr("path", "/") > 0, F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     existing = (existing.withColumn("ppath", parent_path).join(pmap, "ppath", "left")
                 .select("id", "name", F.col("pid").alias("parent_id"), "path"))
+    # the existing folder table is a stored table: materialise it (reliable checkpoint, shared folder)
+    existing = existing.checkpoint(eager=True)
     return fold.get_or_create_folders(docs, existing)
 
 
