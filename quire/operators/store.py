@@ -93,9 +93,30 @@ class VectorTable:
         fs, _ = self._fs()
         fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
+    def _schema_path(self):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.path + "/_schema.json")
+
+    def _save_schema(self, schema) -> None:
+        fs, _ = self._fs()
+        out = fs.create(self._schema_path(), True)
+        out.write(bytearray(schema.json().encode("utf-8")))
+        out.close()
+
+    def schema(self):
+        from pyspark.sql.types import StructType
+        fs, _ = self._fs()
+        if not fs.exists(self._schema_path()):
+            return None
+        stream = fs.open(self._schema_path())
+        scanner = self.spark._jvm.java.util.Scanner(stream, "UTF-8").useDelimiter("\\A")
+        text = scanner.next() if scanner.hasNext() else ""
+        stream.close()
+        return StructType.fromJson(__import__("json").loads(text)) if text else None
+
     # --- SK6
     def create(self, df: DataFrame, mode: str = "overwrite") -> "VectorTable":
         df.write.mode(mode).partitionBy(self.part_col).parquet(self.path)
+        self._save_schema(self.spark.read.parquet(self.path).schema if df.isEmpty() is False else df.schema)
         return self
 
     def drop(self) -> None:
@@ -104,7 +125,8 @@ class VectorTable:
 
     # --- SR4
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        sch = self.schema()
+        return (self.spark.read.schema(sch) if sch is not None else self.spark.read).parquet(self.path)
 
     # --- AG1 (D16: a missing table counts 0)
     def count(self) -> int:
@@ -158,9 +180,10 @@ class VectorTable:
             return
         cur = self.read()
         if which == "delete_all":
-            empty = cur.limit(0)
+            sch = cur.schema
             self.drop()
-            empty.write.mode("overwrite").partitionBy(self.part_col).parquet(self.path)
+            self.spark.createDataFrame([], sch).write.mode("overwrite").partitionBy(self.part_col).parquet(self.path)
+            self._save_schema(sch)
             return
         if which == "ids":
             id_df = self.spark.createDataFrame([(i,) for i in ids], cur.select(self.key).schema)

@@ -1,0 +1,124 @@
+"""Similarity search properties (JN1, WN1, ST1, SK7)."""
+
+import numpy as np
+
+from quire.operators import search
+from quire.operators.ivf import IvfIndex
+from quire.operators.search import QuestionFilter
+from quire.plans import derived
+from quire.session import scratch_path
+
+
+def _rows(df, cols=("query_id", "rank", "id")):
+    return [tuple(r[c] for c in cols) for r in df.orderBy(*cols).collect()]
+
+
+def _store(spark, vecs, extra=None):
+    rows = [(i, v, *(extra[i] if extra else ())) for i, v in enumerate(vecs)]
+    schema = "id bigint, embedding array<double>" + (", sender string, addressed_to string, ts timestamp_ntz" if extra else "")
+    return spark.createDataFrame(rows, schema)
+
+
+def test_prefix_property(spark, sf):
+    s, q = derived.vector_store(spark, sf), derived.label_questions(spark, sf)
+    r3 = _rows(search.nearest(s, q, k=3))
+    r4 = _rows(search.nearest(s, q, k=4))
+    assert r3 == [r for r in r4 if r[1] <= 3]
+
+
+def test_filter_never_adds_rows(spark, sf):
+    s, q = derived.vector_store(spark, sf), derived.label_questions(spark, sf)
+    all_ids = {r["id"] for r in search.nearest(s, q, k=1000).collect()}
+    some = {r["id"] for r in search.nearest(s.filter("lang = 'en'"), q, k=1000).collect()}
+    assert some <= all_ids
+
+
+def test_zero_and_wrong_length_vectors_excluded(spark):
+    st = _store(spark, [[1.0, 0.0], [0.0, 0.0], [1.0, 0.0, 0.0], None, [0.5, 0.5]])
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, embedding array<double>")
+    ids = [r["id"] for r in search.nearest(st, q, k=10).orderBy("rank").collect()]
+    assert ids == [0, 4]
+
+
+def test_ties_break_by_id(spark):
+    st = _store(spark, [[0.0, 1.0], [1.0, 0.0], [2.0, 0.0], [3.0, 0.0]])
+    q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id bigint, embedding array<double>")
+    res = search.nearest(st, q, k=2).orderBy("rank").collect()
+    assert [r["id"] for r in res] == [1, 2]
+    assert res[0]["distance"] == res[1]["distance"] == 0.0
+
+
+def test_blocks_equal_single_pass(spark, sf):
+    s, q = derived.vector_store(spark, sf), derived.label_questions(spark, sf)
+    one = _rows(search.nearest(s, q, k=3))
+    many = _rows(search.nearest(s, q, k=3, max_block_bytes=1))  # one question per block
+    assert one == many
+
+
+def test_single_question_sql_equals_kernel(spark, sf):
+    s = derived.vector_store(spark, sf)
+    v = derived.mean_vector(spark, sf)
+    a = [r["id"] for r in search.nearest_one(s, v, k=5).collect()]
+    q = spark.createDataFrame([(0, v)], "query_id bigint, embedding array<double>")
+    b = [r["id"] for r in search.nearest(s, q, k=5).orderBy("rank").collect()]
+    assert a == b
+
+
+def test_question_filter_or_and_time(spark):
+    import datetime as dt
+    t = dt.datetime(2024, 1, 10)
+    extra = [("Tax", "A", t), ("Health", "B", t), ("Tax", "B", t + dt.timedelta(days=40)), (None, None, t)]
+    st = _store(spark, [[1.0, 0.1], [1.0, 0.2], [1.0, 0.3], [1.0, 0.4]], extra)
+    qs = spark.createDataFrame([
+        (1, [1.0, 0.0], "Tax", None, None, None),
+        (2, [1.0, 0.0], "Tax", "B", None, None),
+        (3, [1.0, 0.0], None, None, None, None),
+        (4, [1.0, 0.0], None, None, dt.datetime(2024, 2, 1), None),
+    ], "query_id bigint, embedding array<double>, s string, a string, st timestamp_ntz, en timestamp_ntz")
+    qf = QuestionFilter(equals=(("sender", "s"), ("addressed_to", "a")), combine="or", time_col="ts",
+                        start_col="st", end_col="en")
+    got = {}
+    for r in search.nearest(st, qs, k=10, question_filter=qf).collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    assert got[1] == {0, 2}
+    assert got[2] == {0, 1, 2}
+    assert got[3] == {0, 1, 2, 3}
+    assert got[4] == {2}
+    qf_and = QuestionFilter(equals=(("sender", "s"), ("addressed_to", "a")), combine="and")
+    got2 = {r["id"] for r in search.nearest(st, qs.filter("query_id = 2"), k=10, question_filter=qf_and).collect()}
+    assert got2 == {2}
+
+
+def test_ivf_recall(spark, sf):
+    s, q = derived.vector_store(spark, sf), derived.label_questions(spark, sf)
+    exact = {(r["query_id"], r["id"]) for r in search.nearest(s, q, k=5).collect()}
+    idx = IvfIndex(spark, scratch_path(spark, "ivf-test")).build(s, n_cells=4)
+    full = {(r["query_id"], r["id"]) for r in idx.search(q, k=5, nprobe=4).collect()}
+    assert full == exact  # probing every cell is exact
+    approx = idx.search(q, k=5, nprobe=2).collect()
+    recall = len({(r["query_id"], r["id"]) for r in approx} & exact) / len(exact)
+    assert recall >= 0.6
+    assert all(n == 5 for n in np.bincount([r["query_id"] for r in approx]) if n)
+
+
+def test_hash_embed_counts(spark):
+    from quire.operators.embed import hash_embed
+    df = spark.createDataFrame([("Hello hello, WORLD!",), ("",), (None,), ("###",)], "t string")
+    rows = df.select(hash_embed("t", 16).alias("e")).collect()
+    assert sum(rows[0]["e"]) == 3.0 and len(rows[0]["e"]) == 16
+    assert rows[1]["e"] is None and rows[2]["e"] is None and rows[3]["e"] is None
+    unit = df.select(hash_embed("t", 16, unit=True).alias("e")).first()["e"]
+    assert abs(sum(x * x for x in unit) - 1.0) < 1e-12
+
+
+def test_embed_batches_user_callable(spark):
+    from quire.operators.embed import embed_batches
+    calls = []
+
+    def fn(texts):
+        calls.append(len(texts))
+        return np.array([[len(t), 1.0] for t in texts])
+
+    df = spark.createDataFrame([("a\nb",), ("ccc",), (None,)], "t string").coalesce(1)
+    out = embed_batches(df, "t", fn, dim=2).collect()
+    assert [r["embedding"] for r in out] == [[3.0, 1.0], [3.0, 1.0], None]
