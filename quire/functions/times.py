@@ -47,14 +47,19 @@ def rfc3339_utc(ts, tz: str = EVENT_TZ) -> Column:
 def parse_iso(text, tz: str = EVENT_TZ) -> Column:
     """SC4 / D22: ISO text -> timestamp_ntz wall time in ``tz``.
 
-    Text with an offset (``Z`` / ``+02:00``) names an instant: it is converted to
-    ``tz`` wall time. Text without one is taken as wall time. Bad text -> null.
+    Text with an offset (``Z`` / ``+02:00``) names an instant: it is moved to UTC
+    by the offset and then to ``tz`` wall time (DST aware). Text without one is
+    taken as wall time. Bad text -> null. Independent of the session time zone.
     """
-    t = _c(text)
-    has_off = t.rlike(_OFFSET_RE)
-    instant = F.try_to_timestamp(t)  # offset-aware parse to an instant (session zone)
-    wall = F.from_utc_timestamp(instant, tz).cast("timestamp_ntz")
-    return F.when(t.isNull(), None).when(has_off, wall).otherwise(F.try_cast(t, "timestamp_ntz") if hasattr(F, "try_cast") else t.try_cast("timestamp_ntz"))
+    t = F.trim(_c(text))
+    off = F.regexp_extract(t, _OFFSET_RE, 1)
+    base = F.regexp_replace(t, _OFFSET_RE, "").try_cast("timestamp_ntz")
+    digits = F.regexp_replace(off, "[^0-9]", "")
+    minutes = F.when(off == "Z", F.lit(0)).otherwise(
+        F.when(off.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+        * (F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int")))
+    utc_wall = base - F.make_dt_interval(F.lit(0), F.lit(0), minutes)
+    return F.when(off == "", base).otherwise(F.convert_timezone(F.lit("UTC"), F.lit(tz), utc_wall))
 
 
 def uuid_v1_time(uuid_text) -> Column:

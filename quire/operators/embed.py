@@ -1,17 +1,21 @@
 """Text embedding (UD2), batched.
 
-Default embedder: hashed bag of words, deterministic and offline. Tokenising
-and hashing are SQL expressions (JVM side, no Python per token); only the
-per-row bucket count runs in an Arrow UDF, vectorised over the whole batch with
-one ``np.bincount``. The vector holds raw term counts (cosine distance does not
-depend on scale); integer-valued vectors make every dot product exact, so
-copies of a text tie exactly and rankings are reproducible across engines.
-``unit=True`` gives the L2-normalised vector instead. It is a map-only step: no shuffle,
-linear in the text volume, whole texts always.
-
-Token rule (shared with the SQL oracle): lower-case, split on every run of
-characters outside ``[a-z0-9]``, drop empty pieces. Bucket: the first four hex
-digits of the token's MD5 read as an integer, modulo ``dim``.
+Default embedder: hashed bag of words, deterministic and offline, computed in
+an Arrow UDF that works on whole batches with vectorised Arrow compute:
+lower-case, RE2 split, ``unique`` over the batch's tokens, MD5 only once per
+*distinct* token of the batch, ``index_in`` to map every token to its bucket
+and one ``np.bincount`` for all rows. No Python work per row or per token
+occurrence; map-only (no shuffle), linear in the text volume, whole texts.
+
+The vector holds raw term counts (cosine distance does not depend on scale);
+integer-valued vectors make every dot product exact, so copies of a text tie
+exactly and rankings are reproducible across engines. ``unit=True`` gives the
+L2-normalised vector instead.
+
+Token rule (shared with the SQL oracle and with ``token_buckets``, its SQL
+form): lower-case, split on every run of characters outside ``[a-z0-9]``,
+drop empty pieces. Bucket: the first four hex digits of the token's MD5 read
+as an integer, modulo ``dim``.
 
 A user embedder (e.g. a model client) plugs in via ``embed_batches``: a
 callable ``list[str] -> array (n, dim)`` invoked once per Arrow batch.
@@ -19,6 +23,7 @@ callable ``list[str] -> array (n, dim)`` invoked once per Arrow batch.
 
 from __future__ import annotations
 
+import hashlib
 from typing import Callable
 
 import numpy as np
@@ -49,30 +54,45 @@ def token_buckets(text, dim: int) -> Column:
                        lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int"), F.lit(dim)))
 
 
+def _bucket_of(tok: str, dim: int) -> int:
+    return int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:4], 16) % dim
+
+
+def _counts(texts: pa.Array, dim: int, unit: bool) -> pa.Array:
+    n = len(texts)
+    if n == 0:
+        return pa.array([], type=pa.list_(pa.float64()))
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    pieces = pc.split_pattern_regex(pc.utf8_lower(texts), pattern=TOKEN_SPLIT)
+    lens = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+    toks = pc.list_flatten(pieces)
+    keep = pc.not_equal(toks, "").to_numpy(zero_copy_only=False)
+    toks, rows = toks.filter(pa.array(keep)), rows[keep]
+    vocab = pc.unique(toks)
+    buckets = np.fromiter((_bucket_of(t, dim) for t in vocab.to_pylist()), dtype=np.int64, count=len(vocab))
+    idx = pc.index_in(toks, value_set=vocab).to_numpy(zero_copy_only=False).astype(np.int64)
+    m = np.bincount(rows * dim + buckets[idx], minlength=n * dim).reshape(n, dim).astype(np.float64)
+    norm = np.sqrt(np.einsum("ij,ij->i", m, m))
+    if unit:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            m = m / norm[:, None]
+        m[~(norm > 0)] = 0.0
+    offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim, type=pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(m.ravel(), type=pa.float64()), mask=pa.array(~(norm > 0)))
+
+
 def _counts_udf(dim: int, unit: bool):
     @F.arrow_udf("array<double>")
-    def counts(b: pa.Array) -> pa.Array:
-        n = len(b)
-        if n == 0:
-            return pa.array([], type=pa.list_(pa.float64()))
-        lens = pc.fill_null(pc.list_value_length(b), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = pc.list_flatten(b).to_numpy(zero_copy_only=False).astype(np.int64)
-        rows = np.repeat(np.arange(n, dtype=np.int64), lens)
-        m = np.bincount(rows * dim + flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
-        norm = np.sqrt(np.einsum("ij,ij->i", m, m))
-        if unit:
-            with np.errstate(invalid="ignore", divide="ignore"):
-                m = m / norm[:, None]
-            m[~(norm > 0)] = 0.0
-        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim, type=pa.int32())
-        return pa.ListArray.from_arrays(offsets, pa.array(m.ravel(), type=pa.float64()),
-                                        mask=pa.array(~(norm > 0)))
+    def counts(texts: pa.Array) -> pa.Array:
+        return _counts(texts, dim, unit)
     return counts
 
 
 def hash_embed(text, dim: int = 64, unit: bool = False) -> Column:
     """Hashed bag-of-words vector (array<double>); null when the text has no token."""
-    return _counts_udf(dim, unit)(token_buckets(text, dim))
+    return _counts_udf(dim, unit)(_c(text))
 
 
 def embed_batches(df: DataFrame, text_col: str, fn: Callable[[list], np.ndarray], dim: int,

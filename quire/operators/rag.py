@@ -125,13 +125,15 @@ def context_record(contents: str = "contents", metadata: str = "metadata", keep:
 
 
 def contexts(hits: DataFrame, qid: str = "query_id", keep: list[str] | None = None) -> DataFrame:
-    """AG4: per question, the JSON array of its hits' context records in rank order."""
-    rec = hits.select(qid, "rank", "distance", context_record(keep=keep).alias("rec"))
+    """AG4: per question, the JSON array of its hits' context records in rank order,
+    plus the nearest hit's metadata (``top_metadata``) so answers need no second pass over the hits."""
+    rec = hits.select(qid, "rank", "distance", "metadata", context_record(keep=keep).alias("rec"))
     return (rec.groupBy(qid)
             .agg(F.array_sort(F.collect_list(F.struct("rank", "rec"))).alias("items"),
-                 F.min("distance").alias("min_distance"), F.count(F.lit(1)).alias("n_context"))
+                 F.min("distance").alias("min_distance"), F.count(F.lit(1)).alias("n_context"),
+                 F.min_by("metadata", "rank").alias("top_metadata"))
             .select(qid, F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["rec"]), ","), F.lit("]"))
-                    .alias("context"), "min_distance", "n_context"))
+                    .alias("context"), "min_distance", "n_context", "top_metadata"))
 
 
 def messages(question: Column, context: Column) -> Column:
@@ -142,20 +144,16 @@ def messages(question: Column, context: Column) -> Column:
                    msg("assistant", F.concat(F.lit("# Retrieved information:\n"), F.coalesce(context, F.lit("[]")))))
 
 
-def default_answer(ctx: DataFrame, hits: DataFrame, qid: str = "query_id", threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+def default_answer(ctx: DataFrame, qid: str = "query_id", threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """UD4 default: cite the nearest document's title and date; enough_context = min distance <= threshold."""
-    top = hits.filter(F.col("rank") == 1).select(
-        qid, F.get_json_object("metadata", "$.title_in_english").alias("t"),
-        F.get_json_object("metadata", "$.sent_date").alias("dt"),
-        F.get_json_object("metadata", "$.summary_in_english").alias("s"))
-    j = ctx.join(top, qid, "left")
+    top = lambda k: F.get_json_object("top_metadata", f"$.{k}")
     enough = F.coalesce(F.col("min_distance") <= F.lit(threshold), F.lit(False))
-    answer = F.when(enough, F.concat(F.lit("According to '"), F.col("t"), F.lit("' ("), F.col("dt"), F.lit("): "), F.col("s"))) \
-        .otherwise(F.lit(NO_ANSWER))
+    answer = F.when(enough, F.concat(F.lit("According to '"), top("title_in_english"), F.lit("' ("), top("sent_date"),
+                                     F.lit("): "), top("summary_in_english"))).otherwise(F.lit(NO_ANSWER))
     thoughts = F.array(F.concat(F.lit("retrieved "), F.col("n_context").cast("string"), F.lit(" documents")),
                        F.concat(F.lit("nearest distance "), F.format_string("%.4f", F.col("min_distance"))))
-    return j.select(qid, thoughts.alias("thought_process"), answer.alias("answer"), enough.alias("enough_context"),
-                    "n_context", "context")
+    return ctx.select(qid, thoughts.alias("thought_process"), answer.alias("answer"), enough.alias("enough_context"),
+                      "n_context", "context")
 
 
 def retrieve(store: DataFrame, pre: DataFrame, k: int = 3, *, qid: str = "query_id", combine: str = "or",
@@ -166,7 +164,8 @@ def retrieve(store: DataFrame, pre: DataFrame, k: int = 3, *, qid: str = "query_
     q = pre.withColumn("embedding", embed(F.col("question")))
     qf = QuestionFilter(equals=(("sender", "q_sender"), ("addressed_to", "q_addressed_to")), combine=combine,
                         time_col=time_col, start_col="start_ts", end_col="end_ts")
-    return nearest(store, q, k=k, qid_col=qid, question_filter=qf, payload=["id", "doc_id", "metadata", "contents"])
+    payload = [c for c in ("id", "doc_id", "metadata", "contents") if c in store.columns]
+    return nearest(store, q, k=k, qid_col=qid, question_filter=qf, payload=payload)
 
 
 def answer_questions(questions: DataFrame, store: DataFrame, addressees: DataFrame | None = None, k: int = 3, *,
@@ -177,7 +176,7 @@ def answer_questions(questions: DataFrame, store: DataFrame, addressees: DataFra
     ctx = questions.select("query_id").join(contexts(hits), "query_id", "left") \
         .withColumn("n_context", F.coalesce("n_context", F.lit(0)))
     if model is None:
-        return default_answer(ctx, hits, threshold=threshold)
+        return default_answer(ctx, threshold=threshold)
     from .model import apply_model
     from ..schemas import ANSWER
     m = ctx.join(questions.select("query_id", "question"), "query_id") \

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.meta import pack_metadata
-from ..functions.times import ISO_NTZ, week_start
+from ..functions.times import ISO_NTZ, parse_iso, week_start
 from ..schemas import ACTION_TYPES, DOC, DOC_REQUIRED, SENDERS
 from .embed import embedding_text, hash_embed
 
@@ -38,18 +39,62 @@ def reject_reason(doc: Column | None = None) -> Column:
     )
 
 
+def _as_text(dt: T.DataType) -> T.DataType:
+    """The schema with every date / timestamp replaced by string (parsed afterwards, D22)."""
+    if isinstance(dt, (T.TimestampNTZType, T.TimestampType, T.DateType)):
+        return T.StringType()
+    if isinstance(dt, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType), f.nullable) for f in dt.fields])
+    if isinstance(dt, T.ArrayType):
+        return T.ArrayType(_as_text(dt.elementType), dt.containsNull)
+    return dt
+
+
+DOC_TEXT = _as_text(DOC)
+
+
+def _typed(c: Column, dt: T.DataType) -> Column:
+    """Text-typed value -> ``dt``; bad date/time text becomes null."""
+    if isinstance(dt, T.TimestampNTZType):
+        return parse_iso(c)
+    if isinstance(dt, T.DateType):
+        return F.to_date(parse_iso(c))
+    if isinstance(dt, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_typed(c[f.name], f.dataType).alias(f.name) for f in dt.fields]))
+    if isinstance(dt, T.ArrayType) and _as_text(dt.elementType) != dt.elementType:
+        return F.transform(c, lambda x: _typed(x, dt.elementType))
+    return c
+
+
+def _bad_dates(txt: Column, typed: Column, dt: T.DataType) -> Column:
+    """True when some date/time text did not parse."""
+    if isinstance(dt, (T.TimestampNTZType, T.DateType)):
+        return txt.isNotNull() & typed.isNull()
+    if isinstance(dt, T.StructType):
+        parts = [_bad_dates(txt[f.name], typed[f.name], f.dataType) for f in dt.fields
+                 if _as_text(f.dataType) != f.dataType]
+        return F.coalesce(txt.isNotNull() & F.greatest(*parts, F.lit(False)), F.lit(False)) if parts else F.lit(False)
+    if isinstance(dt, T.ArrayType) and _as_text(dt.elementType) != dt.elementType:
+        return F.coalesce(F.exists(F.arrays_zip(txt.alias("a"), typed.alias("b")),
+                                   lambda z: _bad_dates(z["a"], z["b"], dt.elementType)), F.lit(False))
+    return F.lit(False)
+
+
 def parse_records(df: DataFrame, text_col: str = "record", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """SR5 + UD1 tail: JSON text -> typed record; returns (ok, rejects).
 
-    ``from_json`` in PERMISSIVE mode turns malformed or badly typed input into a
-    null record; ``reject_reason`` adds the record rules.
+    ``from_json`` (PERMISSIVE) reads dates and times as text; they are then
+    parsed as ISO, offsets allowed (D22). Malformed JSON, unparseable dates and
+    the record rules (``reject_reason``) send the row to ``rejects``.
     """
     keep = keep or [c for c in df.columns if c != text_col]
     p = df.select(*keep, F.col(text_col).alias("_raw"),
-                  F.from_json(F.col(text_col), DOC, {"mode": "PERMISSIVE", **JSON_OPTS}).alias("rec"))
+                  F.from_json(F.col(text_col), DOC_TEXT, {"mode": "PERMISSIVE"}).alias("txt"))
     # from_json with PERMISSIVE gives a struct of nulls for broken JSON: treat all-null as unparseable
-    all_null = F.coalesce(*[F.col("rec")[f.name].isNotNull() for f in DOC.fields], F.lit(False))
-    p = p.withColumn("rec", F.when(all_null, F.col("rec"))).withColumn("reason", reject_reason())
+    all_null = F.coalesce(*[F.col("txt")[f.name].isNotNull() for f in DOC.fields], F.lit(False))
+    p = p.withColumn("txt", F.when(all_null, F.col("txt"))).withColumn("rec", _typed(F.col("txt"), DOC))
+    p = p.withColumn("reason", F.coalesce(
+        F.when(_bad_dates(F.col("txt"), F.col("rec"), DOC), F.lit("bad date or time text")), reject_reason())).drop("txt")
     ok = p.filter(F.col("reason").isNull()).select(*keep, "rec.*")
     rejects = p.filter(F.col("reason").isNotNull()).select(*keep, F.col("_raw").alias(text_col), "reason")
     return ok, rejects

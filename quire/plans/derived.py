@@ -128,11 +128,10 @@ def doc_records(spark: SparkSession, d: str) -> DataFrame:
     main = (F.when(st == "P", act("payment_required", p=pay)).when(st == "O", act("appointment", a=appt))
             .otherwise(act("reply_required", r=reply)))
     no_action = act("no_action")
-    from pyspark.sql.types import ArrayType
-    actions = (F.when(pr == "5-LOW", F.array().cast(ArrayType(ACTION)))
-               .when(pr == "4-NOT SPECIFIED", F.array(no_action))
-               .when(pr == "3-MEDIUM", F.array(main, no_action))
-               .otherwise(F.array(main)))
+    # each struct appears once in the expression: [main unless 4-NOT SPECIFIED, no_action for 3/4], 5-LOW -> []
+    actions = F.filter(F.array(F.when(~pr.isin("4-NOT SPECIFIED", "5-LOW"), main),
+                               F.when(pr.isin("3-MEDIUM", "4-NOT SPECIFIED"), no_action)),
+                       lambda a: a.isNotNull())
     return j.select(
         F.col("o_orderkey").alias("doc_id"),
         F.concat(F.lit("Bescheid "), pr).alias("title_in_original_language"),

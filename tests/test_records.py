@@ -39,16 +39,21 @@ def test_parse_ok_and_rejects(spark):
         (9, _doc([REPLY], sent_date="not a date")),                 # bad date text
         (10, "{broken json"),
         (11, _doc([PAY], title_in_english=None)),                   # missing field
+        (12, _doc([dict(REPLY, reply=dict(REPLY["reply"], deadline="2024-03-20T12:00:00+01:00"))])),  # offset kept
+        (13, _doc([dict(REPLY, reply=dict(REPLY["reply"], deadline="soon"))])),  # bad time inside an action
     ]
     df = spark.createDataFrame(cases, "doc_id int, record string")
     ok, bad = rec.parse_records(df)
-    assert sorted(r["doc_id"] for r in ok.collect()) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r["doc_id"] for r in ok.collect()) == [1, 2, 3, 4, 5, 6, 12]
     reasons = {r["doc_id"]: r["reason"] for r in bad.collect()}
     assert reasons[7] == "action tag without its details"
     assert reasons[8] == "sender outside domain"
-    assert reasons[9].startswith("missing sent_date") or reasons[9] == "unparseable"
+    assert reasons[9] == "bad date or time text"
     assert reasons[10] == "unparseable"
     assert reasons[11] == "missing title_in_english"
+    assert reasons[13] == "bad date or time text"
+    import datetime as dt
+    assert ok.filter("doc_id = 12").first()["required_actions"][0]["reply"]["deadline"] == dt.datetime(2024, 3, 20, 12)
     row = ok.filter("doc_id = 3").first()
     assert row["required_actions"][0]["payment"]["bank_details"] == {"iban": "DE00"}
     assert "ü" in ok.filter("doc_id = 1").first()["title_in_original_language"]
