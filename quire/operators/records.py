@@ -80,6 +80,16 @@ def _bad_dates(txt: Column, typed: Column, dt: T.DataType) -> Column:
     return F.lit(False)
 
 
+def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add ``expr`` as column ``name``, computed exactly once per row.
+
+    Catalyst inlines a struct-valued column into every field reference made
+    later (for JSON that means one parse per referenced field); a one-element
+    ``inline`` generator keeps the value as a plain attribute instead.
+    """
+    return df.select("*", F.inline(F.array(F.struct(expr.alias(name)))))
+
+
 def parse_records(df: DataFrame, text_col: str = "record", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """SR5 + UD1 tail: JSON text -> typed record; returns (ok, rejects).
 
@@ -88,11 +98,11 @@ def parse_records(df: DataFrame, text_col: str = "record", keep: list[str] | Non
     the record rules (``reject_reason``) send the row to ``rejects``.
     """
     keep = keep or [c for c in df.columns if c != text_col]
-    p = df.select(*keep, F.col(text_col).alias("_raw"),
-                  F.from_json(F.col(text_col), DOC_TEXT, {"mode": "PERMISSIVE"}).alias("txt"))
+    p = once(df.select(*keep, F.col(text_col).alias("_raw")), "txt",
+             F.from_json(F.col("_raw"), DOC_TEXT, {"mode": "PERMISSIVE"}))
     # from_json with PERMISSIVE gives a struct of nulls for broken JSON: treat all-null as unparseable
     all_null = F.coalesce(*[F.col("txt")[f.name].isNotNull() for f in DOC.fields], F.lit(False))
-    p = p.withColumn("txt", F.when(all_null, F.col("txt"))).withColumn("rec", _typed(F.col("txt"), DOC))
+    p = once(p.withColumn("txt", F.when(all_null, F.col("txt"))), "rec", _typed(F.col("txt"), DOC))
     p = p.withColumn("reason", F.coalesce(
         F.when(_bad_dates(F.col("txt"), F.col("rec"), DOC), F.lit("bad date or time text")), reject_reason())).drop("txt")
     ok = p.filter(F.col("reason").isNull()).select(*keep, "rec.*")

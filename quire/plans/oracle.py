@@ -328,3 +328,8 @@ FROM qs LEFT JOIN agg USING (query_id) LEFT JOIN top USING (query_id)""",
 })
 
 ORACLE["stream_last_partial"] = ORACLE["last_partial"]
+
+ORACLE["record_parse"] = f"""WITH {DOCS_CTE}
+SELECT 'doc-' || doc_id AS src, 'ok' AS status,
+       CAST(CASE pr WHEN '5-LOW' THEN 0 WHEN '3-MEDIUM' THEN 2 ELSE 1 END AS INTEGER) AS n_actions FROM docs
+UNION ALL SELECT 'page-' || page_id, 'unparseable', CAST(NULL AS INTEGER) FROM pages"""
