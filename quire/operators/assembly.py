@@ -14,11 +14,21 @@ from pyspark.sql import functions as F
 
 
 def assemble_pages(pages: DataFrame, documents: DataFrame | None = None, key: str = "doc_id",
-                   order: str = "page_no", sep: str = "\n") -> DataFrame:
-    """SR2 + AG3: one text per document."""
+                   order: str = "page_no", sep: str = "\n", chunk: int = 256) -> DataFrame:
+    """SR2 + AG3: one text per document.
+
+    Two ordered stages: pages are first joined within chunks of ``chunk``
+    consecutive page numbers, then the chunks of a document are joined in
+    order. A document with a huge number of pages is concatenated by many
+    tasks, and the last stage sees one row per chunk. Null texts are skipped
+    in both stages, so the result equals a single ordered join.
+    """
     sep_sql = sep.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
-    agg = pages.groupBy(key).agg(
-        F.coalesce(F.expr(f"listagg(text, '{sep_sql}') WITHIN GROUP (ORDER BY {order})"), F.lit("")).alias("text"))
+    bucket = F.floor(F.col(order) / F.lit(chunk)).alias("_chunk")
+    parts = (pages.groupBy(key, bucket)
+             .agg(F.expr(f"listagg(text, '{sep_sql}') WITHIN GROUP (ORDER BY {order})").alias("text")))
+    agg = parts.groupBy(key).agg(
+        F.coalesce(F.expr(f"listagg(text, '{sep_sql}') WITHIN GROUP (ORDER BY _chunk)"), F.lit("")).alias("text"))
     if documents is None:
         return agg
     return documents.select(key).join(agg, key, "left")

@@ -4,9 +4,11 @@ Strategy (``nearest``): the question matrix is small and size-checked, so it is
 broadcast once; every store partition is scanned exactly once by a
 ``mapInArrow`` kernel that multiplies the question block by each Arrow batch
 (one numpy matmul per tile), applies the per-question filters as a boolean
-mask and keeps, per question, every row whose distance is at or below the
-batch's k-th smallest (ties kept, so the global tie-break by id stays exact).
-At most (batches x questions x ~k) rows leave the scan; the final top-k is a
+mask and keeps, per question, the batch's k nearest rows by (distance, id) —
+so the global tie-break by id stays exact and no batch ever emits more than k
+rows per question, however many rows tie. At most (batches x questions x k)
+rows leave the kernel, and Spark's partial ``WindowGroupLimit`` cuts that to
+(partitions x questions x k) before the shuffle; the final top-k is a
 ``row_number`` window per question, which Catalyst turns into a partial
 ``WindowGroupLimit`` before the shuffle and a final one after it.
 
@@ -119,7 +121,7 @@ def _eq_matrix(store_vals: np.ndarray, q_vals: list) -> np.ndarray:
 
 
 def _make_kernel(bc, k: int, dim: int, vec_col: str, payload: list[str], qfilter: QuestionFilter | None,
-                 out_schema: pa.Schema):
+                 out_schema: pa.Schema, id_col: str = "id"):
     def run(batches):
         qids, Q, qn, qcols = bc.value
         cells = qcols.get("__cells__")  # (store cell column, allowed[nq, n_cells]) for IVF probing
@@ -187,6 +189,16 @@ def _make_kernel(bc, k: int, dim: int, vec_col: str, payload: list[str], qfilter
                 if n > k:
                     kth = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
                     sel = (dist <= kth) & np.isfinite(dist)
+                    # ties at the k-th distance: keep exactly k per question, smallest ids first,
+                    # so even a store full of identical vectors emits k rows per batch
+                    over = np.nonzero(sel.sum(axis=1) > k)[0]
+                    if len(over):
+                        ids = np.asarray(b.column(id_col).to_pandas(), dtype=object)
+                        for q in over:
+                            cand = np.nonzero(sel[q])[0]
+                            order = sorted(cand, key=lambda j: (dist[q, j], ids[j]))[:k]
+                            sel[q] = False
+                            sel[q, order] = True
                 else:
                     sel = np.isfinite(dist)
                 qi, di = np.nonzero(sel)
@@ -293,7 +305,7 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str =
             # partition pruning: only the probed cells' files are read
             block_scan = scan.filter(F.col(probe.cell_col).isin(probed))
         bc = spark.sparkContext.broadcast(packed)
-        kernel = _make_kernel(bc, k, dim, vec_col, payload, qf, out_arrow)
+        kernel = _make_kernel(bc, k, dim, vec_col, payload, qf, out_arrow, id_col)
         parts.append(block_scan.mapInArrow(kernel, out_struct))
     if not parts:
         return spark.createDataFrame([], out_struct.add("rank", T.IntegerType()))

@@ -20,18 +20,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
 
 def dedupe_last(df: DataFrame, key: str = "id", seq_col: str | None = None) -> DataFrame:
-    """Keep one row per key: the last by ``seq_col``."""
+    """Keep one row per key: the last by ``seq_col``.
+
+    An aggregate (``max_by`` over the whole row), not a window: it combines
+    partially before the shuffle, so a key repeated in a third of all rows
+    reaches the reducer as one row per map task.
+    """
     if seq_col is None:
         return df.dropDuplicates([key])
-    w = Window.partitionBy(key).orderBy(F.col(seq_col).desc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    cols = [c for c in df.columns if c != key]
+    return (df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(seq_col)).alias("_last"))
+            .select(key, *[F.col("_last")[c].alias(c) for c in cols]).select(*df.columns))
 
 
 def merge_upsert(old: DataFrame, new: DataFrame, key: str = "id", on_conflict: str = "update",
@@ -67,7 +73,8 @@ def flag_existing(ids: DataFrame, df: DataFrame, key: str = "id", out: str = "ex
 
 def check_delete_args(ids=None, metadata_filter=None, delete_all: bool = False) -> str:
     """D15: exactly one criterion; empty list / dict / False count as not given."""
-    given = [bool(ids), bool(metadata_filter), bool(delete_all)]
+    has_ids = ids is not None and (not isinstance(ids, (list, tuple, set)) or len(ids) > 0)
+    given = [has_ids, bool(metadata_filter), bool(delete_all)]
     if sum(given) != 1:
         raise ValueError("Provide exactly one of: ids, metadata_filter, or delete_all")
     return ["ids", "metadata_filter", "delete_all"][given.index(True)]
@@ -186,7 +193,8 @@ class VectorTable:
             self._save_schema(sch)
             return
         if which == "ids":
-            id_df = self.spark.createDataFrame([(i,) for i in ids], cur.select(self.key).schema)
+            id_df = (ids.select(F.col(ids.columns[0]).alias(self.key)) if isinstance(ids, DataFrame)
+                     else self.spark.createDataFrame([(i,) for i in ids], cur.select(self.key).schema))
             hit = cur.join(id_df, self.key, "left_semi")
             affected = self._affected(hit)
             rows = remove_ids(cur.filter(F.col(self.part_col).isin(affected)), id_df, self.key)

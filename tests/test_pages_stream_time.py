@@ -106,3 +106,12 @@ def test_time_functions(spark):
     assert r["s"] == dt.datetime(2024, 7, 1, 8) and r["w"] == dt.datetime(2024, 1, 10, 9)
     assert r["due"] == "2024-07-01T08:00:00Z" and r["wk"] == dt.date(2024, 1, 8)
     assert r["h"] == dt.datetime(2024, 1, 10, 11)
+
+
+def test_assembly_chunks_equal_single_join(spark):
+    rows = [("d", i, None if 4 <= i <= 7 else f"p{i}", None) for i in range(12)] + [("e", 3, "x", None)]
+    p = spark.createDataFrame(rows, "doc_id string, page_no int, text string, error string")
+    expect = {"d": "\n".join(f"p{i}" for i in range(12) if not 4 <= i <= 7), "e": "x"}
+    for chunk in (1, 2, 4, 256):
+        got = {r["doc_id"]: r["text"] for r in assembly.assemble_pages(p, chunk=chunk).collect()}
+        assert got == expect

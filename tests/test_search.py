@@ -139,3 +139,12 @@ def test_hash_embed_matches_sql_token_rule(spark, sf):
             counts[x] += 1.0
         assert got[r["doc_id"]] == (counts if any(counts) else None)
     _ = F
+
+
+def test_identical_vectors_tie_break_by_id(spark):
+    """A store where most rows are the same vector: exactly k rows, smallest ids."""
+    rows = [(i, [1.0, 2.0]) for i in range(5000)] + [(5000 + i, [2.0, -1.0]) for i in range(10)]
+    st = spark.createDataFrame(rows, "id bigint, embedding array<double>").repartition(4)
+    q = spark.createDataFrame([(1, [1.0, 2.0])], "query_id bigint, embedding array<double>")
+    res = search.nearest(st, q, k=3).orderBy("rank").collect()
+    assert [r["id"] for r in res] == [0, 1, 2]

@@ -70,3 +70,10 @@ def test_frame_ops(spark):
     ex = {r["id"]: r["exists"] for r in vs.flag_existing(new.select("id"), old).collect()}
     assert ex == {"b": True, "c": False}
     assert sorted(r["id"] for r in vs.remove_matching(old, F.col("v") > 1).collect()) == ["a"]
+
+
+def test_dedupe_hot_key_last_wins(spark):
+    rows = [("hot", i, f"v{i}") for i in range(3000)] + [("cold", 1, "c")]
+    df = spark.createDataFrame(rows, "id string, seq int, v string").repartition(8)
+    got = {r["id"]: (r["seq"], r["v"]) for r in vs.dedupe_last(df, "id", "seq").collect()}
+    assert got == {"hot": (2999, "v2999"), "cold": (1, "c")}
