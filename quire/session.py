@@ -30,6 +30,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not checkpoint_dir(spark):  # tests only: the cluster names its own shared folder
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-ckpt-"))
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -43,10 +45,14 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's checkpoint folder; create a scratch one only when unset (tests)."""
+    """The cluster's shared checkpoint folder; an error when none is configured.
+
+    Library code never invents a folder: a machine-local one would not survive
+    the loss of that machine. Only ``local_session`` (tests, bench) sets one.
+    """
     d = checkpoint_dir(spark)
     if not d:
-        d = tempfile.mkdtemp(prefix="quire-ckpt-")
+        raise RuntimeError("spark.checkpoint.dir is not set: configure a shared folder for checkpoints")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
