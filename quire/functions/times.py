@@ -19,6 +19,18 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def ntz_lit(v) -> Column:
+    """A zone-free literal: datetime -> timestamp_ntz, date -> date (independent of session and host zones)."""
+    import datetime as _dt
+    if isinstance(v, Column):
+        return v.cast("timestamp_ntz")
+    if isinstance(v, _dt.datetime):
+        return F.lit(v.replace(tzinfo=None).strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+    if isinstance(v, _dt.date):
+        return F.lit(v.isoformat()).cast("date")
+    return F.lit(str(v)).cast("timestamp_ntz")
+
+
 def week_start(ts) -> Column:
     """SC17: Monday of the week (7-day partition key). Never mixed with ``window()``."""
     return F.to_date(F.date_trunc("week", _c(ts)))
@@ -36,7 +48,7 @@ def plus_hours(ts, hours: int = 1) -> Column:
 
 def to_utc(ts, tz: str = EVENT_TZ) -> Column:
     """SC7: wall time in ``tz`` -> UTC wall time (DST aware); result stays timestamp_ntz."""
-    return F.to_utc_timestamp(_c(ts), tz).cast("timestamp_ntz")
+    return F.convert_timezone(F.lit(tz), F.lit("UTC"), _c(ts).cast("timestamp_ntz"))
 
 
 def rfc3339_utc(ts, tz: str = EVENT_TZ) -> Column:

@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
 from .search import nearest
 
 MAX_CENTROID_BYTES = 256 << 20
@@ -84,7 +85,7 @@ class IvfIndex:
         if not fallback:
             return hits.withColumn("exact", F.lit(False))
         qid = kw.get("qid_col", "query_id")
-        hits = hits.checkpoint(eager=True)  # reliable checkpoint in the shared folder; reused twice below
+        hits = reliable_checkpoint(hits)  # shared checkpoint folder; reused twice below
         short = (questions.select(qid).join(hits.groupBy(qid).count(), qid, "left")
                  .filter(F.coalesce(F.col("count"), F.lit(0)) < k).select(qid))
         if short.limit(1).count() == 0:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.meta import json_value
-from ..functions.times import week_start
+from ..functions.times import ntz_lit, week_start
 
 OPS = {
     "==": operator.eq, "=": operator.eq, "!=": operator.ne, "<>": operator.ne,
@@ -74,7 +74,7 @@ class Predicate:
         if self.kind == "or":
             return reduce(lambda a, b: a | b, [k.to_column(columns, metadata_col) for k in self.kids])
         v = self.value
-        lit = F.lit(v) if not isinstance(v, (_dt.date, _dt.datetime)) else F.lit(v).try_cast(_sql_type(v))
+        lit = F.lit(v) if not isinstance(v, (_dt.date, _dt.datetime)) else ntz_lit(v)
         if isinstance(v, int) and not isinstance(v, bool) and not (columns and self.key in columns):
             lit = F.lit(float(v))
         return OPS[self.op](key_column(self.key, v, columns, metadata_col), lit)
@@ -107,12 +107,12 @@ def time_range(start=None, end=None, time_col: str = "ingest_ts", part_col: str
     """
     conds = []
     if start is not None:
-        s = F.lit(start).cast("timestamp_ntz")
+        s = ntz_lit(start)
         conds.append(F.col(time_col) >= s if start_inclusive else F.col(time_col) > s)
         if part_col:
             conds.append(F.col(part_col) >= week_start(s))
     if end is not None:
-        e = F.lit(end).cast("timestamp_ntz")
+        e = ntz_lit(end)
         conds.append(F.col(time_col) <= e if end_inclusive else F.col(time_col) < e)
         if part_col:
             conds.append(F.col(part_col) <= week_start(e))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search
+from ..session import reliable_checkpoint
 from . import derived
 
 DIST_PLACES = 6
@@ -235,7 +236,7 @@ def folder_get_or_create(spark, d):
     existing = (existing.withColumn("ppath", parent_path).join(pmap, "ppath", "left")
                 .select("id", "name", F.col("pid").alias("parent_id"), "path"))
     # the existing folder table is a stored table: materialise it (reliable checkpoint, shared folder)
-    existing = existing.checkpoint(eager=True)
+    existing = reliable_checkpoint(existing)
     return fold.get_or_create_folders(docs, existing)
 
 
@@ -352,7 +353,7 @@ QUERIES.update({
 
 # ---------------------------------------------------------------- approximate index (SK7) and streaming (SM1)
 from ..operators.ivf import IvfIndex  # noqa: E402
-from ..session import scratch_path  # noqa: E402
+from ..session import reliable_checkpoint, scratch_path  # noqa: E402
 
 
 def ann_topk(spark, d):

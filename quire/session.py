@@ -62,3 +62,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for intermediate tables under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/quire-{name}-{os.getpid()}-{os.urandom(4).hex()}"
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint()`` into the cluster's shared checkpoint folder (never ``localCheckpoint``)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
