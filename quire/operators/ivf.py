@@ -70,6 +70,22 @@ class IvfIndex:
         self.spark.createDataFrame(cents, "cell int, centroid array<double>").write.mode("overwrite").parquet(self.centroid_path)
         return self
 
+    def exists(self) -> bool:
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.centroid_path + "/_SUCCESS")
+        return bool(p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p))
+
+    def ensure(self, store: DataFrame, n_cells: int, **kw) -> "IvfIndex":
+        """Create the index unless it already exists (creating twice is not an error)."""
+        return self if self.exists() else self.build(store, n_cells, **kw)
+
+    def drop(self) -> None:
+        jvm = self.spark._jvm
+        conf = self.spark._jsc.hadoopConfiguration()
+        for path in (self.path, self.centroid_path):
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
 

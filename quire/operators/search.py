@@ -106,18 +106,21 @@ def _to_micros(arr: pa.Array) -> np.ndarray:
     return arr.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
 
 
-def _eq_matrix(store_vals: np.ndarray, q_vals: list) -> np.ndarray:
-    """(nq, n) boolean: store value equals the question's value (False for null question values)."""
-    nq, n = len(q_vals), len(store_vals)
-    out = np.zeros((nq, n), dtype=bool)
-    uniq: dict = {}
-    for i, v in enumerate(q_vals):
-        if v is None:
-            continue
-        if v not in uniq:
-            uniq[v] = store_vals == v
-        out[i] = uniq[v]
-    return out
+def _eq_matrix(store_col: pa.Array, q_vals: list) -> np.ndarray:
+    """(nq, n) boolean: store value equals the question's value (False for null question values).
+
+    Vectorised: ``index_in`` maps every store value to its position among the
+    questions' distinct values, then one integer broadcast compare.
+    """
+    uniq = list(dict.fromkeys(v for v in q_vals if v is not None))
+    nq, n = len(q_vals), len(store_col)
+    if not uniq:
+        return np.zeros((nq, n), dtype=bool)
+    pos = pc.fill_null(pc.index_in(store_col, value_set=pa.array(uniq, type=store_col.type)), -1)
+    pos = pos.to_numpy(zero_copy_only=False).astype(np.int64)
+    at = {v: i for i, v in enumerate(uniq)}
+    qpos = np.array([at[v] if v is not None else -2 for v in q_vals], dtype=np.int64)
+    return pos[None, :] == qpos[:, None]
 
 
 def _make_kernel(bc, k: int, dim: int, vec_col: str, payload: list[str], qfilter: QuestionFilter | None,
@@ -159,9 +162,8 @@ def _make_kernel(bc, k: int, dim: int, vec_col: str, payload: list[str], qfilter
                         parts = []
                         present = np.zeros(nq, dtype=bool)
                         for s_col, q_col in qfilter.equals:
-                            svals = np.asarray(b.column(s_col).to_pandas(), dtype=object)
                             qv = qcols[q_col]
-                            parts.append(_eq_matrix(svals, qv))
+                            parts.append(_eq_matrix(b.column(s_col), qv))
                             present |= np.array([v is not None for v in qv])
                         if qfilter.combine == "and":
                             # null question fields are skipped: treat them as True

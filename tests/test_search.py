@@ -148,3 +148,14 @@ def test_identical_vectors_tie_break_by_id(spark):
     q = spark.createDataFrame([(1, [1.0, 2.0])], "query_id bigint, embedding array<double>")
     res = search.nearest(st, q, k=3).orderBy("rank").collect()
     assert [r["id"] for r in res] == [0, 1, 2]
+
+
+def test_ivf_ensure_and_drop(spark, sf):
+    s = derived.vector_store(spark, sf)
+    idx = IvfIndex(spark, scratch_path(spark, "ivf-ensure"))
+    assert not idx.exists()
+    idx.ensure(s, n_cells=4)
+    assert idx.exists()
+    idx.ensure(s, n_cells=4)  # already there: nothing rebuilt, no error
+    idx.drop()
+    assert not idx.exists()
