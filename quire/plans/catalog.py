@@ -370,7 +370,8 @@ def stream_last_partial(spark, d):
     q = run_fold(spark, f"{d.rstrip('/')}/conversations.parquet", "conv_id bigint, turn bigint, role string, text string",
                  out, ck, rename={"conv_id": "doc_id", "turn": "seq", "text": "record"})
     q.awaitTermination()
-    return spark.read.parquet(out).select("doc_id", "seq", F.col("record").alias("text"))
+    from ..streaming.fold import read_latest
+    return read_latest(spark, out).select("doc_id", "seq", F.col("record").alias("text"))
 
 
 QUERIES.update({

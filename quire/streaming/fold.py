@@ -1,10 +1,13 @@
 """SM1: fold a stream of partial records into the latest version per document.
 
 ``readStream`` -> ``groupBy(doc_id).agg(max(seq), max_by(record, seq))`` in
-update mode; each micro-batch's changed documents are merged into a Parquet
-state table with ``foreachBatch`` (higher ``seq`` wins, so replaying a batch
-after a failure changes nothing). With an arrival-time column a watermark
-bounds the streaming state; partials arriving after it are ignored.
+update mode keeps the running state in Spark's state store; each micro-batch's
+changed documents are *appended* to an update log with ``foreachBatch``
+(O(batch) work per micro-batch, never a rewrite of the whole state). Readers
+take the latest row per document (``read_latest``, a ``max_by`` fold with
+partial aggregation). A replayed micro-batch appends the same rows again,
+which the fold ignores, so the sink is idempotent. With an arrival-time column
+a watermark bounds the streaming state; partials arriving after it are ignored.
 """
 
 from __future__ import annotations
@@ -13,8 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
-
 
 def fold_partials(stream: DataFrame, key: str = "doc_id", seq: str = "seq", record: str = "record",
                   event_time: str | None = None, watermark: str | None = None) -> DataFrame:
@@ -23,23 +24,16 @@ def fold_partials(stream: DataFrame, key: str = "doc_id", seq: str = "seq", reco
     return stream.groupBy(key).agg(F.max(seq).alias(seq), F.max_by(record, seq).alias(record))
 
 
-def merge_latest(spark: SparkSession, batch: DataFrame, path: str, key: str = "doc_id", seq: str = "seq") -> None:
-    """Merge one micro-batch into the state table at ``path`` (last seq wins), replacing it atomically enough
-    for a replay: the merged table is staged, then swapped in."""
-    jvm = spark._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")):
-        old = spark.read.parquet(path)
-        both = old.unionByName(batch.select(*old.columns))
-        merged = both.groupBy(key).agg(F.max(seq).alias(seq), *[F.max_by(c, seq).alias(c) for c in old.columns
-                                                                 if c not in (key, seq)])
-    else:
-        merged = batch
-    staged = scratch_path(spark, "fold")
-    merged.write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").parquet(path)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
+def append_updates(batch: DataFrame, path: str, batch_id: int) -> None:
+    """Append one micro-batch of updated documents to the update log at ``path``."""
+    batch.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(path)
+
+
+def read_latest(spark: SparkSession, path: str, key: str = "doc_id", seq: str = "seq") -> DataFrame:
+    """The folded state: the highest-``seq`` row of each document in the update log."""
+    log = spark.read.parquet(path).drop("_batch")
+    others = [c for c in log.columns if c not in (key, seq)]
+    return log.groupBy(key).agg(F.max(seq).alias(seq), *[F.max_by(c, seq).alias(c) for c in others])
 
 
 def run_fold(spark: SparkSession, source: str, schema: T.StructType | str, out_path: str, checkpoint: str,
@@ -55,6 +49,6 @@ def run_fold(spark: SparkSession, source: str, schema: T.StructType | str, out_p
         s = s.withColumnRenamed(a, b)
     agg = fold_partials(s, key, seq, record)
     w = (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, _bid: merge_latest(spark, df, out_path, key, seq)))
+         .foreachBatch(lambda df, bid: append_updates(df, out_path, bid)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

@@ -12,7 +12,7 @@ from quire.operators import assembly
 from quire.operators.store import VectorTable
 from quire.plans import derived
 from quire.sources import pages
-from quire.streaming.fold import run_fold
+from quire.streaming.fold import read_latest, run_fold
 from quire.streaming.ingest import run_ingest
 
 
@@ -66,7 +66,7 @@ def test_assemble_with_document_list(spark):
 def test_stream_fold_equals_batch(spark, sf, tmp_dir):
     run_fold(spark, f"{sf}/conversations.parquet", "conv_id bigint, turn bigint, role string, text string",
              f"{tmp_dir}/out", f"{tmp_dir}/ck", rename={"conv_id": "doc_id", "turn": "seq", "text": "record"}).awaitTermination()
-    s = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_dir}/out").select("doc_id", "seq", "record").collect())
+    s = sorted(tuple(r) for r in read_latest(spark, f"{tmp_dir}/out").select("doc_id", "seq", "record").collect())
     b = sorted(tuple(r) for r in assembly.last_partial(derived.conversation_partials(spark, sf)).collect())
     assert s == b
 
