@@ -74,3 +74,15 @@ def test_messages_shape(spark):
     m = df.select(rag.messages(F.col("q"), F.col("c")).alias("m")).first()["m"]
     assert [x["role"] for x in m] == ["system", "user", "assistant"]
     assert m[1]["content"] == "# User question:\nwhy?" and m[2]["content"].startswith("# Retrieved information:\n")
+
+
+def test_irrelevant_question_has_not_enough_context(spark, sf):
+    from quire.plans import derived
+    store = derived.doc_store(spark, sf)
+    qs = spark.createDataFrame([(1, "zzqx vvbn wwpt kkjh", __import__("datetime").date(2001, 7, 20)),
+                                (2, "Sender Tax Addressed to Customer#000000001 Amount Order status P", __import__("datetime").date(2001, 7, 20))],
+                               "query_id bigint, question string, as_of date")
+    ans = {r["query_id"]: r for r in rag.answer_questions(qs, store, derived.addressees(spark, sf), k=3).collect()}
+    assert ans[1]["enough_context"] is False and ans[1]["answer"] == rag.NO_ANSWER
+    assert ans[1]["n_context"] == 3          # rows still come back, they are just far away
+    assert ans[2]["enough_context"] is True and ans[2]["answer"].startswith("According to 'Notice ")
