@@ -19,6 +19,40 @@ from ..functions.times import EVENT_TZ, ISO_NTZ, plus_hours, rfc3339_utc
 REMINDERS = [("email", 10), ("popup", 10)]
 DETAIL_TS = "yyyy-MM-dd HH:mm:ss"
 
+# Event titles per action type, and the labels of event descriptions,
+# the action overview and the summary page.
+EVENT_TITLE = {
+    "appointment": "Appointment: ",
+    "reply_required": "Deadline: Reply Required - ",
+    "payment_required": "Deadline: Payment Required - ",
+}
+L_SUMMARY = "Summary: "
+L_REQUIRED_DOCS = "Required Documents: "
+L_NOTES = "Additional Notes: "
+L_LINK = "Document Link: "
+L_DOCS_ORIGINAL = "Documents to send (Original): "
+L_DOCS_ENGLISH = "Documents to send (English): "
+L_ADDRESS = "Address: "
+L_AMOUNT = "Amount: "
+L_RECIPIENT = "Recipient: "
+L_REFERENCE = "Reference: "
+L_BANK = "Bank Details: "
+L_DATE = "Date: "
+L_LOCATION = "Location: "
+L_DEADLINE = "Deadline: "
+PAGE_TITLE = "Document Summary"
+PAGE_SENDER = "Sender: "
+PAGE_ADDRESSEE = "Addressed To: "
+PAGE_DOC_TITLE = "Document Title: "
+PAGE_ACTIONS = "Required Actions:"
+PAGE_APPOINTMENT = "Appointment:"
+PAGE_REPLY = "Reply Required:"
+PAGE_PAYMENT = "Payment Required:"
+PAGE_OTHER_ACTION = "No specific action details"
+PAGE_ITEM = "- "
+DOCS_ORIGINAL_SHORT = "Documents (Original): "
+DOCS_ENGLISH_SHORT = "Documents (English): "
+
 
 def has_actions(docs: DataFrame) -> DataFrame:
     """PF13 / D11: documents whose action list is non-empty (null lists drop too)."""
@@ -39,12 +73,12 @@ def action_overview(docs: DataFrame) -> DataFrame:
     """PF16: (doc_id, action_no, type label, details) for documents that have actions."""
     a = explode_actions(has_actions(docs), ["doc_id"])
     t = F.col("a.action_type")
-    details = (F.when(t == "appointment", F.concat(F.lit("Date: "), _ts(F.col("a.appointment.date"), DETAIL_TS),
-                                                    F.lit("\nLocation: "), F.col("a.appointment.location")))
-               .when(t == "reply_required", F.concat(F.lit("Deadline: "), _ts(F.col("a.reply.deadline"), DETAIL_TS),
-                                                      F.lit("\nAddress: "), F.col("a.reply.address_to_send_to")))
-               .when(t == "payment_required", F.concat(F.lit("Amount: "), tx.money(F.col("a.payment.amount")),
-                                                        F.lit("\nDeadline: "), _ts(F.col("a.payment.deadline"), DETAIL_TS)))
+    details = (F.when(t == "appointment", F.concat(F.lit(L_DATE), _ts(F.col("a.appointment.date"), DETAIL_TS),
+                                                    F.lit("\n" + L_LOCATION), F.col("a.appointment.location")))
+               .when(t == "reply_required", F.concat(F.lit(L_DEADLINE), _ts(F.col("a.reply.deadline"), DETAIL_TS),
+                                                      F.lit("\n" + L_ADDRESS), F.col("a.reply.address_to_send_to")))
+               .when(t == "payment_required", F.concat(F.lit(L_AMOUNT), tx.money(F.col("a.payment.amount")),
+                                                        F.lit("\n" + L_DEADLINE), _ts(F.col("a.payment.deadline"), DETAIL_TS)))
                .otherwise(F.lit("")))
     return a.select("doc_id", "action_no", tx.type_label(t).alias("type"), details.alias("details"))
 
@@ -77,33 +111,33 @@ def calendar_events(docs: DataFrame, files: DataFrame | None = None, tz: str = E
     a = a.join(files.select("doc_id", F.col("path").alias("link")), "doc_id", "left")
     t = F.col("a.action_type")
     title = F.col("title_in_english")
-    summary = F.concat(F.lit("Summary: "), tx.or_default("summary_in_english", tx.NA))
-    link = F.concat(F.lit("Document Link: "), tx.or_default("link", tx.NA))
+    summary = F.concat(F.lit(L_SUMMARY), tx.or_default("summary_in_english", tx.NA))
+    link = F.concat(F.lit(L_LINK), tx.or_default("link", tx.NA))
     appt, reply, pay = F.col("a.appointment"), F.col("a.reply"), F.col("a.payment")
     start = (F.when(t == "appointment", appt["date"]).when(t == "reply_required", reply["deadline"])
              .when(t == "payment_required", pay["deadline"]))
-    summ = (F.when(t == "appointment", F.concat(F.lit("Appointment: "), title))
-            .when(t == "reply_required", F.concat(F.lit("Deadline: Reply Required - "), title))
-            .when(t == "payment_required", F.concat(F.lit("Deadline: Payment Required - "), title)))
+    summ = (F.when(t == "appointment", F.concat(F.lit(EVENT_TITLE["appointment"]), title))
+            .when(t == "reply_required", F.concat(F.lit(EVENT_TITLE["reply_required"]), title))
+            .when(t == "payment_required", F.concat(F.lit(EVENT_TITLE["payment_required"]), title)))
     loc = (F.when(t == "appointment", appt["location"]).when(t == "reply_required", reply["address_to_send_to"])
            .when(t == "payment_required", F.lit("")))
     desc = (F.when(t == "appointment", F.concat_ws(
                 "\n", summary,
-                F.concat(F.lit("Required Documents: "), tx.join_or(appt["required_documents"])),
-                F.concat(F.lit("Additional Notes: "), tx.or_default(appt["additional_notes"], tx.NONE_TEXT)),
+                F.concat(F.lit(L_REQUIRED_DOCS), tx.join_or(appt["required_documents"])),
+                F.concat(F.lit(L_NOTES), tx.or_default(appt["additional_notes"], tx.NONE_TEXT)),
                 link))
             .when(t == "reply_required", F.concat_ws(
                 "\n", summary,
-                F.concat(F.lit("Documents to send (Original): "), tx.join_or(reply["documents_to_send_in_original_language"])),
-                F.concat(F.lit("Documents to send (English): "), tx.join_or(reply["documents_to_send_in_english"])),
-                F.concat(F.lit("Address: "), tx.or_default(reply["address_to_send_to"], tx.NA)),
+                F.concat(F.lit(L_DOCS_ORIGINAL), tx.join_or(reply["documents_to_send_in_original_language"])),
+                F.concat(F.lit(L_DOCS_ENGLISH), tx.join_or(reply["documents_to_send_in_english"])),
+                F.concat(F.lit(L_ADDRESS), tx.or_default(reply["address_to_send_to"], tx.NA)),
                 link))
             .when(t == "payment_required", F.concat_ws(
                 "\n", summary,
-                F.concat(F.lit("Amount: "), tx.money(pay["amount"])),
-                F.concat(F.lit("Recipient: "), tx.or_default(pay["recipient"], tx.NA)),
-                F.concat(F.lit("Reference: "), tx.or_default(pay["reference_number"], tx.NONE_TEXT)),
-                F.concat(F.lit("Bank Details: "), F.coalesce(F.to_json(pay["bank_details"]), F.lit("{}"))))))
+                F.concat(F.lit(L_AMOUNT), tx.money(pay["amount"])),
+                F.concat(F.lit(L_RECIPIENT), tx.or_default(pay["recipient"], tx.NA)),
+                F.concat(F.lit(L_REFERENCE), tx.or_default(pay["reference_number"], tx.NONE_TEXT)),
+                F.concat(F.lit(L_BANK), F.coalesce(F.to_json(pay["bank_details"]), F.lit("{}"))))))
     reminders = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(n).alias("minutes")) for m, n in REMINDERS])
     ev = a.filter(start.isNotNull()).select(
         "doc_id", "action_no", summ.alias("summary"), loc.alias("location"), desc.alias("description"),
@@ -137,21 +171,21 @@ def _action_text(a: Column) -> Column:
     t = a["action_type"]
     ap, rp, py = a["appointment"], a["reply"], a["payment"]
     return (F.when(t == "appointment", F.concat_ws(
-                "\n", F.lit("Appointment:"),
-                F.concat(F.lit("- Date: "), F.coalesce(_ts(ap["date"], DETAIL_TS), F.lit(tx.NA))),
-                F.concat(F.lit("- Location: "), tx.or_default(ap["location"], tx.NA)),
-                F.concat(F.lit("- Required Documents: "), tx.join_or(ap["required_documents"]))))
+                "\n", F.lit(PAGE_APPOINTMENT),
+                F.concat(F.lit(PAGE_ITEM + L_DATE), F.coalesce(_ts(ap["date"], DETAIL_TS), F.lit(tx.NA))),
+                F.concat(F.lit(PAGE_ITEM + L_LOCATION), tx.or_default(ap["location"], tx.NA)),
+                F.concat(F.lit(PAGE_ITEM + L_REQUIRED_DOCS), tx.join_or(ap["required_documents"]))))
             .when(t == "reply_required", F.concat_ws(
-                "\n", F.lit("Reply Required:"),
-                F.concat(F.lit("- Deadline: "), F.coalesce(_ts(rp["deadline"], DETAIL_TS), F.lit(tx.NA))),
-                F.concat(F.lit("- Documents (Original): "), tx.join_or(rp["documents_to_send_in_original_language"])),
-                F.concat(F.lit("- Documents (English): "), tx.join_or(rp["documents_to_send_in_english"]))))
+                "\n", F.lit(PAGE_REPLY),
+                F.concat(F.lit(PAGE_ITEM + L_DEADLINE), F.coalesce(_ts(rp["deadline"], DETAIL_TS), F.lit(tx.NA))),
+                F.concat(F.lit(PAGE_ITEM + DOCS_ORIGINAL_SHORT), tx.join_or(rp["documents_to_send_in_original_language"])),
+                F.concat(F.lit(PAGE_ITEM + DOCS_ENGLISH_SHORT), tx.join_or(rp["documents_to_send_in_english"]))))
             .when(t == "payment_required", F.concat_ws(
-                "\n", F.lit("Payment Required:"),
-                F.concat(F.lit("- Amount: "), F.coalesce(tx.money(py["amount"]), F.lit(tx.NA))),
-                F.concat(F.lit("- Deadline: "), F.coalesce(_ts(py["deadline"], DETAIL_TS), F.lit(tx.NA))),
-                F.concat(F.lit("- Recipient: "), tx.or_default(py["recipient"], tx.NA))))
-            .otherwise(F.lit("No specific action details")))
+                "\n", F.lit(PAGE_PAYMENT),
+                F.concat(F.lit(PAGE_ITEM + L_AMOUNT), F.coalesce(tx.money(py["amount"]), F.lit(tx.NA))),
+                F.concat(F.lit(PAGE_ITEM + L_DEADLINE), F.coalesce(_ts(py["deadline"], DETAIL_TS), F.lit(tx.NA))),
+                F.concat(F.lit(PAGE_ITEM + L_RECIPIENT), tx.or_default(py["recipient"], tx.NA))))
+            .otherwise(F.lit(PAGE_OTHER_ACTION)))
 
 
 def summary_text(docs: DataFrame) -> DataFrame:
@@ -159,12 +193,12 @@ def summary_text(docs: DataFrame) -> DataFrame:
     acts = F.when(F.coalesce(F.size("required_actions"), F.lit(0)) > 0,
                   F.array_join(F.transform("required_actions", _action_text), "\n")).otherwise(F.lit(tx.NO_ACTIONS))
     body = F.concat_ws(
-        "\n", F.lit("Document Summary"),
-        F.concat(F.lit("Sender: "), tx.or_default("sender", tx.NA)),
-        F.concat(F.lit("Addressed To: "), tx.or_default("addressed_to", tx.NA)),
-        F.concat(F.lit("Document Title: "), tx.or_default("title_in_english", tx.NA)),
-        F.concat(F.lit("Summary: "), tx.or_default("summary_in_english", tx.NA)),
-        F.lit("Required Actions:"), acts)
+        "\n", F.lit(PAGE_TITLE),
+        F.concat(F.lit(PAGE_SENDER), tx.or_default("sender", tx.NA)),
+        F.concat(F.lit(PAGE_ADDRESSEE), tx.or_default("addressed_to", tx.NA)),
+        F.concat(F.lit(PAGE_DOC_TITLE), tx.or_default("title_in_english", tx.NA)),
+        F.concat(F.lit(L_SUMMARY), tx.or_default("summary_in_english", tx.NA)),
+        F.lit(PAGE_ACTIONS), acts)
     return docs.select("doc_id", body.alias("summary_text"))
 
 
