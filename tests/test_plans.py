@@ -52,3 +52,13 @@ def test_search_scan_reads_only_needed_columns(spark, sf):
     p = _plan(df)
     docs_scan = [ln for ln in p.splitlines() if "documents.parquet" in ln or "ReadSchema: struct<doc_id" in ln]
     assert all("text" not in ln for ln in docs_scan)
+
+
+def test_ivf_search_reads_only_probed_cells(spark, sf):
+    from quire.operators.ivf import IvfIndex
+    from quire.session import scratch_path
+    idx = IvfIndex(spark, scratch_path(spark, "ivf-plan")).build(derived.vector_store(spark, sf), n_cells=8)
+    hits = search.nearest(idx.read(), derived.label_questions(spark, sf), k=3, probe=idx.probe(2))
+    p = _plan(hits)
+    part = p.split("PartitionFilters:")[1].split("]")[0]
+    assert "cell" in part and " IN " in part.upper()
