@@ -74,10 +74,46 @@ def parse_iso(text, tz: str = EVENT_TZ) -> Column:
     return F.when(off == "", base).otherwise(F.convert_timezone(F.lit("UTC"), F.lit(tz), utc_wall))
 
 
+_DAY_US = 86_400_000_000
+
+
+def ntz_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a timestamp_ntz wall time (no zone involved)."""
+    t = _c(ts).cast("timestamp_ntz")
+    sec = F.extract(F.lit("SECOND"), t)  # seconds with the fraction, decimal(8,6)
+    return (F.unix_date(F.to_date(t)).cast("bigint") * F.lit(_DAY_US)
+            + (F.hour(t) * 3600 + F.minute(t) * 60).cast("bigint") * F.lit(1_000_000)
+            + (sec * F.lit(1_000_000)).cast("bigint"))
+
+
+def micros_ntz(micros) -> Column:
+    """Inverse of ``ntz_micros``."""
+    m = _c(micros).cast("bigint")
+    days = F.floor(m / F.lit(_DAY_US)).cast("int")
+    rest = (m - days.cast("bigint") * F.lit(_DAY_US)).cast("decimal(18,6)") / F.lit(1_000_000)
+    return (F.date_add(F.lit("1970-01-01").cast("date"), days).cast("timestamp_ntz")
+            + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), rest))
+
+
+def uuid_v1(ts, node, clock_seq=None) -> Column:
+    """SC3 (build): a version-1 UUID carrying ``ts`` (timestamp_ntz, UTC) and a 48-bit ``node``.
+
+    The 60-bit count of 100 ns ticks since 1582-10-15 is split into time_low,
+    time_mid and time_hi; the version nibble is 1 and the variant bits are 10.
+    """
+    ticks = ntz_micros(ts) * F.lit(10) + F.lit(UUID_EPOCH_OFFSET)
+    h = F.lpad(F.lower(F.hex(ticks)), 15, "0")
+    seq = F.lit(0) if clock_seq is None else _c(clock_seq)
+    clock = F.lpad(F.lower(F.hex(F.lit(0x8000) + F.pmod(seq.cast("bigint"), F.lit(0x4000)))), 4, "0")
+    node_hex = F.lpad(F.lower(F.hex(F.pmod(_c(node).cast("bigint"), F.lit(1 << 48)))), 12, "0")
+    return F.concat(F.substring(h, 8, 8), F.lit("-"), F.substring(h, 4, 4), F.lit("-1"), F.substring(h, 1, 3),
+                    F.lit("-"), clock, F.lit("-"), node_hex)
+
+
 def uuid_v1_time(uuid_text) -> Column:
     """SC3: creation time carried by a version-1 UUID, as timestamp_ntz (UTC)."""
     u = _c(uuid_text)
     hexts = F.concat(F.substring(u, 16, 3), F.substring(u, 10, 4), F.substring(u, 1, 8))
     ticks = F.conv(hexts, 16, 10).cast("decimal(38,0)")
     micros = ((ticks - F.lit(UUID_EPOCH_OFFSET)) / F.lit(10)).cast("bigint")
-    return F.timestamp_micros(micros).cast("timestamp_ntz")
+    return micros_ntz(micros)

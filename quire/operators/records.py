@@ -144,11 +144,11 @@ def vector_records(docs: DataFrame, embed: bool = True, dim: int = 64, ingest_ts
     """PF1-PF3 + D20: records ready for the vector table.
 
     id = sha256 of the embedded text (re-ingesting the same document gives the
-    same id); ingest time is its own column (default: now), week_start derives
+    same id); ingest time is its own column (default: now, UTC wall time), week_start derives
     from it; hot keys stay typed; the other keys go into JSON metadata.
     """
     contents = compose_text()
-    ts = ingest_ts if ingest_ts is not None else F.localtimestamp()
+    ts = ingest_ts if ingest_ts is not None else F.convert_timezone(None, F.lit("UTC"), F.current_timestamp())
     out = docs.select(
         *[c for c in ("doc_id",) if c in docs.columns],
         F.sha2(contents, 256).alias("id"),

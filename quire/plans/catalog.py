@@ -394,3 +394,15 @@ def record_parse(spark, d):
 
 
 QUERIES["record_parse"] = record_parse
+
+
+def uuid_time_ids(spark, d):
+    """SC3: a v1 UUID per event built from its time (node = user, clock = event id), and the time read back."""
+    from ..functions.times import uuid_v1, uuid_v1_time
+    ev = table(spark, d, "events").select("event_id", "user_id", "ts")
+    u = ev.select("event_id", uuid_v1("ts", "user_id", "event_id").alias("id"), "ts")
+    return u.select("event_id", "id", iso(uuid_v1_time("id")).alias("id_time"),
+                    (uuid_v1_time("id") == F.col("ts")).alias("exact"))
+
+
+QUERIES["uuid_time_ids"] = uuid_time_ids

@@ -333,3 +333,11 @@ ORACLE["record_parse"] = f"""WITH {DOCS_CTE}
 SELECT 'doc-' || doc_id AS src, 'ok' AS status,
        CAST(CASE pr WHEN '5-LOW' THEN 0 WHEN '3-MEDIUM' THEN 2 ELSE 1 END AS INTEGER) AS n_actions FROM docs
 UNION ALL SELECT 'page-' || page_id, 'unparseable', CAST(NULL AS INTEGER) FROM pages"""
+
+ORACLE["uuid_time_ids"] = """WITH u AS (
+  SELECT event_id, ts, lpad(lower(hex(epoch_us(ts) * 10 + 122192928000000000)), 15, '0') AS h,
+         lpad(lower(hex(32768 + event_id % 16384)), 4, '0') AS clock, lpad(lower(hex(user_id % 281474976710656)), 12, '0') AS node
+  FROM events),
+ids AS (SELECT event_id, ts, substr(h, 8, 8) || '-' || substr(h, 4, 4) || '-1' || substr(h, 1, 3) || '-' || clock || '-' || node AS id FROM u),
+back AS (SELECT *, make_timestamp(((('0x' || substr(id, 16, 3) || substr(id, 10, 4) || substr(id, 1, 8))::BIGINT - 122192928000000000) // 10)) AS t FROM ids)
+SELECT event_id, id, strftime(t, '%Y-%m-%dT%H:%M:%S') AS id_time, t = ts AS "exact" FROM back"""
