@@ -38,7 +38,7 @@ def read_latest(spark: SparkSession, path: str, key: str = "doc_id", seq: str =
 
 def run_fold(spark: SparkSession, source: str, schema: T.StructType | str, out_path: str, checkpoint: str,
              key: str = "doc_id", seq: str = "seq", record: str = "record", rename: dict | None = None,
-             available_now: bool = True):
+             available_now: bool = True, event_time: str | None = None, watermark: str | None = None):
     """Start the fold over Parquet files at ``source``; returns the StreamingQuery."""
     reader = spark.readStream.schema(schema)
     if source.endswith(".parquet"):  # one file: stream its folder, filtered to that file name
@@ -47,7 +47,7 @@ def run_fold(spark: SparkSession, source: str, schema: T.StructType | str, out_p
     s = reader.parquet(source)
     for a, b in (rename or {}).items():
         s = s.withColumnRenamed(a, b)
-    agg = fold_partials(s, key, seq, record)
+    agg = fold_partials(s, key, seq, record, event_time, watermark)
     w = (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
          .foreachBatch(lambda df, bid: append_updates(df, out_path, bid)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
