@@ -64,7 +64,7 @@ STORE = T.StructType([
     T.StructField("sent_date", T.DateType()),
     T.StructField("metadata", T.StringType()),
     T.StructField("contents", T.StringType()),
-    T.StructField("embedding", T.ArrayType(T.DoubleType())),
+    T.StructField("embedding", T.ArrayType(T.FloatType())),
 ])
 
 ANSWER = T.StructType([

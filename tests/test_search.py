@@ -108,7 +108,9 @@ def test_hash_embed_counts(spark):
     assert sum(rows[0]["e"]) == 3.0 and len(rows[0]["e"]) == 16
     assert rows[1]["e"] is None and rows[2]["e"] is None and rows[3]["e"] is None
     unit = df.select(hash_embed("t", 16, unit=True).alias("e")).first()["e"]
-    assert abs(sum(x * x for x in unit) - 1.0) < 1e-12
+    assert abs(sum(x * x for x in unit) - 1.0) < 1e-6          # float32 by default
+    unit64 = df.select(hash_embed("t", 16, unit=True, double=True).alias("e")).first()["e"]
+    assert abs(sum(x * x for x in unit64) - 1.0) < 1e-12
 
 
 def test_embed_batches_user_callable(spark):
