@@ -33,6 +33,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     if not checkpoint_dir(spark):  # tests only: the cluster names its own shared folder
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-ckpt-"))
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -68,3 +69,35 @@ def reliable_checkpoint(df):
     """``df.checkpoint()`` into the cluster's shared checkpoint folder (never ``localCheckpoint``)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quire`` importable on every Python worker (``addPyFile`` of a zip of the package).
+
+    Functions run by ``mapInArrow`` / Arrow UDFs refer to this package's modules,
+    so executors need it whatever the driver's working directory is. Done once
+    per application; the zip is written where the driver can read it and Spark
+    distributes it to the executors.
+    """
+    import hashlib
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    files = sorted(os.path.join(dp, f) for dp, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
+    digest = hashlib.sha256()
+    for f in files:
+        with open(f, "rb") as fh:
+            digest.update(f.encode() + fh.read())
+    out_dir = tempfile.mkdtemp(prefix="quire-pyfiles-")
+    path = os.path.join(out_dir, f"quire-{digest.hexdigest()[:12]}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in files:
+            z.write(f, os.path.join("quire", os.path.relpath(f, pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
