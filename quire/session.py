@@ -79,10 +79,13 @@ def ship_package(spark: SparkSession) -> None:
 
     Functions run by ``mapInArrow`` / Arrow UDFs refer to this package's modules,
     so executors need it whatever the driver's working directory is. Done once
-    per application; the zip is written where the driver can read it and Spark
-    distributes it to the executors.
+    per application. The zip is built in memory and written through the Hadoop
+    file system into the shared checkpoint folder, from where Spark distributes
+    it; only when no such folder is configured (local development) does it go
+    to a temporary folder.
     """
     import hashlib
+    import io
     import zipfile
 
     sc = spark.sparkContext
@@ -90,14 +93,26 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     files = sorted(os.path.join(dp, f) for dp, _, fs in os.walk(pkg) for f in fs if f.endswith(".py"))
-    digest = hashlib.sha256()
-    for f in files:
-        with open(f, "rb") as fh:
-            digest.update(f.encode() + fh.read())
-    out_dir = tempfile.mkdtemp(prefix="quire-pyfiles-")
-    path = os.path.join(out_dir, f"quire-{digest.hexdigest()[:12]}.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    buf, digest = io.BytesIO(), hashlib.sha256()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for f in files:
-            z.write(f, os.path.join("quire", os.path.relpath(f, pkg)))
+            with open(f, "rb") as fh:
+                data = fh.read()
+            digest.update(f.encode() + data)
+            z.writestr(os.path.join("quire", os.path.relpath(f, pkg)), data)
+    name = f"quire-{digest.hexdigest()[:12]}.zip"
+    base = checkpoint_dir(spark)
+    if base:
+        jvm = spark._jvm
+        target = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/quire-pyfiles-{sc.applicationId}/{name}")
+        fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+        out = fs.create(target, True)
+        out.write(bytearray(buf.getvalue()))
+        out.close()
+        path = target.toString()
+    else:
+        path = os.path.join(tempfile.mkdtemp(prefix="quire-pyfiles-"), name)
+        with open(path, "wb") as fh:
+            fh.write(buf.getvalue())
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
