@@ -66,8 +66,10 @@ class IvfIndex:
         model = km.fit(feats)
         assigned = model.transform(feats).drop("_f")
         assigned.write.mode("overwrite").partitionBy(self.cell_col).parquet(self.path)
-        cents = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-        self.spark.createDataFrame(cents, "cell int, centroid array<double>").write.mode("overwrite").parquet(self.centroid_path)
+        sizes = {r[0]: r[1] for r in self.read().groupBy(self.cell_col).count().collect()}  # n_cells rows
+        cents = [(i, [float(x) for x in c], int(sizes.get(i, 0))) for i, c in enumerate(model.clusterCenters())]
+        (self.spark.createDataFrame(cents, "cell int, centroid array<double>, n_rows bigint")
+         .write.mode("overwrite").parquet(self.centroid_path))
         return self
 
     def exists(self) -> bool:
@@ -95,9 +97,96 @@ class IvfIndex:
         C = C / np.maximum(np.linalg.norm(C, axis=1, keepdims=True), 1e-300)
         return Probe(C, nprobe, self.cell_col)
 
-    def search(self, questions: DataFrame, k: int = 5, nprobe: int = 2, fallback: bool = True, **kw) -> DataFrame:
+    def search_grouped(self, questions: DataFrame, k: int = 5, nprobe: int = 2, *, qid_col: str = "query_id",
+                       qvec_col: str = "embedding", id_col: str = "id", vec_col: str = "embedding",
+                       payload: list[str] | None = None, rows_per_group: int = 200_000) -> DataFrame:
+        """Probe search without any broadcast that grows with the questions.
+
+        Questions are exploded to their ``nprobe`` cells (only the centroids are
+        broadcast, size-checked); index rows and question rows meet in
+        ``cogroup(...).applyInPandas`` groups keyed by ``(cell, sub)``. A cell is
+        split into ``ceil(rows / rows_per_group)`` subs by a hash of the row id, and
+        each question probing it is repeated once per sub, so a cell holding a
+        third of the table is spread over many tasks. Each group keeps k rows per
+        question by (distance, id); the final top-k is the usual window.
+        """
+        import pandas as pd
+        from pyspark.sql import types as T
+        from .search import select_top_k, top_k_per_group
+
+        payload = list(payload) if payload is not None else [id_col]
+        if id_col not in payload:
+            payload = [id_col] + payload
+        cell_col = self.cell_col  # closures below must not capture self (it holds the session)
+        probe = self.probe(nprobe)
+        cents = probe.centroids
+        cstats = self.spark.read.parquet(self.centroid_path).select(
+            self.cell_col, F.greatest(F.lit(1), F.ceil(F.col("n_rows") / F.lit(rows_per_group))).cast("int").alias("_subs"))
+        bc = self.spark.sparkContext.broadcast(cents)
+        p = min(nprobe, cents.shape[0])
+
+        def cells_of(it):
+            C = bc.value
+            for pdf in it:
+                V = np.array([np.asarray(v, dtype=np.float64) if v is not None and len(v) == C.shape[1]
+                              else np.zeros(C.shape[1]) for v in pdf[qvec_col]])
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    V = V / np.linalg.norm(V, axis=1, keepdims=True)
+                sim = np.nan_to_num(V, nan=0.0) @ C.T
+                top = np.argpartition(-sim, p - 1, axis=1)[:, :p] if len(pdf) else np.zeros((0, p), dtype=int)
+                yield pd.DataFrame({qid_col: np.repeat(pdf[qid_col].to_numpy(), p),
+                                    cell_col: top.ravel().astype(np.int32)})
+
+        qcells = questions.select(qid_col, qvec_col).mapInPandas(
+            cells_of, T.StructType([questions.schema[qid_col], T.StructField(self.cell_col, T.IntegerType())]))
+        q = (questions.select(qid_col, qvec_col).join(qcells, qid_col)
+             .join(F.broadcast(cstats), self.cell_col)  # n_cells rows
+             .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))).drop("_subs"))
         table = self.read()
-        hits = nearest(table, questions, k=k, probe=self.probe(nprobe), **kw)
+        st = (table.select(self.cell_col, *dict.fromkeys(payload + [vec_col]))
+              .join(F.broadcast(cstats), self.cell_col)
+              .withColumn("_sub", F.pmod(F.xxhash64(F.col(id_col)), F.col("_subs").cast("bigint")).cast("int"))
+              .drop("_subs"))
+        out_schema = T.StructType([questions.schema[qid_col], T.StructField("distance", T.DoubleType())]
+                                  + [table.schema[c] for c in payload])
+
+        def group(qdf: pd.DataFrame, sdf: pd.DataFrame) -> pd.DataFrame:
+            if qdf.empty or sdf.empty:
+                return pd.DataFrame({f.name: pd.Series(dtype=object) for f in out_schema.fields})
+            Q = np.stack([np.asarray(v, dtype=np.float64) for v in qdf[qvec_col]])
+            ok = np.array([v is not None and len(v) == Q.shape[1] for v in sdf[vec_col]])
+            sdf = sdf[ok]
+            if sdf.empty:
+                return pd.DataFrame({f.name: pd.Series(dtype=object) for f in out_schema.fields})
+            D = np.stack([np.asarray(v, dtype=np.float64) for v in sdf[vec_col]])
+            qn, dn = np.linalg.norm(Q, axis=1), np.linalg.norm(D, axis=1)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                dist = 1.0 - (Q @ D.T) / (qn[:, None] * dn[None, :])
+            dist[~np.isfinite(dist)] = np.inf
+            qi, di = select_top_k(dist, sdf[id_col].to_numpy(), k)
+            out = {qid_col: qdf[qid_col].to_numpy()[qi], "distance": dist[qi, di]}
+            for c in payload:
+                out[c] = sdf[c].to_numpy()[di]
+            return pd.DataFrame(out, columns=[f.name for f in out_schema.fields])
+
+        cand = (q.groupBy(self.cell_col, "_sub").cogroup(st.groupBy(self.cell_col, "_sub"))
+                .applyInPandas(group, out_schema))
+        return top_k_per_group(cand, k, group=qid_col, order=("distance", id_col))
+
+    def search(self, questions: DataFrame, k: int = 5, nprobe: int = 2, fallback: bool = True,
+               strategy: str = "auto", **kw) -> DataFrame:
+        """Probe search; ``strategy`` "broadcast" (question blocks over pruned scans), "grouped"
+        (``search_grouped``) or "auto" (grouped once the questions exceed one broadcast block)."""
+        from .search import DEFAULT_BLOCK_BYTES
+        table = self.read()
+        if strategy == "auto":
+            dim = self.probe(nprobe).centroids.shape[1]
+            strategy = "grouped" if questions.count() * (dim * 8 + 64) > DEFAULT_BLOCK_BYTES else "broadcast"
+        if strategy == "grouped":
+            keep = {a: kw[a] for a in ("qid_col", "qvec_col", "id_col", "vec_col", "payload") if a in kw}
+            hits = self.search_grouped(questions, k=k, nprobe=nprobe, **keep)
+        else:
+            hits = nearest(table, questions, k=k, probe=self.probe(nprobe), **kw)
         if not fallback:
             return hits.withColumn("exact", F.lit(False))
         qid = kw.get("qid_col", "query_id")

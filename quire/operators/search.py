@@ -106,6 +106,31 @@ def _to_micros(arr: pa.Array) -> np.ndarray:
     return arr.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
 
 
+def select_top_k(dist: np.ndarray, ids, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(question index, row index) of each question's k nearest rows by (distance, id); inf = excluded.
+
+    Vectorised: partition to the k-th distance, then one lexsort over the few
+    candidates and a per-question position cut, so ties never yield more than k.
+    """
+    n = dist.shape[1]
+    if n > k:
+        kth = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
+        sel = (dist <= kth) & np.isfinite(dist)
+    else:
+        sel = np.isfinite(dist)
+    qi, di = np.nonzero(sel)
+    if len(qi) == 0:
+        return qi, di
+    if np.bincount(qi).max() > k:  # ties at the k-th distance: order by id and cut
+        id_rank = np.unique(np.asarray(ids, dtype=object)[di], return_inverse=True)[1]
+        order = np.lexsort((id_rank, dist[qi, di], qi))
+        qi, di = qi[order], di[order]
+        starts = np.r_[0, np.nonzero(np.diff(qi))[0] + 1]
+        pos = np.arange(len(qi)) - np.repeat(starts, np.diff(np.r_[starts, len(qi)]))
+        qi, di = qi[pos < k], di[pos < k]
+    return qi, di
+
+
 def _eq_matrix(store_col: pa.Array, q_vals: list) -> np.ndarray:
     """(nq, n) boolean: store value equals the question's value (False for null question values).
 
@@ -188,22 +213,9 @@ def _make_kernel(bc, k: int, dim: int, vec_col: str, payload: list[str], qfilter
                             cmp = (ts[None, :] <= en[:, None]) if qfilter.end_inclusive else (ts[None, :] < en[:, None])
                             keep &= ~has[:, None] | (cmp & ~tnull[None, :])
                     dist[~keep] = np.inf
-                if n > k:
-                    kth = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
-                    sel = (dist <= kth) & np.isfinite(dist)
-                    # ties at the k-th distance: keep exactly k per question, smallest ids first,
-                    # so even a store full of identical vectors emits k rows per batch
-                    over = np.nonzero(sel.sum(axis=1) > k)[0]
-                    if len(over):
-                        ids = np.asarray(b.column(id_col).to_pandas(), dtype=object)
-                        for q in over:
-                            cand = np.nonzero(sel[q])[0]
-                            order = sorted(cand, key=lambda j: (dist[q, j], ids[j]))[:k]
-                            sel[q] = False
-                            sel[q, order] = True
-                else:
-                    sel = np.isfinite(dist)
-                qi, di = np.nonzero(sel)
+                # k per question by (distance, id): even a store full of identical
+                # vectors emits exactly k rows per question per batch
+                qi, di = select_top_k(dist, b.column(id_col).to_pandas().to_numpy(), k)
                 if len(qi) == 0:
                     continue
                 taken = b.select(payload).take(pa.array(di, type=pa.int64()))

@@ -406,3 +406,13 @@ def uuid_time_ids(spark, d):
 
 
 QUERIES["uuid_time_ids"] = uuid_time_ids
+
+
+def ann_topk_grouped(spark, d):
+    """SK7 without growing broadcasts: questions meet index rows in salted (cell, sub) cogroups."""
+    idx = IvfIndex(spark, scratch_path(spark, "ivf")).build(derived.vector_store(spark, d), n_cells=16)
+    res = idx.search(derived.label_questions(spark, d), k=3, nprobe=4, strategy="grouped")
+    return _report(res, ["query_id", "rank", "id", "distance", "exact"])
+
+
+QUERIES["ann_topk_grouped"] = ann_topk_grouped

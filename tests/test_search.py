@@ -161,3 +161,19 @@ def test_ivf_ensure_and_drop(spark, sf):
     idx.ensure(s, n_cells=4)  # already there: nothing rebuilt, no error
     idx.drop()
     assert not idx.exists()
+
+
+def test_ivf_grouped_equals_broadcast_probe(spark, sf):
+    s, q = derived.vector_store(spark, sf), derived.label_questions(spark, sf)
+    idx = IvfIndex(spark, scratch_path(spark, "ivf-grouped")).build(s, n_cells=4)
+    a = {(r["query_id"], r["rank"], r["id"]) for r in idx.search(q, k=5, nprobe=2, fallback=False).collect()}
+    b = {(r["query_id"], r["rank"], r["id"]) for r in idx.search_grouped(q, k=5, nprobe=2, rows_per_group=7).collect()}
+    assert a == b  # same probes, same candidates; cells split into many (cell, sub) groups
+
+
+def test_select_top_k_ties():
+    from quire.operators.search import select_top_k
+    dist = np.array([[0.1, 0.1, 0.1, 0.5, np.inf], [0.3, 0.2, np.inf, 0.2, 0.9]])
+    qi, di = select_top_k(dist, np.array([9, 3, 5, 1, 2]), 2)
+    got = {(int(a), int(b)) for a, b in zip(qi, di)}
+    assert got == {(0, 1), (0, 2), (1, 1), (1, 3)}
