@@ -33,32 +33,31 @@ def lookup_folder(wanted: DataFrame, folders: DataFrame, out: str = "folder_id",
     return w.join(f, cond, "left").select("w.*", F.col(f"f.{out}").alias(out))
 
 
-def _level(wanted: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """wanted(name, parent_id, path) -> (ids for every wanted row, newly created folder rows)."""
-    found = lookup_folder(wanted, None, first=first)
-    created = (found.filter(F.col("folder_id").isNull())
-               .select(new_folder_id("path").alias("id"), "name", "parent_id", "path"))
-    resolved = found.select("name", "parent_id", "path",
-                            F.coalesce("folder_id", new_folder_id("path")).alias("id"))
-    return resolved, created
-
-
 def get_or_create_folders(paths: DataFrame, folders: DataFrame, top: str = "addressed_to",
                           sub: str = "sender") -> DataFrame:
     """JN4: the folder table after ensuring ``top`` / ``sub`` folders exist for every row of ``paths``.
 
-    Both levels look up the same (name, parent) -> first-id aggregate of the
+    One chain over the distinct paths: resolve the top folder (existing first
+    id, else a new id from the path), then the sub folder under it, then emit
+    each row's missing folders with one ``explode`` and ``distinct``. Both
+    levels look up the same (name, parent) -> first-id aggregate of the
     existing table: a sub-folder cannot already exist under a parent created in
-    this run (its id is new), so level 2 never needs level 1's new rows.
+    this run (its id is new).
     """
     folders = folders.select(*FOLDER_COLS)
     first = _first_ids(folders)
-    p = paths.select(top, sub).distinct()
-    l1_wanted = p.select(F.col(top).alias("name"), F.lit(None).cast("string").alias("parent_id"),
-                         F.col(top).alias("path")).distinct()
-    l1, c1 = _level(l1_wanted, first)
-    l2_wanted = (p.join(l1.select(F.col("name").alias(top), F.col("id").alias("parent_id")), top)
-                 .select(F.col(sub).alias("name"), "parent_id",
-                         F.concat_ws("/", F.col(top), F.col(sub)).alias("path")).distinct())
-    _, c2 = _level(l2_wanted, first)
-    return folders.unionByName(c1).unionByName(c2)
+    p = paths.select(F.col(top).alias("_top"), F.col(sub).alias("_sub")).distinct()
+    l1 = lookup_folder(p.select("_top", "_sub", F.col("_top").alias("name"),
+                                F.lit(None).cast("string").alias("parent_id")), None, first=first)
+    l1 = l1.select("_top", "_sub", F.col("folder_id").isNull().alias("_new1"),
+                   F.coalesce("folder_id", new_folder_id(F.col("_top"))).alias("_id1"))
+    path2 = F.concat_ws("/", F.col("_top"), F.col("_sub"))
+    l2 = lookup_folder(l1.select("*", F.col("_sub").alias("name"), F.col("_id1").alias("parent_id")), None, first=first)
+    l2 = l2.select("*", F.col("folder_id").isNull().alias("_new2"), new_folder_id(path2).alias("_id2"),
+                   path2.alias("_path2"))
+    row = lambda i, n, par, pth: F.struct(i.alias("id"), n.alias("name"), par.alias("parent_id"), pth.alias("path"))
+    created = (l2.select(F.explode(F.array(
+                   F.when(F.col("_new1"), row(F.col("_id1"), F.col("_top"), F.lit(None).cast("string"), F.col("_top"))),
+                   F.when(F.col("_new2"), row(F.col("_id2"), F.col("_sub"), F.col("_id1"), F.col("_path2"))))).alias("f"))
+               .filter(F.col("f").isNotNull()).select("f.*").distinct())
+    return folders.unionByName(created)
