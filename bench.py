@@ -21,7 +21,7 @@ HEADLINE = [
     "topk_batch", "topk_single", "text_search", "topk_predicates", "topk_time_range",
     "rag_search", "default_answer", "calendar_events", "summary_text", "embedding_text",
     "page_assembly", "last_partial", "upsert_update", "delete_ids", "folder_get_or_create",
-    "hash_embed_stats", "ann_topk",
+    "hash_embed_stats", "record_parse", "ann_topk",
 ]
 
 
