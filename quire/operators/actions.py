@@ -103,12 +103,20 @@ def stored_files(docs: DataFrame, source_col: str = "source_path") -> DataFrame:
 def calendar_events(docs: DataFrame, files: DataFrame | None = None, tz: str = EVENT_TZ) -> DataFrame:
     """PF15 + SK3 + JN6: one event per dated action; end = start + 1 hour; no_action gives none.
 
-    The description of appointment and reply events links the filed document
-    (JN6); payment events carry no link and an empty location (D26).
+    The description of appointment and reply events links the filed document;
+    payment events carry no link and an empty location (D26). Without a
+    ``files`` table the link is the document's own filing path (computed in the
+    same pass, no join); with one (e.g. ids assigned by an external store) it is
+    joined on ``doc_id`` (JN6).
     """
-    files = files if files is not None else stored_files(docs)
-    a = explode_actions(has_actions(docs), ["doc_id", "title_in_english", "summary_in_english"])
-    a = a.join(files.select("doc_id", F.col("path").alias("link")), "doc_id", "left")
+    keep = ["doc_id", "title_in_english", "summary_in_english"]
+    if files is None:
+        d = has_actions(docs).withColumn(
+            "link", tx.folder_path("addressed_to", "sender", tx.file_name("sent_date", "title_in_english")))
+        a = explode_actions(d, keep + ["link"])
+    else:
+        a = explode_actions(has_actions(docs), keep)
+        a = a.join(files.select("doc_id", F.col("path").alias("link")), "doc_id", "left")
     t = F.col("a.action_type")
     title = F.col("title_in_english")
     summary = F.concat(F.lit(L_SUMMARY), tx.or_default("summary_in_english", tx.NA))

@@ -416,3 +416,14 @@ def ann_topk_grouped(spark, d):
 
 
 QUERIES["ann_topk_grouped"] = ann_topk_grouped
+
+
+def event_file_links(spark, d):
+    """JN6: events joined to a stored-files table (file ids assigned at upload) on doc_id."""
+    docs = derived.doc_records(spark, d)
+    files = act.stored_files(docs).withColumn("file_id", F.substring(F.sha2("path", 256), 1, 16))
+    ev = act.calendar_events(docs, files.select("doc_id", F.concat(F.lit("file/"), F.col("file_id")).alias("path")))
+    return ev.select("doc_id", "action_no", F.element_at(F.split("description", "\n"), -1).alias("link_line"))
+
+
+QUERIES["event_file_links"] = event_file_links

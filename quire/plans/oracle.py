@@ -341,3 +341,9 @@ ORACLE["uuid_time_ids"] = """WITH u AS (
 ids AS (SELECT event_id, ts, substr(h, 8, 8) || '-' || substr(h, 4, 4) || '-1' || substr(h, 1, 3) || '-' || clock || '-' || node AS id FROM u),
 back AS (SELECT *, make_timestamp(((('0x' || substr(id, 16, 3) || substr(id, 10, 4) || substr(id, 1, 8))::BIGINT - 122192928000000000) // 10)) AS t FROM ids)
 SELECT event_id, id, strftime(t, '%Y-%m-%dT%H:%M:%S') AS id_time, t = ts AS "exact" FROM back"""
+
+ORACLE["event_file_links"] = f"""WITH {DOCS_CTE}
+SELECT doc_id, action_no,
+  CASE action_type WHEN 'payment_required' THEN 'Bank Details: ' || bank
+       ELSE 'Document Link: file/' || substr(sha256(link), 1, 16) END AS link_line
+FROM actd WHERE action_type <> 'no_action'"""
