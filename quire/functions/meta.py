@@ -35,14 +35,3 @@ def expand_metadata(metadata, keys: dict[str, str]) -> list[Column]:
         v = json_value(metadata, k)
         out.append((v if t == "string" else v.try_cast(t)).alias(k))
     return out
-
-
-def as_text_map(metadata) -> Column:
-    """Metadata as map<string,string> (open key set; nested values stay JSON text)."""
-    return F.from_json(_c(metadata), "map<string,string>")
-
-
-def keep_keys_json(metadata, keep: list[str]) -> Column:
-    """PF9: JSON of only the kept keys that exist; null values stay, missing keys stay out."""
-    keep_arr = F.array(*[F.lit(k) for k in keep])
-    return F.to_json(F.map_filter(as_text_map(metadata), lambda k, v: F.array_contains(keep_arr, k)))

@@ -46,8 +46,3 @@ def cosine_distance(a, b, a_norm=None, b_norm=None) -> Column:
     same_len = F.size(a) == F.size(b)
     cos = F.try_divide(dot(a, b), na * nb)
     return F.when(same_len & (na > 0) & (nb > 0), F.lit(1.0) - cos)
-
-
-def vector_mean(col: str, dim: int) -> list[Column]:
-    """Aggregate expressions giving the element-wise mean of a fixed-length vector column."""
-    return [F.avg(F.element_at(F.col(col), i + 1).cast("double")).alias(f"_m{i}") for i in range(dim)]

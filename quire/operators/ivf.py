@@ -54,7 +54,12 @@ class IvfIndex:
         return self.path + "_centroids"
 
     def build(self, store: DataFrame, n_cells: int, vec_col: str = "embedding", seed: int = 7,
-              max_iter: int = 20) -> "IvfIndex":
+              max_iter: int = 20, train_fraction: float = 1.0) -> "IvfIndex":
+        """Train the cells and write every row with its cell.
+
+        ``train_fraction`` < 1 trains the centroids on that share of the rows (each
+        k-means iteration is a full pass); every row is still assigned and written.
+        """
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
         dim = len(store.select(vec_col).filter(F.size(vec_col) > 0).first()[0])
@@ -63,7 +68,7 @@ class IvfIndex:
         feats = store.filter(F.size(vec_col) == dim).withColumn("_f", array_to_vector(F.col(vec_col)))
         km = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol=self.cell_col,
                     distanceMeasure="cosine")
-        model = km.fit(feats)
+        model = km.fit(feats if train_fraction >= 1.0 else feats.sample(fraction=train_fraction, seed=seed))
         assigned = model.transform(feats).drop("_f")
         assigned.write.mode("overwrite").partitionBy(self.cell_col).parquet(self.path)
         sizes = {r[0]: r[1] for r in self.read().groupBy(self.cell_col).count().collect()}  # n_cells rows

@@ -325,8 +325,3 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str =
         return spark.createDataFrame([], out_struct.add("rank", T.IntegerType()))
     cand = reduce(DataFrame.unionByName, parts)
     return top_k_per_group(cand, k, group=qid_col, order=("distance", id_col))
-
-
-def with_distance(df: DataFrame, a: str | Column, b: str | Column, out: str = "distance") -> DataFrame:
-    """SC1 on a DataFrame that already pairs two vectors per row."""
-    return df.withColumn(out, cosine_distance(a, b))

@@ -18,8 +18,6 @@ order is given).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -203,7 +201,3 @@ class VectorTable:
             affected = self._affected(cur.filter(pred))
             rows = remove_matching(cur.filter(F.col(self.part_col).isin(affected)), pred)
         self._replace_partitions(affected, rows)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
