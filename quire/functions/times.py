@@ -71,7 +71,11 @@ def parse_iso(text, tz: str = EVENT_TZ) -> Column:
         F.when(off.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
         * (F.substring(digits, 1, 2).cast("int") * 60 + F.substring(digits, 3, 2).cast("int")))
     utc_wall = base - F.make_dt_interval(F.lit(0), F.lit(0), minutes)
-    return F.when(off == "", base).otherwise(F.convert_timezone(F.lit("UTC"), F.lit(tz), utc_wall))
+    with_regex = F.when(off == "", base).otherwise(F.convert_timezone(F.lit("UTC"), F.lit(tz), utc_wall))
+    # cheap routing: only text that may end in an offset ('Z', '+hh:mm', '+hhmm') pays for the regexes
+    maybe_off = (t.endswith("Z") | (F.substring(t, -6, 1).isin("+", "-") & (F.substring(t, -3, 1) == ":"))
+                 | F.substring(t, -5, 1).isin("+", "-"))
+    return F.when(maybe_off, with_regex).otherwise(t.try_cast("timestamp_ntz"))
 
 
 _DAY_US = 86_400_000_000

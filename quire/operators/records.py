@@ -90,12 +90,12 @@ def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(expr.alias(name)))))
 
 
-def parse_records(df: DataFrame, text_col: str = "record", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """SR5 + UD1 tail: JSON text -> typed record; returns (ok, rejects).
+def validate_records(df: DataFrame, text_col: str = "record", keep: list[str] | None = None) -> DataFrame:
+    """SR5 in one pass: ``keep`` columns, ``_raw`` text, typed ``rec`` struct and ``reason`` (null = valid).
 
     ``from_json`` (PERMISSIVE) reads dates and times as text; they are then
     parsed as ISO, offsets allowed (D22). Malformed JSON, unparseable dates and
-    the record rules (``reject_reason``) send the row to ``rejects``.
+    the record rules (``reject_reason``) give a reason.
     """
     keep = keep or [c for c in df.columns if c != text_col]
     p = once(df.select(*keep, F.col(text_col).alias("_raw")), "txt",
@@ -103,8 +103,17 @@ def parse_records(df: DataFrame, text_col: str = "record", keep: list[str] | Non
     # from_json with PERMISSIVE gives a struct of nulls for broken JSON: treat all-null as unparseable
     all_null = F.coalesce(*[F.col("txt")[f.name].isNotNull() for f in DOC.fields], F.lit(False))
     p = once(p.withColumn("txt", F.when(all_null, F.col("txt"))), "rec", _typed(F.col("txt"), DOC))
-    p = p.withColumn("reason", F.coalesce(
+    return p.withColumn("reason", F.coalesce(
         F.when(_bad_dates(F.col("txt"), F.col("rec"), DOC), F.lit("bad date or time text")), reject_reason())).drop("txt")
+
+
+def parse_records(df: DataFrame, text_col: str = "record", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """SR5 + UD1 tail: JSON text -> typed record; returns (ok, rejects) filtered from ``validate_records``.
+
+    Use ``validate_records`` directly when both outcomes are needed in one job.
+    """
+    keep = keep or [c for c in df.columns if c != text_col]
+    p = validate_records(df, text_col, keep)
     ok = p.filter(F.col("reason").isNull()).select(*keep, "rec.*")
     rejects = p.filter(F.col("reason").isNotNull()).select(*keep, F.col("_raw").alias(text_col), "reason")
     return ok, rejects

@@ -382,15 +382,15 @@ QUERIES.update({
 
 def record_parse(spark, d):
     """SR5: every record's JSON parsed back and validated; raw web pages stand for broken model output."""
-    from ..operators.records import parse_records, record_json
+    from ..operators.records import record_json, validate_records
     docs = derived.doc_records(spark, d)
     good = docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("src"),
                        record_json(docs).alias("record"))
     broken = table(spark, d, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("src"),
                                              F.col("html").alias("record"))
-    ok, bad = parse_records(good.unionByName(broken))
-    return (ok.select("src", F.lit("ok").alias("status"), F.size("required_actions").alias("n_actions"))
-            .unionByName(bad.select("src", F.col("reason").alias("status"), F.lit(None).cast("int").alias("n_actions"))))
+    v = validate_records(good.unionByName(broken))
+    return v.select("src", F.coalesce("reason", F.lit("ok")).alias("status"),
+                    F.when(F.col("reason").isNull(), F.size("rec.required_actions")).alias("n_actions"))
 
 
 QUERIES["record_parse"] = record_parse
