@@ -122,6 +122,8 @@ def select_top_k(dist: np.ndarray, ids, k: int) -> tuple[np.ndarray, np.ndarray]
     if len(qi) == 0:
         return qi, di
     if np.bincount(qi).max() > k:  # ties at the k-th distance: order by id and cut
+        if hasattr(ids, "to_pandas"):  # Arrow column: converted only when ties need it
+            ids = ids.to_pandas().to_numpy()
         id_rank = np.unique(np.asarray(ids, dtype=object)[di], return_inverse=True)[1]
         order = np.lexsort((id_rank, dist[qi, di], qi))
         qi, di = qi[order], di[order]
@@ -215,11 +217,12 @@ def _make_kernel(bc, k: int, dim: int, vec_col: str, payload: list[str], qfilter
                     dist[~keep] = np.inf
                 # k per question by (distance, id): even a store full of identical
                 # vectors emits exactly k rows per question per batch
-                qi, di = select_top_k(dist, b.column(id_col).to_pandas().to_numpy(), k)
+                qi, di = select_top_k(dist, b.column(id_col), k)
                 if len(qi) == 0:
                     continue
                 taken = b.select(payload).take(pa.array(di, type=pa.int64()))
-                cols = [pa.array(qids[qi]), pa.array(dist[qi, di], type=pa.float64())] + list(taken.columns)
+                cols = ([pa.array(qids[qi], type=out_schema.field(0).type), pa.array(dist[qi, di], type=pa.float64())]
+                        + list(taken.columns))
                 yield pa.RecordBatch.from_arrays(cols, schema=out_schema)
     return run
 

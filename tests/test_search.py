@@ -177,3 +177,11 @@ def test_select_top_k_ties():
     qi, di = select_top_k(dist, np.array([9, 3, 5, 1, 2]), 2)
     got = {(int(a), int(b)) for a, b in zip(qi, di)}
     assert got == {(0, 1), (0, 2), (1, 1), (1, 3)}
+
+
+def test_int_and_string_question_ids(spark):
+    st = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 1.0])], "id string, embedding array<double>")
+    q1 = spark.createDataFrame([(1, [1.0, 0.1])], "query_id int, embedding array<double>")
+    q2 = spark.createDataFrame([("q", [0.1, 1.0])], "query_id string, embedding array<double>")
+    assert [r["id"] for r in search.nearest(st, q1, k=2).orderBy("rank").collect()] == ["a", "c"]
+    assert [r["id"] for r in search.nearest(st, q2, k=2).orderBy("rank").collect()] == ["b", "c"]
