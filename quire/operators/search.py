@@ -60,6 +60,7 @@ class QuestionFilter:
     end_col: str | None = None
     start_inclusive: bool = True
     end_inclusive: bool = False
+    part_col: str | None = "week_start"  # partition column derived from time_col, pruned by the block envelope
 
     def store_columns(self) -> list[str]:
         cols = [s for s, _ in self.equals]
@@ -227,6 +228,41 @@ def _make_kernel(bc, k: int, dim: int, vec_col: str, payload: list[str], qfilter
     return run
 
 
+def _envelope(qf: QuestionFilter, cols: dict, store_cols: set[str]) -> Column | None:
+    """A filter every row any question of the block could accept satisfies (pushed into the scan).
+
+    Time: [earliest start, latest end] when every question has both bounds, plus
+    the matching ``week_start`` range so whole weeks are pruned. Equality: with
+    "or", ``s1 IN (...) OR s2 IN (...)`` when every question names at least one
+    value; with "and", one ``IN`` per field that every question names.
+    """
+    from ..functions.times import ntz_lit, week_start
+    import datetime as _dt
+
+    conds = []
+    lo_null = np.iinfo(np.int64).min
+    if qf.time_col and qf.start_col and qf.end_col:
+        st, en = cols[qf.start_col], cols[qf.end_col]
+        if len(st) and (st != lo_null).all() and (en != lo_null).all():
+            to_dt = lambda us: _dt.datetime(1970, 1, 1) + _dt.timedelta(microseconds=int(us))
+            lo, hi = ntz_lit(to_dt(st.min())), ntz_lit(to_dt(en.max()))
+            conds.append((F.col(qf.time_col) >= lo) & (F.col(qf.time_col) <= hi))
+            if qf.part_col and qf.part_col in store_cols:
+                conds.append((F.col(qf.part_col) >= week_start(lo)) & (F.col(qf.part_col) <= week_start(hi)))
+    if qf.equals:
+        vals = {s_col: cols[q_col] for s_col, q_col in qf.equals}
+        n = len(next(iter(vals.values())))
+        if qf.combine == "and":
+            for s_col, v in vals.items():
+                if n and all(x is not None for x in v):
+                    conds.append(F.col(s_col).isin(sorted(set(v))))
+        elif n and all(any(vals[s][i] is not None for s in vals) for i in range(n)):
+            ors = [F.col(s_col).isin(sorted({x for x in v if x is not None})) for s_col, v in vals.items()
+                   if any(x is not None for x in v)]
+            conds.append(reduce(lambda a, b: a | b, ors))
+    return reduce(lambda a, b: a & b, conds) if conds else None
+
+
 def _question_blocks(questions: DataFrame, qid_col: str, qvec_col: str, extra: list[str], block_rows: int):
     block = []
     for row in questions.select(qid_col, qvec_col, *extra).toLocalIterator(prefetchPartitions=True):
@@ -315,12 +351,16 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str =
     for rows in blocks:
         packed = _pack_block(rows, dim, qvec_col, qid_col, qextra, time_cols)
         block_scan = scan
+        if qf is not None:
+            env = _envelope(qf, packed[3], set(store.columns))
+            if env is not None:
+                block_scan = store.filter(env).select(*store_cols)
         if probe is not None:
             allowed = probe.allowed(packed[1])
             packed[3]["__cells__"] = (probe.cell_col, allowed)
             probed = np.nonzero(allowed.any(axis=0))[0].tolist()
             # partition pruning: only the probed cells' files are read
-            block_scan = scan.filter(F.col(probe.cell_col).isin(probed))
+            block_scan = block_scan.filter(F.col(probe.cell_col).isin(probed))
         bc = spark.sparkContext.broadcast(packed)
         kernel = _make_kernel(bc, k, dim, vec_col, payload, qf, out_arrow, id_col)
         parts.append(block_scan.mapInArrow(kernel, out_struct))

@@ -62,3 +62,25 @@ def test_ivf_search_reads_only_probed_cells(spark, sf):
     p = _plan(hits)
     part = p.split("PartitionFilters:")[1].split("]")[0]
     assert "cell" in part and " IN " in part.upper()
+
+
+def test_question_envelope_prunes_weeks(spark, sf, tmp_dir):
+    from pyspark.sql import functions as F
+    from quire.operators.search import QuestionFilter
+    t = VectorTable(spark, f"{tmp_dir}/store2").create(derived.vector_store(spark, sf).select("id", "ingest_ts", "week_start", "lang", "embedding"))
+    q = derived.label_questions(spark, sf).select(
+        "query_id", "embedding", F.lit(dt.datetime(2024, 1, 1, 6)).cast("timestamp_ntz").alias("s"),
+        F.lit(dt.datetime(2024, 1, 2)).cast("timestamp_ntz").alias("e"), F.lit("de").alias("lang_q"))
+    qf = QuestionFilter(equals=(("lang", "lang_q"),), time_col="ingest_ts", start_col="s", end_col="e")
+    hits = search.nearest(t.read(), q, k=3, question_filter=qf)
+    p = _plan(hits)
+    part = p.split("PartitionFilters:")[1].split("]")[0]
+    assert "week_start" in part
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        hits.explain("formatted")
+    pushed = [ln for ln in buf.getvalue().splitlines() if ln.startswith("PushedFilters") and "lang" in ln]
+    assert pushed and ("In(lang, [de])" in pushed[0] or "EqualTo(lang,de)" in pushed[0])
+    assert all(r["rank"] <= 3 for r in hits.collect())
