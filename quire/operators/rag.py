@@ -114,6 +114,30 @@ def preprocess_questions(questions: DataFrame, addressees: DataFrame | None = No
     return out.join(hits, qid, "left")
 
 
+PREPROCESS_PROMPT = "You turn a user's question into search filters. Today is "
+
+
+def preprocess_with_model(questions: DataFrame, model: Callable, *, qid: str = "query_id", text: str = "question",
+                          as_of: str = "as_of", **model_options) -> DataFrame:
+    """PF12 through a model (UD1): the callable gets one message list per question and returns JSON
+    ``{"sender", "addressed_to", "start_date", "end_date"}``; a sender outside the domain is dropped,
+    unparseable output leaves every field null (no filter)."""
+    from pyspark.sql import types as T
+    from ..functions.times import parse_iso
+    from .model import apply_model
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("sender", "addressed_to", "start_date", "end_date")])
+    msgs = F.array(
+        F.struct(F.lit("system").alias("role"),
+                 F.concat(F.lit(PREPROCESS_PROMPT), F.date_format(F.col(as_of), "yyyy-MM-dd")).alias("content")),
+        F.struct(F.lit("user").alias("role"), F.concat(F.lit("# User question: "), F.col(text)).alias("content")))
+    ok, _ = apply_model(questions.select(qid, msgs.alias("messages")), "messages", model, schema, keep=[qid],
+                        **model_options)
+    got = ok.select(qid, F.when(F.col("sender").isin(*SENDERS), F.col("sender")).alias("q_sender"),
+                    F.col("addressed_to").alias("q_addressed_to"),
+                    parse_iso(F.col("start_date")).alias("start_ts"), parse_iso(F.col("end_date")).alias("end_ts"))
+    return questions.join(got, qid, "left")
+
+
 def context_record(contents: str = "contents", metadata: str = "metadata", keep: list[str] | None = None) -> Column:
     """PF9: {'content': .., then each kept key present in metadata, in ``keep`` order} as JSON text."""
     keep = keep or CONTEXT_KEYS
@@ -169,9 +193,11 @@ def retrieve(store: DataFrame, pre: DataFrame, k: int = 3, *, qid: str = "query_
 
 
 def answer_questions(questions: DataFrame, store: DataFrame, addressees: DataFrame | None = None, k: int = 3, *,
-                     threshold: float = DEFAULT_THRESHOLD, model: Callable | None = None) -> DataFrame:
+                     threshold: float = DEFAULT_THRESHOLD, model: Callable | None = None,
+                     preprocess_model: Callable | None = None) -> DataFrame:
     """UD5: one answer row per question (questions without any hit still get one)."""
-    pre = preprocess_questions(questions, addressees)
+    pre = (preprocess_with_model(questions, preprocess_model) if preprocess_model is not None
+           else preprocess_questions(questions, addressees))
     hits = retrieve(store, pre, k)
     ctx = questions.select("query_id").join(contexts(hits), "query_id", "left") \
         .withColumn("n_context", F.coalesce("n_context", F.lit(0)))

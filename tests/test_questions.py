@@ -38,3 +38,26 @@ def test_last_partial_wins_out_of_order(spark):
     df = spark.createDataFrame(rows, "doc_id string, seq int, record string").repartition(3)
     got = {r["doc_id"]: (r["seq"], r["record"]) for r in assembly.last_partial(df).collect()}
     assert got == {"d1": (5, "v5"), "d2": (0, "only")}
+
+
+def _filters_model(inputs, **_):
+    import json
+    out = []
+    for msgs in inputs:
+        q = msgs[-1]["content"]
+        if "garbage" in q:
+            out.append("not json")
+        elif "tax" in q.lower():
+            out.append(json.dumps({"sender": "Tax", "addressed_to": None, "start_date": "2024-04-01", "end_date": "2024-05-01"}))
+        else:
+            out.append(json.dumps({"sender": "Bank", "addressed_to": "Kim Lee", "start_date": None, "end_date": None}))
+    return out
+
+
+def test_preprocess_with_model(spark):
+    qs = spark.createDataFrame([(1, "tax letters last month", AS_OF), (2, "for Kim", AS_OF), (3, "garbage", AS_OF)],
+                               "query_id bigint, question string, as_of date")
+    got = {r["query_id"]: r for r in rag.preprocess_with_model(qs, _filters_model).collect()}
+    assert got[1]["q_sender"] == "Tax" and got[1]["start_ts"] == dt.datetime(2024, 4, 1)
+    assert got[2]["q_sender"] is None and got[2]["q_addressed_to"] == "Kim Lee"   # sender outside the domain dropped
+    assert got[3]["q_sender"] is None and got[3]["start_ts"] is None              # unparseable: no filter
