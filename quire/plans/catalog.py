@@ -427,3 +427,15 @@ def event_file_links(spark, d):
 
 
 QUERIES["event_file_links"] = event_file_links
+
+
+def doc_search_sent_date(spark, d):
+    """PF8 / D3 on a date column: benchmark texts against records sent in 1996 (time_col = sent_date), top 3."""
+    store = apply_filters(derived.doc_store(spark, d), time=(_dt.datetime(1996, 1, 1), _dt.datetime(1997, 1, 1)),
+                          time_col="sent_date")
+    qs = derived.text_questions(spark, d)
+    res = search.nearest(store, qs, k=3, payload=["id", "doc_id"])
+    return _report(res, ["query_id", "rank", "doc_id", "distance"])
+
+
+QUERIES["doc_search_sent_date"] = doc_search_sent_date

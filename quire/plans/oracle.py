@@ -283,7 +283,7 @@ pre AS (SELECT qs.*, {_sender_case('question')} AS q_sender,
    (SELECT min(c_name) FROM customer WHERE contains(qs.question, c_name)) AS q_addressed_to,
    {_window('question', 'as_of', 'start')} AS start_ts, {_window('question', 'as_of', 'end')} AS end_ts FROM qs)"""
 
-DOC_STORE_CTE = f"""{DOCS_CTE},
+DOC_ROWS_CTE = f"""{DOCS_CTE},
 aj AS (SELECT doc_id, action_no, json_object('action_type', action_type,
     'appointment', CASE WHEN action_type = 'appointment' THEN json_object('date', strftime(appt_date, {TS}), 'location', appt_loc,
         'required_documents', CASE WHEN pr = '2-HIGH' THEN NULL ELSE ['passport', 'form ' || pr] END, 'additional_notes', appt_notes) END,
@@ -296,7 +296,9 @@ lines AS (SELECT doc_id, string_agg(chr(10) || 'Required Action: ' || j, '' ORDE
 ds AS (SELECT d.*, 'Sender: ' || d.sender || chr(10) || 'Addressed to: ' || d.addressed_to || chr(10) || d.content || coalesce(lines.l, '') AS contents,
         CAST(d.sent_date AS TIMESTAMP) + INTERVAL 1 DAY + INTERVAL 8 HOUR AS ingest_ts
       FROM docs d LEFT JOIN lines USING (doc_id)),
-dsi AS (SELECT *, sha256(contents) AS id FROM ds),
+dsi AS (SELECT *, sha256(contents) AS id FROM ds)"""
+
+DOC_STORE_CTE = DOC_ROWS_CTE + f""",
 {_hash_counts('s', 'dsi', 'id', 'contents')}, {_hash_counts('q', 'pre', 'query_id', 'question')},
 dots AS (SELECT q.k AS qk, s.k AS sk, sum(q.c * s.c) AS dot FROM q_b q JOIN s_b s USING (b) GROUP BY ALL),
 cand AS (SELECT pre.query_id, dsi.id, dsi.doc_id, dsi.title, dsi.sender, dsi.sent_date, dsi.addressed_to, dsi.summary, dsi.contents,
@@ -347,3 +349,12 @@ SELECT doc_id, action_no,
   CASE action_type WHEN 'payment_required' THEN 'Bank Details: ' || bank
        ELSE 'Document Link: file/' || substr(sha256(link), 1, 16) END AS link_line
 FROM actd WHERE action_type <> 'no_action'"""
+
+ORACLE["doc_search_sent_date"] = f"""WITH {DOC_ROWS_CTE},
+f AS (SELECT * FROM dsi WHERE sent_date >= DATE '1996-01-01' AND sent_date < DATE '1997-01-01'),
+{_hash_counts('s', 'f', 'id', 'contents')}, {_hash_counts('q', 'benchmark', 'item_id')},
+dots AS (SELECT q.k AS qk, s.k AS sk, sum(q.c * s.c) AS dot FROM q_b q JOIN s_b s USING (b) GROUP BY ALL),
+pairs AS (SELECT qn.k AS query_id, f.doc_id, f.id, 1 - coalesce(dots.dot, 0) / (qn.n * sn.n) AS distance
+          FROM q_n qn CROSS JOIN f JOIN s_n sn ON sn.k = f.id LEFT JOIN dots ON dots.qk = qn.k AND dots.sk = f.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs)
+SELECT query_id, rank, doc_id, round(distance, 6) AS distance FROM ranked WHERE rank <= 3"""
