@@ -19,7 +19,13 @@ DIST_PLACES = 6
 
 
 def _report(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.select(*[F.round("distance", DIST_PLACES).alias("distance") if c == "distance" else F.col(c) for c in cols])
+    def col(c):
+        if c == "distance":
+            return F.round("distance", DIST_PLACES).alias("distance")
+        if c == "rank":
+            return F.col("rank").cast("bigint").alias("rank")  # row_number() is BIGINT in SQL engines
+        return F.col(c)
+    return df.select(*[col(c) for c in cols])
 
 
 def topk_single(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +127,7 @@ def _relabelled(spark, d):
 
 def _store_report(df):
     return df.select("id", iso("ingest_ts").alias("ingest_ts"), "lang", "source", "label",
-                     F.length("contents").alias("n_chars"))
+                     F.length("contents").cast("bigint").alias("n_chars"))
 
 
 def upsert_update(spark, d):
