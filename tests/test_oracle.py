@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as E
 
 ORACLE = E.oracle_sql()
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
 QUERIES = E.queries()
 
 
@@ -23,6 +24,8 @@ def test_query_matches_oracle(spark, sf, duck, name):
     ocols = [c[0] for c in res.description]
     orows = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    duck_types = {r[0]: r[1] for r in duck.execute(f"DESCRIBE ({ORACLE[name]})").fetchall()}
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes} == duck_types
     assert len(rows) == len(orows)
     assert _digest(df.columns, rows) == _digest(ocols, orows)
 
