@@ -445,3 +445,13 @@ def doc_search_sent_date(spark, d):
 
 
 QUERIES["doc_search_sent_date"] = doc_search_sent_date
+
+
+def event_utc(spark, d):
+    """SC7: every event's Berlin wall-time start and end as UTC (DST aware)."""
+    from ..functions.times import to_utc
+    ev = act.calendar_events(derived.doc_records(spark, d))
+    return ev.select("doc_id", "action_no", iso(to_utc("start_ts")).alias("start_utc"), iso(to_utc("end_ts")).alias("end_utc"))
+
+
+QUERIES["event_utc"] = event_utc

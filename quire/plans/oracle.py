@@ -358,3 +358,11 @@ pairs AS (SELECT qn.k AS query_id, f.doc_id, f.id, 1 - coalesce(dots.dot, 0) / (
           FROM q_n qn CROSS JOIN f JOIN s_n sn ON sn.k = f.id LEFT JOIN dots ON dots.qk = qn.k AND dots.sk = f.id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs)
 SELECT query_id, rank, doc_id, round(distance, 6) AS distance FROM ranked WHERE rank <= 3"""
+
+ORACLE["event_utc"] = f"""WITH {DOCS_CTE},
+e AS (SELECT *, CASE action_type WHEN 'appointment' THEN appt_date WHEN 'reply_required' THEN reply_deadline
+                 ELSE pay_deadline END AS st_ts FROM actd WHERE action_type <> 'no_action')
+SELECT doc_id, action_no,
+  strftime(timezone('UTC', timezone('Europe/Berlin', st_ts)), {TS}) AS start_utc,
+  strftime(timezone('UTC', timezone('Europe/Berlin', st_ts + INTERVAL 1 HOUR)), {TS}) AS end_utc
+FROM e"""
