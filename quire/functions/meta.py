@@ -23,9 +23,9 @@ def json_value(metadata, key: str) -> Column:
     return F.get_json_object(_c(metadata), json_path(key))
 
 
-def pack_metadata(*cols, keep_nulls: bool = True) -> Column:
-    """PF2: columns -> JSON object text, null-valued keys kept."""
-    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false" if keep_nulls else "true"})
+def pack_metadata(*cols, keep_nulls: bool = True, options: dict | None = None) -> Column:
+    """PF2: columns -> JSON object text, null-valued keys kept; ``options`` go to ``to_json`` (e.g. date formats)."""
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false" if keep_nulls else "true", **(options or {})})
 
 
 def expand_metadata(metadata, keys: dict[str, str]) -> list[Column]:

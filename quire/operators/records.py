@@ -163,7 +163,7 @@ def vector_records(docs: DataFrame, embed: bool = True, dim: int = 64, ingest_ts
         F.sha2(contents, 256).alias("id"),
         ts.alias("ingest_ts"),
         "sender", "addressed_to", "sent_date",
-        F.to_json(F.struct(*METADATA_KEYS), {"ignoreNullFields": "false", **JSON_OPTS}).alias("metadata"),
+        pack_metadata(*METADATA_KEYS, options=JSON_OPTS).alias("metadata"),
         contents.alias("contents"))
     out = out.withColumn("week_start", week_start("ingest_ts"))
     if embed:

@@ -8,11 +8,23 @@ the cross-engine comparison (ranking uses the unrounded value).
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import search
-from ..session import reliable_checkpoint
+from ..functions.meta import expand_metadata
+from ..functions.times import iso
+from ..operators import actions as act
+from ..operators import assembly, rag, search
+from ..operators import folders as fold
+from ..operators import store as vstore
+from ..operators.embed import hash_embed
+from ..operators.ivf import IvfIndex
+from ..operators.predicates import Predicate, apply_filters
+from ..operators.records import vector_records
+from ..session import reliable_checkpoint, scratch_path
+from ..sources.tables import table
 from . import derived
 
 DIST_PLACES = 6
@@ -55,13 +67,6 @@ QUERIES = {
 
 
 # ---------------------------------------------------------------- filtered search (PF5-PF8)
-import datetime as _dt  # noqa: E402
-
-from ..operators.predicates import Predicate, apply_filters  # noqa: E402
-from ..operators import store as vstore  # noqa: E402
-from ..functions.meta import expand_metadata  # noqa: E402
-from ..functions.times import iso  # noqa: E402
-from ..sources.tables import table  # noqa: E402
 
 
 def _filtered_topk(spark, d, k=3, **filters):
@@ -199,11 +204,6 @@ QUERIES.update({
 
 
 # ---------------------------------------------------------------- documents and actions (PF13-PF21, SK2-SK4, JN3-JN6)
-from ..operators import actions as act  # noqa: E402
-from ..operators import folders as fold  # noqa: E402
-from ..operators import assembly  # noqa: E402
-from ..operators.embed import token_buckets, hash_embed  # noqa: E402
-from ..operators.records import vector_records  # noqa: E402
 
 
 def calendar_events(spark, d):
@@ -316,7 +316,6 @@ QUERIES.update({
 
 
 # ---------------------------------------------------------------- question answering (PF9-PF12, UD4, UD5)
-from ..operators import rag  # noqa: E402
 
 
 def _pre(spark, d):
@@ -358,8 +357,6 @@ QUERIES.update({
 
 
 # ---------------------------------------------------------------- approximate index (SK7) and streaming (SM1)
-from ..operators.ivf import IvfIndex  # noqa: E402
-from ..session import reliable_checkpoint, scratch_path  # noqa: E402
 
 
 def ann_topk(spark, d):
