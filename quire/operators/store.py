@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 
+MAX_LITERAL_IDS = 10_000
+
+
 def dedupe_last(df: DataFrame, key: str = "id", seq_col: str | None = None) -> DataFrame:
     """Keep one row per key: the last by ``seq_col``.
 
@@ -120,7 +123,8 @@ class VectorTable:
 
     # --- SK6
     def create(self, df: DataFrame, mode: str = "overwrite") -> "VectorTable":
-        df.write.mode(mode).partitionBy(self.part_col).parquet(self.path)
+        # files sorted by id inside each week: row-group min/max statistics then skip data for id lookups
+        df.sortWithinPartitions(self.part_col, self.key).write.mode(mode).partitionBy(self.part_col).parquet(self.path)
         self._save_schema(self.spark.read.parquet(self.path).schema if df.isEmpty() is False else df.schema)
         return self
 
@@ -149,10 +153,10 @@ class VectorTable:
         if not affected:
             return
         staged = scratch_path(self.spark, "stage")
-        rows.write.mode("overwrite").partitionBy(self.part_col).parquet(staged)
+        rows.sortWithinPartitions(self.part_col, self.key).write.mode("overwrite").partitionBy(self.part_col).parquet(staged)
         staged_df = self.spark.read.schema(self.read().schema).parquet(staged)
-        (staged_df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(self.part_col).parquet(self.path))
+        (staged_df.sortWithinPartitions(self.part_col, self.key).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(self.part_col).parquet(self.path))
         kept = {r[0] for r in staged_df.select(self.part_col).distinct().collect()}
         for v in affected:
             if v not in kept:
@@ -191,6 +195,13 @@ class VectorTable:
             self._save_schema(sch)
             return
         if which == "ids":
+            if not isinstance(ids, DataFrame) and len(ids) <= MAX_LITERAL_IDS:
+                # a bounded literal list: an IN filter reaches the Parquet scan (row groups skipped by id stats)
+                hit_pred = F.col(self.key).isin(list(ids))
+                affected = self._affected(cur.filter(hit_pred))
+                rows = cur.filter(F.col(self.part_col).isin(affected)).filter(~F.coalesce(hit_pred, F.lit(False)))
+                self._replace_partitions(affected, rows)
+                return
             id_df = (ids.select(F.col(ids.columns[0]).alias(self.key)) if isinstance(ids, DataFrame)
                      else self.spark.createDataFrame([(i,) for i in ids], cur.select(self.key).schema))
             hit = cur.join(id_df, self.key, "left_semi")
