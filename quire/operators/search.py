@@ -263,6 +263,13 @@ def _envelope(qf: QuestionFilter, cols: dict, store_cols: set[str]) -> Column |
     return reduce(lambda a, b: a & b, conds) if conds else None
 
 
+def _filter_cols(qf: QuestionFilter | None, store: DataFrame) -> list[str]:
+    """Store columns the block envelope may filter on (kept when the store is materialised)."""
+    if qf is None:
+        return []
+    return [c for c in ([s for s, _ in qf.equals] + [qf.time_col, qf.part_col]) if c and c in store.columns]
+
+
 def _question_blocks(questions: DataFrame, qid_col: str, qvec_col: str, extra: list[str], block_rows: int):
     block = []
     for row in questions.select(qid_col, qvec_col, *extra).toLocalIterator(prefetchPartitions=True):
@@ -308,12 +315,17 @@ def _py_micros(v) -> int:
 def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str = "id", vec_col: str = "embedding",
             qid_col: str = "query_id", qvec_col: str = "embedding", payload: list[str] | None = None,
             question_filter: QuestionFilter | None = None, dim: int | None = None,
-            max_block_bytes: int = DEFAULT_BLOCK_BYTES, probe=None) -> DataFrame:
+            max_block_bytes: int = DEFAULT_BLOCK_BYTES, probe=None, materialize_store: bool = True) -> DataFrame:
     """JN1 + WN1: exact cosine top-k of ``store`` rows for every question.
 
     Returns ``qid_col, distance, rank`` plus ``payload`` store columns (default:
     ``id_col``). Rows with a null distance (zero vector, wrong length) never
     appear. Ties are broken by ``id_col``.
+
+    When the questions need more than one broadcast block, the projected store
+    is checkpointed once (``materialize_store``) so a derived store (e.g. one
+    that embeds text) is not recomputed for every block; for a plain stored
+    table pass ``materialize_store=False`` to scan it directly per block.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -332,7 +344,8 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str =
     head = qsel.take(block_rows + 1)
     if dim is None:
         dim = next((len(r[qvec_col]) for r in head if r[qvec_col]), 0)
-    if len(head) <= block_rows:
+    multi = len(head) > block_rows
+    if not multi:
         blocks = [head] if head else []
     else:  # more questions than one block: stream them in bounded blocks
         block_rows = max(1, max_block_bytes // (max(dim, 1) * 8 + 64 * (1 + len(qextra))))
@@ -341,6 +354,11 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str =
     store_cols = list(dict.fromkeys(payload + [vec_col] + (qf.store_columns() if qf else [])
                                     + ([probe.cell_col] if probe is not None else [])))
     scan = store.select(*store_cols)
+    if multi and materialize_store:
+        # one pass per block: compute the (projected) store once instead of once per block
+        from ..session import reliable_checkpoint
+        store = reliable_checkpoint(store.select(*dict.fromkeys(store_cols + _filter_cols(qf, store))))
+        scan = store.select(*store_cols)
     qid_type = questions.schema[qid_col].dataType
     out_struct = T.StructType([T.StructField(qid_col, qid_type), T.StructField("distance", T.DoubleType())]
                               + [store.schema[c] for c in payload])
