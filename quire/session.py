@@ -81,8 +81,8 @@ def ship_package(spark: SparkSession) -> None:
     so executors need it whatever the driver's working directory is. Done once
     per application. The zip is built in memory and written through the Hadoop
     file system into the shared checkpoint folder, from where Spark distributes
-    it; only when no such folder is configured (local development) does it go
-    to a temporary folder.
+    it; only in local mode without such a folder does it go to a temporary
+    folder (on a cluster that is an error).
     """
     import hashlib
     import io
@@ -110,9 +110,11 @@ def ship_package(spark: SparkSession) -> None:
         out.write(bytearray(buf.getvalue()))
         out.close()
         path = target.toString()
-    else:
+    elif sc.master.startswith("local"):  # local development only: driver and workers share this machine
         path = os.path.join(tempfile.mkdtemp(prefix="quire-pyfiles-"), name)
         with open(path, "wb") as fh:
             fh.write(buf.getvalue())
+    else:
+        raise RuntimeError("spark.checkpoint.dir is not set: configure a shared folder for checkpoints")
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
