@@ -115,10 +115,7 @@ def test_hash_embed_counts(spark):
 
 def test_embed_batches_user_callable(spark):
     from quire.operators.embed import embed_batches
-    calls = []
-
-    def fn(texts):
-        calls.append(len(texts))
+    def fn(texts):  # runs on the workers, once per Arrow batch
         return np.array([[len(t), 1.0] for t in texts])
 
     df = spark.createDataFrame([("a\nb",), ("ccc",), (None,)], "t string").coalesce(1)
@@ -128,7 +125,6 @@ def test_embed_batches_user_callable(spark):
 
 def test_hash_embed_matches_sql_token_rule(spark, sf):
     """The vectorised embedder and the SQL token/bucket expressions agree on whole documents."""
-    from pyspark.sql import functions as F
     from quire.operators.embed import hash_embed, token_buckets
     from quire.sources.tables import table
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -140,7 +136,6 @@ def test_hash_embed_matches_sql_token_rule(spark, sf):
         for x in r["b"] or []:
             counts[x] += 1.0
         assert got[r["doc_id"]] == (counts if any(counts) else None)
-    _ = F
 
 
 def test_identical_vectors_tie_break_by_id(spark):
