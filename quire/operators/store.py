@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import reliable_checkpoint, scratch_path
 
 
 MAX_LITERAL_IDS = 10_000
@@ -176,6 +176,8 @@ class VectorTable:
         new1 = dedupe_last(new, self.key, seq_col)
         if seq_col:
             new1 = new1.drop(seq_col)
+        # the incoming batch is used three times (its weeks, the id probe, the merge): compute it once
+        new1 = reliable_checkpoint(new1)
         hit = cur.join(new1.select(self.key), self.key, "left_semi")
         affected = sorted(set(self._affected(new1)) | set(self._affected(hit)), key=str)
         in_aff = cur.filter(F.col(self.part_col).isin(affected))
