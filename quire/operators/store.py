@@ -144,7 +144,18 @@ class VectorTable:
         return self.read().count()
 
     # --- JN2
-    def contains(self, ids: DataFrame) -> DataFrame:
+    def contains(self, ids) -> DataFrame:
+        """Each asked id with ``exists``; a bounded literal list is probed with a pushed-down ``IN`` filter."""
+        if not isinstance(ids, DataFrame):
+            ids = list(ids)
+            asked = self.spark.createDataFrame([(i,) for i in ids], f"{self.key} string") if ids and isinstance(ids[0], str) \
+                else self.spark.createDataFrame([(i,) for i in ids], f"{self.key} bigint")
+            if not self.exists():
+                return asked.withColumn("exists", F.lit(False))
+            if len(ids) <= MAX_LITERAL_IDS:
+                found = self.read().filter(F.col(self.key).isin(ids)).select(self.key).distinct()
+                return flag_existing(asked, found, self.key)
+            return flag_existing(asked, self.read(), self.key)
         if not self.exists():
             return ids.withColumn("exists", F.lit(False))
         return flag_existing(ids, self.read(), self.key)

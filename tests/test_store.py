@@ -48,6 +48,7 @@ def test_delete_variants(spark, tmp_dir):
     t.delete(ids=["a"])
     assert [r["id"] for r in t.read().collect()] and "a" not in {r["id"] for r in t.read().collect()}
     assert t.contains(spark.createDataFrame([("a",), ("b",)], "id string")).orderBy("id").collect()[0]["exists"] is False
+    assert {r["id"]: r["exists"] for r in t.contains(["a", "b"]).collect()} == {"a": False, "b": True}
     t.delete(metadata_filter={"category": "y"})
     assert {r["id"] for r in t.read().collect()} == {"c"}  # row without the key stays
     t.delete(delete_all=True)
