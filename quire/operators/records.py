@@ -75,8 +75,9 @@ def _bad_dates(txt: Column, typed: Column, dt: T.DataType) -> Column:
                  if _as_text(f.dataType) != f.dataType]
         return F.coalesce(txt.isNotNull() & F.greatest(*parts, F.lit(False)), F.lit(False)) if parts else F.lit(False)
     if isinstance(dt, T.ArrayType) and _as_text(dt.elementType) != dt.elementType:
-        return F.coalesce(F.exists(F.arrays_zip(txt.alias("a"), typed.alias("b")),
-                                   lambda z: _bad_dates(z["a"], z["b"], dt.elementType)), F.lit(False))
+        # re-type each text element inside the lambda (cheap: only its date/time fields are read)
+        return F.coalesce(F.exists(txt, lambda x: _bad_dates(x, _typed(x, dt.elementType), dt.elementType)),
+                          F.lit(False))
     return F.lit(False)
 
 
