@@ -142,9 +142,10 @@ class IvfIndex:
                 yield pd.DataFrame({qid_col: np.repeat(pdf[qid_col].to_numpy(), p),
                                     cell_col: top.ravel().astype(np.int32)})
 
-        qcells = questions.select(qid_col, qvec_col).mapInPandas(
+        qcells = questions.select(qid_col, qvec_col).filter(F.size(qvec_col) == F.lit(int(cents.shape[1]))).mapInPandas(
             cells_of, T.StructType([questions.schema[qid_col], T.StructField(self.cell_col, T.IntegerType())]))
-        q = (questions.select(qid_col, qvec_col).join(qcells, qid_col)
+        valid_q = questions.select(qid_col, qvec_col).filter(F.size(qvec_col) == F.lit(int(cents.shape[1])))
+        q = (valid_q.join(qcells, qid_col)
              .join(F.broadcast(cstats), self.cell_col)  # n_cells rows
              .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))).drop("_subs"))
         table = self.read()

@@ -180,3 +180,12 @@ def test_int_and_string_question_ids(spark):
     q2 = spark.createDataFrame([("q", [0.1, 1.0])], "query_id string, embedding array<double>")
     assert [r["id"] for r in search.nearest(st, q1, k=2).orderBy("rank").collect()] == ["a", "c"]
     assert [r["id"] for r in search.nearest(st, q2, k=2).orderBy("rank").collect()] == ["b", "c"]
+
+
+def test_ivf_grouped_skips_bad_questions(spark, sf):
+    s = derived.vector_store(spark, sf)
+    idx = IvfIndex(spark, scratch_path(spark, "ivf-badq")).build(s, n_cells=4)
+    good = derived.label_questions(spark, sf)
+    bad = spark.createDataFrame([(100, [1.0, 2.0]), (101, None)], "query_id bigint, embedding array<double>")
+    res = idx.search_grouped(good.unionByName(bad), k=3, nprobe=2).collect()
+    assert {r["query_id"] for r in res} == {r["query_id"] for r in good.collect()}
