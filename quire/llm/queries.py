@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 
-from . import decontaminate, imatch, mixing, simhash, urls
+from . import brown, decontaminate, html_text, imatch, mixing, quality, sharding, simhash, tokens, urls
 from .common import table
 
+TOKENIZER = "byte_bpe_50k.json"
+
 
 def op1_url_filter(spark, d) -> DataFrame:
     return urls.judge(table(spark, d, "pages"))
@@ -20,13 +23,34 @@ def op3_decontaminate(spark, d) -> DataFrame:
     return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op4_sharding(spark, d) -> DataFrame:
+    return sharding.shard_report(table(spark, d, "documents"))
+
+
+def op5_quality(spark, d) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return quality.quality_scores(docs, quality.train(docs, table(spark, d, "labels")))
+
+
+def op6_brown(spark, d) -> DataFrame:
+    return brown.scores(table(spark, d, "documents"))
+
+
+def op7_tokens(spark, d) -> DataFrame:
+    return tokens.token_report(tokens.write_tokens(table(spark, d, "documents"), public_tokenizers.path(TOKENIZER)))
+
+
 def op8_mixing(spark, d) -> DataFrame:
     return mixing.mix_report(table(spark, d, "documents"))
 
 
+def op9_html(spark, d) -> DataFrame:
+    return html_text.main_text(table(spark, d, "pages"))
+
+
 def op10_imatch(spark, d) -> DataFrame:
     return imatch.near_report(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_decontaminate, op8_mixing, op10_imatch)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_decontaminate, op4_sharding, op5_quality, op6_brown, op7_tokens, op8_mixing, op9_html, op10_imatch)}
 ORACLE: dict[str, str] = {}

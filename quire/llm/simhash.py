@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import written
 
@@ -54,16 +55,17 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint as signed long) of every row; texts are read whole."""
+    """(id, fingerprint as signed long, md5 of the text) of every row; texts are read whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), b.column(2)], names=["id", "fp", "md5"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return src.mapInArrow(run, f"id {kind}, fp bigint")
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()), T.StructField("md5", T.StringType())])
+    text = F.col(text_col).cast("binary")
+    src = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.md5(F.coalesce(text, F.lit(b""))).alias("md5"))
+    return src.mapInArrow(run, schema)
 
 
 def _ball(n: int) -> str:
@@ -116,7 +118,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     Alternating large-star and small-star: each round is a grouped minimum and a
     join on the node, written to the shared folder. Ends when a round changes nothing.
     """
-    spark = edges.sparkSession
     cur = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct(), "edges")
     last = None
     for _ in range(max_rounds):
@@ -136,16 +137,32 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
         raise RuntimeError("components did not settle")
     roots = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
     own = cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return roots.unionByName(own) if spark else roots
+    return roots.unionByName(own)
+
+
+def _members(fp: DataFrame, max_bits: int, bucket_rows: int) -> DataFrame:
+    """(fp, root, first): each distinct fingerprint, the smallest fingerprint of its component, and its first row by id and text digest."""
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "md5")).alias("first")
+    distinct = written(fp.groupBy("fp").agg(first), "distinct-fingerprints")
+    roots = components(links(distinct.select("fp"), max_bits, bucket_rows))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, bucket_rows: int = 1024,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     fp = written(with_fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    distinct = written(fp.groupBy("fp").agg(F.min("id").alias("first_id")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), max_bits, bucket_rows))
-    member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    first = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = member.select("fp", "root").join(first, "root").select("fp", "component_id")
+    member = _members(fp, max_bits, bucket_rows)
+    first = member.groupBy("root").agg(F.min("first").alias("first"))
+    named = member.select("fp", "root").join(first, "root").select("fp", F.col("first.id").alias("component_id"))
     return fp.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, bucket_rows: int = 1024,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of every component, that of the smallest id (then text digest); columns unchanged."""
+    fp = written(with_fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    keep = _members(fp, max_bits, bucket_rows).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_keep_id"), F.col("first.md5").alias("_keep_md5"))
+    keyed = docs.withColumn("_text_md5", F.md5(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
+    kept = keyed.join(keep, keyed[id_col].eqNullSafe(keep["_keep_id"]) & (keyed["_text_md5"] == keep["_keep_md5"]), "left_semi")
+    return kept.dropDuplicates([id_col, "_text_md5"]).select(*docs.columns)
