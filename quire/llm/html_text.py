@@ -185,7 +185,10 @@ def _decide(text: str, linked: int, kind: str) -> bool | None:
 
 
 def _inherit(labels: list[bool | None], regions: list[int], kinds: list[str]) -> list[bool]:
-    """Second pass: ambiguous blocks take the nearest decided label of their region, else (outside an article) of the page; a tie is good."""
+    """Second pass: ambiguous blocks take the nearest decided label of their region, else (outside an article) of the page; a tie is good.
+
+    Blocks of boilerplate elements are decided by their element and pass nothing on.
+    """
     n = len(labels)
     out: list[bool | None] = list(labels)
 
@@ -197,7 +200,7 @@ def _inherit(labels: list[bool | None], regions: list[int], kinds: list[str]) ->
                 if same_region and seen and regions[seen[0]] != regions[i]:
                     seen = None
                 if labels[i] is not None:
-                    seen = (i, labels[i])
+                    seen = (i, labels[i]) if kinds[i] != "bad" else seen
                 elif seen:
                     d = (abs(i - seen[0]), not seen[1])
                     if best[i] is None or d < (best[i][0], not best[i][1]):

@@ -36,6 +36,8 @@ TRAIN_DOCS = 6_000
 TRAIN_PASSAGES = 64
 HIDDEN, ATTENTION = 32, 16
 EPOCHS, BATCH, RATE = 12, 64, 0.005
+#: Small samples are gone through more often, until so many batches.
+MIN_STEPS = 800
 SEED = 11
 #: Bytes encoded at once.
 SLICE = PASSAGE * 2048
@@ -133,11 +135,14 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: i
     rng = np.random.default_rng(seed)
     every = np.vstack(bags)
     model = Model(every.mean(axis=0), every.std(axis=0) + 0.02, rng)
+    good = float((weights * labels).sum() / weights.sum())
+    model.p["d"][0] = np.log(good / (1 - good))
+    epochs = max(EPOCHS, -(-MIN_STEPS // -(-len(bags) // BATCH)))
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
     v = {k: np.zeros_like(x) for k, x in model.p.items()}
     step = 0
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(bags))
         for lo in range(0, len(order), BATCH):
             ids = order[lo:lo + BATCH]

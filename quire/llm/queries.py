@@ -53,4 +53,22 @@ def op10_imatch(spark, d) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_decontaminate, op4_sharding, op5_quality, op6_brown, op7_tokens, op8_mixing, op9_html, op10_imatch)}
-ORACLE: dict[str, str] = {}
+
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: The other operators rest on trained models, XXH64, seeded draws or a tokenizer; tests/llm holds them against brute force.
+ORACLE = {
+    "op3_decontaminate": f"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+wins AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda p: w[p:p + 9])) AS win FROM items WHERE len(w) > 0),
+lens AS (SELECT DISTINCT len(win) AS n FROM wins),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+places AS (SELECT r, n, unnest(list_transform(range(1, len(w) - n + 2), lambda p: {{'p': p, 'win': w[p:p + n - 1]}})) AS x FROM docs, lens WHERE len(w) >= n),
+hits AS (SELECT r, x.p AS p, n, item_id FROM places JOIN wins ON wins.win = places.x.win),
+found AS (SELECT r, count(DISTINCT item_id) AS n_items, sha256(string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR))) AS items_sha256
+          FROM hits GROUP BY r),
+covered AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN found USING (r) LEFT JOIN covered USING (r)""",
+}
