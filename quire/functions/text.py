@@ -37,6 +37,11 @@ def or_default(x, default: str) -> Column:
     return F.coalesce(_c(x).cast("string"), F.lit(default))
 
 
+def text_or(x, default: str) -> Column:
+    """SC13 where an empty text counts as missing, too."""
+    return F.when(F.coalesce(_c(x), F.lit("")) != "", _c(x)).otherwise(F.lit(default))
+
+
 def money(x) -> Column:
     return F.format_string("%.2f", _c(x))
 
@@ -52,15 +57,6 @@ def folder_path(*parts) -> Column:
     return F.concat_ws("/", *[_c(p) for p in parts])
 
 
-def basename(path) -> Column:
-    """SC11."""
-    return F.element_at(F.split(_c(path), "/"), -1)
-
-
-def stem(path) -> Column:
-    return F.regexp_replace(basename(path), r"\.[^.]*$", "")
-
-
 def with_summary_name(path) -> Column:
     """SC11: '<dir>/<stem>_with_summary.pdf', next to the original."""
     return F.concat(F.regexp_replace(_c(path), r"\.[^./]*$", ""), F.lit("_with_summary.pdf"))

@@ -27,13 +27,6 @@ def l2_norm(a) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
-def normalize(a) -> Column:
-    """Unit vector; null for a zero vector."""
-    a = _c(a)
-    n = l2_norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n))
-
-
 def cosine_distance(a, b, a_norm=None, b_norm=None) -> Column:
     """1 - cos(a, b); null when lengths differ or either vector is zero.
 

@@ -100,6 +100,17 @@ def stored_files(docs: DataFrame, source_col: str = "source_path") -> DataFrame:
     )
 
 
+def file_documents(docs: DataFrame, path: str, mode: str = "append") -> None:
+    """SK2: writes the documents with actions under ``path`` in one folder per addressee and sender, with their filed name.
+
+    Rows meet their folder in a few tasks (a hash of the id salts each folder), so a
+    folder gets a few files however many documents it holds.
+    """
+    d = has_actions(docs).withColumn("name", tx.file_name("sent_date", "title_in_english"))
+    d = d.repartition("addressed_to", "sender", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    d.write.mode(mode).partitionBy("addressed_to", "sender").parquet(path)
+
+
 def calendar_events(docs: DataFrame, files: DataFrame | None = None, tz: str = EVENT_TZ) -> DataFrame:
     """PF15 + SK3 + JN6: one event per dated action; end = start + 1 hour; no_action gives none.
 
@@ -132,7 +143,7 @@ def calendar_events(docs: DataFrame, files: DataFrame | None = None, tz: str = E
     desc = (F.when(t == "appointment", F.concat_ws(
                 "\n", summary,
                 F.concat(F.lit(L_REQUIRED_DOCS), tx.join_or(appt["required_documents"])),
-                F.concat(F.lit(L_NOTES), tx.or_default(appt["additional_notes"], tx.NONE_TEXT)),
+                F.concat(F.lit(L_NOTES), tx.text_or(appt["additional_notes"], tx.NONE_TEXT)),
                 link))
             .when(t == "reply_required", F.concat_ws(
                 "\n", summary,
@@ -144,7 +155,7 @@ def calendar_events(docs: DataFrame, files: DataFrame | None = None, tz: str = E
                 "\n", summary,
                 F.concat(F.lit(L_AMOUNT), tx.money(pay["amount"])),
                 F.concat(F.lit(L_RECIPIENT), tx.or_default(pay["recipient"], tx.NA)),
-                F.concat(F.lit(L_REFERENCE), tx.or_default(pay["reference_number"], tx.NONE_TEXT)),
+                F.concat(F.lit(L_REFERENCE), tx.text_or(pay["reference_number"], tx.NONE_TEXT)),
                 F.concat(F.lit(L_BANK), F.coalesce(F.to_json(pay["bank_details"]), F.lit("{}"))))))
     reminders = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(n).alias("minutes")) for m, n in REMINDERS])
     ev = a.filter(start.isNotNull()).select(

@@ -94,15 +94,31 @@ def _counts_udf(dim: int, unit: bool, double: bool):
 
 
 def hash_embed(text, dim: int = 64, unit: bool = False, double: bool = False) -> Column:
-    """Hashed bag-of-words vector; null when the text has no token.
+    """Hashed bag-of-words vector of up to 65,536 buckets (16 bits of the token's hash); null when the text has no token.
 
     ``array<float>`` by default: term counts are exact in float32 (below 2^24), so
     storage and scan IO halve with identical rankings; the search kernel
     computes in float64. ``double=True`` for ``array<double>``.
     """
+    if not 0 < dim <= 1 << 16:
+        raise ValueError("the bucket hash has 16 bits: dim is at most 65536")
     return _counts_udf(dim, unit, double)(_c(text))
 
 
+def embed_column(fn: Callable[[list], np.ndarray]) -> Callable[[Column], Column]:
+    """A user embedder (list of texts -> matrix) as a function of a text column, for every ``embed=`` argument; null stays null."""
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        values = texts.to_pylist()
+        idx = [i for i, t in enumerate(values) if t is not None]
+        full: list = [None] * len(values)
+        if idx:
+            for i, v in zip(idx, np.asarray(fn([values[i].replace("\n", " ") for i in idx]), dtype=np.float64), strict=True):
+                full[i] = v
+        return pa.array(full, type=pa.list_(pa.float64()))
+    return lambda text: run(_c(text))
+
+
 def embed_batches(df: DataFrame, text_col: str, fn: Callable[[list], np.ndarray], dim: int,
                   out_col: str = "embedding") -> DataFrame:
     """Apply a user embedder once per Arrow batch (never one call per row)."""

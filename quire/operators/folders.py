@@ -17,7 +17,7 @@ FOLDER_COLS = ["id", "name", "parent_id", "path"]
 
 
 def new_folder_id(path) -> Column:
-    return F.substring(F.sha2(F.col(path) if isinstance(path, str) else path, 256), 1, 16)
+    return F.sha2(F.col(path) if isinstance(path, str) else path, 256)
 
 
 def _first_ids(folders: DataFrame, out: str = "folder_id") -> DataFrame:

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
 from ..sources.pages import default_extractor, extract_text
 from . import actions as act
-from .model import apply_model
+from .model import model_outcomes
 from .records import parse_records, vector_records
 from .store import VectorTable
 from ..schemas import DOC
@@ -27,17 +28,18 @@ PROMPT = ("You are an expert in official letters. Read the document below and re
 
 def process_documents(files: DataFrame, model: Callable, extract: Callable = default_extractor,
                       **model_options) -> dict[str, DataFrame]:
-    """UD6: SR1+SR2 -> UD1 -> SR5 -> PF13-PF18 / SK2-SK4 tables (all lazy)."""
+    """UD6: SR1+SR2 -> UD1 -> SR5 -> PF13-PF18 / SK2-SK4 tables; the model runs here, once per document, the tables are lazy."""
     texts = extract_text(files, extract).withColumn("prompt", F.concat(F.lit(PROMPT), F.coalesce("text", F.lit(""))))
-    raw, model_rejects = apply_model(texts.select("doc_id", "prompt"), "prompt", model, _record_text_schema(),
-                                     keep=["doc_id"], **model_options)
-    ok, rejects = parse_records(raw.select("doc_id", F.col("record")), "record")
+    # the model answers once: every table below derives from its written answers
+    answers = reliable_checkpoint(model_outcomes(texts.select("doc_id", "prompt"), "prompt", model, _record_text_schema(), keep=["doc_id"], **model_options))
+    ok, rejects = parse_records(answers.filter("reason IS NULL").select("doc_id", "record"), "record")
+    model_rejects = answers.filter("reason IS NOT NULL").select("doc_id", F.col("output").alias("record"), "reason")
     docs = ok.withColumn("source_path", F.col("doc_id"))
     files_t = act.stored_files(docs)
     return {
         "texts": texts.drop("prompt"),
         "records": docs,
-        "rejects": rejects.unionByName(model_rejects.select("doc_id", F.col("output").alias("record"), "reason")),
+        "rejects": rejects.unionByName(model_rejects),
         "overview": act.action_overview(docs),
         "stored_files": files_t,
         "events": act.calendar_events(docs, files_t),
@@ -63,11 +65,15 @@ def wrap_record_model(fn: Callable) -> Callable:
 
 
 def ingest(spark: SparkSession, docs: DataFrame, table_path: str, mode: str = "upsert", dim: int = 64,
-           ingest_ts=None, index_path: str | None = None, n_cells: int = 16) -> VectorTable:
-    """UD7: records -> vector rows -> table (``mode`` "overwrite" drops first, D19) -> optional IVF index."""
+           ingest_ts=None, index_path: str | None = None, n_cells: int = 16,
+           embed: Callable[[Column], Column] | None = None) -> VectorTable:
+    """UD7: records -> vector rows -> table (``mode`` "overwrite" drops first, D19) -> optional IVF index.
+
+    ``embed`` maps the text column to its vector (e.g. ``embed.embed_column(model)``); the default is the hashed embedder.
+    """
     if mode not in ("overwrite", "upsert"):
         raise ValueError("mode must be 'overwrite' or 'upsert'")
-    rows = vector_records(docs.select(*[f.name for f in DOC.fields]), embed=True, dim=dim, ingest_ts=ingest_ts)
+    rows = vector_records(docs.select(*[c for c in ("doc_id",) if c in docs.columns], *[f.name for f in DOC.fields]), embed=embed or True, dim=dim, ingest_ts=ingest_ts).drop("doc_id")
     table = VectorTable(spark, table_path)
     if mode == "overwrite":
         table.drop()

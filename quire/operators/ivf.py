@@ -18,13 +18,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint
-from .search import nearest
+from .search import QuestionFilter, grouped_top_k, nearest
 
 MAX_CENTROID_BYTES = 256 << 20
+#: Tasks, and so files, a cell is written by.
+CELL_FILES = 8
 
 
 @dataclass
@@ -53,38 +56,60 @@ class IvfIndex:
     def centroid_path(self) -> str:
         return self.path + "_centroids"
 
+    @staticmethod
+    def signature(store: DataFrame, vec_col: str = "embedding", id_col: str = "id") -> tuple[int, str]:
+        """Rows of a store and a sum over their ids and vectors: equal for equal content, in any order."""
+        r = store.agg(F.count("*").alias("n"), F.sum(F.xxhash64(id_col, vec_col).cast("decimal(38,0)")).cast("string").alias("h")).first()
+        return r["n"], r["h"] or "0"
+
     def build(self, store: DataFrame, n_cells: int, vec_col: str = "embedding", seed: int = 7,
-              max_iter: int = 20, train_fraction: float = 1.0) -> "IvfIndex":
+              max_iter: int = 20, train_fraction: float = 1.0, id_col: str = "id") -> "IvfIndex":
         """Train the cells and write every row with its cell.
 
-        ``train_fraction`` < 1 trains the centroids on that share of the rows (each
-        k-means iteration is a full pass); every row is still assigned and written.
+        The index holds the vectors of the store's most frequent length that are not
+        zero; ``skipped`` counts the others, which no search returns. ``train_fraction``
+        < 1 trains the centroids on that share of the rows (each k-means iteration is a
+        full pass); every row is still assigned and written.
         """
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
-        dim = len(store.select(vec_col).filter(F.size(vec_col) > 0).first()[0])
+        nonzero = F.exists(vec_col, lambda x: x != 0)
+        lengths = {r["n"]: r["count"] for r in store.groupBy(F.when(nonzero, F.size(vec_col)).otherwise(0).alias("n")).count().collect()}  # a row per length
+        dim = max((n for n in lengths if n), key=lambda n: (lengths[n], n), default=0)
+        if dim == 0:
+            raise ValueError("the store holds no vector to index")
+        self.skipped = sum(lengths.values()) - lengths[dim]
         if n_cells * dim * 8 > MAX_CENTROID_BYTES:
             raise ValueError("too many cells for the centroid table")
-        feats = store.filter(F.size(vec_col) == dim).withColumn("_f", array_to_vector(F.col(vec_col)))
+        rows, content = self.signature(store, vec_col, id_col)
+        feats = store.filter((F.size(vec_col) == dim) & nonzero).withColumn("_f", array_to_vector(F.col(vec_col)))
         km = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol=self.cell_col,
                     distanceMeasure="cosine")
         model = km.fit(feats if train_fraction >= 1.0 else feats.sample(fraction=train_fraction, seed=seed))
         assigned = model.transform(feats).drop("_f")
+        # a cell is written by a few tasks, whatever the number of input splits
+        assigned = assigned.repartition(self.cell_col, F.pmod(F.xxhash64(id_col), F.lit(CELL_FILES)))
         assigned.write.mode("overwrite").partitionBy(self.cell_col).parquet(self.path)
         sizes = {r[0]: r[1] for r in self.read().groupBy(self.cell_col).count().collect()}  # n_cells rows
-        cents = [(i, [float(x) for x in c], int(sizes.get(i, 0))) for i, c in enumerate(model.clusterCenters())]
-        (self.spark.createDataFrame(cents, "cell int, centroid array<double>, n_rows bigint")
+        cents = [(i, [float(x) for x in c], int(sizes.get(i, 0)), rows, content) for i, c in enumerate(model.clusterCenters())]
+        (self.spark.createDataFrame(cents, "cell int, centroid array<double>, n_rows bigint, store_rows bigint, store_content string")
          .write.mode("overwrite").parquet(self.centroid_path))
         return self
 
+    def stale(self, store: DataFrame, vec_col: str = "embedding", id_col: str = "id") -> bool:
+        """Whether the store has changed since the index was built (upserts, deletes, new vectors)."""
+        r = self.spark.read.parquet(self.centroid_path).select("store_rows", "store_content").first()
+        return (r["store_rows"], r["store_content"]) != self.signature(store, vec_col, id_col)
+
     def exists(self) -> bool:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(self.centroid_path + "/_SUCCESS")
         return bool(p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p))
 
     def ensure(self, store: DataFrame, n_cells: int, **kw) -> "IvfIndex":
-        """Create the index unless it already exists (creating twice is not an error)."""
-        return self if self.exists() else self.build(store, n_cells, **kw)
+        """The index of ``store`` as it is now: built if there is none or the store has changed since."""
+        same = {c: kw[c] for c in ("vec_col", "id_col") if c in kw}
+        return self if self.exists() and not self.stale(store, **same) else self.build(store, n_cells, **kw)
 
     def drop(self) -> None:
         jvm = self.spark._jvm
@@ -104,93 +129,56 @@ class IvfIndex:
 
     def search_grouped(self, questions: DataFrame, k: int = 5, nprobe: int = 2, *, qid_col: str = "query_id",
                        qvec_col: str = "embedding", id_col: str = "id", vec_col: str = "embedding",
-                       payload: list[str] | None = None, rows_per_group: int = 200_000) -> DataFrame:
+                       payload: list[str] | None = None, question_filter: QuestionFilter | None = None,
+                       where: Column | None = None, rows_per_group: int = 20_000) -> DataFrame:
         """Probe search without any broadcast that grows with the questions.
 
         Questions are exploded to their ``nprobe`` cells (only the centroids are
-        broadcast, size-checked); index rows and question rows meet in
-        ``cogroup(...).applyInPandas`` groups keyed by ``(cell, sub)``. A cell is
-        split into ``ceil(rows / rows_per_group)`` subs by a hash of the row id, and
-        each question probing it is repeated once per sub, so a cell holding a
-        third of the table is spread over many tasks. Each group keeps k rows per
-        question by (distance, id); the final top-k is the usual window.
+        broadcast, size-checked) and meet the index rows in cogroups keyed by
+        ``(cell, sub)``. A cell is split into ``ceil(rows / rows_per_group)`` subs by a
+        hash of the row id, and a question probing it is repeated once per sub, so a cell
+        holding a third of the table is spread over many tasks.
         """
-        import pandas as pd
-        from pyspark.sql import types as T
-        from .search import select_top_k, top_k_per_group
-
         payload = list(payload) if payload is not None else [id_col]
         if id_col not in payload:
             payload = [id_col] + payload
-        cell_col = self.cell_col  # closures below must not capture self (it holds the session)
-        probe = self.probe(nprobe)
-        cents = probe.centroids
+        qf, cell_col = question_filter, self.cell_col
+        bc = self.spark.sparkContext.broadcast(self.probe(nprobe).centroids)
+        dim, p = bc.value.shape[1], min(nprobe, bc.value.shape[0])
         cstats = self.spark.read.parquet(self.centroid_path).select(
-            self.cell_col, F.greatest(F.lit(1), F.ceil(F.col("n_rows") / F.lit(rows_per_group))).cast("int").alias("_subs"))
-        bc = self.spark.sparkContext.broadcast(cents)
-        p = min(nprobe, cents.shape[0])
-
-        def cells_of(it):
-            C = bc.value
-            for pdf in it:
-                V = np.array([np.asarray(v, dtype=np.float64) if v is not None and len(v) == C.shape[1]
-                              else np.zeros(C.shape[1]) for v in pdf[qvec_col]])
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    V = V / np.linalg.norm(V, axis=1, keepdims=True)
-                sim = np.nan_to_num(V, nan=0.0) @ C.T
-                top = np.argpartition(-sim, p - 1, axis=1)[:, :p] if len(pdf) else np.zeros((0, p), dtype=int)
-                yield pd.DataFrame({qid_col: np.repeat(pdf[qid_col].to_numpy(), p),
-                                    cell_col: top.ravel().astype(np.int32)})
-
-        qcells = questions.select(qid_col, qvec_col).filter(F.size(qvec_col) == F.lit(int(cents.shape[1]))).mapInPandas(
-            cells_of, T.StructType([questions.schema[qid_col], T.StructField(self.cell_col, T.IntegerType())]))
-        valid_q = questions.select(qid_col, qvec_col).filter(F.size(qvec_col) == F.lit(int(cents.shape[1])))
-        q = (valid_q.join(qcells, qid_col)
-             .join(F.broadcast(cstats), self.cell_col)  # n_cells rows
-             .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))).drop("_subs"))
-        table = self.read()
-        st = (table.select(self.cell_col, *dict.fromkeys(payload + [vec_col]))
-              .join(F.broadcast(cstats), self.cell_col)
+            F.col("cell").alias(cell_col), F.greatest(F.lit(1), F.ceil(F.col("n_rows") / F.lit(rows_per_group))).cast("int").alias("_subs"))
+
+        @F.pandas_udf("array<int>")
+        def cells_of(vectors: pd.Series) -> pd.Series:
+            V = np.stack(vectors.to_numpy()).astype(np.float64)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                V = V / np.linalg.norm(V, axis=1, keepdims=True)
+            sim = np.nan_to_num(V, nan=0.0) @ bc.value.T
+            return pd.Series(list(np.argpartition(-sim, p - 1, axis=1)[:, :p].astype(np.int32)))
+
+        q = questions.select(qid_col, qvec_col, *(qf.question_columns() if qf else [])).filter(F.size(qvec_col) == dim)
+        q = q.withColumn(cell_col, F.explode(cells_of(qvec_col))).join(F.broadcast(cstats), cell_col)  # n_cells rows
+        q = q.withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))).drop("_subs")
+        table = self.read() if where is None else self.read().filter(where)
+        st = (table.select(cell_col, *dict.fromkeys(payload + [vec_col] + (qf.store_columns() if qf else [])))
+              .join(F.broadcast(cstats), cell_col)
               .withColumn("_sub", F.pmod(F.xxhash64(F.col(id_col)), F.col("_subs").cast("bigint")).cast("int"))
               .drop("_subs"))
-        out_schema = T.StructType([questions.schema[qid_col], T.StructField("distance", T.DoubleType())]
-                                  + [table.schema[c] for c in payload])
-
-        def group(qdf: pd.DataFrame, sdf: pd.DataFrame) -> pd.DataFrame:
-            if qdf.empty or sdf.empty:
-                return pd.DataFrame({f.name: pd.Series(dtype=object) for f in out_schema.fields})
-            Q = np.stack([np.asarray(v, dtype=np.float64) for v in qdf[qvec_col]])
-            ok = np.array([v is not None and len(v) == Q.shape[1] for v in sdf[vec_col]])
-            sdf = sdf[ok]
-            if sdf.empty:
-                return pd.DataFrame({f.name: pd.Series(dtype=object) for f in out_schema.fields})
-            D = np.stack([np.asarray(v, dtype=np.float64) for v in sdf[vec_col]])
-            qn, dn = np.linalg.norm(Q, axis=1), np.linalg.norm(D, axis=1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                dist = 1.0 - (Q @ D.T) / (qn[:, None] * dn[None, :])
-            dist[~np.isfinite(dist)] = np.inf
-            qi, di = select_top_k(dist, sdf[id_col].to_numpy(), k)
-            out = {qid_col: qdf[qid_col].to_numpy()[qi], "distance": dist[qi, di]}
-            for c in payload:
-                out[c] = sdf[c].to_numpy()[di]
-            return pd.DataFrame(out, columns=[f.name for f in out_schema.fields])
-
-        cand = (q.groupBy(self.cell_col, "_sub").cogroup(st.groupBy(self.cell_col, "_sub"))
-                .applyInPandas(group, out_schema))
-        return top_k_per_group(cand, k, group=qid_col, order=("distance", id_col))
+        return grouped_top_k(q, st, [cell_col, "_sub"], k, qid_col=qid_col, qvec_col=qvec_col, id_col=id_col, vec_col=vec_col,
+                             payload=payload, question_filter=qf)
 
     def search(self, questions: DataFrame, k: int = 5, nprobe: int = 2, fallback: bool = True,
-               strategy: str = "auto", **kw) -> DataFrame:
-        """Probe search; ``strategy`` "broadcast" (question blocks over pruned scans), "grouped"
-        (``search_grouped``) or "auto" (grouped once the questions exceed one broadcast block)."""
+               strategy: str = "auto", where: Column | None = None, **kw) -> DataFrame:
+        """Probe search; ``strategy`` "broadcast" (a question block over pruned scans), "grouped"
+        (``search_grouped``) or "auto" (grouped once the questions exceed one broadcast block); both take
+        the same filters: ``where`` on the store's columns, ``question_filter`` per question."""
         from .search import DEFAULT_BLOCK_BYTES
-        table = self.read()
+        table = self.read() if where is None else self.read().filter(where)
         if strategy == "auto":
             dim = self.probe(nprobe).centroids.shape[1]
             strategy = "grouped" if questions.count() * (dim * 8 + 64) > DEFAULT_BLOCK_BYTES else "broadcast"
         if strategy == "grouped":
-            keep = {a: kw[a] for a in ("qid_col", "qvec_col", "id_col", "vec_col", "payload") if a in kw}
-            hits = self.search_grouped(questions, k=k, nprobe=nprobe, **keep)
+            hits = self.search_grouped(questions, k=k, nprobe=nprobe, where=where, **kw)
         else:
             hits = nearest(table, questions, k=k, probe=self.probe(nprobe), **kw)
         if not fallback:

@@ -3,8 +3,8 @@
 The model is a plain callable ``list[input] -> list[str]`` (JSON text per
 input), called once per batch with the options given (model name,
 temperature, max tokens, retries). Its JSON output is parsed against a fixed
-schema; unparseable output or a call that keeps failing lands in ``rejects``
-with the error, never aborting the job.
+schema; unparseable output or an input whose call keeps failing lands in ``rejects``
+with the error, never aborting the job or taking its batch along.
 """
 
 from __future__ import annotations
@@ -20,8 +20,12 @@ RAW = "_model_output"
 ERR = "_model_error"
 
 
-def apply_model(df: DataFrame, input_col: str, fn: Callable[..., list], schema: T.StructType,
-                keep: list[str] | None = None, max_retries: int = 3, **options) -> tuple[DataFrame, DataFrame]:
+def model_outcomes(df: DataFrame, input_col: str, fn: Callable[..., list], schema: T.StructType,
+                   keep: list[str] | None = None, max_retries: int = 3, **options) -> DataFrame:
+    """One row per input: ``keep``, the fields of ``schema`` (null on failure), ``output`` (raw text) and ``reason`` (null = ok).
+
+    Checkpoint it where both outcomes are needed, so that the model answers once.
+    """
     keep = keep or [c for c in df.columns if c != input_col]
     out_schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(RAW, T.StringType()),
                                                              T.StructField(ERR, T.StringType())])
@@ -35,31 +39,51 @@ def apply_model(df: DataFrame, input_col: str, fn: Callable[..., list], schema:
             return [_plain(x) for x in (v.tolist() if hasattr(v, "tolist") else v)]
         return v
 
+    def call(inputs: list) -> tuple[list, str | None]:
+        err = None
+        for _ in range(max(1, max_retries)):
+            try:
+                outs = list(fn(inputs, **options))
+                if len(outs) != len(inputs):
+                    raise ValueError("model returned a different number of outputs")
+                return outs, None
+            except Exception as e:  # retried, then reported per row
+                err = f"{type(e).__name__}: {e}"
+        return [], err
+
+    def outcomes(inputs: list) -> list[tuple]:
+        """(output, error) per input; a batch that keeps failing is asked again in halves, down to single inputs."""
+        outs, err = call(inputs)
+        if err is None:
+            return [(o, None) for o in outs]
+        if len(inputs) == 1:
+            return [(None, err)]
+        half = len(inputs) // 2
+        return outcomes(inputs[:half]) + outcomes(inputs[half:])
+
     def run(it):
         for pdf in it:
-            inputs = [_plain(v) for v in pdf[input_col]]
-            outs, err = None, None
-            for _ in range(max(1, max_retries)):
-                try:
-                    outs = list(fn(inputs, **options))
-                    if len(outs) != len(inputs):
-                        raise ValueError("model returned a different number of outputs")
-                    err = None
-                    break
-                except Exception as e:  # retried, then reported per row
-                    err = f"{type(e).__name__}: {e}"
+            found = outcomes([_plain(v) for v in pdf[input_col]]) if len(pdf) else []
             res = pdf[keep].copy()
-            res[RAW] = [o if isinstance(o, str) or o is None else json.dumps(o) for o in outs] if outs else None
-            res[ERR] = err
+            res[RAW] = [o if isinstance(o, str) or o is None else json.dumps(o) for o, _ in found]
+            res[ERR] = [e for _, e in found]
             yield res
 
     raw = df.select(*keep, input_col).mapInPandas(run, out_schema)
     parsed = raw.withColumn("_rec", F.from_json(RAW, schema, {"mode": "PERMISSIVE"}))
     all_null = F.coalesce(*[F.col("_rec")[f.name].isNotNull() for f in schema.fields], F.lit(False))
-    ok = parsed.filter(F.col(ERR).isNull() & all_null).select(*keep, "_rec.*")
-    rejects = parsed.filter(F.col(ERR).isNotNull() | ~all_null).select(
-        *keep, F.col(RAW).alias("output"), F.coalesce(F.col(ERR), F.lit("unparseable output")).alias("reason"))
-    return ok, rejects
+    reason = F.coalesce(F.col(ERR), F.when(~all_null, F.lit("unparseable output")))
+    fields = [F.when(reason.isNull(), F.col("_rec")[f.name]).alias(f.name) for f in schema.fields]
+    return parsed.select(*keep, *fields, F.col(RAW).alias("output"), reason.alias("reason"))
+
+
+def apply_model(df: DataFrame, input_col: str, fn: Callable[..., list], schema: T.StructType,
+                keep: list[str] | None = None, max_retries: int = 3, **options) -> tuple[DataFrame, DataFrame]:
+    """(ok, rejects) of ``model_outcomes``, both lazy: writing both runs the model twice."""
+    keep = keep or [c for c in df.columns if c != input_col]
+    done = model_outcomes(df, input_col, fn, schema, keep, max_retries, **options)
+    return (done.filter("reason IS NULL").select(*keep, *[f.name for f in schema.fields]),
+            done.filter("reason IS NOT NULL").select(*keep, "output", "reason"))
 
 
 def echo_model(inputs: list, **_) -> list[str]:

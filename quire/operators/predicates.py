@@ -133,14 +133,3 @@ def apply_filters(store: DataFrame, *, filter: dict | list | None = None, predic
         start, end = time
         out = out.filter(time_range(start, end, time_col, part_col if part_col in cols else None))
     return out
-
-
-def question_condition(q_sender: Column, q_addressed: Column, s_sender: Column, s_addressed: Column,
-                       combine: str = "or") -> Column:
-    """PF11 in SQL form: null question fields are skipped; none set -> every row."""
-    none = q_sender.isNull() & q_addressed.isNull()
-    eq_s = F.coalesce(s_sender == q_sender, F.lit(False))
-    eq_a = F.coalesce(s_addressed == q_addressed, F.lit(False))
-    if combine == "and":
-        return (q_sender.isNull() | eq_s) & (q_addressed.isNull() | eq_a)
-    return none | eq_s | eq_a

@@ -21,11 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import SENDERS
+from ..session import reliable_checkpoint
 from .search import QuestionFilter, nearest
 
 # Fields kept from metadata for the answer context (PF10).
 CONTEXT_KEYS = ["title_in_english", "title_in_original_language", "sender", "sent_date", "addressed_to",
                 "summary_in_english", "required_actions"]
+#: Keys whose value is a list or object in the metadata and stays one in the context.
+NESTED_KEYS = frozenset(["required_actions"])
 # Words that name each sender in a question.
 SENDER_WORDS = {
     "Employment Agency": ["employment agency", "employment"],
@@ -86,31 +89,39 @@ def time_window(question, as_of) -> tuple[Column, Column]:
     return start.cast("timestamp_ntz"), end.cast("timestamp_ntz")
 
 
-def question_ngrams(questions: DataFrame, qid: str = "query_id", text: str = "question", max_n: int = 3) -> DataFrame:
-    """(query_id, gram): every 1..max_n word sequence, punctuation trimmed at the ends."""
-    words = F.transform(F.split(F.trim(F.col(text)), r"\s+"),
-                        lambda w: F.regexp_replace(w, r"^[^\w#]+|[^\w#]+$", ""))
-    q = questions.select(qid, words.alias("w"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max_n)), lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(0))),
-        lambda i: F.array_join(F.slice("w", i, n), " "))))
-    return q.select(qid, F.explode(F.array_distinct(grams)).alias("gram")).filter(F.col("gram") != "")
+def _words(text: str) -> Column:
+    """Words of a text, punctuation trimmed at their ends."""
+    return F.transform(F.split(F.trim(F.col(text)), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\w#]+|[^\w#]+$", ""))
+
+
+def named_in_questions(questions: DataFrame, names: DataFrame, qid: str = "query_id", text: str = "question") -> DataFrame:
+    """(qid, name): names of any length that occur in a question as whole words.
+
+    A name meets the question positions that hold its first word (an equi-join on that
+    word: positions without a name's first word never match), and its other words are
+    compared inside the join.
+    """
+    q = questions.select(qid, _words(text).alias("w")).select(qid, "w", F.posexplode("w").alias("at", "first"))
+    n = names.select(F.col("name"), F.filter(_words("name"), lambda w: w != "").alias("nw")).filter(F.size("nw") > 0).withColumn("first", F.element_at("nw", 1))
+    same = F.slice("w", F.col("at") + 1, F.size("nw")) == F.col("nw")
+    return q.join(n, (q["first"] == n["first"]) & same).select(qid, "name").distinct()
 
 
 def preprocess_questions(questions: DataFrame, addressees: DataFrame | None = None, *, qid: str = "query_id",
                          text: str = "question", as_of: str = "as_of", name_col: str = "name") -> DataFrame:
     """PF12: add ``sender``, ``addressed_to``, ``start_ts``, ``end_ts`` (each nullable).
 
-    ``addressees`` is the table of known recipient names; the match is an
-    equi-join on word n-grams, the smallest matching name wins.
+    ``addressees`` is the table of known recipient names, of any number of words; of
+    several names in a question the one with most words wins, then the smallest.
     """
     start, end = time_window(text, as_of)
     out = questions.select("*", detect_sender(text).alias("q_sender"), start.alias("start_ts"), end.alias("end_ts"))
     if addressees is None:
         return out.withColumn("q_addressed_to", F.lit(None).cast("string"))
-    names = addressees.select(F.col(name_col).alias("gram")).distinct()
-    hits = (question_ngrams(questions, qid, text).join(names, "gram")
-            .groupBy(qid).agg(F.min("gram").alias("q_addressed_to")))
+    names = addressees.select(F.col(name_col).alias("name")).filter("name IS NOT NULL").distinct()
+    found = named_in_questions(questions, names, qid, text)
+    longest = found.withColumn("n", F.size(F.split(F.trim("name"), r"\s+")))
+    hits = longest.groupBy(qid).agg(F.min(F.struct((-F.col("n")).alias("less"), "name")).alias("x")).select(qid, F.col("x.name").alias("q_addressed_to"))
     return out.join(hits, qid, "left")
 
 
@@ -120,19 +131,19 @@ PREPROCESS_PROMPT = "You turn a user's question into search filters. Today is "
 def preprocess_with_model(questions: DataFrame, model: Callable, *, qid: str = "query_id", text: str = "question",
                           as_of: str = "as_of", **model_options) -> DataFrame:
     """PF12 through a model (UD1): the callable gets one message list per question and returns JSON
-    ``{"sender", "addressed_to", "start_date", "end_date"}``; a sender outside the domain is dropped,
-    unparseable output leaves every field null (no filter)."""
+    ``{"sender", "addressed_to", "start_date", "end_date"}``; a sender outside the domain is dropped.
+    A question the model fails on keeps its row, with null fields and the reason in ``preprocess_error``."""
     from pyspark.sql import types as T
     from ..functions.times import parse_iso
-    from .model import apply_model
+    from .model import model_outcomes
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ("sender", "addressed_to", "start_date", "end_date")])
     msgs = F.array(
         F.struct(F.lit("system").alias("role"),
                  F.concat(F.lit(PREPROCESS_PROMPT), F.date_format(F.col(as_of), "yyyy-MM-dd")).alias("content")),
-        F.struct(F.lit("user").alias("role"), F.concat(F.lit("# User question: "), F.col(text)).alias("content")))
-    ok, _ = apply_model(questions.select(qid, msgs.alias("messages")), "messages", model, schema, keep=[qid],
-                        **model_options)
-    got = ok.select(qid, F.when(F.col("sender").isin(*SENDERS), F.col("sender")).alias("q_sender"),
+        F.struct(F.lit("user").alias("role"), F.concat(F.lit("Question: "), F.col(text)).alias("content")))
+    # the model answers once: the search and the answer both use its checkpointed output
+    done = reliable_checkpoint(model_outcomes(questions.select(qid, msgs.alias("messages")), "messages", model, schema, keep=[qid], **model_options))
+    got = done.select(qid, F.col("reason").alias("preprocess_error"), F.when(F.col("sender").isin(*SENDERS), F.col("sender")).alias("q_sender"),
                     F.col("addressed_to").alias("q_addressed_to"),
                     parse_iso(F.col("start_date")).alias("start_ts"), parse_iso(F.col("end_date")).alias("end_ts"))
     return questions.join(got, qid, "left")
@@ -142,10 +153,15 @@ def context_record(contents: str = "contents", metadata: str = "metadata", keep:
     """PF9: {'content': .., then each kept key present in metadata, in ``keep`` order} as JSON text."""
     keep = keep or CONTEXT_KEYS
     m = F.from_json(F.col(metadata), "map<string,string>")
-    entries = F.filter(F.transform(F.array(*[F.lit(k) for k in keep]), lambda k: F.struct(k.alias("key"), m[k].alias("value"))),
-                       lambda e: F.map_contains_key(m, e["key"]))
-    head = F.array(F.struct(F.lit("content").alias("key"), F.col(contents).alias("value")))
-    return F.to_json(F.map_from_entries(F.concat(head, entries)))
+    # read as a map of texts, an object or list keeps its JSON text
+    member = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    quoted = lambda v: F.regexp_extract(F.to_json(F.array(v)), r"(?s)^\[(.*)\]$", 1)
+    parts = [member("content", F.coalesce(quoted(F.col(contents)), F.lit("null")))]
+    for k in keep:
+        v = m[k]
+        value = F.when(v.isNull(), F.lit("null")).otherwise(v if k in NESTED_KEYS else quoted(v))
+        parts.append(F.when(F.map_contains_key(m, F.lit(k)), member(k, value)))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
 def contexts(hits: DataFrame, qid: str = "query_id", keep: list[str] | None = None) -> DataFrame:
@@ -164,8 +180,8 @@ def messages(question: Column, context: Column) -> Column:
     """PF20: the message list handed to an answer model."""
     msg = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return F.array(msg("system", F.lit(SYSTEM_PROMPT)),
-                   msg("user", F.concat(F.lit("# User question:\n"), question)),
-                   msg("assistant", F.concat(F.lit("# Retrieved information:\n"), F.coalesce(context, F.lit("[]")))))
+                   msg("user", F.concat(F.lit("Question:\n"), question)),
+                   msg("assistant", F.concat(F.lit("Documents found:\n"), F.coalesce(context, F.lit("[]")))))
 
 
 def default_answer(ctx: DataFrame, qid: str = "query_id", threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
@@ -180,32 +196,48 @@ def default_answer(ctx: DataFrame, qid: str = "query_id", threshold: float = DEF
                       "n_context", "context")
 
 
+#: Store column -> question column of the equality filters.
+KEY_MAP = {"sender": "q_sender", "addressed_to": "q_addressed_to"}
+
+
 def retrieve(store: DataFrame, pre: DataFrame, k: int = 3, *, qid: str = "query_id", combine: str = "or",
-             time_col: str = "ingest_ts", embed: Callable[[Column], Column] | None = None) -> DataFrame:
-    """PF11 + JN1 + WN1: filtered top-k per preprocessed question."""
+             time_col: str = "ingest_ts", end_inclusive: bool = False, key_map: dict[str, str] | None = None,
+             embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """PF11 + JN1 + WN1: filtered top-k per preprocessed question.
+
+    ``embed`` must be the embedder the store was built with; vectors of another length raise.
+    """
     from .embed import hash_embed
     embed = embed or (lambda c: hash_embed(c))
     q = pre.withColumn("embedding", embed(F.col("question")))
-    qf = QuestionFilter(equals=(("sender", "q_sender"), ("addressed_to", "q_addressed_to")), combine=combine,
-                        time_col=time_col, start_col="start_ts", end_col="end_ts")
+    qf = QuestionFilter(equals=tuple((key_map or KEY_MAP).items()), combine=combine,
+                        time_col=time_col, start_col="start_ts", end_col="end_ts", end_inclusive=end_inclusive)
     payload = [c for c in ("id", "doc_id", "metadata", "contents") if c in store.columns]
-    return nearest(store, q, k=k, qid_col=qid, question_filter=qf, payload=payload)
+    return nearest(store, q, k=k, qid_col=qid, question_filter=qf, payload=payload, same_length=True)
 
 
 def answer_questions(questions: DataFrame, store: DataFrame, addressees: DataFrame | None = None, k: int = 3, *,
                      threshold: float = DEFAULT_THRESHOLD, model: Callable | None = None,
-                     preprocess_model: Callable | None = None) -> DataFrame:
-    """UD5: one answer row per question (questions without any hit still get one)."""
+                     preprocess_model: Callable | None = None, embed: Callable[[Column], Column] | None = None,
+                     combine: str = "or", time_col: str = "ingest_ts", end_inclusive: bool = False,
+                     key_map: dict[str, str] | None = None) -> DataFrame:
+    """UD5: one row per question, with its answer and the filters used.
+
+    Columns: ``query_id``, the answer fields, ``n_context``, ``context``, the preprocessing
+    result (``q_sender``, ``q_addressed_to``, ``start_ts``, ``end_ts``, ``preprocess_error``)
+    and ``answer_error``. Questions without any hit, and those a model failed on, keep their row.
+    """
     pre = (preprocess_with_model(questions, preprocess_model) if preprocess_model is not None
-           else preprocess_questions(questions, addressees))
-    hits = retrieve(store, pre, k)
+           else preprocess_questions(questions, addressees).withColumn("preprocess_error", F.lit(None).cast("string")))
+    hits = retrieve(store, pre, k, combine=combine, time_col=time_col, end_inclusive=end_inclusive, key_map=key_map, embed=embed)
+    used = pre.select("query_id", "q_sender", "q_addressed_to", "start_ts", "end_ts", "preprocess_error")
     ctx = questions.select("query_id").join(contexts(hits), "query_id", "left") \
         .withColumn("n_context", F.coalesce("n_context", F.lit(0)))
     if model is None:
-        return default_answer(ctx, threshold=threshold)
-    from .model import apply_model
+        return default_answer(ctx, threshold=threshold).withColumn("answer_error", F.lit(None).cast("string")).join(used, "query_id")
+    from .model import model_outcomes
     from ..schemas import ANSWER
     m = ctx.join(questions.select("query_id", "question"), "query_id") \
-        .select("query_id", "n_context", messages(F.col("question"), F.col("context")).alias("messages"))
-    ok, _ = apply_model(m, "messages", model, ANSWER, keep=["query_id", "n_context"])
-    return ok
+        .select("query_id", "n_context", "context", messages(F.col("question"), F.col("context")).alias("messages"))
+    done = model_outcomes(m, "messages", model, ANSWER, keep=["query_id", "n_context", "context"])
+    return reliable_checkpoint(done.drop("output").withColumnRenamed("reason", "answer_error")).join(used, "query_id")  # the model answers once

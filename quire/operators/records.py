@@ -6,6 +6,10 @@ Validation never aborts a batch: every record lands either in ``ok`` or in
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,12 +23,27 @@ CORRUPT = "_corrupt_record"
 JSON_OPTS = {"timestampNTZFormat": ISO_NTZ, "dateFormat": "yyyy-MM-dd"}
 
 
+# Fields every action detail must carry.
+DETAIL_REQUIRED = {
+    "appointment": ("date", "location"),
+    "reply": ("documents_to_send_in_original_language", "documents_to_send_in_english", "deadline", "address_to_send_to"),
+    "payment": ("recipient", "amount", "deadline", "bank_details"),
+}
+
+
 def _tag_ok(a: Column) -> Column:
+    """The action has a known tag and the details its tag names; a null action or tag does not."""
     t = a["action_type"]
-    return (t.isin(*ACTION_TYPES)
-            & ((t != "appointment") | a["appointment"].isNotNull())
-            & ((t != "reply_required") | a["reply"].isNotNull())
-            & ((t != "payment_required") | a["payment"].isNotNull()))
+    return F.coalesce(t.isin(*ACTION_TYPES)
+                      & ((t != "appointment") | a["appointment"].isNotNull())
+                      & ((t != "reply_required") | a["reply"].isNotNull())
+                      & ((t != "payment_required") | a["payment"].isNotNull()), F.lit(False))
+
+
+def _details_ok(a: Column) -> Column:
+    """Every detail the action carries has all its required fields (text that is no number reads as missing)."""
+    whole = [a[d].isNull() | reduce(and_, [a[d][f].isNotNull() for f in fields]) for d, fields in DETAIL_REQUIRED.items()]
+    return reduce(and_, whole)
 
 
 def reject_reason(doc: Column | None = None) -> Column:
@@ -36,6 +55,7 @@ def reject_reason(doc: Column | None = None) -> Column:
         *missing,
         F.when(~r["sender"].isin(*SENDERS), F.lit("sender outside domain")),
         F.when(~F.forall(r["required_actions"], _tag_ok), F.lit("action tag without its details")),
+        F.when(~F.forall(r["required_actions"], _details_ok), F.lit("action detail without a required field")),
     )
 
 
@@ -120,9 +140,21 @@ def parse_records(df: DataFrame, text_col: str = "record", keep: list[str] | Non
     return ok, rejects
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """SR3: record files (one JSON object per file or per line) with the fixed schema."""
-    return spark.read.schema(DOC).options(multiLine=True, **JSON_OPTS).json(path)
+def record_texts(spark: SparkSession, path: str, one_per_file: bool = False, stream: bool = False) -> DataFrame:
+    """(record, source): one row per line, the format ``write_records`` writes, or with ``one_per_file`` one per file; blank ones are dropped."""
+    reader = spark.readStream if stream else spark.read
+    rows = reader.text(path, wholetext=one_per_file)
+    return rows.select(F.col("value").alias("record"), F.col("_metadata.file_path").alias("source")).filter(F.trim("record") != "")
+
+
+def scan_records(spark: SparkSession, path: str, one_per_file: bool = False) -> tuple[DataFrame, DataFrame]:
+    """SR3 + SR5: (valid records with ``source``, rejects with ``source``, ``record`` and ``reason``) of the record files at ``path``."""
+    return parse_records(record_texts(spark, path, one_per_file))
+
+
+def read_records(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """SR3: the valid records of record files; see ``scan_records`` for those that are not."""
+    return scan_records(spark, path, one_per_file)[0].drop("source")
 
 
 def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -146,31 +178,40 @@ def compose_text(sender="sender", addressed_to="addressed_to", content="content_
                     F.coalesce(F.array_join(lines, ""), F.lit("")))
 
 
+# Keys of the metadata, in order.
 METADATA_KEYS = ["title_in_original_language", "title_in_english", "sender", "sent_date", "addressed_to",
                  "content_in_original_language", "summary_in_english", "required_actions"]
 
 
-def vector_records(docs: DataFrame, embed: bool = True, dim: int = 64, ingest_ts: Column | None = None) -> DataFrame:
+def record_id(contents: Column, columns: list[str]) -> Column:
+    """Whole sha256 over the record's fields, each closed by a line end; the actions are part of ``contents``."""
+    fields = [c for c in ("doc_id", "title_in_original_language", "title_in_english", "sent_date", "content_in_original_language", "summary_in_english") if c in columns]
+    return F.sha2(F.concat(*[x for f in fields for x in (F.coalesce(F.col(f).cast("string"), F.lit("")), F.lit("\n"))], contents), 256)
+
+
+def vector_records(docs: DataFrame, embed: bool | Callable[[Column], Column] = True, dim: int = 64, ingest_ts: Column | None = None) -> DataFrame:
     """PF1-PF3 + D20: records ready for the vector table.
 
-    id = sha256 of the embedded text (re-ingesting the same document gives the
-    same id); ingest time is its own column (default: now, UTC wall time), week_start derives
+    id = sha256 over every field of the record, and its ``doc_id`` where there is one
+    (re-ingesting the same document gives the same id, letters with equal text but
+    another date or title keep their own); ingest time is its own column (default: now, UTC wall time), week_start derives
     from it; hot keys stay typed; the other keys go into JSON metadata.
     """
     contents = compose_text()
     ts = ingest_ts if ingest_ts is not None else F.convert_timezone(None, F.lit("UTC"), F.current_timestamp())
     out = docs.select(
         *[c for c in ("doc_id",) if c in docs.columns],
-        F.sha2(contents, 256).alias("id"),
+        record_id(contents, docs.columns).alias("id"),
         ts.alias("ingest_ts"),
         "sender", "addressed_to", "sent_date",
         pack_metadata(*METADATA_KEYS, options=JSON_OPTS).alias("metadata"),
         contents.alias("contents"))
     out = out.withColumn("week_start", week_start("ingest_ts"))
     if embed:
-        out = out.withColumn("embedding", hash_embed(embedding_text("contents"), dim))
+        of = embed if callable(embed) else (lambda c: hash_embed(c, dim))
+        out = out.withColumn("embedding", of(embedding_text("contents")))
     return out
 
 
-__all__ = ["parse_records", "read_records", "write_records", "vector_records", "compose_text", "record_json",
+__all__ = ["parse_records", "read_records", "record_texts", "scan_records", "write_records", "vector_records", "compose_text", "record_json",
            "reject_reason", "pack_metadata"]

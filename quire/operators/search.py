@@ -13,9 +13,9 @@ rows leave the kernel, and Spark's partial ``WindowGroupLimit`` cuts that to
 ``WindowGroupLimit`` before the shuffle and a final one after it.
 
 No pair table is ever materialised and there is no join between questions and
-the store. When the question set is larger than ``max_block_bytes`` it is
-streamed to the driver in bounded blocks and each block makes one pass over
-the store (exact search costs one scan per block by nature).
+the store. A question set larger than ``max_block_bytes`` is not broadcast: blocks
+of questions and blocks of the store meet in cogroups (``grouped_top_k``), with one
+scan of the store.
 
 Global filters (metadata predicates, time ranges) are ordinary ``filter``
 calls on the store *before* the kernel, so Catalyst pushes them into the
@@ -152,7 +152,7 @@ def _eq_matrix(store_col: pa.Array, q_vals: list) -> np.ndarray:
 
 
 def _make_kernel(bc, k: int, dim: int, vec_col: str, payload: list[str], qfilter: QuestionFilter | None,
-                 out_schema: pa.Schema, id_col: str = "id"):
+                 out_schema: pa.Schema, id_col: str = "id", same_length: bool = False):
     def run(batches):
         qids, Q, qn, qcols = bc.value
         cells = qcols.get("__cells__")  # (store cell column, allowed[nq, n_cells]) for IVF probing
@@ -163,6 +163,8 @@ def _make_kernel(bc, k: int, dim: int, vec_col: str, payload: list[str], qfilter
                 continue
             vec = batch.column(vec_col)
             lengths = pc.fill_null(pc.list_value_length(vec), -1)
+            if same_length and pc.any(pc.and_(pc.greater(lengths, 0), pc.not_equal(lengths, dim))).as_py():
+                raise ValueError(f"the questions' vectors have {dim} numbers, some stored ones do not: embed both the same way")
             batch = batch.filter(pc.equal(lengths, dim))
             for lo in range(0, batch.num_rows, tile):
                 b = batch.slice(lo, tile)
@@ -263,22 +265,108 @@ def _envelope(qf: QuestionFilter, cols: dict, store_cols: set[str]) -> Column |
     return reduce(lambda a, b: a & b, conds) if conds else None
 
 
-def _filter_cols(qf: QuestionFilter | None, store: DataFrame) -> list[str]:
-    """Store columns the block envelope may filter on (kept when the store is materialised)."""
-    if qf is None:
-        return []
-    return [c for c in ([s for s, _ in qf.equals] + [qf.time_col, qf.part_col]) if c and c in store.columns]
+def _by_length(rows: list, qvec_col: str, dim: int | None) -> list[tuple[int, list]]:
+    """Question rows by the length of their vector (or those of length ``dim`` alone), null and empty ones left out."""
+    out: dict[int, list] = {}
+    for r in rows:
+        v = r[qvec_col]
+        if v and dim in (None, len(v)):
+            out.setdefault(len(v), []).append(r)
+    return sorted(out.items())
+
+
+def _pandas_mask(qf: QuestionFilter, q, s) -> np.ndarray:
+    """(nq, n) boolean: which store rows of frame ``s`` each question of ``q`` accepts."""
+    keep = np.ones((len(q), len(s)), dtype=bool)
+    if qf.equals:
+        sides = [(q[qc].to_numpy(dtype=object), s[sc].to_numpy(dtype=object)) for sc, qc in qf.equals]
+        given = [np.array([x is not None and x == x for x in a]) for a, _ in sides]
+        parts = [(a[:, None] == b[None, :]) for a, b in sides]
+        if qf.combine == "and":
+            for g, m in zip(given, parts, strict=True):
+                keep &= m | ~g[:, None]
+        else:
+            keep &= reduce(np.logical_or, [m & g[:, None] for g, m in zip(given, parts, strict=True)]) | ~reduce(np.logical_or, given)[:, None]
+    if qf.time_col:
+        ts = s[qf.time_col].to_numpy(dtype="datetime64[us]")
+        for c, at_least, inclusive in ((qf.start_col, True, qf.start_inclusive), (qf.end_col, False, qf.end_inclusive)):
+            if c:
+                bound = q[c].to_numpy(dtype="datetime64[us]")[:, None]
+                row = ts[None, :]
+                m = (row >= bound if inclusive else row > bound) if at_least else (row <= bound if inclusive else row < bound)
+                keep &= np.isnat(bound) | m
+    return keep
+
+
+def grouped_top_k(questions: DataFrame, store: DataFrame, keys: list[str], k: int, *, qid_col: str, qvec_col: str, id_col: str, vec_col: str,
+                  payload: list[str], question_filter: QuestionFilter | None = None) -> DataFrame:
+    """Top-k per question over the store rows that share its ``keys``, without a broadcast.
+
+    Both sides meet in cogroups; the caller keeps the groups bounded. Inside a group,
+    scores are made tile by tile (``TILE_ELEMENTS``), each tile keeps k rows per question.
+    """
+    import pandas as pd
+
+    schema = T.StructType([questions.schema[qid_col], T.StructField("distance", T.DoubleType())] + [store.schema[c] for c in payload])
+    names = [f.name for f in schema.fields]
+
+    def empty() -> pd.DataFrame:
+        return pd.DataFrame({n: pd.Series(dtype=object) for n in names})
+
+    def group(qdf: pd.DataFrame, sdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        q_len = np.array([0 if v is None else len(v) for v in qdf[qvec_col]], dtype=int)
+        s_len = np.array([0 if v is None else len(v) for v in sdf[vec_col]], dtype=int)
+        for n in sorted({*q_len} & {*s_len} - {0}):
+            q, s = qdf[q_len == n], sdf[s_len == n]
+            D = np.stack(s[vec_col].to_numpy()).astype(np.float64)
+            dn = np.linalg.norm(D, axis=1)
+            ids = s[id_col].to_numpy()
+            rows = max(1, min(len(s), 1 << 16))
+            step = max(1, TILE_ELEMENTS // rows)
+            for lo in range(0, len(q), step):
+                part = q.iloc[lo:lo + step]
+                Q = np.stack(part[qvec_col].to_numpy()).astype(np.float64)
+                qn = np.linalg.norm(Q, axis=1)
+                found = []
+                for at in range(0, len(s), rows):
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        dist = 1.0 - (Q @ D[at:at + rows].T) / (qn[:, None] * dn[None, at:at + rows])
+                    dist[~np.isfinite(dist)] = np.inf
+                    if question_filter is not None:
+                        dist[~_pandas_mask(question_filter, part, s.iloc[at:at + rows])] = np.inf
+                    qi, di = select_top_k(dist, ids[at:at + rows], k)
+                    found.append((qi, di + at, dist[qi, di]))
+                qi, di, dist = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((np.unique(ids[di], return_inverse=True)[1] if len(di) else di, dist, qi))
+                qi, di, dist = qi[order], di[order], dist[order]
+                first = np.searchsorted(qi, qi, side="left")
+                best = np.arange(len(qi)) - first < k
+                qi, di, dist = qi[best], di[best], dist[best]
+                one = {qid_col: part[qid_col].to_numpy()[qi], "distance": dist}
+                out.append(pd.DataFrame({**one, **{c: s[c].to_numpy()[di] for c in payload}}, columns=names))
+        return pd.concat(out) if out else empty()
+
+    cand = questions.groupBy(*keys).cogroup(store.groupBy(*keys)).applyInPandas(group, schema)
+    return top_k_per_group(cand, k, group=qid_col, order=("distance", id_col))
 
 
-def _question_blocks(questions: DataFrame, qid_col: str, qvec_col: str, extra: list[str], block_rows: int):
-    block = []
-    for row in questions.select(qid_col, qvec_col, *extra).toLocalIterator(prefetchPartitions=True):
-        block.append(row)
-        if len(block) >= block_rows:
-            yield block
-            block = []
-    if block:
-        yield block
+def _envelope_rows(questions: DataFrame, qf: QuestionFilter, most: int = 1_000) -> dict:
+    """What ``_envelope`` needs of a question table of any size: the extreme times, and the wanted values if there are few combinations."""
+    cols: dict = {}
+    lo_null = np.iinfo(np.int64).min
+    if qf.time_col and qf.start_col and qf.end_col:
+        r = questions.agg(F.min(qf.start_col).alias("a"), F.max(qf.end_col).alias("b"),
+                          F.count(F.when(F.col(qf.start_col).isNull() | F.col(qf.end_col).isNull(), 1)).alias("open")).first()
+        bounded = r["open"] == 0 and r["a"] is not None
+        cols[qf.start_col] = np.array([_py_micros(r["a"]) if bounded else lo_null])
+        cols[qf.end_col] = np.array([_py_micros(r["b"]) if bounded else lo_null])
+    if qf.equals:
+        wanted = [q for _, q in qf.equals]
+        rows = questions.select(*wanted).distinct().limit(most + 1).collect()
+        for q in wanted:
+            cols[q] = [r[q] for r in rows] if len(rows) <= most else [None]
+    return cols
 
 
 def _pack_block(rows, dim: int, qvec_col: str, qid_col: str, qcols: list[str], time_cols: set[str]):
@@ -312,20 +400,39 @@ def _py_micros(v) -> int:
     return (delta.days * 86_400 + delta.seconds) * 1_000_000 + delta.microseconds
 
 
+def _nearest_in_blocks(store: DataFrame, questions: DataFrame, k: int, qid_col: str, qvec_col: str, id_col: str, vec_col: str, payload: list[str],
+                       qf: QuestionFilter | None, max_block_bytes: int, store_block_bytes: int) -> DataFrame:
+    """Exact top-k for a question table of any size: question blocks times store blocks, each pair one cogroup; one scan of the store."""
+    if qf is not None:
+        env = _envelope(qf, _envelope_rows(questions, qf), set(store.columns))
+        if env is not None:
+            store = store.filter(env)
+    scan = store.select(*dict.fromkeys([*payload, id_col, vec_col, *(qf.store_columns() if qf else [])]))
+    size = questions.agg(F.count("*").alias("n"), F.max(F.size(qvec_col)).alias("dim")).first()
+    row_bytes = max(size["dim"] or 1, 1) * 8 + 64
+    q_blocks = max(1, min(size["n"], -(-size["n"] * row_bytes // max_block_bytes)))
+    s_blocks = max(1, -(-scan.select(id_col).count() * row_bytes // store_block_bytes))
+    q = questions.select(qid_col, qvec_col, *(qf.question_columns() if qf else []))
+    q = q.withColumn("_qb", F.pmod(F.xxhash64(qid_col), F.lit(q_blocks))).withColumn("_sb", F.explode(F.sequence(F.lit(0), F.lit(s_blocks - 1)).cast("array<bigint>")))
+    s = scan.withColumn("_sb", F.pmod(F.xxhash64(id_col), F.lit(s_blocks))).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>")))
+    return grouped_top_k(q, s, ["_qb", "_sb"], k, qid_col=qid_col, qvec_col=qvec_col, id_col=id_col, vec_col=vec_col, payload=payload, question_filter=qf)
+
+
 def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str = "id", vec_col: str = "embedding",
             qid_col: str = "query_id", qvec_col: str = "embedding", payload: list[str] | None = None,
             question_filter: QuestionFilter | None = None, dim: int | None = None,
-            max_block_bytes: int = DEFAULT_BLOCK_BYTES, probe=None, materialize_store: bool = True) -> DataFrame:
+            max_block_bytes: int = DEFAULT_BLOCK_BYTES, probe=None, same_length: bool = False,
+            store_block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
     """JN1 + WN1: exact cosine top-k of ``store`` rows for every question.
 
     Returns ``qid_col, distance, rank`` plus ``payload`` store columns (default:
-    ``id_col``). Rows with a null distance (zero vector, wrong length) never
-    appear. Ties are broken by ``id_col``.
+    ``id_col``). Ties are broken by ``id_col``. A question only meets rows whose vector
+    has its length; with ``same_length`` a stored vector of another length is an error.
+    Zero vectors never appear.
 
-    When the questions need more than one broadcast block, the projected store
-    is checkpointed once (``materialize_store``) so a derived store (e.g. one
-    that embeds text) is not recomputed for every block; for a plain stored
-    table pass ``materialize_store=False`` to scan it directly per block.
+    Questions of up to ``max_block_bytes`` are broadcast; more of them meet the store in
+    cogroups of question and store blocks, with the same rows and one scan of the store
+    (which should then be a stored table).
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -342,23 +449,15 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str =
     guess_dim = dim or 1536
     block_rows = max(1, max_block_bytes // (guess_dim * 8 + 64 * (1 + len(qextra))))
     head = qsel.take(block_rows + 1)
-    if dim is None:
-        dim = next((len(r[qvec_col]) for r in head if r[qvec_col]), 0)
-    multi = len(head) > block_rows
-    if not multi:
-        blocks = [head] if head else []
-    else:  # more questions than one block: stream them in bounded blocks
-        block_rows = max(1, max_block_bytes // (max(dim, 1) * 8 + 64 * (1 + len(qextra))))
-        blocks = _question_blocks(questions, qid_col, qvec_col, qextra, block_rows)
+    if len(head) > block_rows:
+        if probe is not None:
+            raise ValueError("a probe search of this many questions is IvfIndex.search_grouped")
+        if dim is not None:
+            questions = questions.filter(F.size(qvec_col) == dim)
+        return _nearest_in_blocks(store, questions, k, qid_col, qvec_col, id_col, vec_col, payload, qf, max_block_bytes, store_block_bytes)
 
     store_cols = list(dict.fromkeys(payload + [vec_col] + (qf.store_columns() if qf else [])
                                     + ([probe.cell_col] if probe is not None else [])))
-    scan = store.select(*store_cols)
-    if multi and materialize_store:
-        # one pass per block: compute the (projected) store once instead of once per block
-        from ..session import reliable_checkpoint
-        store = reliable_checkpoint(store.select(*dict.fromkeys(store_cols + _filter_cols(qf, store))))
-        scan = store.select(*store_cols)
     qid_type = questions.schema[qid_col].dataType
     out_struct = T.StructType([T.StructField(qid_col, qid_type), T.StructField("distance", T.DoubleType())]
                               + [store.schema[c] for c in payload])
@@ -366,22 +465,22 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str =
     out_arrow = to_arrow_schema(out_struct)
 
     parts = []
-    for rows in blocks:
-        packed = _pack_block(rows, dim, qvec_col, qid_col, qextra, time_cols)
-        block_scan = scan
+    for length, rows in _by_length(head, qvec_col, dim):
+        packed = _pack_block(rows, length, qvec_col, qid_col, qextra, time_cols)
+        scan = store.select(*store_cols)
         if qf is not None:
             env = _envelope(qf, packed[3], set(store.columns))
             if env is not None:
-                block_scan = store.filter(env).select(*store_cols)
+                scan = store.filter(env).select(*store_cols)
         if probe is not None:
             allowed = probe.allowed(packed[1])
             packed[3]["__cells__"] = (probe.cell_col, allowed)
             probed = np.nonzero(allowed.any(axis=0))[0].tolist()
             # partition pruning: only the probed cells' files are read
-            block_scan = block_scan.filter(F.col(probe.cell_col).isin(probed))
+            scan = scan.filter(F.col(probe.cell_col).isin(probed))
         bc = spark.sparkContext.broadcast(packed)
-        kernel = _make_kernel(bc, k, dim, vec_col, payload, qf, out_arrow, id_col)
-        parts.append(block_scan.mapInArrow(kernel, out_struct))
+        kernel = _make_kernel(bc, k, length, vec_col, payload, qf, out_arrow, id_col, same_length)
+        parts.append(scan.mapInArrow(kernel, out_struct))
     if not parts:
         return spark.createDataFrame([], out_struct.add("rank", T.IntegerType()))
     cand = reduce(DataFrame.unionByName, parts)

@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from ..session import reliable_checkpoint, scratch_path
 
-
-MAX_LITERAL_IDS = 10_000
+#: Tasks, and so files, a week is written by.
+WEEK_FILES = 8
+#: Folder of the rows without a week, as Spark's writer names it.
+NO_WEEK = "__HIVE_DEFAULT_PARTITION__"
 
 
 def dedupe_last(df: DataFrame, key: str = "id", seq_col: str | None = None) -> DataFrame:
@@ -42,8 +44,12 @@ def dedupe_last(df: DataFrame, key: str = "id", seq_col: str | None = None) -> D
 
 
 def merge_upsert(old: DataFrame, new: DataFrame, key: str = "id", on_conflict: str = "update",
-                 seq_col: str | None = None) -> DataFrame:
-    """SK5 / JN5: the table after inserting ``new`` into ``old``."""
+                 seq_col: str | None = None, keep_stored: tuple[str, ...] = ()) -> DataFrame:
+    """SK5 / JN5: the table after inserting ``new`` into ``old``.
+
+    An update takes every column from the new row but those in ``keep_stored``,
+    which keep the stored row's values.
+    """
     if on_conflict not in ("update", "ignore"):
         raise ValueError("on_conflict must be 'update' or 'ignore'")
     new1 = dedupe_last(new, key, seq_col)
@@ -52,6 +58,10 @@ def merge_upsert(old: DataFrame, new: DataFrame, key: str = "id", on_conflict: s
     new1 = new1.select(*old.columns)
     keys_new = new1.select(key)
     if on_conflict == "update":
+        if keep_stored:
+            stored = old.select(key, F.lit(True).alias("_stored"), *[F.col(c).alias(f"_old_{c}") for c in keep_stored])
+            new1 = new1.join(stored, key, "left").select(
+                *[F.when(F.col("_stored"), F.col(f"_old_{c}")).otherwise(F.col(c)).alias(c) if c in keep_stored else F.col(c) for c in old.columns])
         return old.join(keys_new, key, "left_anti").unionByName(new1)
     return old.unionByName(new1.join(old.select(key), key, "left_anti"))
 
@@ -73,12 +83,15 @@ def flag_existing(ids: DataFrame, df: DataFrame, key: str = "id", out: str = "ex
 
 
 def check_delete_args(ids=None, metadata_filter=None, delete_all: bool = False) -> str:
-    """D15: exactly one criterion; empty list / dict / False count as not given."""
-    has_ids = ids is not None and (not isinstance(ids, (list, tuple, set)) or len(ids) > 0)
-    given = [has_ids, bool(metadata_filter), bool(delete_all)]
-    if sum(given) != 1:
-        raise ValueError("Provide exactly one of: ids, metadata_filter, or delete_all")
-    return ["ids", "metadata_filter", "delete_all"][given.index(True)]
+    """D15: the one criterion given; an empty list or dict and False count as not given."""
+    match (ids is not None and (isinstance(ids, DataFrame) or len(ids) > 0), bool(metadata_filter), bool(delete_all)):
+        case (True, False, False):
+            return "ids"
+        case (False, True, False):
+            return "metadata_filter"
+        case (False, False, True):
+            return "delete_all"
+    raise ValueError("a delete takes a list of ids, a metadata filter or delete_all=True, and only one of them")
 
 
 class VectorTable:
@@ -123,8 +136,7 @@ class VectorTable:
 
     # --- SK6
     def create(self, df: DataFrame, mode: str = "overwrite") -> "VectorTable":
-        # files sorted by id inside each week: row-group min/max statistics then skip data for id lookups
-        df.sortWithinPartitions(self.part_col, self.key).write.mode(mode).partitionBy(self.part_col).parquet(self.path)
+        self._laid_out(df).write.mode(mode).partitionBy(self.part_col).parquet(self.path)
         self._save_schema(self.spark.read.parquet(self.path).schema if df.isEmpty() is False else df.schema)
         return self
 
@@ -144,34 +156,42 @@ class VectorTable:
         return self.read().count()
 
     # --- JN2
+    def _ids(self, ids) -> DataFrame:
+        """Ids as a one-column frame; a list is sent to Spark and joined like any frame."""
+        if isinstance(ids, DataFrame):
+            return ids.select(F.col(ids.columns[0]).alias(self.key))
+        kind = self.schema()[self.key].dataType.simpleString() if self.exists() else ("string" if ids and isinstance(ids[0], str) else "bigint")
+        return self.spark.createDataFrame([(i,) for i in ids], f"{self.key} {kind}")
+
     def contains(self, ids) -> DataFrame:
-        """Each asked id with ``exists``; a bounded literal list is probed with a pushed-down ``IN`` filter."""
-        if not isinstance(ids, DataFrame):
-            ids = list(ids)
-            asked = self.spark.createDataFrame([(i,) for i in ids], f"{self.key} string") if ids and isinstance(ids[0], str) \
-                else self.spark.createDataFrame([(i,) for i in ids], f"{self.key} bigint")
-            if not self.exists():
-                return asked.withColumn("exists", F.lit(False))
-            if len(ids) <= MAX_LITERAL_IDS:
-                found = self.read().filter(F.col(self.key).isin(ids)).select(self.key).distinct()
-                return flag_existing(asked, found, self.key)
-            return flag_existing(asked, self.read(), self.key)
+        """Each asked id with ``exists``."""
+        asked = ids if isinstance(ids, DataFrame) else self._ids(list(ids))
         if not self.exists():
-            return ids.withColumn("exists", F.lit(False))
-        return flag_existing(ids, self.read(), self.key)
+            return asked.withColumn("exists", F.lit(False))
+        return flag_existing(asked, self.read(), self.key)
+
+    def _laid_out(self, rows: DataFrame) -> DataFrame:
+        """Each week's rows dealt to at most ``WEEK_FILES`` tasks and sorted by id there (row-group statistics then skip data for id lookups)."""
+        salt = F.pmod(F.xxhash64(self.key), F.lit(WEEK_FILES))
+        return rows.repartition(self.part_col, salt).sortWithinPartitions(self.part_col, self.key)
+
+    def _in_weeks(self, weeks: list) -> Column:
+        """Rows of these weeks; None is the rows without a week."""
+        some = F.col(self.part_col).isin([w for w in weeks if w is not None])
+        return some | F.col(self.part_col).isNull() if None in weeks else some
 
     def _replace_partitions(self, affected: list, rows: DataFrame) -> None:
         if not affected:
             return
         staged = scratch_path(self.spark, "stage")
-        rows.sortWithinPartitions(self.part_col, self.key).write.mode("overwrite").partitionBy(self.part_col).parquet(staged)
+        rows.write.mode("overwrite").parquet(staged)
         staged_df = self.spark.read.schema(self.read().schema).parquet(staged)
-        (staged_df.sortWithinPartitions(self.part_col, self.key).write.mode("overwrite")
+        (self._laid_out(staged_df).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(self.part_col).parquet(self.path))
-        kept = {r[0] for r in staged_df.select(self.part_col).distinct().collect()}
+        kept = set(self._affected(staged_df))
         for v in affected:
             if v not in kept:
-                self._delete_path(f"{self.path}/{self.part_col}={v}")
+                self._delete_path(f"{self.path}/{self.part_col}={NO_WEEK if v is None else v}")
         self._delete_path(staged)
 
     def _affected(self, df: DataFrame) -> list:
@@ -179,7 +199,7 @@ class VectorTable:
         return [r[0] for r in df.select(self.part_col).distinct().collect()]
 
     # --- SK5
-    def upsert(self, new: DataFrame, on_conflict: str = "update", seq_col: str | None = None) -> None:
+    def upsert(self, new: DataFrame, on_conflict: str = "update", seq_col: str | None = None, keep_stored: tuple[str, ...] = ()) -> None:
         if not self.exists():
             self.create(dedupe_last(new, self.key, seq_col).drop(*([seq_col] if seq_col else [])))
             return
@@ -191,8 +211,8 @@ class VectorTable:
         new1 = reliable_checkpoint(new1)
         hit = cur.join(new1.select(self.key), self.key, "left_semi")
         affected = sorted(set(self._affected(new1)) | set(self._affected(hit)), key=str)
-        in_aff = cur.filter(F.col(self.part_col).isin(affected))
-        self._replace_partitions(affected, merge_upsert(in_aff, new1, self.key, on_conflict))
+        in_aff = cur.filter(self._in_weeks(affected))
+        self._replace_partitions(affected, merge_upsert(in_aff, new1, self.key, on_conflict, keep_stored=keep_stored))
 
     # --- SK8-SK10
     def delete(self, ids: list | None = None, metadata_filter: dict | None = None, delete_all: bool = False) -> None:
@@ -208,20 +228,11 @@ class VectorTable:
             self._save_schema(sch)
             return
         if which == "ids":
-            if not isinstance(ids, DataFrame) and len(ids) <= MAX_LITERAL_IDS:
-                # a bounded literal list: an IN filter reaches the Parquet scan (row groups skipped by id stats)
-                hit_pred = F.col(self.key).isin(list(ids))
-                affected = self._affected(cur.filter(hit_pred))
-                rows = cur.filter(F.col(self.part_col).isin(affected)).filter(~F.coalesce(hit_pred, F.lit(False)))
-                self._replace_partitions(affected, rows)
-                return
-            id_df = (ids.select(F.col(ids.columns[0]).alias(self.key)) if isinstance(ids, DataFrame)
-                     else self.spark.createDataFrame([(i,) for i in ids], cur.select(self.key).schema))
-            hit = cur.join(id_df, self.key, "left_semi")
-            affected = self._affected(hit)
-            rows = remove_ids(cur.filter(F.col(self.part_col).isin(affected)), id_df, self.key)
+            id_df = reliable_checkpoint(self._ids(ids).distinct())  # used twice: the weeks, then their rows
+            affected = self._affected(cur.join(id_df, self.key, "left_semi"))
+            rows = remove_ids(cur.filter(self._in_weeks(affected)), id_df, self.key)
         else:
             pred = mf(metadata_filter, set(cur.columns))
             affected = self._affected(cur.filter(pred))
-            rows = remove_matching(cur.filter(F.col(self.part_col).isin(affected)), pred)
+            rows = remove_matching(cur.filter(self._in_weeks(affected)), pred)
         self._replace_partitions(affected, rows)

@@ -234,7 +234,7 @@ def folder_get_or_create(spark, d):
     docs = act.has_actions(derived.doc_records(spark, d))
     old = docs.filter(F.col("sent_date") < F.lit("1998-01-01").cast("date"))
     created = fold.get_or_create_folders(old, spark.createDataFrame([], "id string, name string, parent_id string, path string"))
-    existing = created.select(F.concat(F.lit("old-"), F.substring(F.sha2("path", 256), 1, 12)).alias("id"), "name",
+    existing = created.select(F.concat(F.lit("old-"), F.sha2("path", 256)).alias("id"), "name",
                               "path").alias("e")
     # re-key the existing folders and their parents to the old ids
     pmap = existing.select(F.col("path").alias("ppath"), F.col("id").alias("pid"))
@@ -336,10 +336,9 @@ def rag_search(spark, d):
 
 
 def rag_context(spark, d):
-    """PF9 + AG4: the context JSON handed to the answerer, per question."""
-    keep = ["title_in_english", "sender", "sent_date", "addressed_to", "summary_in_english"]
+    """PF9 + PF10 + AG4: the context JSON handed to the answerer, per question, with all kept fields (actions nested)."""
     hits = rag.retrieve(derived.doc_store(spark, d), _pre(spark, d), k=3)
-    return rag.contexts(hits, keep=keep).select("query_id", "context", "n_context")
+    return rag.contexts(hits).select("query_id", "context", "n_context")
 
 
 def default_answer(spark, d):
@@ -384,14 +383,13 @@ QUERIES.update({
 
 
 def record_parse(spark, d):
-    """SR5: every record's JSON parsed back and validated; raw web pages stand for broken model output."""
+    """SR5: every record's JSON parsed back and validated; each record again with a payment that breaks one rule, in turn; raw web pages stand for broken model output."""
     from ..operators.records import record_json, validate_records
     docs = derived.doc_records(spark, d)
-    good = docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("src"),
-                       record_json(docs).alias("record"))
-    broken = table(spark, d, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("src"),
-                                             F.col("html").alias("record"))
-    v = validate_records(good.unionByName(broken))
+    good = docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("src"), record_json(docs).alias("record"))
+    bad = derived.broken_records(spark, d)
+    broken = table(spark, d, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("src"), F.col("html").alias("record"))
+    v = validate_records(good.unionByName(bad).unionByName(broken))
     return v.select("src", F.coalesce("reason", F.lit("ok")).alias("status"),
                     F.when(F.col("reason").isNull(), F.size("rec.required_actions")).alias("n_actions"))
 
@@ -424,7 +422,7 @@ QUERIES["ann_topk_grouped"] = ann_topk_grouped
 def event_file_links(spark, d):
     """JN6: events joined to a stored-files table (file ids assigned at upload) on doc_id."""
     docs = derived.doc_records(spark, d)
-    files = act.stored_files(docs).withColumn("file_id", F.substring(F.sha2("path", 256), 1, 16))
+    files = act.stored_files(docs).withColumn("file_id", F.sha2("path", 256))
     ev = act.calendar_events(docs, files.select("doc_id", F.concat(F.lit("file/"), F.col("file_id")).alias("path")))
     return ev.select("doc_id", "action_no", F.element_at(F.split("description", "\n"), -1).alias("link_line"))
 
@@ -452,3 +450,129 @@ def event_utc(spark, d):
 
 
 QUERIES["event_utc"] = event_utc
+
+
+# ---------------------------------------------------------------- tables and files end to end (SR1, SR3, SK1, SK5, SK8, SK10, SM2)
+
+
+def record_roundtrip(spark, d):
+    """SK1 + SR3: every record written as JSON lines and read back."""
+    from ..operators.records import read_records, write_records
+    path = scratch_path(spark, "records")
+    write_records(derived.doc_records(spark, d), path)
+    back = read_records(spark, path)
+    return back.select("summary_in_english", "sender", "addressed_to", F.date_format("sent_date", "yyyy-MM-dd").alias("sent_date"),
+                       "content_in_original_language", F.size("required_actions").cast("bigint").alias("n_actions"))
+
+
+def _some_undated(df):
+    """The documents of every fourth label group lose their ingest time, and so their week."""
+    undated = F.pmod("id", F.lit(4)) == 1
+    return df.withColumn("ingest_ts", F.when(~undated, F.col("ingest_ts"))).withColumn("week_start", F.to_date(F.date_trunc("week", "ingest_ts")))
+
+
+def _stored(spark, d):
+    return vstore.VectorTable(spark, scratch_path(spark, "table")).create(_some_undated(_flat_store(spark, d)))
+
+
+def table_upsert(spark, d):
+    """SK5 + SK6 + SR4 through the stored table, rows without a week included."""
+    t = _stored(spark, d)
+    t.upsert(_some_undated(_relabelled(spark, d)))
+    return _store_report(t.read())
+
+
+def table_delete(spark, d):
+    """SK8 + SK9 through the stored table, rows without a week included."""
+    t = _stored(spark, d)
+    t.delete(ids=table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id")))
+    t.delete(metadata_filter={"lang": "de", "source": "src1"})
+    return _store_report(t.read())
+
+
+def table_clear(spark, d):
+    """SK10: the stored table before and after deleting everything."""
+    t = _stored(spark, d)
+    before = t.count()
+    t.delete(delete_all=True)
+    return t.read().agg(F.lit(before).cast("bigint").alias("n_before"), F.count(F.lit(1)).alias("n_after"))
+
+
+def stream_ingest(spark, d):
+    """SM2: the records' JSON lines streamed into a vector table; its rows."""
+    from ..operators.records import write_records
+    from ..streaming.ingest import run_ingest
+    src, out, ck = (scratch_path(spark, n) for n in ("ingest-src", "ingest-table", "ingest-ck"))
+    write_records(derived.doc_records(spark, d), src)
+    run_ingest(spark, src, out, ck).awaitTermination()
+    t = vstore.VectorTable(spark, out).read()
+    return t.select("contents", "sender", "addressed_to", F.date_format("sent_date", "yyyy-MM-dd").alias("sent_date"), F.size("embedding").cast("bigint").alias("dim"))
+
+
+def page_files(spark, d):
+    """SR1 + SR2: documents written as text files (a file per source and 200 ids), read and their pages (form feeds) assembled."""
+    from ..sources.pages import extract_text, read_files
+    path = scratch_path(spark, "page-files")
+    docs = table(spark, d, "documents").select("doc_id", "source", F.floor(F.col("doc_id") / 200).alias("part"), F.translate("text", "\n\r", "  ").alias("text"))
+    lines = docs.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id")
+    lines.select("source", "part", F.concat("text", F.lit("\f")).alias("text")).write.partitionBy("source", "part").text(path)
+    t = extract_text(read_files(spark, path, recursive=True))
+    return t.select(F.regexp_extract("doc_id", "source=([^/]*)/", 1).alias("source"), F.regexp_extract("doc_id", "part=([^/]*)/", 1).cast("bigint").alias("part"),
+                    F.sha2("text", 256).alias("digest"), F.col("n_pages").cast("bigint").alias("n_pages"))
+
+
+QUERIES.update({f.__name__: f for f in (record_roundtrip, table_upsert, table_delete, table_clear, stream_ingest, page_files)})
+
+
+# ---------------------------------------------------------------- search and answers with other settings (SK7, PF12, PF20, UD5)
+
+
+def _full_probe(spark, d, strategy, **kw):
+    idx = IvfIndex(spark, scratch_path(spark, "ivf")).build(derived.vector_store(spark, d), n_cells=8)
+    res = idx.search(derived.label_questions(spark, d), k=3, nprobe=8, strategy=strategy, fallback=False, **kw)
+    return _report(res, ["query_id", "rank", "id", "distance"])
+
+
+def ann_full_probe(spark, d):
+    """SK7 with every cell probed: the exact rows."""
+    return _full_probe(spark, d, "broadcast")
+
+
+def ann_full_probe_filtered(spark, d):
+    """SK7 grouped, every cell probed, with a filter on the store: the exact filtered rows."""
+    return _full_probe(spark, d, "grouped", where=F.col("lang") == "de")
+
+
+def topk_question_blocks(spark, d):
+    """JN1 with more questions than one block: blocks of questions and of the store in cogroups."""
+    res = search.nearest(derived.vector_store(spark, d), derived.label_questions(spark, d), k=3, max_block_bytes=2_000)
+    return _report(res, ["query_id", "rank", "id", "distance"])
+
+
+def question_names(spark, d):
+    """PF12: a question per customer that names them with one to five words; a name of one word is always inside."""
+    q, names = derived.name_questions(spark, d)
+    p = rag.preprocess_questions(q, names)
+    return p.select("query_id", F.col("q_addressed_to").alias("addressed_to"))
+
+
+def answer_messages(spark, d):
+    """PF20: the messages handed to an answer model."""
+    hits = rag.retrieve(derived.doc_store(spark, d), _pre(spark, d), k=3)
+    j = derived.questions(spark, d).join(rag.contexts(hits), "query_id", "left")
+    m = j.select("query_id", F.posexplode(rag.messages(F.col("question"), F.col("context"))).alias("no", "m"))
+    return m.select("query_id", F.col("no").cast("bigint").alias("no"), "m.role", F.sha2("m.content", 256).alias("digest"))
+
+
+def answer_with_embedder(spark, d):
+    """UD5 with an embedder of another dimension on both sides, and the filters each question used."""
+    from ..operators.embed import hash_embed
+    from ..operators.records import vector_records
+    wide = lambda c: hash_embed(c, 128)
+    ts = F.expr("CAST(sent_date AS TIMESTAMP_NTZ) + INTERVAL 1 DAY + INTERVAL 8 HOURS")
+    store = vector_records(derived.doc_records(spark, d), embed=wide, ingest_ts=ts)
+    a = rag.answer_questions(derived.questions(spark, d), store, derived.addressees(spark, d), k=3, embed=wide)
+    return a.select("query_id", "answer", "enough_context", "n_context", F.col("q_sender").alias("sender"), F.col("q_addressed_to").alias("addressed_to"))
+
+
+QUERIES.update({f.__name__: f for f in (ann_full_probe, ann_full_probe_filtered, topk_question_blocks, question_names, answer_messages, answer_with_embedder)})

@@ -223,3 +223,37 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 def addressees(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_name").alias("name"))
+
+
+#: Text of a payment that breaks one rule, and the reason it is rejected for; records take them in turn by id.
+BROKEN_ACTIONS = [
+    ('{"action_type": "payment_required"}', "action tag without its details"),
+    ('{"action_type": null}', "action tag without its details"),
+    ('null', "action tag without its details"),
+    ('{"action_type": "call"}', "action tag without its details"),
+    ('{"action_type": "appointment", "appointment": {"location": "Room 1"}}', "action detail without a required field"),
+    ('{"action_type": "appointment", "appointment": {"date": "soon", "location": "Room 1"}}', "bad date or time text"),
+    ('{"action_type": "payment_required", "payment": {"recipient": "x", "deadline": "2024-01-01T00:00:00", "bank_details": {}}}', "action detail without a required field"),
+    ('{"action_type": "payment_required", "payment": {"recipient": "x", "amount": "oops", "deadline": "2024-01-01T00:00:00", "bank_details": {}}}', "action detail without a required field"),
+    ('{"action_type": "reply_required", "reply": {"documents_to_send_in_english": [], "deadline": "2024-01-01T00:00:00+02:00", "address_to_send_to": "x"}}', "action detail without a required field"),
+]
+
+
+def broken_records(spark: SparkSession, d: str) -> DataFrame:
+    """(src, record): every record with one action that breaks a rule."""
+    from ..operators.records import record_json
+    docs = doc_records(spark, d)
+    texts = F.array(*[F.lit(t) for t, _ in BROKEN_ACTIONS])
+    one = F.element_at(texts, (F.pmod("doc_id", F.lit(len(BROKEN_ACTIONS))) + 1).cast("int"))
+    empty = docs.withColumn("required_actions", F.expr("slice(required_actions, 1, 0)"))
+    return empty.select(F.concat(F.lit("bad-"), F.col("doc_id").cast("string")).alias("src"),
+                        F.replace(record_json(empty), F.lit('"required_actions":[]'), F.concat(F.lit('"required_actions":['), one, F.lit("]"))).alias("record"))
+
+
+def name_questions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Questions naming each customer by one to five words, and the known names: the long one and its last word alone."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    before = F.array(F.lit(""), F.lit("Anna "), F.lit("Anna Maria "), F.lit("Anna Maria von "), F.lit("Dr Anna Maria von "))
+    c = c.withColumn("name", F.concat(F.element_at(before, (F.pmod("c_custkey", F.lit(5)) + 1).cast("int")), "c_name"))
+    q = c.select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("Is there a letter for "), "name", F.lit(", please?")).alias("question"), F.lit(AS_OF).cast("date").alias("as_of"))
+    return q, c.select("name").unionByName(c.select(F.col("c_name").alias("name"))).distinct()

@@ -6,6 +6,9 @@ what ``derived.py`` builds with the DataFrame API.
 
 from __future__ import annotations
 
+from ..operators.rag import SYSTEM_PROMPT
+from .derived import BROKEN_ACTIONS
+
 STORE_CTE = """
 store AS (
   SELECT e.vec_id AS id, ev.ts AS ingest_ts, CAST(date_trunc('week', ev.ts) AS DATE) AS week_start,
@@ -20,10 +23,10 @@ lq AS (SELECT CAST(label AS BIGINT) AS query_id, list(m ORDER BY pos) AS q
        FROM (SELECT label, pos, avg(x) AS m FROM eu GROUP BY label, pos) GROUP BY label)"""
 
 
-def _hash_counts(name: str, table: str, key: str, text: str = "text") -> str:
+def _hash_counts(name: str, table: str, key: str, text: str = "text", dim: int = 64) -> str:
     return f"""
 {name}_t AS (SELECT {key} AS k, unnest(string_split_regex(lower({text}), '[^a-z0-9]+')) AS t FROM {table}),
-{name}_b AS (SELECT k, ('0x' || substr(md5(t), 1, 4))::INTEGER % 64 AS b, count(*)::DOUBLE AS c
+{name}_b AS (SELECT k, ('0x' || substr(md5(t), 1, 4))::INTEGER % {dim} AS b, count(*)::DOUBLE AS c
              FROM {name}_t WHERE t <> '' GROUP BY ALL),
 {name}_n AS (SELECT k, sqrt(sum(c * c)) AS n FROM {name}_b GROUP BY k)"""
 
@@ -133,6 +136,9 @@ actd AS (SELECT *,
    addressed_to || '/' || sender || '/' || strftime(sent_date, '%Y-%m-%d') || '_' || replace(title, ' ', '_') || '.pdf' AS link
   FROM acts)"""
 
+RECORD_ID = """sha256(concat(doc_id, chr(10), 'Bescheid ' || pr, chr(10), title, chr(10), strftime(sent_date, '%Y-%m-%d'), chr(10),
+  'Betrag ' || printf('%.2f', amount), chr(10), summary, chr(10), contents))"""
+
 TS = "'%Y-%m-%dT%H:%M:%S'"
 DTS = "'%Y-%m-%d %H:%M:%S'"
 
@@ -182,10 +188,10 @@ FROM f""",
 w AS (SELECT DISTINCT addressed_to, sender, sent_date < DATE '1998-01-01' AS old FROM docs WHERE pr <> '5-LOW'),
 l1 AS (SELECT addressed_to AS name, bool_or(old) AS old FROM w GROUP BY addressed_to),
 l2 AS (SELECT addressed_to, sender, bool_or(old) AS old FROM w GROUP BY addressed_to, sender),
-f1 AS (SELECT CASE WHEN old THEN 'old-' || substr(sha256(name), 1, 12) ELSE substr(sha256(name), 1, 16) END AS id,
+f1 AS (SELECT CASE WHEN old THEN 'old-' || sha256(name) ELSE sha256(name) END AS id,
               name, CAST(NULL AS VARCHAR) AS parent_id, name AS path FROM l1),
-f2 AS (SELECT CASE WHEN l2.old THEN 'old-' || substr(sha256(l2.addressed_to || '/' || l2.sender), 1, 12)
-                   ELSE substr(sha256(l2.addressed_to || '/' || l2.sender), 1, 16) END AS id,
+f2 AS (SELECT CASE WHEN l2.old THEN 'old-' || sha256(l2.addressed_to || '/' || l2.sender)
+                   ELSE sha256(l2.addressed_to || '/' || l2.sender) END AS id,
               l2.sender AS name, f1.id AS parent_id, l2.addressed_to || '/' || l2.sender AS path
        FROM l2 JOIN f1 ON f1.name = l2.addressed_to)
 SELECT * FROM f1 UNION ALL SELECT * FROM f2""",
@@ -230,10 +236,9 @@ aj AS (SELECT doc_id, action_no, json_object('action_type', action_type,
         'deadline', strftime(pay_deadline, {TS}), 'bank_details', json_object('iban', 'DE' || lpad(CAST(custkey AS VARCHAR), 20, '0')),
         'reference_number', pay_ref) END)::VARCHAR AS j FROM actd),
 lines AS (SELECT doc_id, string_agg(chr(10) || 'Required Action: ' || j, '' ORDER BY action_no) AS l FROM aj GROUP BY doc_id),
-c AS (SELECT d.doc_id, d.sender, d.addressed_to, d.sent_date,
-        'Sender: ' || d.sender || chr(10) || 'Addressed to: ' || d.addressed_to || chr(10) || d.content || coalesce(lines.l, '') AS contents
+c AS (SELECT d.*, 'Sender: ' || d.sender || chr(10) || 'Addressed to: ' || d.addressed_to || chr(10) || d.content || coalesce(lines.l, '') AS contents
       FROM docs d JOIN lines USING (doc_id))
-SELECT doc_id, sha256(contents) AS id, contents, sender, addressed_to, strftime(sent_date, '%Y-%m-%d') AS sent_date FROM c""",
+SELECT doc_id, {RECORD_ID} AS id, contents, sender, addressed_to, strftime(sent_date, '%Y-%m-%d') AS sent_date FROM c""",
 
     "hash_embed_stats": f"""WITH {_hash_counts('d', 'documents', 'doc_id')}
 SELECT doc_id, CAST(sum(c) AS BIGINT) AS n_tokens, CASE WHEN count(b) = 0 THEN NULL ELSE count(b) END::BIGINT AS n_buckets,
@@ -292,16 +297,19 @@ aj AS (SELECT doc_id, action_no, json_object('action_type', action_type,
     'payment', CASE WHEN action_type = 'payment_required' THEN json_object('recipient', pay_recipient, 'amount', amount,
         'deadline', strftime(pay_deadline, {TS}), 'bank_details', json_object('iban', 'DE' || lpad(CAST(custkey AS VARCHAR), 20, '0')),
         'reference_number', pay_ref) END)::VARCHAR AS j FROM actd),
-lines AS (SELECT doc_id, string_agg(chr(10) || 'Required Action: ' || j, '' ORDER BY action_no) AS l FROM aj GROUP BY doc_id),
-ds AS (SELECT d.*, 'Sender: ' || d.sender || chr(10) || 'Addressed to: ' || d.addressed_to || chr(10) || d.content || coalesce(lines.l, '') AS contents,
+lines AS (SELECT doc_id, string_agg(chr(10) || 'Required Action: ' || j, '' ORDER BY action_no) AS l,
+                 string_agg(j, ',' ORDER BY action_no) AS a FROM aj GROUP BY doc_id),
+ds AS (SELECT d.*, '[' || coalesce(lines.a, '') || ']' AS actions, 'Sender: ' || d.sender || chr(10) || 'Addressed to: ' || d.addressed_to || chr(10) || d.content || coalesce(lines.l, '') AS contents,
         CAST(d.sent_date AS TIMESTAMP) + INTERVAL 1 DAY + INTERVAL 8 HOUR AS ingest_ts
       FROM docs d LEFT JOIN lines USING (doc_id)),
-dsi AS (SELECT *, sha256(contents) AS id FROM ds)"""
+dsi AS (SELECT *, {RECORD_ID} AS id FROM ds)"""
+
 
-DOC_STORE_CTE = DOC_ROWS_CTE + f""",
-{_hash_counts('s', 'dsi', 'id', 'contents')}, {_hash_counts('q', 'pre', 'query_id', 'question')},
+def _doc_store(dim: int) -> str:
+    return DOC_ROWS_CTE + f""",
+{_hash_counts('s', 'dsi', 'id', 'contents', dim)}, {_hash_counts('q', 'pre', 'query_id', 'question', dim)},
 dots AS (SELECT q.k AS qk, s.k AS sk, sum(q.c * s.c) AS dot FROM q_b q JOIN s_b s USING (b) GROUP BY ALL),
-cand AS (SELECT pre.query_id, dsi.id, dsi.doc_id, dsi.title, dsi.sender, dsi.sent_date, dsi.addressed_to, dsi.summary, dsi.contents,
+cand AS (SELECT pre.query_id, dsi.id, dsi.doc_id, dsi.title, dsi.sender, dsi.sent_date, dsi.addressed_to, dsi.summary, dsi.contents, dsi.pr, dsi.actions,
            1 - coalesce(dots.dot, 0) / (qn.n * sn.n) AS distance
    FROM pre JOIN q_n qn ON qn.k = pre.query_id CROSS JOIN dsi JOIN s_n sn ON sn.k = dsi.id
    LEFT JOIN dots ON dots.qk = pre.query_id AND dots.sk = dsi.id
@@ -309,6 +317,12 @@ cand AS (SELECT pre.query_id, dsi.id, dsi.doc_id, dsi.title, dsi.sender, dsi.sen
      AND (pre.start_ts IS NULL OR dsi.ingest_ts >= pre.start_ts) AND (pre.end_ts IS NULL OR dsi.ingest_ts < pre.end_ts)),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM cand) WHERE rank <= 3)"""
 
+
+DOC_STORE_CTE = _doc_store(64)
+
+CONTEXT_SQL = """'[' || string_agg(json_object('content', contents, 'title_in_english', title, 'title_in_original_language', 'Bescheid ' || pr, 'sender', sender,
+   'sent_date', strftime(sent_date, '%Y-%m-%d'), 'addressed_to', addressed_to, 'summary_in_english', summary, 'required_actions', actions::JSON)::VARCHAR, ',' ORDER BY rank) || ']'"""
+
 ORACLE.update({
     "question_filters": f"""WITH {QUESTIONS_CTE}
 SELECT query_id, q_sender AS sender, q_addressed_to AS addressed_to, strftime(start_ts, {TS}) AS start_ts,
@@ -316,24 +330,32 @@ SELECT query_id, q_sender AS sender, q_addressed_to AS addressed_to, strftime(st
     "rag_search": f"""WITH {QUESTIONS_CTE}, {DOC_STORE_CTE}
 SELECT query_id, rank, doc_id, round(distance, 6) AS distance FROM hits""",
     "rag_context": f"""WITH {QUESTIONS_CTE}, {DOC_STORE_CTE}
-SELECT query_id, '[' || string_agg(json_object('content', contents, 'title_in_english', title, 'sender', sender,
-   'sent_date', strftime(sent_date, '%Y-%m-%d'), 'addressed_to', addressed_to, 'summary_in_english', summary)::VARCHAR, ',' ORDER BY rank) || ']' AS context,
-   count(*) AS n_context FROM hits GROUP BY query_id""",
-    "default_answer": f"""WITH {QUESTIONS_CTE}, {DOC_STORE_CTE},
+SELECT query_id, {CONTEXT_SQL} AS context, count(*) AS n_context FROM hits GROUP BY query_id""",
+})
+
+
+def _answers(dim: int, more: str = "") -> str:
+    return f"""WITH {QUESTIONS_CTE}, {_doc_store(dim)},
 agg AS (SELECT query_id, min(distance) AS md, count(*) AS n FROM hits GROUP BY query_id),
 top AS (SELECT * FROM hits WHERE rank = 1)
 SELECT qs.query_id,
   CASE WHEN coalesce(agg.md <= 0.35, false) THEN 'According to ''' || top.title || ''' (' || strftime(top.sent_date, '%Y-%m-%d') || '): ' || top.summary
        ELSE 'I cannot answer this from the stored documents.' END AS answer,
-  coalesce(agg.md <= 0.35, false) AS enough_context, coalesce(agg.n, 0) AS n_context
-FROM qs LEFT JOIN agg USING (query_id) LEFT JOIN top USING (query_id)""",
-})
+  coalesce(agg.md <= 0.35, false) AS enough_context, coalesce(agg.n, 0) AS n_context{more}
+FROM pre AS qs LEFT JOIN agg USING (query_id) LEFT JOIN top USING (query_id)"""
+
+
+ORACLE["default_answer"] = _answers(64)
+ORACLE["answer_with_embedder"] = _answers(128, ", qs.q_sender AS sender, qs.q_addressed_to AS addressed_to")
 
 ORACLE["stream_last_partial"] = ORACLE["last_partial"]
 
+_REASONS = ", ".join(f"'{reason}'" for _, reason in BROKEN_ACTIONS)
+
 ORACLE["record_parse"] = f"""WITH {DOCS_CTE}
 SELECT 'doc-' || doc_id AS src, 'ok' AS status,
        CAST(CASE pr WHEN '5-LOW' THEN 0 WHEN '3-MEDIUM' THEN 2 ELSE 1 END AS INTEGER) AS n_actions FROM docs
+UNION ALL SELECT 'bad-' || doc_id, [{_REASONS}][doc_id % {len(BROKEN_ACTIONS)} + 1], CAST(NULL AS INTEGER) FROM docs
 UNION ALL SELECT 'page-' || page_id, 'unparseable', CAST(NULL AS INTEGER) FROM pages"""
 
 ORACLE["uuid_time_ids"] = """WITH u AS (
@@ -347,7 +369,7 @@ SELECT event_id, id, strftime(t, '%Y-%m-%dT%H:%M:%S') AS id_time, t = ts AS "exa
 ORACLE["event_file_links"] = f"""WITH {DOCS_CTE}
 SELECT doc_id, action_no,
   CASE action_type WHEN 'payment_required' THEN 'Bank Details: ' || bank
-       ELSE 'Document Link: file/' || substr(sha256(link), 1, 16) END AS link_line
+       ELSE 'Document Link: file/' || sha256(link) END AS link_line
 FROM actd WHERE action_type <> 'no_action'"""
 
 ORACLE["doc_search_sent_date"] = f"""WITH {DOC_ROWS_CTE},
@@ -366,3 +388,40 @@ SELECT doc_id, action_no,
   strftime(timezone('UTC', timezone('Europe/Berlin', st_ts)), {TS}) AS start_utc,
   strftime(timezone('UTC', timezone('Europe/Berlin', st_ts + INTERVAL 1 HOUR)), {TS}) AS end_utc
 FROM e"""
+
+
+ORACLE["record_roundtrip"] = f"""WITH {DOCS_CTE}
+SELECT summary AS summary_in_english, sender, addressed_to, strftime(sent_date, '%Y-%m-%d') AS sent_date, 'Betrag ' || printf('%.2f', amount) AS content_in_original_language,
+       CAST(CASE pr WHEN '5-LOW' THEN 0 WHEN '3-MEDIUM' THEN 2 ELSE 1 END AS BIGINT) AS n_actions FROM docs"""
+
+UNDATED_REPORT = "id, CASE WHEN id % 4 <> 1 THEN strftime(ingest_ts, '%Y-%m-%dT%H:%M:%S') END AS ingest_ts, lang, source, label, length(contents) AS n_chars"
+
+ORACLE["table_upsert"] = f"""WITH {FLAT_STORE},
+m AS (SELECT * FROM flat WHERE id NOT IN (SELECT id FROM relab) UNION ALL SELECT * FROM relab)
+SELECT {UNDATED_REPORT} FROM m"""
+
+ORACLE["table_delete"] = f"""WITH {FLAT_STORE}
+SELECT {UNDATED_REPORT} FROM flat WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND NOT coalesce(lang = 'de' AND source = 'src1', false)"""
+
+ORACLE["table_clear"] = f"""WITH {FLAT_STORE} SELECT count(*) AS n_before, CAST(0 AS BIGINT) AS n_after FROM flat"""
+
+ORACLE["stream_ingest"] = f"""WITH {DOC_ROWS_CTE}
+SELECT contents, sender, addressed_to, strftime(sent_date, '%Y-%m-%d') AS sent_date, CAST(64 AS BIGINT) AS dim FROM dsi"""
+
+ORACLE["page_files"] = """SELECT source, doc_id // 200 AS part,
+       sha256(string_agg(translate(text, chr(10) || chr(13), '  '), chr(10) || chr(10) ORDER BY doc_id) || chr(10) || chr(10)) AS digest, count(*) + 1 AS n_pages
+FROM documents GROUP BY ALL"""
+
+ORACLE["ann_full_probe"] = ORACLE["topk_batch"]
+ORACLE["ann_full_probe_filtered"] = _ftopk("lang = 'de'")
+ORACLE["topk_question_blocks"] = ORACLE["topk_batch"]
+
+ORACLE["question_names"] = """SELECT c_custkey AS query_id,
+       ['', 'Anna ', 'Anna Maria ', 'Anna Maria von ', 'Dr Anna Maria von '][c_custkey % 5 + 1] || c_name AS addressed_to FROM customer"""
+
+_SYSTEM = SYSTEM_PROMPT.replace("'", "''")
+ORACLE["answer_messages"] = f"""WITH {QUESTIONS_CTE}, {DOC_STORE_CTE},
+ctx AS (SELECT query_id, {CONTEXT_SQL} AS context FROM hits GROUP BY query_id)
+SELECT query_id, CAST(0 AS BIGINT) AS "no", 'system' AS role, sha256('{_SYSTEM}') AS digest FROM qs
+UNION ALL SELECT query_id, 1, 'user', sha256('Question:' || chr(10) || question) FROM qs
+UNION ALL SELECT query_id, 2, 'assistant', sha256('Documents found:' || chr(10) || coalesce(context, '[]')) FROM qs LEFT JOIN ctx USING (query_id)"""

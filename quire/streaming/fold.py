@@ -1,13 +1,12 @@
 """SM1: fold a stream of partial records into the latest version per document.
 
-``readStream`` -> ``groupBy(doc_id).agg(max(seq), max_by(record, seq))`` in
-update mode keeps the running state in Spark's state store; each micro-batch's
-changed documents are *appended* to an update log with ``foreachBatch``
-(O(batch) work per micro-batch, never a rewrite of the whole state). Readers
-take the latest row per document (``read_latest``, a ``max_by`` fold with
-partial aggregation). A replayed micro-batch appends the same rows again,
-which the fold ignores, so the sink is idempotent. With an arrival-time column
-a watermark bounds the streaming state; partials arriving after it are ignored.
+``readStream`` -> ``foreachBatch``: a micro-batch keeps the last partial of each of
+its documents (``max_by``, combined before the shuffle) and appends those rows to an
+update log, O(batch) work and no state between batches. The log is the state: readers
+take the latest row per document (``read_latest``), and ``compact`` writes the log
+anew with that row alone. A replayed or late micro-batch appends rows the fold ranks
+by ``seq`` like any other, so the sink is idempotent and the order of arrival does not
+matter.
 """
 
 from __future__ import annotations
@@ -17,11 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def fold_partials(stream: DataFrame, key: str = "doc_id", seq: str = "seq", record: str = "record",
-                  event_time: str | None = None, watermark: str | None = None) -> DataFrame:
-    if event_time and watermark:
-        stream = stream.withWatermark(event_time, watermark)
-    return stream.groupBy(key).agg(F.max(seq).alias(seq), F.max_by(record, seq).alias(record))
+def fold_partials(batch: DataFrame, key: str = "doc_id", seq: str = "seq", record: str = "record") -> DataFrame:
+    return batch.groupBy(key).agg(F.max(seq).alias(seq), F.max_by(record, seq).alias(record))
 
 
 def append_updates(batch: DataFrame, path: str, batch_id: int) -> None:
@@ -36,9 +32,14 @@ def read_latest(spark: SparkSession, path: str, key: str = "doc_id", seq: str =
     return log.groupBy(key).agg(F.max(seq).alias(seq), *[F.max_by(c, seq).alias(c) for c in others])
 
 
+def compact(spark: SparkSession, path: str, target: str, key: str = "doc_id", seq: str = "seq") -> None:
+    """Writes the folded state of the log at ``path`` as a new log at ``target``, one row per document; swap readers and stream over to it."""
+    read_latest(spark, path, key, seq).withColumn("_batch", F.lit(-1).cast("bigint")).write.parquet(target)
+
+
 def run_fold(spark: SparkSession, source: str, schema: T.StructType | str, out_path: str, checkpoint: str,
              key: str = "doc_id", seq: str = "seq", record: str = "record", rename: dict | None = None,
-             available_now: bool = True, event_time: str | None = None, watermark: str | None = None):
+             available_now: bool = True):
     """Start the fold over Parquet files at ``source``; returns the StreamingQuery."""
     reader = spark.readStream.schema(schema)
     if source.endswith(".parquet"):  # one file: stream its folder, filtered to that file name
@@ -47,8 +48,7 @@ def run_fold(spark: SparkSession, source: str, schema: T.StructType | str, out_p
     s = reader.parquet(source)
     for a, b in (rename or {}).items():
         s = s.withColumnRenamed(a, b)
-    agg = fold_partials(s, key, seq, record, event_time, watermark)
-    w = (agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, bid: append_updates(df, out_path, bid)))
+    w = (s.writeStream.option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda df, bid: append_updates(fold_partials(df, key, seq, record), out_path, bid)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()

@@ -1,38 +1,38 @@
 """SM2: continuous ingest of extracted record files into the vector table.
 
-File ``readStream`` (JSON records, fixed schema) -> validation (SR5 rules) ->
-vector records (PF1-PF3, UD2) -> ``foreachBatch`` upsert into a
-``VectorTable``. Ids are deterministic (sha256 of the embedded text) and the
-upsert is idempotent, so a replayed micro-batch leaves the table unchanged;
+Text ``readStream`` (a record per line, or per file) -> the same parsing and rules as
+a batch (SR5, offsets in times included) -> vector records (PF1-PF3, UD2) ->
+``foreachBatch`` upsert into a ``VectorTable``. Ids are deterministic and an update
+keeps the stored ingest time, so a replayed micro-batch leaves the table unchanged;
 rejected records are appended to a rejects folder with their reason.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from typing import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.records import JSON_OPTS, reject_reason, vector_records
+from ..operators.records import record_texts, validate_records, vector_records
 from ..operators.store import VectorTable
-from ..schemas import DOC
+from ..session import reliable_checkpoint
 
 
-def _batch(spark: SparkSession, df: DataFrame, table: VectorTable, rejects_path: str | None, dim: int) -> None:
-    rec = df.select(F.struct(*[F.col(f.name) for f in DOC.fields]).alias("rec"), "_path")
-    checked = rec.withColumn("reason", reject_reason(F.col("rec")))
-    ok = checked.filter(F.col("reason").isNull()).select("rec.*")
+def _batch(df: DataFrame, table: VectorTable, rejects_path: str | None, dim: int, embed: Callable[[Column], Column] | None) -> None:
+    checked = reliable_checkpoint(validate_records(df))  # parsed once for both outcomes
     if rejects_path:
-        bad = checked.filter(F.col("reason").isNotNull()).select(F.col("_path").alias("source"), "reason")
+        bad = checked.filter(F.col("reason").isNotNull()).select("source", F.col("_raw").alias("record"), "reason")
         bad.write.mode("append").parquet(rejects_path)
-    table.upsert(vector_records(ok, embed=True, dim=dim))
+    ok = checked.filter(F.col("reason").isNull()).select("rec.*")
+    table.upsert(vector_records(ok, embed=embed or True, dim=dim), keep_stored=("ingest_ts", "week_start"))
 
 
-def run_ingest(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str,
-               rejects_path: str | None = None, dim: int = 64, available_now: bool = True):
-    s = (spark.readStream.schema(DOC).options(multiLine=True, **JSON_OPTS).json(source_dir)
-         .withColumn("_path", F.input_file_name()))
+def run_ingest(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str, rejects_path: str | None = None, dim: int = 64,
+               available_now: bool = True, one_per_file: bool = False, embed: Callable[[Column], Column] | None = None):
+    s = record_texts(spark, source_dir, one_per_file, stream=True)
     table = VectorTable(spark, table_path)
     w = (s.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, _bid: _batch(spark, df, table, rejects_path, dim)))
+         .foreachBatch(lambda df, _bid: _batch(df, table, rejects_path, dim, embed)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

@@ -115,3 +115,19 @@ def test_assembly_chunks_equal_single_join(spark):
     for chunk in (1, 2, 4, 256):
         got = {r["doc_id"]: r["text"] for r in assembly.assemble_pages(p, chunk=chunk).collect()}
         assert got == expect
+
+
+def test_fold_keeps_no_state_and_compacts(spark, tmp_dir):
+    from quire.streaming.fold import compact
+    rows = [(i % 5, i, f"r{i}") for i in range(40)]
+    for n in range(2):  # two files, the later partials first
+        part = rows[20:] if n == 0 else rows[:20]
+        spark.createDataFrame(part, "doc_id bigint, seq bigint, record string").coalesce(1).write.mode("append").parquet(f"{tmp_dir}/in")
+        q = run_fold(spark, f"{tmp_dir}/in", "doc_id bigint, seq bigint, record string", f"{tmp_dir}/log", f"{tmp_dir}/ck")
+        q.awaitTermination()
+        assert not any(p["stateOperators"] for p in q.recentProgress)
+    want = {i: (35 + i, f"r{35 + i}") for i in range(5)}
+    got = lambda path: {r["doc_id"]: (r["seq"], r["record"]) for r in read_latest(spark, path).collect()}
+    assert got(f"{tmp_dir}/log") == want
+    compact(spark, f"{tmp_dir}/log", f"{tmp_dir}/log2")
+    assert got(f"{tmp_dir}/log2") == want and spark.read.parquet(f"{tmp_dir}/log2").count() == 5

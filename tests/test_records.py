@@ -41,6 +41,9 @@ def test_parse_ok_and_rejects(spark):
         (11, _doc([PAY], title_in_english=None)),                   # missing field
         (12, _doc([dict(REPLY, reply=dict(REPLY["reply"], deadline="2024-03-20T12:00:00+01:00"))])),  # offset kept
         (13, _doc([dict(REPLY, reply=dict(REPLY["reply"], deadline="soon"))])),  # bad time inside an action
+        (14, _doc([None])), (15, _doc([{"action_type": None}])),    # null action, null tag
+        (16, _doc([dict(PAY, payment=dict(PAY["payment"], amount="oops"))])),
+        (17, _doc([dict(APPT, appointment={"location": "Room 4"})])),
     ]
     df = spark.createDataFrame(cases, "doc_id int, record string")
     ok, bad = rec.parse_records(df)
@@ -52,6 +55,8 @@ def test_parse_ok_and_rejects(spark):
     assert reasons[10] == "unparseable"
     assert reasons[11] == "missing title_in_english"
     assert reasons[13] == "bad date or time text"
+    assert reasons[14] == reasons[15] == "action tag without its details"
+    assert reasons[16] == reasons[17] == "action detail without a required field"
     import datetime as dt
     assert ok.filter("doc_id = 12").first()["required_actions"][0]["reply"]["deadline"] == dt.datetime(2024, 3, 20, 12)
     row = ok.filter("doc_id = 3").first()
@@ -60,10 +65,11 @@ def test_parse_ok_and_rejects(spark):
 
 
 def test_json_sink_scan_roundtrip(spark, tmp_dir):
-    df = spark.createDataFrame([(1, _doc([REPLY, PAY]))], "doc_id int, record string")
+    df = spark.createDataFrame([(i, _doc([REPLY, PAY], title_in_english=f"n {i}")) for i in range(10)], "doc_id int, record string")
     ok, _ = rec.parse_records(df)
-    rec.write_records(ok.drop("doc_id"), f"{tmp_dir}/out")
+    rec.write_records(ok.drop("doc_id").coalesce(1), f"{tmp_dir}/out")  # ten records in one file
     back = rec.read_records(spark, f"{tmp_dir}/out")
+    assert sorted(r["title_in_english"] for r in back.collect()) == sorted(f"n {i}" for i in range(10))
     assert back.first()["required_actions"][1]["payment"]["amount"] == 12.5
     txt = "".join(open(p).read() for p in __import__("glob").glob(f"{tmp_dir}/out/*.json"))
     assert '"reference_number":null' in txt and "2024-03-20T12:00:00" in txt
@@ -100,3 +106,33 @@ def test_apply_model_parses_and_rejects(spark):
 
     _, bad3 = apply_model(df, "messages", failing, ANSWER, max_retries=2)
     assert "offline" in bad3.first()["reason"]
+
+
+def test_one_record_per_file_and_rejects(spark, tmp_dir):
+    import os
+    os.makedirs(f"{tmp_dir}/in")
+    open(f"{tmp_dir}/in/a.json", "w").write(json.dumps(json.loads(_doc([REPLY])), indent=2))
+    open(f"{tmp_dir}/in/b.json", "w").write("{broken")
+    ok, bad = rec.scan_records(spark, f"{tmp_dir}/in", one_per_file=True)
+    assert ok.first()["source"].endswith("a.json") and ok.count() == 1
+    assert bad.first()["source"].endswith("b.json") and bad.first()["reason"] == "unparseable"
+
+
+def test_letters_with_equal_text_keep_their_ids(spark):
+    docs = [(1, _doc([])), (2, _doc([], sent_date="2024-03-02")), (3, _doc([], title_in_english="Other title"))]
+    ok, _ = rec.parse_records(spark.createDataFrame(docs, "doc_id int, record string"))
+    assert rec.vector_records(ok.drop("doc_id"), embed=False).select("id").distinct().count() == 3
+
+
+def test_one_failing_prompt_rejects_itself_alone(spark):
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(20)], "id int, prompt string").coalesce(1)
+
+    def model(prompts, **_):
+        if "p7" in prompts:
+            raise RuntimeError("bad prompt")
+        return [json.dumps({"answer": p}) for p in prompts]
+
+    from pyspark.sql import types as T
+    ok, bad = apply_model(df, "prompt", model, T.StructType([T.StructField("answer", T.StringType())]), max_retries=1)
+    assert sorted(r["id"] for r in ok.collect()) == [i for i in range(20) if i != 7]
+    assert [(r["id"], "bad prompt" in r["reason"]) for r in bad.collect()] == [(7, True)]

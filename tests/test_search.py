@@ -1,6 +1,7 @@
 """Similarity search properties (JN1, WN1, ST1, SK7)."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quire.operators import search
 from quire.operators.ivf import IvfIndex
@@ -189,3 +190,55 @@ def test_ivf_grouped_skips_bad_questions(spark, sf):
     bad = spark.createDataFrame([(100, [1.0, 2.0]), (101, None)], "query_id bigint, embedding array<double>")
     res = idx.search_grouped(good.unionByName(bad), k=3, nprobe=2).collect()
     assert {r["query_id"] for r in res} == {r["query_id"] for r in good.collect()}
+
+
+def test_wrong_length_first_question_does_not_empty_the_result(spark):
+    st = _store(spark, [[1.0, 0.1, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]], [("Tax", "A", None)] * 3)
+    qs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, None), (4, [0.0, 0.0, 0.0])], "query_id bigint, embedding array<double>")
+    for kw in ({}, {"max_block_bytes": 1}):
+        got = search.nearest(st, qs, k=2, **kw).collect()
+        assert {r["query_id"] for r in got} == {2} and len(got) == 2
+
+
+def test_question_blocks_keep_filters_and_pushdown(spark, tmp_dir):
+    """Many blocks over a stored table: the same rows, one file scan per side, the weeks pruned, no checkpointed store."""
+    import datetime as dt
+    import random
+    from quire.operators.store import VectorTable
+    r = random.Random(2)
+    rows = [(f"{i:04d}", dt.datetime(2024, 1, 1) + dt.timedelta(days=i % 60), r.choice(["Tax", "Health", None]), [r.random() for _ in range(4)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id string, ingest_ts timestamp_ntz, sender string, embedding array<double>")
+    t = VectorTable(spark, f"{tmp_dir}/vt").create(df.selectExpr("*", "to_date(date_trunc('week', ingest_ts)) AS week_start"))
+    qs = [(i, [r.random() for _ in range(4)], r.choice(["Tax", "Health"]), dt.datetime(2024, 1, 8), dt.datetime(2024, 1, 20 + i % 5)) for i in range(40)]
+    spark.createDataFrame(qs, "query_id bigint, embedding array<double>, q_sender string, a timestamp_ntz, b timestamp_ntz").write.parquet(f"{tmp_dir}/q")
+    q = spark.read.parquet(f"{tmp_dir}/q")
+    qf = search.QuestionFilter(equals=(("sender", "q_sender"),), time_col="ingest_ts", start_col="a", end_col="b")
+    one = search.nearest(t.read(), q, k=3, question_filter=qf)
+    many = search.nearest(t.read(), q, k=3, question_filter=qf, max_block_bytes=800, store_block_bytes=4_000)
+    assert _rows(one) == _rows(many) and one.count() > 60
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan and plan.count("FileScan parquet") == 2
+    assert "week_start" in plan.split("PartitionFilters:")[1].split("]")[0] or "week_start" in plan.split("PartitionFilters:")[2].split("]")[0]
+
+
+def test_ivf_filters_zero_vectors_and_staleness(spark, tmp_dir):
+    import random
+    from quire.operators.ivf import IvfIndex
+    r = random.Random(3)
+    rows = [(f"{i:03d}", "Tax" if i % 2 else "Health", [r.random() - 0.5 for _ in range(4)]) for i in range(200)]
+    rows += [("zero", "Tax", [0.0] * 4), ("short", "Tax", [1.0]), ("none", "Tax", None)]
+    df = spark.createDataFrame(rows, "id string, sender string, embedding array<double>")
+    idx = IvfIndex(spark, f"{tmp_dir}/ivf").build(df, n_cells=4)
+    assert idx.skipped == 3
+    q = spark.createDataFrame([(i, [r.random() - 0.5 for _ in range(4)], "Tax") for i in range(5)], "query_id bigint, embedding array<double>, q_sender string")
+    qf = search.QuestionFilter(equals=(("sender", "q_sender"),))
+    full = df.filter("size(embedding) = 4")
+    for where, kw in ((None, {"question_filter": qf}), (F.col("sender") == "Tax", {})):
+        want = _rows(search.nearest(full.filter("sender = 'Tax'"), q.drop("q_sender"), k=4))
+        for strategy in ("broadcast", "grouped"):
+            assert _rows(idx.search(q, k=4, nprobe=4, strategy=strategy, where=where, fallback=False, **kw).drop("exact")) == want
+    top = idx.search(q, k=1, nprobe=4).first()["id"]
+    assert not idx.stale(df)
+    less = df.filter(F.col("id") != top)
+    assert idx.stale(less)
+    assert top not in {x["id"] for x in idx.ensure(less, 4).search(q, k=5, nprobe=4).collect()}

@@ -78,3 +78,27 @@ def test_dedupe_hot_key_last_wins(spark):
     df = spark.createDataFrame(rows, "id string, seq int, v string").repartition(8)
     got = {r["id"]: (r["seq"], r["v"]) for r in vs.dedupe_last(df, "id", "seq").collect()}
     assert got == {"hot": (2999, "v2999"), "cold": (1, "c")}
+
+
+def test_rows_without_a_week(spark, tmp_dir):
+    def rows(items):
+        return spark.createDataFrame([(i, dt.datetime(2024, 1, 3) if dated else None, dt.date(2024, 1, 1) if dated else None, "{}", f"text {i} {v}") for i, dated, v in items],
+                                     "id string, ingest_ts timestamp_ntz, week_start date, metadata string, contents string")
+    t = VectorTable(spark, f"{tmp_dir}/vt3").create(rows([("a", False, 1), ("b", True, 1), ("d", False, 1)]))
+    t.upsert(rows([("c", False, 1)]))
+    assert _state(t) == [("a", "text a 1"), ("b", "text b 1"), ("c", "text c 1"), ("d", "text d 1")]
+    t.upsert(rows([("a", True, 2), ("b", False, 2)]))
+    assert _state(t) == [("a", "text a 2"), ("b", "text b 2"), ("c", "text c 1"), ("d", "text d 1")]
+    t.delete(ids=["b", "c"])
+    assert _state(t) == [("a", "text a 2"), ("d", "text d 1")]
+    t.delete(metadata_filter=[{"id": "d"}])
+    assert _state(t) == [("a", "text a 2")]  # the folder of the rows without a week is gone
+
+
+def test_few_files_per_week(spark, tmp_dir):
+    import glob
+    df = spark.range(4000).repartition(40).select(
+        F.col("id").cast("string").alias("id"), F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, cast(id % 40 as int))").alias("ingest_ts"))
+    df = df.withColumn("week_start", F.to_date(F.date_trunc("week", "ingest_ts")))
+    VectorTable(spark, f"{tmp_dir}/vt4").create(df)
+    assert len(glob.glob(f"{tmp_dir}/vt4/week_start=*/*.parquet")) <= 40 * vs.WEEK_FILES
