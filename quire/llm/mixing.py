@@ -27,7 +27,7 @@ TOTAL_RATIO = 1.5
 MAX_EPOCHS = 2.0
 SEED = 20240
 #: Documents per hash cell, about.
-CELL_ROWS = 20_000
+CELL_ROWS = 1_000
 
 
 def word_count(col: Column | str) -> Column:
