@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.meta import pack_metadata
 from ..functions.times import ISO_NTZ, parse_iso, week_start
+from ..functions.vectors import l2_norm
 from ..schemas import ACTION_TYPES, DOC, DOC_REQUIRED, SENDERS
 from .embed import embedding_text, hash_embed
 
@@ -210,6 +211,7 @@ def vector_records(docs: DataFrame, embed: bool | Callable[[Column], Column] = T
     if embed:
         of = embed if callable(embed) else (lambda c: hash_embed(c, dim))
         out = out.withColumn("embedding", of(embedding_text("contents")))
+        out = out.withColumn("norm", l2_norm("embedding").cast("float"))
     return out
 
 

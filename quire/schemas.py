@@ -65,6 +65,7 @@ STORE = T.StructType([
     T.StructField("metadata", T.StringType()),
     T.StructField("contents", T.StringType()),
     T.StructField("embedding", T.ArrayType(T.FloatType())),
+    T.StructField("norm", T.FloatType()),
 ])
 
 ANSWER = T.StructType([

@@ -136,3 +136,22 @@ def test_one_failing_prompt_rejects_itself_alone(spark):
     ok, bad = apply_model(df, "prompt", model, T.StructType([T.StructField("answer", T.StringType())]), max_retries=1)
     assert sorted(r["id"] for r in ok.collect()) == [i for i in range(20) if i != 7]
     assert [(r["id"], "bad prompt" in r["reason"]) for r in bad.collect()] == [(7, True)]
+
+
+def test_filed_documents_are_written_by_addressee_and_sender(spark, sf, tmp_dir):
+    import glob
+    from quire.operators import actions as act
+    from quire.plans import derived
+    docs = derived.doc_records(spark, sf)
+    act.file_documents(docs, f"{tmp_dir}/filed")
+    back = spark.read.parquet(f"{tmp_dir}/filed")
+    want = {(r["doc_id"], r["folder_path"], r["name"]) for r in act.stored_files(docs).collect()}
+    assert {(r["doc_id"], r["addressed_to"] + "/" + r["sender"], r["name"]) for r in back.collect()} == want
+    folders = glob.glob(f"{tmp_dir}/filed/addressed_to=*/sender=*")
+    assert len(folders) == len({f for _, f, _ in want})
+
+
+def test_empty_notes_read_as_none(spark):
+    from quire.operators import actions as act
+    ok, _ = rec.parse_records(spark.createDataFrame([(1, _doc([dict(APPT, appointment=dict(APPT["appointment"], additional_notes=""))]))], "doc_id int, record string"))
+    assert "Additional Notes: None" in act.calendar_events(ok).first()["description"]
