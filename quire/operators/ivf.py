@@ -130,14 +130,15 @@ class IvfIndex:
     def search_grouped(self, questions: DataFrame, k: int = 5, nprobe: int = 2, *, qid_col: str = "query_id",
                        qvec_col: str = "embedding", id_col: str = "id", vec_col: str = "embedding",
                        payload: list[str] | None = None, question_filter: QuestionFilter | None = None,
-                       where: Column | None = None, rows_per_group: int = 20_000) -> DataFrame:
+                       where: Column | None = None, rows_per_group: int = 20_000, questions_per_group: int = 50_000) -> DataFrame:
         """Probe search without any broadcast that grows with the questions.
 
         Questions are exploded to their ``nprobe`` cells (only the centroids are
         broadcast, size-checked) and meet the index rows in cogroups keyed by
         ``(cell, sub)``. A cell is split into ``ceil(rows / rows_per_group)`` subs by a
         hash of the row id, and a question probing it is repeated once per sub, so a cell
-        holding a third of the table is spread over many tasks.
+        holding a third of the table is spread over many tasks; more than
+        ``questions_per_group`` questions are blocks of their own, for which the rows repeat.
         """
         payload = list(payload) if payload is not None else [id_col]
         if id_col not in payload:
@@ -158,13 +159,14 @@ class IvfIndex:
 
         q = questions.select(qid_col, qvec_col, *(qf.question_columns() if qf else [])).filter(F.size(qvec_col) == dim)
         q = q.withColumn(cell_col, F.explode(cells_of(qvec_col))).join(F.broadcast(cstats), cell_col)  # n_cells rows
-        q = q.withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))).drop("_subs")
+        blocks = max(1, -(-questions.count() // questions_per_group))
+        q = q.withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_subs") - 1))).drop("_subs").withColumn("_qb", F.pmod(F.xxhash64(qid_col), F.lit(blocks)))
         table = self.read() if where is None else self.read().filter(where)
         st = (table.select(cell_col, *dict.fromkeys(payload + [vec_col] + (qf.store_columns() if qf else [])))
               .join(F.broadcast(cstats), cell_col)
               .withColumn("_sub", F.pmod(F.xxhash64(F.col(id_col)), F.col("_subs").cast("bigint")).cast("int"))
-              .drop("_subs"))
-        return grouped_top_k(q, st, [cell_col, "_sub"], k, qid_col=qid_col, qvec_col=qvec_col, id_col=id_col, vec_col=vec_col,
+              .drop("_subs").withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))))
+        return grouped_top_k(q, st, [cell_col, "_sub", "_qb"], k, qid_col=qid_col, qvec_col=qvec_col, id_col=id_col, vec_col=vec_col,
                              payload=payload, question_filter=qf)
 
     def search(self, questions: DataFrame, k: int = 5, nprobe: int = 2, fallback: bool = True,

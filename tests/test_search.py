@@ -237,6 +237,8 @@ def test_ivf_filters_zero_vectors_and_staleness(spark, tmp_dir):
         want = _rows(search.nearest(full.filter("sender = 'Tax'"), q.drop("q_sender"), k=4))
         for strategy in ("broadcast", "grouped"):
             assert _rows(idx.search(q, k=4, nprobe=4, strategy=strategy, where=where, fallback=False, **kw).drop("exact")) == want
+    small = idx.search_grouped(q, k=4, nprobe=4, question_filter=qf, rows_per_group=20, questions_per_group=2)
+    assert _rows(small) == want
     top = idx.search(q, k=1, nprobe=4).first()["id"]
     assert not idx.stale(df)
     less = df.filter(F.col("id") != top)
