@@ -98,6 +98,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None,
                 held += len(found)
                 if held >= block_ids:
                     yield emit()
+            pa.default_memory_pool().release_unused()
         if doc_ids:
             yield emit()
 
