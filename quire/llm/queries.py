@@ -12,43 +12,53 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_url_filter(spark, d) -> DataFrame:
+    """Op 1: verdict and rule of every page's URL."""
     return urls.judge(table(spark, d, "pages"))
 
 
 def op2_simhash(spark, d) -> DataFrame:
+    """Op 2: fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, d, "documents"))
 
 
 def op3_decontaminate(spark, d) -> DataFrame:
+    """Op 3: words, hits and items of every document."""
     return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
 def op4_sharding(spark, d) -> DataFrame:
+    """Op 4: place of every document in the written shards."""
     return sharding.shard_report(table(spark, d, "documents"))
 
 
 def op5_quality(spark, d) -> DataFrame:
+    """Op 5: quality score of every document."""
     docs = table(spark, d, "documents")
     return quality.quality_scores(docs, quality.train(docs, table(spark, d, "labels")))
 
 
 def op6_brown(spark, d) -> DataFrame:
+    """Op 6: class-model and base score of every document."""
     return brown.scores(table(spark, d, "documents"))
 
 
 def op7_tokens(spark, d) -> DataFrame:
+    """Op 7: every document as decoded from the written token files."""
     return tokens.token_report(tokens.write_tokens(table(spark, d, "documents"), public_tokenizers.path(TOKENIZER)))
 
 
 def op8_mixing(spark, d) -> DataFrame:
+    """Op 8: words the mix takes of every document."""
     return mixing.mix_report(table(spark, d, "documents"))
 
 
 def op9_html(spark, d) -> DataFrame:
+    """Op 9: main text of every page."""
     return html_text.main_text(table(spark, d, "pages"))
 
 
 def op10_imatch(spark, d) -> DataFrame:
+    """Op 10: fingerprints of every document and its edited text."""
     return imatch.near_report(table(spark, d, "documents"))
 
 
