@@ -273,10 +273,12 @@ def test_brown_scores(spark, monkeypatch):
     found = {}
     exchange = brown.exchange
     monkeypatch.setattr(brown, "exchange", lambda b, c: found.setdefault("of", exchange(b, c)))
+    bigrams = brown.unit_bigrams
+    monkeypatch.setattr(brown, "unit_bigrams", lambda t, w: bigrams(t, found.setdefault("words", w)))
     got = brown.scores(docs_table(spark, rows), classes=6).collect()
     counts = Counter(w for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 10 for w in (t or "").encode().lower().split())
-    words = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:20]]
-    want = lm_by_hand(rows, found["of"].tolist(), words)
+    assert found["words"] == [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:len(found["words"])]] and len(found["words"]) > 5
+    want = lm_by_hand(rows, found["of"].tolist(), found["words"])
     mine = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got), key=str)
     assert len(mine) == len(want)
     for a, b in zip(mine, want, strict=True):
