@@ -2,10 +2,10 @@
 
 Terms whose inverse document frequency lies in a band (neither too common nor too
 rare) form the lexicon. It is dealt at random, by a seeded hash of the term, into
-``PARTS`` subsets, of which the first ``SUBSETS`` are used; a document's sorted
-distinct terms of each subset are hashed, and the hashes in order are its
-fingerprint. The likeness of two fingerprints is the share of equal hashes among
-the subsets in which either document has a term.
+``SUBSETS`` subsets, so every term is in one; a document's sorted distinct terms of
+each subset are hashed, and the hashes in order are its fingerprint. The likeness of
+two fingerprints is the share of equal hashes among the subsets in which either
+document has a term.
 
 Document frequencies cover all documents. The band's lower end is a share of the
 documents, so the lexicon has at most (mean distinct terms) / (lower share) terms
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import NOT_ALNUM, words, written
 
 MIN_SHARE, MAX_SHARE = 0.01, 0.3
-SUBSETS, PARTS = 32, 64
+SUBSETS = 32
 MIN_TERMS = 2
 SEED = 101
 MAX_LEXICON = 200_000
@@ -54,7 +54,7 @@ def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MA
     return sorted(found)
 
 
-def fingerprint(text: str, lex: list[str], subsets: int = SUBSETS, parts: int = PARTS, min_terms: int = MIN_TERMS, seed: int = SEED) -> Column:
+def fingerprint(text: str, lex: list[str], subsets: int = SUBSETS, min_terms: int = MIN_TERMS, seed: int = SEED) -> Column:
     """Fingerprint of column ``text``: a hash (8 hex digits) per subset, ``EMPTY`` where the text has no term of it.
 
     SQL text, as a lexicon of thousands of terms is parsed at once this way.
@@ -64,9 +64,9 @@ def fingerprint(text: str, lex: list[str], subsets: int = SUBSETS, parts: int =
     # terms have no quotes or backslashes: all of ASCII but letters and digits separates them
     band = "filter(every, t -> t IN (" + ", ".join(f"'{t}'" for t in lex) + "))" if lex else "every"
     chosen = let("band", band, f"if(size(band) >= {min_terms}, band, every)")
-    # a term is led by a character for its part; with one bare character per subset the sorted terms fall into the subsets
+    # a term is led by a character for its subset; with one bare character per subset the sorted terms fall into the subsets
     first = 48
-    dealt = f"filter(transform(chosen, t -> concat(char({first} + pmod(xxhash64({seed}, t), {parts})), t)), x -> x < char({first + subsets}))"
+    dealt = f"transform(chosen, t -> concat(char({first} + pmod(xxhash64({seed}, t), {subsets})), t))"
     marks = f"transform(sequence({first}, {first + subsets - 1}), c -> char(c))"
     line = f"array_join(transform(sort_array(concat({marks}, {dealt})), x -> if(length(x) = 1, '\\t', substring(x, 2))), ' ')"
     digest = f"if(length(x) <= 1, '{EMPTY}', lpad(lower(hex(crc32(cast(trim(x) AS binary)))), 8, '0'))"

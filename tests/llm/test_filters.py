@@ -243,6 +243,15 @@ def test_near_report(spark, range_rows):
             assert text_of.setdefault(frozenset(terms_by_hand(x)), f) == f  # equal terms, equal fingerprint
 
 
+def test_unlike_terms_have_unlike_fingerprints(spark):
+    texts = ["", "...", *(f"w{i}" for i in range(60)), *(f"w{i} v{i}" for i in range(60)), *(f"w0 v{i}" for i in range(1, 60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for lex in ([], [f"w{i}" for i in range(60)], [f"{c}{i}" for c in "vw" for i in range(60)]):
+        got = {r["i"]: r["f"] for r in docs.select("i", imatch.fingerprint("text", lex).alias("f")).collect()}
+        assert got[0] == got[1] == imatch.EMPTY * imatch.SUBSETS
+        assert len(set(got.values())) == len(texts) - 1
+
+
 def test_near_report_hot_and_null_ids(spark):
     rows = [(7, f"same id {i}", "s") for i in range(60)] + [(None, f"none {i % 5}", "s") for i in range(50)] + [(i, f"t {i}", "s") for i in range(20, 40)]
     got = imatch.near_report(docs_table(spark, rows), range_rows=5)
