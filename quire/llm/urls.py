@@ -6,8 +6,9 @@ suffix statistics, trained from labelled URLs: any table of (url, label 0/1), or
 those ``word_labels`` marks by whole host words of known categories. The model
 itself never sees a word, only the lexical features. Suffix statistics are smoothed
 shares of blocked URLs among all labelled URLs whose host ends in the same one, two
-or three names, kept in ``SUFFIX_CELLS`` hash cells per level, so their table has a
-fixed size and is broadcast.
+or three names, counted for each suffix and joined by it. A level of at most
+``BROADCAST_BYTES`` is broadcast; of a larger one only the frequent suffixes are, and
+the other rows are joined in a shuffle.
 
 DataFrame functions and MLlib only. A null URL or one without ``://`` has an empty
 host and path, fits no rule, and is judged by the model on the features of its text
@@ -31,8 +32,12 @@ from .common import ascii_lower, written
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 # Host words that mark a URL as one to block when no label table is given.
 BLOCK_WORDS = ("ad", "ads", "adult", "bet", "bets", "casino", "pills", "poker", "porn", "spam", "track", "tracker", "viagra", "xxx")
-SUFFIX_CELLS = 1 << 13
 LEVELS = (1, 2, 3)
+#: Bytes up to which a level's suffixes are broadcast. Of a larger level, those with a ``HOT``-th of the labelled URLs are (at most HOT, of HOT_BYTES at most).
+BROADCAST_BYTES = 8 << 20
+HOT, HOT_BYTES = 1_000, 1_024
+#: Places among which the rows of a suffix outside the broadcast part are dealt.
+SALTS = 8
 SMOOTHING = 5.0
 #: Bound of the training sample (rows drawn by hash; suffix statistics use all labelled rows).
 TRAIN_ROWS = 20_000
@@ -68,7 +73,7 @@ def word_labels(pages: DataFrame, url_col: str = "url", block_words: Sequence[st
 
 
 def _lexical(df: DataFrame) -> DataFrame:
-    """Adds the lexical features of ``_u`` (never null) and the suffix cells ``_c1..``."""
+    """Adds the lexical features of ``_u`` (never null) and the suffixes ``_c1..``."""
     u, n = F.col("_u"), F.greatest(F.length("_u"), F.lit(1))
     df = df.withColumns({"_h": host("_u"), "_p": path("_u"), "_q": F.regexp_extract("_u", r"(?s)\?([^#]*)", 1)})
     names = F.split("_h", r"\.")
@@ -84,39 +89,58 @@ def _lexical(df: DataFrame) -> DataFrame:
         "secure": F.startswith(u, F.lit("https")).cast("int"),
     })
     for k in LEVELS:
-        out = out.withColumn(f"_c{k}", F.pmod(F.xxhash64(F.lit(k), F.substring_index("_h", ".", -k)), F.lit(SUFFIX_CELLS)))
+        out = out.withColumn(f"_c{k}", F.substring_index("_h", ".", -k))
     return out
 
 
 def _suffix_stats(labelled: DataFrame) -> DataFrame:
-    """(_k, _c, _n, _s): labelled URLs and blocked ones in each suffix cell; at most len(LEVELS) * SUFFIX_CELLS rows."""
-    cell = F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.col(f"_c{k}").alias("_c")) for k in LEVELS]))
-    return labelled.select("label", cell.alias("x")).groupBy("x._k", "x._c").agg(F.count("*").alias("_n"), F.sum("label").alias("_s"))
+    """(_k, _c, _n, _s): labelled URLs and blocked ones of each suffix."""
+    suffix = F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.col(f"_c{k}").alias("_c")) for k in LEVELS]))
+    return labelled.select("label", suffix.alias("x")).groupBy("x._k", "x._c").agg(F.count("*").alias("_n"), F.sum("label").alias("_s"))
+
+
+def _levels(stats: DataFrame) -> dict[int, tuple[DataFrame, DataFrame | None]]:
+    """Per level the suffixes to broadcast, and the others where they are too many for that."""
+    sizes = stats.groupBy("_k").agg(F.sum(F.octet_length("_c") + 32).alias("bytes"), F.sum("_n").alias("n")).collect()  # a row per level
+    out = {}
+    for r in sizes:
+        one = stats.filter(F.col("_k") == r["_k"]).select("_c", "_n", "_s")
+        hot = (F.col("_n") >= r["n"] / HOT) & (F.octet_length("_c") <= HOT_BYTES)
+        out[r["_k"]] = (one, None) if r["bytes"] <= BROADCAST_BYTES else (one.filter(hot), one.filter(~hot))
+    return out
 
 
-def _with_suffixes(df: DataFrame, stats: DataFrame, prior: float, own: bool) -> DataFrame:
+def _with_suffixes(df: DataFrame, levels: dict[int, tuple[DataFrame, DataFrame | None]], prior: float, own: bool) -> DataFrame:
     """Adds suffix1..; ``own`` leaves a training row's own label out of its statistics."""
-    for k in LEVELS:
-        one = F.broadcast(stats.filter(F.col("_k") == k).select(F.col("_c").alias(f"_c{k}"), F.col("_n").alias("_n"), F.col("_s").alias("_s")))
+    for k, (first, rest) in sorted(levels.items()):
+        df = df.join(F.broadcast(first.withColumnRenamed("_c", f"_c{k}")), f"_c{k}", "left")
+        if rest is not None:
+            # rows that have their counts already are dealt evenly and meet nothing
+            draw, done = F.xxhash64("_u", F.monotonically_increasing_id()), F.col("_n").isNotNull()
+            df = df.withColumns({"_at": F.when(~done, F.col(f"_c{k}")), "_salt": F.when(done, F.pmod(draw, F.lit(1 << 20)) + SALTS).otherwise(F.pmod(draw, F.lit(SALTS)))})
+            salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+            rest = rest.select(F.col("_c").alias("_at"), F.col("_n").alias("_n2"), F.col("_s").alias("_s2"), salts.alias("_salt"))
+            df = df.join(rest.hint("shuffle_merge"), ["_at", "_salt"], "left").withColumns({"_n": F.coalesce("_n", "_n2"), "_s": F.coalesce("_s", "_s2")})
+            df = df.drop("_at", "_salt", "_n2", "_s2")
         n, s = F.coalesce("_n", F.lit(0)), F.coalesce("_s", F.lit(0))
         if own:
             n, s = n - 1, s - F.col("label")
-        df = df.join(one, f"_c{k}", "left").withColumn(f"suffix{k}", (s + prior * SMOOTHING) / (n + SMOOTHING)).drop("_n", "_s")
+        df = df.withColumn(f"suffix{k}", (s + prior * SMOOTHING) / (n + SMOOTHING)).drop("_n", "_s")
     return df
 
 
 class UrlModel:
     """A trained filter: ``score(df, url_col)`` adds ``score``, the probability that the URL is one to block."""
 
-    def __init__(self, stats: DataFrame | None, prior: float, model):
-        self.stats, self.prior, self.model = stats, prior, model
+    def __init__(self, levels: dict[int, tuple[DataFrame, DataFrame | None]] | None, prior: float, model):
+        self.levels, self.prior, self.model = levels, prior, model
 
     def score(self, df: DataFrame, url_col: str = "url") -> DataFrame:
         if self.model is None:
             return df.withColumn("score", F.lit(self.prior))
         cols = [F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(df.columns)]
         x = _lexical(df.select(*cols, F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("_u")))
-        x = self.model.transform(_with_suffixes(x, self.stats, self.prior, own=False))
+        x = self.model.transform(_with_suffixes(x, self.levels, self.prior, own=False))
         return x.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(df.columns)], vector_to_array("probability")[1].alias("score"))
 
 
@@ -129,14 +153,15 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 10, de
     if n == 0 or blocked in (0, n):
         return UrlModel(None, float(blocked > 0), None)
     prior = blocked / n
+    levels = _levels(stats)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_u", F.monotonically_increasing_id()), 33) / F.lit(float(1 << 31))
     share = F.when(F.col("label") == 1, train_rows / 2 / blocked).otherwise(train_rows / 2 / (n - blocked))
-    sample = _with_suffixes(rows.filter(draw < share), stats, prior, own=True).select("label", *FEATURES)
+    sample = _with_suffixes(rows.filter(draw < share), levels, prior, own=True).select("label", *FEATURES)
     sample = written(sample.repartition(8), "url-sample")
     gbt = GBTClassifier(featuresCol="_x", labelCol="label",
                         maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, minInstancesPerNode=5)
     model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="_x"), gbt]).fit(sample)
-    return UrlModel(stats, prior, model)
+    return UrlModel(levels, prior, model)
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: Sequence[tuple[str, str]] = RULES, block_at: float = BLOCK_AT,

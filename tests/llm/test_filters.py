@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from quire.llm import decontaminate, imatch, mixing, urls
@@ -70,6 +71,40 @@ def test_trees_learn_from_labelled_urls(spark):
     assert held > 0.95
 
 
+class ShowSuffixes:
+    """Stands for the trees: the probability shows the suffix statistics."""
+
+    def __init__(self, stages):
+        pass
+
+    def fit(self, sample):
+        return self
+
+    def transform(self, df):
+        shown = F.col("suffix1") + 10 * F.col("suffix2") + 100 * F.col("suffix3")
+        return df.withColumn("probability", array_to_vector(F.array(F.lit(0.0), shown)))
+
+
+@pytest.mark.parametrize("broadcast_bytes", [8 << 20, 0])
+def test_suffix_statistics_of_many_hosts_are_exact(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(urls, "Pipeline", ShowSuffixes)
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", broadcast_bytes, raising=False)
+    hosts = [f"h{i}.d{i % 3001}.t{i % 7}" for i in range(12_000)] + ["hot.d0.t0"] * 500
+    rows = [(i, f"http://{h}/", int(i % 3 == 0)) for i, h in enumerate(hosts)]
+    pages = spark.createDataFrame([*rows, (-1, "http://new.d1.t1/", None), (-2, None, None)], "page_id bigint, url string, label int")
+    got = {r["page_id"]: r["score"] for r in urls.judge(pages, labelled=pages.select("url", "label"), rules=()).collect()}
+    count = {}
+    for h, (_, _, label) in zip(hosts, rows, strict=True):
+        for k in urls.LEVELS:
+            n, s = count.get((k, ".".join(h.split(".")[-k:])), (0, 0))
+            count[k, ".".join(h.split(".")[-k:])] = n + 1, s + label
+    prior = sum(r[2] for r in rows) / len(rows)
+    assert len(got) == len(rows) + 2
+    for i, h in [*enumerate(hosts), (-1, "new.d1.t1"), (-2, "")]:
+        seen = [count.get((k, ".".join(h.split(".")[-k:])), (0, 0)) for k in urls.LEVELS]
+        assert abs(got[i] - sum(w * (s + prior * urls.SMOOTHING) / (n + urls.SMOOTHING) for w, (n, s) in zip((1, 10, 100), seen, strict=True))) < 1e-9
+
+
 def test_url_constant_models_and_empty(spark):
     pages = spark.createDataFrame([(1, "http://x.org/")], "page_id bigint, url string")
     assert urls.judge(pages, labelled=pages.select("url", F.lit(1).alias("label"))).first()["verdict"] == "block"
