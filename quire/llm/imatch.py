@@ -10,8 +10,9 @@ document has a term.
 Document frequencies cover all documents. The band's lower end is a share of the
 documents, so the lexicon has at most (mean distinct terms) / (lower share) terms
 whatever the size of the corpus; it is read by the driver and put into the
-expression as a set of literals, and a lexicon over ``MAX_LEXICON`` is an error that
-asks for a narrower band. Fingerprints then need no shuffle.
+expression as a set of literals. Fingerprints then need no shuffle. A lexicon over
+``MAX_LEXICON`` (very long texts) stays a written table, which the documents' terms
+are joined with, for the same fingerprints.
 
 DataFrame functions only. A null text counts as empty; a text with fewer than
 ``MIN_TERMS`` lexicon terms is fingerprinted by all its terms; texts without words
@@ -32,6 +33,8 @@ SUBSETS = 32
 MIN_TERMS = 2
 SEED = 101
 MAX_LEXICON = 200_000
+#: Places among which the documents of a term are dealt when the lexicon is a table.
+SALTS = 8
 #: Rows of a range of the document order, about, and the most ranges whose boundaries are looked up.
 RANGE_ROWS = 2_000
 MAX_RANGES = 1 << 16
@@ -43,26 +46,40 @@ def terms(text: Column | str) -> Column:
     return F.array_distinct(words(F.lower(text), NOT_ALNUM))
 
 
-def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE, text_col: str = "text") -> list[str]:
-    """Sorted terms that occur in ``min_share`` to ``max_share`` of all documents (an idf band)."""
+def lexicon(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE, text_col: str = "text") -> list[str] | DataFrame:
+    """Sorted terms that occur in ``min_share`` to ``max_share`` of all documents (an idf band); over ``MAX_LEXICON`` a table (term)."""
     df = docs.select(F.explode(terms(text_col)).alias("term")).groupBy("term").count()
     n = docs.count()
     band = df.filter((F.col("count") >= min_share * n) & (F.col("count") <= max_share * n)).select("term")
     found = [r["term"] for r in band.limit(MAX_LEXICON + 1).collect()]
     if len(found) > MAX_LEXICON:
-        raise ValueError(f"the idf band holds over {MAX_LEXICON} terms; raise min_share")
+        return written(band, "lexicon")
     return sorted(found)
 
 
-def fingerprint(text: str, lex: list[str], subsets: int = SUBSETS, min_terms: int = MIN_TERMS, seed: int = SEED) -> Column:
+def with_fingerprint(rows: DataFrame, name: str, text_col: str, lex: list[str] | DataFrame) -> DataFrame:
+    """``rows`` with the fingerprint of column ``text_col`` as ``name``."""
+    if isinstance(lex, list):
+        return rows.withColumn(name, fingerprint(text_col, lex))
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "unmarked")  # written, so a row keeps its number
+    found = rows.select("_row", F.pmod("_row", F.lit(SALTS)).alias("_salt"), F.explode(terms(text_col)).alias("term"))
+    salted = lex.select("term", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("_salt"))
+    band = found.join(salted, ["term", "_salt"]).groupBy("_row").agg(F.collect_list("term").alias("_band"))
+    return rows.join(band, "_row", "left").withColumn(name, fingerprint(text_col, "_band")).drop("_row", "_band")
+
+
+def fingerprint(text: str, lex: list[str] | str, subsets: int = SUBSETS, min_terms: int = MIN_TERMS, seed: int = SEED) -> Column:
     """Fingerprint of column ``text``: a hash (8 hex digits) per subset, ``EMPTY`` where the text has no term of it.
 
-    SQL text, as a lexicon of thousands of terms is parsed at once this way.
+    SQL text, as a lexicon of thousands of terms is parsed at once this way. ``lex`` may
+    also name a column with the text's distinct terms in the lexicon (null: none).
     """
     let = lambda name, value, use: f"element_at(transform(array({value}), {name} -> {use}), 1)"  # noqa: E731  value is computed once
     every = f"array_distinct(array_remove(split(lower({text}), '{NOT_ALNUM}'), ''))".replace("\\", "\\\\")
     # terms have no quotes or backslashes: all of ASCII but letters and digits separates them
     band = "filter(every, t -> t IN (" + ", ".join(f"'{t}'" for t in lex) + "))" if lex else "every"
+    if isinstance(lex, str):
+        band = f"coalesce({lex}, cast(array() AS array<string>))"
     chosen = let("band", band, f"if(size(band) >= {min_terms}, band, every)")
     # a term is led by a character for its subset; with one bare character per subset the sorted terms fall into the subsets
     first = 48
@@ -144,13 +161,12 @@ def near_report(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float
     """
     lex = lexicon(docs, min_share, max_share, text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    rows = rows.withColumn("_fp", fingerprint("_text", lex))
-    d = with_next(rows, range_rows)
+    d = with_next(with_fingerprint(rows, "_fp", "_text", lex), range_rows)
     n = F.length("_text")
     k = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("_text", F.lit(1), n - k), F.substring(F.col("_next._text"), F.lit(1), k))
     d = d.select("_id", "_fp", n.cast("bigint").alias("n_chars"), F.col("_next._fp").alias("_next_fp"), edited.alias("_edited"))
-    d = d.select("_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), F.col("_fp").alias("fingerprint"), "_next_fp",
-                 fingerprint("_edited", lex).alias("edited_fingerprint"))
+    d = with_fingerprint(d, "edited_fingerprint", "_edited", lex)
+    d = d.select("_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), F.col("_fp").alias("fingerprint"), "_next_fp", "edited_fingerprint")
     return d.select(F.col("_id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
                     likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "_next_fp").alias("near_next"))

@@ -294,3 +294,10 @@ def test_near_report_hot_and_null_ids(spark):
     assert imatch.near_report(docs_table(spark, rows).limit(0)).count() == 0
     one = imatch.near_report(docs_table(spark, [(1, "only one text", "s")])).first()
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"only ononly o").hexdigest()
+
+
+def test_lexicon_as_a_table_gives_the_same_fingerprints(spark, monkeypatch):
+    docs = docs_table(spark, sample_rows(60))
+    want = sorted(map(str, imatch.near_report(docs, 0.2, 0.7).collect()))
+    monkeypatch.setattr(imatch, "MAX_LEXICON", 3)
+    assert sorted(map(str, imatch.near_report(docs, 0.2, 0.7).collect())) == want
