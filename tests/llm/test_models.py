@@ -285,6 +285,20 @@ def test_brown_scores(spark, monkeypatch):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-4 and abs(a[6] - b[6]) < 1e-4
 
 
+def test_brown_clusters_words_of_equal_count_whatever_the_lookup_holds(spark, monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join(r.sample([f"w{i}" for i in range(60)], 60)) for _ in range(12)]  # all words equally often
+    docs = docs_table(spark, enumerate(texts, 1))
+    monkeypatch.setattr(brown, "WORDS", 20)
+    seen = []
+    bigrams = brown.unit_bigrams
+    monkeypatch.setattr(brown, "unit_bigrams", lambda t, w: bigrams(t, seen.append(w) or w))
+    want = sorted((r["doc_id"], round(r["score"], 6)) for r in brown.scores(docs, classes=6).collect())
+    monkeypatch.setattr(brown, "LOOKUP", 40)
+    assert sorted((r["doc_id"], round(r["score"], 6)) for r in brown.scores(docs, classes=6).collect()) == want
+    assert seen[0] == seen[1] == sorted(f"w{i}".encode() for i in range(60))[:20]
+
+
 def test_exchange_finds_alternating_classes():
     rng = np.random.default_rng(4)
     n = 24
