@@ -23,7 +23,7 @@ from ..schemas import DOC
 
 PROMPT = ("You are an expert in official letters. Read the document below and return one JSON object with "
           "the record fields (titles, sender, sent date, addressee, contents, summary, required actions).\n\n"
-          "Here is the document:\n")
+          "Text of the letter:\n")
 
 
 def process_documents(files: DataFrame, model: Callable, extract: Callable = default_extractor,
@@ -65,9 +65,11 @@ def wrap_record_model(fn: Callable) -> Callable:
 
 
 def ingest(spark: SparkSession, docs: DataFrame, table_path: str, mode: str = "upsert", dim: int = 64,
-           ingest_ts=None, index_path: str | None = None, n_cells: int = 16,
+           ingest_ts=None, index_path: str | None = None, n_cells: int | None = None,
            embed: Callable[[Column], Column] | None = None) -> VectorTable:
-    """UD7: records -> vector rows -> table (``mode`` "overwrite" drops first, D19) -> optional IVF index.
+    """UD7: records -> vector rows -> table (``mode`` "overwrite" drops first, D19) -> optional cell index.
+
+    An index that is there follows the table: an upsert assigns the batch's rows alone to its cells.
 
     ``embed`` maps the text column to its vector (e.g. ``embed.embed_column(model)``); the default is the hashed embedder.
     """
@@ -80,5 +82,9 @@ def ingest(spark: SparkSession, docs: DataFrame, table_path: str, mode: str = "u
     table.upsert(rows)
     if index_path:
         from .ivf import IvfIndex
-        IvfIndex(spark, index_path).build(table.read(), n_cells=n_cells)
+        index = IvfIndex(spark, index_path)
+        if mode == "upsert" and index.exists():
+            index.upsert(table.read().join(rows.select("id").distinct(), "id", "left_semi"))
+        else:
+            index.build(table.read(), n_cells=n_cells)
     return table

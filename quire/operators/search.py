@@ -151,6 +151,11 @@ def _eq_matrix(store_col: pa.Array, q_vals: list) -> np.ndarray:
     return pos[None, :] == qpos[:, None]
 
 
+def _check_lengths(dim: int, others: bool) -> None:
+    if others:
+        raise ValueError(f"the questions' vectors have {dim} numbers, some stored ones do not: embed both the same way")
+
+
 def _make_kernel(bc, k: int, dim: int, vec_col: str, payload: list[str], qfilter: QuestionFilter | None,
                  out_schema: pa.Schema, id_col: str = "id", same_length: bool = False):
     def run(batches):
@@ -163,8 +168,8 @@ def _make_kernel(bc, k: int, dim: int, vec_col: str, payload: list[str], qfilter
                 continue
             vec = batch.column(vec_col)
             lengths = pc.fill_null(pc.list_value_length(vec), -1)
-            if same_length and pc.any(pc.and_(pc.greater(lengths, 0), pc.not_equal(lengths, dim))).as_py():
-                raise ValueError(f"the questions' vectors have {dim} numbers, some stored ones do not: embed both the same way")
+            if same_length:
+                _check_lengths(dim, pc.any(pc.and_(pc.greater(lengths, 0), pc.not_equal(lengths, dim))).as_py())
             batch = batch.filter(pc.equal(lengths, dim))
             for lo in range(0, batch.num_rows, tile):
                 b = batch.slice(lo, tile)
@@ -299,7 +304,7 @@ def _pandas_mask(qf: QuestionFilter, q, s) -> np.ndarray:
 
 
 def grouped_top_k(questions: DataFrame, store: DataFrame, keys: list[str], k: int, *, qid_col: str, qvec_col: str, id_col: str, vec_col: str,
-                  payload: list[str], question_filter: QuestionFilter | None = None) -> DataFrame:
+                  payload: list[str], question_filter: QuestionFilter | None = None, same_length: bool = False) -> DataFrame:
     """Top-k per question over the store rows that share its ``keys``, without a broadcast.
 
     Both sides meet in cogroups; the caller keeps the groups bounded. Inside a group,
@@ -317,6 +322,8 @@ def grouped_top_k(questions: DataFrame, store: DataFrame, keys: list[str], k: in
         out = []
         q_len = np.array([0 if v is None else len(v) for v in qdf[qvec_col]], dtype=int)
         s_len = np.array([0 if v is None else len(v) for v in sdf[vec_col]], dtype=int)
+        for n in ({*q_len} - {0}) if same_length else ():
+            _check_lengths(int(n), any(m not in (0, n) for m in {*s_len}))
         for n in sorted({*q_len} & {*s_len} - {0}):
             q, s = qdf[q_len == n], sdf[s_len == n]
             D = np.stack(s[vec_col].to_numpy()).astype(np.float64)
@@ -401,7 +408,7 @@ def _py_micros(v) -> int:
 
 
 def _nearest_in_blocks(store: DataFrame, questions: DataFrame, k: int, qid_col: str, qvec_col: str, id_col: str, vec_col: str, payload: list[str],
-                       qf: QuestionFilter | None, max_block_bytes: int, store_block_bytes: int) -> DataFrame:
+                       qf: QuestionFilter | None, max_block_bytes: int, store_block_bytes: int, same_length: bool = False) -> DataFrame:
     """Exact top-k for a question table of any size: question blocks times store blocks, each pair one cogroup; one scan of the store."""
     if qf is not None:
         env = _envelope(qf, _envelope_rows(questions, qf), set(store.columns))
@@ -415,7 +422,8 @@ def _nearest_in_blocks(store: DataFrame, questions: DataFrame, k: int, qid_col:
     q = questions.select(qid_col, qvec_col, *(qf.question_columns() if qf else []))
     q = q.withColumn("_qb", F.pmod(F.xxhash64(qid_col), F.lit(q_blocks))).withColumn("_sb", F.explode(F.sequence(F.lit(0), F.lit(s_blocks - 1)).cast("array<bigint>")))
     s = scan.withColumn("_sb", F.pmod(F.xxhash64(id_col), F.lit(s_blocks))).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>")))
-    return grouped_top_k(q, s, ["_qb", "_sb"], k, qid_col=qid_col, qvec_col=qvec_col, id_col=id_col, vec_col=vec_col, payload=payload, question_filter=qf)
+    return grouped_top_k(q, s, ["_qb", "_sb"], k, qid_col=qid_col, qvec_col=qvec_col, id_col=id_col, vec_col=vec_col, payload=payload, question_filter=qf,
+                         same_length=same_length)
 
 
 def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str = "id", vec_col: str = "embedding",
@@ -454,7 +462,7 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str =
             raise ValueError("a probe search of this many questions is IvfIndex.search_grouped")
         if dim is not None:
             questions = questions.filter(F.size(qvec_col) == dim)
-        return _nearest_in_blocks(store, questions, k, qid_col, qvec_col, id_col, vec_col, payload, qf, max_block_bytes, store_block_bytes)
+        return _nearest_in_blocks(store, questions, k, qid_col, qvec_col, id_col, vec_col, payload, qf, max_block_bytes, store_block_bytes, same_length)
 
     store_cols = list(dict.fromkeys(payload + [vec_col] + (qf.store_columns() if qf else [])
                                     + ([probe.cell_col] if probe is not None else [])))
@@ -473,7 +481,7 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str =
             if env is not None:
                 scan = store.filter(env).select(*store_cols)
         if probe is not None:
-            allowed = probe.allowed(packed[1])
+            allowed = probe.allowed(packed[1], packed[0])
             packed[3]["__cells__"] = (probe.cell_col, allowed)
             probed = np.nonzero(allowed.any(axis=0))[0].tolist()
             # partition pruning: only the probed cells' files are read

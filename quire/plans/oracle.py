@@ -412,7 +412,16 @@ ORACLE["page_files"] = """SELECT source, doc_id // 200 AS part,
        sha256(string_agg(translate(text, chr(10) || chr(13), '  '), chr(10) || chr(10) ORDER BY doc_id) || chr(10) || chr(10)) AS digest, count(*) + 1 AS n_pages
 FROM documents GROUP BY ALL"""
 
-ORACLE["ann_full_probe"] = ORACLE["topk_batch"]
+ORACLE["ann_full_probe"] = ORACLE["ann_topk"] = ORACLE["ann_topk_grouped"] = ORACLE["topk_batch"]
+ORACLE["ann_after_changes"] = f"""
+WITH {STORE_CTE}, {LABEL_Q_CTE},
+changed AS (SELECT id, CASE WHEN id % 5 = 0 THEN list_reverse(embedding) ELSE embedding END AS embedding FROM store
+            UNION ALL SELECT id + 100000000, list_transform(embedding, lambda x: -x) FROM store WHERE id % 7 = 0),
+fs AS (SELECT * FROM changed WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)),
+pairs AS (SELECT lq.query_id, s.id,
+   1 - list_dot_product(s.embedding, lq.q) / (sqrt(list_dot_product(s.embedding, s.embedding)) * sqrt(list_dot_product(lq.q, lq.q))) AS distance
+   FROM lq, fs s),
+{_rank('pairs', 3)}"""
 ORACLE["ann_full_probe_filtered"] = _ftopk("lang = 'de'")
 ORACLE["topk_question_blocks"] = ORACLE["topk_batch"]
 

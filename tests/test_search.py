@@ -1,6 +1,7 @@
 """Similarity search properties (JN1, WN1, ST1, SK7)."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import search
@@ -96,12 +97,88 @@ def test_ivf_recall(spark, sf):
     idx = IvfIndex(spark, scratch_path(spark, "ivf-test")).build(s, n_cells=4)
     full = {(r["query_id"], r["id"]) for r in idx.search(q, k=5, nprobe=4).collect()}
     assert full == exact  # probing every cell is exact
+    for strategy in ("broadcast", "grouped"):
+        got = {(r["query_id"], r["id"]) for r in idx.search(q, k=5, strategy=strategy).collect()}
+        assert got == exact  # by bounds: recall 1.0
     approx = idx.search(q, k=5, nprobe=2).collect()
-    recall = len({(r["query_id"], r["id"]) for r in approx} & exact) / len(exact)
-    assert recall >= 0.6
     assert all(n == 5 for n in np.bincount([r["query_id"] for r in approx]) if n)
 
 
+def _clusters(n=40, groups=8, dim=6, seed=4):
+    rnd = np.random.default_rng(seed)
+    centers = rnd.normal(size=(groups, dim))
+    return [(g * n + i, "a" if i % 2 else "b", (centers[g] + 0.02 * rnd.normal(size=dim)).tolist()) for g in range(groups) for i in range(n)], centers
+
+
+def test_cell_bounds_rule_out_cells(spark, tmp_dir):
+    """Clustered vectors: the rows of exact search, from fewer cells than there are, and only those cells are read."""
+    rows, centers = _clusters()
+    df = spark.createDataFrame(rows, "id bigint, tag string, embedding array<double>")
+    q = spark.createDataFrame([(i, c.tolist(), "a") for i, c in enumerate(centers[:2])], "query_id bigint, embedding array<double>, q_tag string")
+    idx = IvfIndex(spark, f"{tmp_dir}/ivf").build(df, n_cells=8)
+    qf = QuestionFilter(equals=(("tag", "q_tag"),))
+    for k, kw in ((3, {}), (30, {"question_filter": qf}), (500, {})):  # 30: more than a cell holds
+        want = _rows(search.nearest(df, q, k=k, **kw))
+        assert _rows(idx.search(q, k=k, strategy="broadcast", **kw).drop("exact")) == want
+        assert len(idx.probed) < 8 or k > 3
+        assert _rows(idx.search_grouped(q, k=k, rows_per_group=25, questions_per_group=1, **kw)) == want
+
+
+def test_cells_keep_ties_and_rows_of_every_length(spark, tmp_dir):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(50)] + [(100 + i, [float(i), 1.0, -2.0]) for i in range(50)]
+    rows += [(200, [1.0, 1.0]), (201, [2.0, 2.0]), (202, [0.0, 0.0, 0.0]), (203, None), (204, [float("nan"), 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id bigint, embedding array<double>").repartition(4)
+    q = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [3.0, 1.0]), (3, [0.0, 0.0, 0.0]), (4, None), (5, [0.0, 1.0, -2.0])], "query_id bigint, embedding array<double>")
+    idx = IvfIndex(spark, f"{tmp_dir}/ivf").build(df, n_cells=5)
+    want = _rows(search.nearest(df, q, k=4))
+    for strategy in ("broadcast", "grouped"):
+        assert _rows(idx.search(q, k=4, strategy=strategy).drop("exact")) == want
+    assert {r[0] for r in want} == {1, 2, 5}
+
+
+def test_index_follows_changes(spark, tmp_dir):
+    """Upserts and deletes: the rows of exact search over the changed table; only the batch is assigned to cells."""
+    rows, centers = _clusters()
+    schema = "id bigint, tag string, embedding array<double>"
+    df = spark.createDataFrame(rows, schema)
+    q = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "query_id bigint, embedding array<double>")
+    idx = IvfIndex(spark, f"{tmp_dir}/ivf").build(df, n_cells=6)
+    now = {r[0]: r for r in rows}
+    batch = [(i, "new", (-np.array(now[i][2])).tolist()) for i in range(0, 320, 9)] + [(1000 + g, "new", centers[g].tolist()) for g in range(8)]
+    gen = idx.upsert(spark.createDataFrame(batch, schema))
+    now |= {r[0]: r for r in batch}
+    written = spark.read.parquet(f"{tmp_dir}/ivf").groupBy("_gen").count().collect()
+    assert {r["_gen"]: r["count"] for r in written} == {0: len(rows), gen: len(batch)}
+
+    def check():
+        table = spark.createDataFrame(list(now.values()), schema)
+        want = _rows(search.nearest(table, q, k=4))
+        assert _rows(idx.search(q, k=4).drop("exact")) == want
+        assert not idx.stale(table)
+
+    check()
+    assert idx.upsert(spark.createDataFrame(batch, schema), batch=gen) == gen  # the batch again, after a crash: the same generation
+    check()
+    gone = [0, 9, 1003, 77, 5000]
+    idx.delete(spark.createDataFrame([(i,) for i in gone], "id bigint"))
+    now = {i: r for i, r in now.items() if i not in gone}
+    check()
+    idx.upsert(spark.createDataFrame([(77, "back", centers[0].tolist())], schema))
+    now[77] = (77, "back", centers[0].tolist())
+    check()
+    idx.merge()
+    assert spark.read.parquet(f"{tmp_dir}/ivf").count() == len(now)
+    check()
+
+
+def test_unfinished_generation_is_not_seen(spark, tmp_dir):
+    rows, centers = _clusters()
+    df = spark.createDataFrame(rows, "id bigint, tag string, embedding array<double>")
+    idx = IvfIndex(spark, f"{tmp_dir}/ivf").build(df, n_cells=4)
+    idx._bury(df.select("id"), 1, "id")  # a batch that failed before its statistics
+    assert idx.read().count() == len(rows)
+
+
 def test_hash_embed_counts(spark):
     from quire.operators.embed import hash_embed
     df = spark.createDataFrame([("Hello hello, WORLD!",), ("",), (None,), ("###",)], "t string")
@@ -200,6 +277,14 @@ def test_wrong_length_first_question_does_not_empty_the_result(spark):
         assert {r["query_id"] for r in got} == {2} and len(got) == 2
 
 
+@pytest.mark.parametrize("blocks", [{}, {"max_block_bytes": 1, "store_block_bytes": 1}])
+def test_same_length_raises_at_every_size(spark, blocks):
+    st = _store(spark, [[1.0, 0.1, 0.0], [0.0, 1.0, 0.0]], [("Tax", "A", None)] * 2)
+    qs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="embed both the same way"):
+        search.nearest(st, qs, k=1, same_length=True, **blocks).collect()
+
+
 def test_question_blocks_keep_filters_and_pushdown(spark, tmp_dir):
     """Many blocks over a stored table: the same rows, one file scan per side, the weeks pruned, no checkpointed store."""
     import datetime as dt
