@@ -60,45 +60,76 @@ def reject_reason(doc: Column | None = None) -> Column:
     )
 
 
-def _as_text(dt: T.DataType) -> T.DataType:
-    """The schema with every date / timestamp replaced by string (parsed afterwards, D22)."""
-    if isinstance(dt, (T.TimestampNTZType, T.TimestampType, T.DateType)):
-        return T.StringType()
+def _as_found(dt: T.DataType) -> T.DataType:
+    """The schema with every text, date and time replaced by a variant, which keeps the JSON type it had."""
+    if isinstance(dt, (T.TimestampNTZType, T.TimestampType, T.DateType, T.StringType)):
+        return T.VariantType()
     if isinstance(dt, T.StructType):
-        return T.StructType([T.StructField(f.name, _as_text(f.dataType), f.nullable) for f in dt.fields])
+        return T.StructType([T.StructField(f.name, _as_found(f.dataType), f.nullable) for f in dt.fields])
     if isinstance(dt, T.ArrayType):
-        return T.ArrayType(_as_text(dt.elementType), dt.containsNull)
+        return T.ArrayType(_as_found(dt.elementType), dt.containsNull)
+    if isinstance(dt, T.MapType):
+        return T.MapType(dt.keyType, _as_found(dt.valueType), dt.valueContainsNull)
     return dt
 
 
-DOC_TEXT = _as_text(DOC)
+DOC_FOUND = _as_found(DOC)
+#: A record between the brackets of an array: text after it makes the whole malformed.
+WRAPPED = T.StructType([T.StructField("r", T.ArrayType(DOC_FOUND)), T.StructField(CORRUPT, T.StringType())])
+
+
+def _text(c: Column) -> Column:
+    return F.try_variant_get(c, "$", "string")
 
 
 def _typed(c: Column, dt: T.DataType) -> Column:
-    """Text-typed value -> ``dt``; bad date/time text becomes null."""
+    """Value as found -> ``dt``; bad date/time text becomes null."""
+    if isinstance(dt, T.StringType):
+        return _text(c)
     if isinstance(dt, T.TimestampNTZType):
-        return parse_iso(c)
+        return parse_iso(_text(c))
     if isinstance(dt, T.DateType):
-        return F.to_date(parse_iso(c))
+        return F.to_date(parse_iso(_text(c)))
     if isinstance(dt, T.StructType):
         return F.when(c.isNotNull(), F.struct(*[_typed(c[f.name], f.dataType).alias(f.name) for f in dt.fields]))
-    if isinstance(dt, T.ArrayType) and _as_text(dt.elementType) != dt.elementType:
+    if isinstance(dt, T.ArrayType):
         return F.transform(c, lambda x: _typed(x, dt.elementType))
+    if isinstance(dt, T.MapType):
+        return F.transform_values(c, lambda _, v: _typed(v, dt.valueType))
     return c
 
 
-def _bad_dates(txt: Column, typed: Column, dt: T.DataType) -> Column:
+def _any(parts: list[Column]) -> Column:
+    return F.coalesce(F.greatest(*[F.coalesce(p, F.lit(False)) for p in parts], F.lit(False)), F.lit(False))
+
+
+def _dated(dt: T.DataType) -> bool:
+    if isinstance(dt, T.StructType):
+        return any(_dated(f.dataType) for f in dt.fields)
+    return _dated(dt.elementType) if isinstance(dt, T.ArrayType) else isinstance(dt, (T.TimestampNTZType, T.DateType))
+
+
+def _bad_dates(found: Column, typed: Column, dt: T.DataType) -> Column:
     """True when some date/time text did not parse."""
     if isinstance(dt, (T.TimestampNTZType, T.DateType)):
-        return txt.isNotNull() & typed.isNull()
+        return _text(found).isNotNull() & typed.isNull()
+    if isinstance(dt, T.StructType):
+        return found.isNotNull() & _any([_bad_dates(found[f.name], typed[f.name], f.dataType) for f in dt.fields if _dated(f.dataType)])
+    # re-type each element inside the lambda (cheap: only its date/time fields are read)
+    return F.coalesce(F.exists(found, lambda x: _bad_dates(x, _typed(x, dt.elementType), dt.elementType)), F.lit(False))
+
+
+def _mistyped(found: Column, dt: T.DataType, inner: bool = False) -> Column:
+    """True when a value is no text where text is due; only lists and maps (``inner``) take no null for one."""
+    if isinstance(dt, (T.StringType, T.TimestampNTZType, T.DateType)):
+        kind = F.schema_of_variant(found)
+        return (kind != "STRING") if inner else ~kind.isin("STRING", "VOID")
     if isinstance(dt, T.StructType):
-        parts = [_bad_dates(txt[f.name], typed[f.name], f.dataType) for f in dt.fields
-                 if _as_text(f.dataType) != f.dataType]
-        return F.coalesce(txt.isNotNull() & F.greatest(*parts, F.lit(False)), F.lit(False)) if parts else F.lit(False)
-    if isinstance(dt, T.ArrayType) and _as_text(dt.elementType) != dt.elementType:
-        # re-type each text element inside the lambda (cheap: only its date/time fields are read)
-        return F.coalesce(F.exists(txt, lambda x: _bad_dates(x, _typed(x, dt.elementType), dt.elementType)),
-                          F.lit(False))
+        return _any([_mistyped(found[f.name], f.dataType) for f in dt.fields if not isinstance(f.dataType, T.DoubleType)])
+    if isinstance(dt, T.ArrayType):
+        return F.exists(found, lambda x: F.coalesce(_mistyped(x, dt.elementType, True), F.lit(False)))
+    if isinstance(dt, T.MapType):
+        return F.exists(F.map_values(found), lambda x: F.coalesce(_mistyped(x, dt.valueType, True), F.lit(False)))
     return F.lit(False)
 
 
@@ -115,18 +146,25 @@ def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
 def validate_records(df: DataFrame, text_col: str = "record", keep: list[str] | None = None) -> DataFrame:
     """SR5 in one pass: ``keep`` columns, ``_raw`` text, typed ``rec`` struct and ``reason`` (null = valid).
 
-    ``from_json`` (PERMISSIVE) reads dates and times as text; they are then
-    parsed as ISO, offsets allowed (D22). Malformed JSON, unparseable dates and
-    the record rules (``reject_reason``) give a reason.
+    ``from_json`` (PERMISSIVE) reads texts, dates and times as variants, which tell what
+    JSON type they were; dates and times are then parsed as ISO, offsets allowed (D22).
+    Reasons: malformed JSON (``unparseable``), more than one JSON value, unparseable dates,
+    the record rules (``reject_reason``), and a value of another type than the schema's: a
+    list or number as text, a text as list, a list with anything but texts.
     """
     keep = keep or [c for c in df.columns if c != text_col]
-    p = once(df.select(*keep, F.col(text_col).alias("_raw")), "txt",
-             F.from_json(F.col("_raw"), DOC_TEXT, {"mode": "PERMISSIVE"}))
-    # from_json with PERMISSIVE gives a struct of nulls for broken JSON: treat all-null as unparseable
-    all_null = F.coalesce(*[F.col("txt")[f.name].isNotNull() for f in DOC.fields], F.lit(False))
-    p = once(p.withColumn("txt", F.when(all_null, F.col("txt"))), "rec", _typed(F.col("txt"), DOC))
+    p = once(df.select(*keep, F.col(text_col).alias("_raw")), "json",
+             F.from_json(F.concat(F.lit('{"r":['), F.col("_raw"), F.lit("]}")), WRAPPED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
+    one = F.when(F.size("json.r") == 1, F.element_at("json.r", 1))
+    p = once(p, "found", one)
+    # PERMISSIVE gives nulls for what it cannot read: treat all-null as unparseable
+    some = F.coalesce(*[F.col("found")[f.name].isNotNull() for f in DOC.fields], F.lit(False))
+    p = once(p.withColumn("found", F.when(some, F.col("found"))), "rec", _typed(F.col("found"), DOC))
+    first = F.schema_of_variant(F.try_parse_json("_raw"))  # reads one value and stops; asked of unreadable texts alone
     return p.withColumn("reason", F.coalesce(
-        F.when(_bad_dates(F.col("txt"), F.col("rec"), DOC), F.lit("bad date or time text")), reject_reason())).drop("txt")
+        F.when(F.col("found").isNull(), F.when(first.startswith("OBJECT") & ~F.coalesce(F.size("json.r") == 1, F.lit(False)), F.lit("more than one value"))),
+        F.when(_bad_dates(F.col("found"), F.col("rec"), DOC), F.lit("bad date or time text")), reject_reason(),
+        F.when(F.col(f"json.{CORRUPT}").isNotNull() | _mistyped(F.col("found"), DOC), F.lit("value of another type")))).drop("json", "found")
 
 
 def parse_records(df: DataFrame, text_col: str = "record", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -236,6 +236,10 @@ BROKEN_ACTIONS = [
     ('{"action_type": "payment_required", "payment": {"recipient": "x", "deadline": "2024-01-01T00:00:00", "bank_details": {}}}', "action detail without a required field"),
     ('{"action_type": "payment_required", "payment": {"recipient": "x", "amount": "oops", "deadline": "2024-01-01T00:00:00", "bank_details": {}}}', "action detail without a required field"),
     ('{"action_type": "reply_required", "reply": {"documents_to_send_in_english": [], "deadline": "2024-01-01T00:00:00+02:00", "address_to_send_to": "x"}}', "action detail without a required field"),
+    ('{"action_type": "appointment", "appointment": {"date": "2024-01-01T00:00:00", "location": "x", "required_documents": "passport, form"}}', "value of another type"),
+    ('{"action_type": "appointment", "appointment": {"date": "2024-01-01T00:00:00", "location": "x", "required_documents": [1, {"x": 2}]}}', "value of another type"),
+    ('{"action_type": "appointment", "appointment": {"date": "2024-01-01T00:00:00", "location": ["a", "b"]}}', "value of another type"),
+    ('{"action_type": "no_action"}]} and more', "more than one value"),
 ]
 
 

@@ -14,7 +14,7 @@ def _fake_extractor_model(prompts, **_):
     """Turns the letter text into a record the way an extraction model would (offline stand-in)."""
     out = []
     for p in prompts:
-        body = p.split("Here is the document:\n", 1)[1]
+        body = p.split("Text of the letter:\n", 1)[1]
         lines = body.splitlines()
         if not lines or lines[0] == "garbage":
             out.append("not a record")

@@ -30,6 +30,33 @@ PAY = {"action_type": "payment_required", "appointment": None, "reply": None,
                    "bank_details": {"iban": "DE00"}, "reference_number": None}}
 
 
+def test_values_of_another_type_are_rejected(spark):
+    """Where the schema wants a text or a list of texts, nothing else is reshaped into one."""
+    def appt(docs):
+        return dict(APPT, appointment=dict(APPT["appointment"], required_documents=docs))
+    cases = {
+        1: (_doc([appt("passport, form")]), "value of another type"),
+        2: (_doc([appt([1, {"x": 2}])]), "value of another type"),
+        3: (_doc([appt(["passport", None])]), "value of another type"),
+        4: (_doc([REPLY], title_in_english=["a", "b"]), "value of another type"),
+        5: (_doc([REPLY], title_in_english=7), "value of another type"),
+        6: (_doc([REPLY]) + " and more", "more than one value"),
+        7: (_doc([REPLY]) + _doc([REPLY]), "more than one value"),
+        8: (_doc([REPLY]) + "," + _doc([REPLY]), "more than one value"),
+        9: (_doc([dict(PAY, payment=dict(PAY["payment"], bank_details={"iban": 5}))]), "value of another type"),
+        10: (_doc([{"action_type": "no_action", "appointment": "x"}]), "value of another type"),
+        11: (_doc([dict(APPT, appointment=dict(APPT["appointment"], date=5))]), None),
+        12: (_doc("none"), "missing required_actions"),
+        13: ("[" + _doc([REPLY]) + "]", "unparseable"),
+        14: (_doc([appt([])]) + " \n", "ok"), 15: ("\n " + _doc([appt(["a [b]", "{c}"])]), "ok"), 16: (_doc([appt(None)], title_in_english='["a"]'), "ok"),
+        17: (None, "unparseable"), 18: ("", "unparseable"), 19: ("7", "unparseable"),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id int, record string")
+    got = {r["doc_id"]: r["reason"] or "ok" for r in rec.validate_records(df).collect()}
+    assert got[11] != "ok"
+    assert {i: r for i, r in got.items() if i != 11} == {i: want for i, (_, want) in cases.items() if i != 11}
+
+
 def test_parse_ok_and_rejects(spark):
     cases = [
         (1, _doc([REPLY])), (2, _doc([APPT])), (3, _doc([PAY])), (4, _doc([REPLY, PAY])),
