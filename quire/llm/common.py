@@ -53,6 +53,16 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
             F.col(text_col).isNull().alias("_text_null")]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` as one struct column ``row``: columns added beside it clash with none of its own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of ``row`` again."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in columns])
+
+
 def crc_mod(id_col: str, mod: int) -> Column:
     """crc32 of the id as text (null: of the empty text), modulo ``mod``."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % mod

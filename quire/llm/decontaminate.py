@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, ascii_lower, row_key, words, written
+from .common import NOT_ALNUM, ascii_lower, packed, row_key, unpacked, words, written
 
 WINDOW = 10
 MAX_BROADCAST_BYTES = 64 << 20
@@ -82,16 +82,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_br
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", n: int = WINDOW,
                   max_broadcast_bytes: int = MAX_BROADCAST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the contaminated documents, or (``mode="spans"``) with the hit words and the separators before them cut out."""
+    """``docs`` without the contaminated documents, or (``mode="spans"``) with the hit words and the separators before them cut out.
+
+    Columns stay, whatever their names.
+    """
     found = hits(docs, benchmark, n, max_broadcast_bytes, id_col, text_col)
-    cols = docs.columns
-    keyed = docs.select("*", *row_key(id_col, text_col)[1:])
+    text = F.col("row").getField(text_col)
+    keyed = packed(docs).select("row", F.col("row").getField(id_col).alias(id_col), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("_text_md5"), text.isNull().alias("_text_null"))
     if mode == "documents":
-        return _joined(keyed, found, id_col, "left_anti").select(*cols)
+        return unpacked(_joined(keyed, found, id_col, "left_anti"), docs.columns)
     if mode != "spans":
         raise ValueError("mode is 'documents' or 'spans'")
-    out = _joined(keyed, found.select(id_col, "_text_md5", "_text_null", F.col("hit").alias("_hit")), id_col, "left")
-    pieces = F.regexp_extract_all(text_col, F.lit(f"({PIECE})"), F.lit(1))
-    tail = F.regexp_extract(text_col, r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)\z", 1)
-    kept = F.concat(F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(F.col("_hit"), i + 1)), ""), tail)
-    return out.withColumn(text_col, F.when(F.col("_hit").isNull(), F.col(text_col)).otherwise(kept)).select(*cols)
+    out = _joined(keyed, found, id_col, "left")
+    pieces = F.regexp_extract_all(text, F.lit(f"({PIECE})"), F.lit(1))
+    tail = F.regexp_extract(text, r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)\z", 1)
+    kept = F.concat(F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(F.col("hit"), i + 1)), ""), tail)
+    cut = F.when(F.col("hit").isNull(), text).otherwise(kept)
+    return out.select(*[(cut if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, written
+from .common import SPACE_WORD, packed, unpacked, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL_RATIO = 1.5
@@ -88,7 +88,7 @@ def mix_report(docs: DataFrame, **kw) -> DataFrame:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **kw) -> DataFrame:
-    """The mix itself: ``docs`` with every row as often as the mix takes it, columns unchanged.
+    """The mix itself: ``docs`` with every row as often as the mix takes it, columns unchanged, whatever their names.
 
     Rows that share id, text and source share their copies: each gets the whole part
     of the mean and, by a seeded draw, one more for the rest (a row on its own gets
@@ -97,10 +97,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     m = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **kw)
     key = ["_i", "_text_md5", "_text_null", "_s"]
     m = m.withColumnsRenamed({id_col: "_i", "source": "_s"}).groupBy(*key).agg((F.sum("copies") / F.count("*")).alias("_copies"))
-    m = m.withColumnsRenamed({"_text_md5": "_m", "_text_null": "_n"})
-    d = docs.select("*", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_text_md5"), F.col(text_col).isNull().alias("_text_null"),
-                    (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), 33) / F.lit(float(1 << 31))).alias("_draw"))
-    on = [d[id_col].eqNullSafe(m["_i"]), d["_text_md5"] == m["_m"], d["_text_null"] == m["_n"], d[source_col].eqNullSafe(m["_s"])]
+    field = F.col("row").getField
+    d = packed(docs).select("row", F.md5(F.coalesce(field(text_col), F.lit("")).cast("binary")).alias("_m"), field(text_col).isNull().alias("_n"),
+                            (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), 33) / F.lit(float(1 << 31))).alias("_draw"))
+    on = field(id_col).eqNullSafe(F.col("_i")) & (F.col("_m") == F.col("_text_md5")) & (F.col("_n") == F.col("_text_null")) & field(source_col).eqNullSafe(F.col("_s"))
     n = F.floor("_copies") + (F.col("_draw") < F.col("_copies") - F.floor("_copies")).cast("int")
     out = d.join(m, on).withColumn("_n_copies", n).filter("_n_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n_copies")))).select(*docs.columns)
+    return unpacked(out.select("row", F.explode(F.sequence(F.lit(1), F.col("_n_copies")))), docs.columns)

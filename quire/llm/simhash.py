@@ -14,7 +14,7 @@ components by large-star / small-star rounds over tables in the shared folder.
 Nulls, empties, repeats: a null or empty text has no shingles and fingerprint
 zero, which links like any other. Repeated rows and rows with a null id keep one
 output row each; a component whose ids are all null has a null ``component_id``.
-Extra columns are ignored.
+Extra columns are ignored by ``near_duplicates`` and kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import packed, unpacked, written
 
 SEED = 42
 MAX_BITS = 3
@@ -163,6 +163,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, bucket
     """``docs`` with one row of every component, that of the smallest id (then text digest); columns unchanged."""
     fp = written(with_fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     keep = _members(fp, max_bits, bucket_rows).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_keep_id"), F.col("first.md5").alias("_keep_md5"))
-    keyed = docs.withColumn("_text_md5", F.md5(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
-    kept = keyed.join(keep, keyed[id_col].eqNullSafe(keep["_keep_id"]) & (keyed["_text_md5"] == keep["_keep_md5"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_text_md5"]).select(*docs.columns)
+    text = F.coalesce(F.col("row").getField(text_col).cast("binary"), F.lit(b""))
+    keyed = packed(docs).select("row", F.col("row").getField(id_col).alias("_id"), F.md5(text).alias("_md5"))
+    kept = keyed.join(keep, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_md5") == F.col("_keep_md5")), "left_semi")
+    return unpacked(kept.dropDuplicates(["_id", "_md5"]), docs.columns)

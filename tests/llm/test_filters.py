@@ -301,3 +301,26 @@ def test_lexicon_as_a_table_gives_the_same_fingerprints(spark, monkeypatch):
     want = sorted(map(str, imatch.near_report(docs, 0.2, 0.7).collect()))
     monkeypatch.setattr(imatch, "MAX_LEXICON", 3)
     assert sorted(map(str, imatch.near_report(docs, 0.2, 0.7).collect())) == want
+
+
+# ---------------------------------------------------------------- columns of the stages
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names the stages use inside, and one with a dot, come back with their values."""
+    from quire.llm import simhash
+    extra = ["_text_md5", "_text_null", "_copies", "_draw", "_id", "_md5", "row", "hit", "items", "a.b", "_hit", "_found_id", "_keep_id", "size", "copies"]
+    rows = [(i, f"text number {i} of many words that differ {i * 7}", "s", *[f"{c}{i}" for c in extra]) for i in range(12)]
+    names = ["doc_id", "text", "source", *extra]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'bigint' if n == 'doc_id' else 'string'}" for n in names))
+    bench = spark.createDataFrame([(1, "text number 3 of many words that differ 21")], "item_id bigint, text string")
+    want = {tuple(r) for r in rows}
+    kept = decontaminate.decontaminate(docs, bench)
+    assert kept.columns == names and {tuple(r) for r in kept.collect()} == {r for r in want if r[0] != 3}
+    cut = decontaminate.decontaminate(docs, bench, mode="spans")
+    assert cut.columns == names and {tuple(r) for r in cut.collect()} == {(3, "", *r[2:]) if r[0] == 3 else r for r in want}
+    one = simhash.keep_one(docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100)))
+    assert one.columns == names and {tuple(r) for r in one.collect()} <= want
+    mix = mixing.mixed(docs)
+    got = mix.collect()
+    assert mix.columns == names and {tuple(r) for r in got} <= want and len(got) >= 12
