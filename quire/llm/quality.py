@@ -7,7 +7,7 @@ scored. Only document labels are used to learn encoder, attention and score toge
 
 Training uses a bounded sample: about ``TRAIN_DOCS`` labelled documents drawn by hash,
 half of each class, weighted back to the classes' shares so that scores are
-probabilities, and at most ``TRAIN_PASSAGES`` passages of each, spread evenly. Scoring
+probabilities; every passage of each is learnt from, at most ``TRAIN_PASSAGES`` together. Scoring
 reads every passage of every text in Arrow batches. Ids, sources and languages are
 never features.
 
@@ -33,7 +33,8 @@ from .common import crc_mod, written
 PASSAGE = 384
 THRESHOLD = 0.7
 TRAIN_DOCS = 6_000
-TRAIN_PASSAGES = 64
+#: Passages of all documents learnt from, together; each is learnt from whole.
+TRAIN_PASSAGES = 100_000
 HIDDEN, ATTENTION = 32, 16
 EPOCHS, BATCH, RATE = 12, 64, 0.005
 #: Small samples are gone through more often, until so many batches.
@@ -161,9 +162,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return crc_mod(id_col, 4) == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
+def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, train_passages: int = TRAIN_PASSAGES, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality") -> Model | float:
-    """Fits the model on a bounded sample of the labelled rows that are not held out; a constant if the labels do not allow more."""
+    """Fits the model on a bounded sample of the labelled rows that are not held out; a constant if the labels do not allow more.
+
+    About ``train_docs`` documents are drawn by a hash of their id. In that order they are taken with all
+    their passages while these are at most ``train_passages`` together; a document that no longer fits is left out.
+    """
     own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).filter("_id IS NOT NULL AND _y IS NOT NULL")
     own = own.groupBy("_id").agg((F.avg("_y") >= 0.5).cast("int").alias("_y")).filter(~held_out("_id"))
     own = written(own, "quality-labels")
@@ -172,15 +177,24 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, seed
         return float(next(iter(classes), 1))
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_id"), 33) / F.lit(float(1 << 31))
     share = F.when(F.col("_y") == 1, train_docs / 2 / classes[1]).otherwise(train_docs / 2 / classes[0])
-    sample = F.broadcast(own.filter(draw < share))  # about train_docs rows of two columns
+    sample = own.withColumns({"_draw": draw / share}).filter("_draw < 1")  # about train_docs rows
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("binary").alias("_text"))
+    size = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("_text"), F.lit(0)) / PASSAGE))
+    sizes = texts.select("_id", size.alias("n")).join(F.broadcast(sample), "_id").groupBy("_id", "_draw").agg(F.sum("n").alias("n"))
+    chosen, passages_left = [], train_passages
+    for r in sorted(sizes.collect(), key=lambda r: (r["_draw"], r["_id"])):  # about train_docs rows of three numbers
+        if r["n"] <= passages_left:
+            chosen.append(r["_id"])
+            passages_left -= r["n"]
+    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], T.StructType([T.StructField("_id", own.schema["_id"].dataType)]))
+    sample = F.broadcast(sample.join(F.broadcast(ids), "_id", "left_semi"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bags = [passages(t.as_py()) for t in b.column(1)]
-            some = [x if len(x) <= TRAIN_PASSAGES else x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)] for x in bags]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.astype("<f4").tobytes() for x in some], pa.binary())], names=["id", "y", "bag"])
+            bags = [passages(t.as_py()).astype("<f4").tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(bags, pa.binary())], names=["id", "y", "bag"])
 
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(sample, "_id").select("_id", "_text", "_y")
+    src = texts.join(sample, "_id").select("_id", "_text", "_y")
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("y", T.IntegerType()), T.StructField("bag", T.BinaryType())])
     rows = src.mapInArrow(encode, schema).collect()  # the bounded sample
     if len({r["y"] for r in rows}) < 2:

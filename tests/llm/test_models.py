@@ -465,3 +465,16 @@ def test_pipeline_of_an_empty_table(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         at = corpus_pipeline.written(stage(spark, at, sf), "test-empty")
     assert at.count() == 0
+
+
+def test_training_takes_whole_documents_within_its_bound(spark, monkeypatch):
+    """Documents are learnt from with all their passages; those that would pass the bound are left out."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, *a: seen.append(sorted(len(b) for b in bags)))
+    rows = [(i, "x" * (quality.PASSAGE * (1 + i % 5))) for i in range(60)] + [(1000, "y" * (quality.PASSAGE * 500))]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, *_ in rows], "doc_id bigint, quality int, toxic int")
+    use = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    quality.train(docs_table(spark, rows), labels)
+    assert seen[-1] == sorted(-(-len(t) // quality.PASSAGE) for i, t in rows if i in use)
+    quality.train(docs_table(spark, rows), labels, train_passages=40)
+    assert 30 <= sum(seen[-1]) <= 40 and set(seen[-1]) <= {1, 2, 3, 4, 5}
