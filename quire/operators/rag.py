@@ -97,14 +97,18 @@ def _words(text: str) -> Column:
 def named_in_questions(questions: DataFrame, names: DataFrame, qid: str = "query_id", text: str = "question") -> DataFrame:
     """(qid, name): names of any length that occur in a question as whole words.
 
-    A name meets the question positions that hold its first word (an equi-join on that
-    word: positions without a name's first word never match), and its other words are
-    compared inside the join.
+    Every run of words of a question, of the lengths that names have, meets the names of
+    the same hash (an equi-join on the whole name, so names that share words cost nothing),
+    and the words themselves are compared inside the join.
     """
-    q = questions.select(qid, _words(text).alias("w")).select(qid, "w", F.posexplode("w").alias("at", "first"))
-    n = names.select(F.col("name"), F.filter(_words("name"), lambda w: w != "").alias("nw")).filter(F.size("nw") > 0).withColumn("first", F.element_at("nw", 1))
-    same = F.slice("w", F.col("at") + 1, F.size("nw")) == F.col("nw")
-    return q.join(n, (q["first"] == n["first"]) & same).select(qid, "name").distinct()
+    n = names.select(F.col("name"), F.filter(_words("name"), lambda w: w != "").alias("nw")).filter(F.size("nw") > 0)
+    lengths = sorted(r[0] for r in n.select(F.size("nw")).distinct().collect())  # a row per length of a name
+    if not lengths:
+        return questions.select(qid, F.lit(None).cast("string").alias("name")).limit(0)
+    n = n.withColumn("h", F.xxhash64("nw"))
+    q = questions.select(qid, _words(text).alias("w")).withColumn("n", F.explode(F.array(*[F.lit(x) for x in lengths]))).filter(F.col("n") <= F.size("w"))
+    q = q.select(qid, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda at: F.slice("w", at, F.col("n")))).alias("run"))
+    return q.withColumn("h", F.xxhash64("run")).join(n, ["h"]).filter(F.col("run") == F.col("nw")).select(qid, "name").distinct()
 
 
 def preprocess_questions(questions: DataFrame, addressees: DataFrame | None = None, *, qid: str = "query_id",

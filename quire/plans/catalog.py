@@ -230,7 +230,7 @@ def file_paths(spark, d):
 
 
 def folder_get_or_create(spark, d):
-    """JN3 + JN4 + ST2: folders filed before 1998 exist (with their own ids); create the rest."""
+    """JN3 + JN4 + ST2: folders filed before 1998 exist (with their own ids); create the rest, names with a slash and missing names included."""
     docs = act.has_actions(derived.doc_records(spark, d))
     old = docs.filter(F.col("sent_date") < F.lit("1998-01-01").cast("date"))
     created = fold.get_or_create_folders(old, spark.createDataFrame([], "id string, name string, parent_id string, path string"))
@@ -243,7 +243,15 @@ def folder_get_or_create(spark, d):
                 .select("id", "name", F.col("pid").alias("parent_id"), "path"))
     # the existing folder table is a stored table: materialise it (reliable checkpoint, shared folder)
     existing = reliable_checkpoint(existing)
-    return fold.get_or_create_folders(docs, existing)
+    names = docs.select("addressed_to", "sender")
+    name, by = F.col("addressed_to"), F.col("sender")
+    slashed = names.select(F.explode(F.array(
+        F.struct(name.alias("addressed_to"), by.alias("sender")),
+        F.struct(F.concat(name, F.lit("/B")).alias("addressed_to"), by.alias("sender")),
+        F.struct(name.alias("addressed_to"), F.concat(F.lit("B/"), by).alias("sender")),
+        F.struct(F.lit(None).cast("string").alias("addressed_to"), by.alias("sender")),
+        F.struct(F.concat(name, F.lit(" again")).alias("addressed_to"), F.lit(None).cast("string").alias("sender")))).alias("p")).select("p.*")
+    return fold.get_or_create_folders(slashed, existing)
 
 
 def document_card(spark, d):
@@ -591,3 +599,64 @@ def answer_with_embedder(spark, d):
 
 
 QUERIES.update({f.__name__: f for f in (ann_full_probe, ann_full_probe_filtered, topk_question_blocks, question_names, answer_messages, answer_with_embedder)})
+
+
+# ---------------------------------------------------------------- models, intake and ingest end to end (UD1, UD6, UD7)
+
+
+def model_retries(spark, d):
+    """UD1: an order number per prompt; every third answer is valid only when asked again, every fifteenth never."""
+    from pyspark.sql import types as T
+
+    from ..operators.model import model_outcomes
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey").cast("string").alias("prompt"))
+    return model_outcomes(asked, "prompt", derived.forgetful, T.StructType([T.StructField("answer", T.StringType())])).select("doc_id", "answer", "reason")
+
+
+def model_partials(spark, d):
+    """UD1 + AG5: the last partial record of a model that answers field by field, the partials before it and its error."""
+    from ..operators.model import model_partials as partials
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderkey").cast("string").alias("prompt"))
+    p = partials(asked, "prompt", derived.step_by_step)
+    counts = p.groupBy("doc_id").agg(F.count("record").alias("n_partials"), F.max("error").alias("error"))
+    last = assembly.last_partial(p.filter("record IS NOT NULL").select("doc_id", "seq", "record"))
+    return last.join(counts, "doc_id").select("doc_id", "seq", "record", "n_partials", "error")
+
+
+def process_documents_tables(spark, d):
+    """UD6: letter files of all orders through extraction, a model, validation and the action tables; their rows per letter."""
+    from ..operators.intake import process_documents, wrap_record_model
+    out = process_documents(derived.letter_files(spark, d), wrap_record_model(derived.read_letter))
+    key = F.regexp_extract("doc_id", r"(\d+)\.txt$", 1).cast("bigint").alias("doc_id")
+    events = out["events"].select(key, F.col("summary").alias("event"), iso("start_ts").alias("start_ts"))
+    records = out["records"].select(key, "sender", "addressed_to", "title_in_english", F.date_format("sent_date", "yyyy-MM-dd").alias("sent_date"), "summary_in_english")
+    return records.join(events, "doc_id", "left")
+
+
+def ingest_table(spark, d):
+    """UD7: the records ingested in two overlapping batches, the second as an upsert that the index follows; the table's rows."""
+    from ..operators.intake import ingest
+    from ..operators.ivf import IvfIndex as Index
+    docs = derived.doc_records(spark, d)
+    path = scratch_path(spark, "ingested")
+    ingest(spark, docs.filter("sent_date < DATE '1996-01-01'"), path, mode="overwrite", index_path=path + "-ivf")
+    t = ingest(spark, docs.filter("sent_date >= DATE '1995-01-01'"), path, index_path=path + "-ivf")
+    rows = t.read().join(Index(spark, path + "-ivf").read().select("id"), "id")  # what table and index both hold
+    return rows.select("contents", "sender", "addressed_to", F.date_format("sent_date", "yyyy-MM-dd").alias("sent_date"), F.size("embedding").cast("bigint").alias("dim"))
+
+
+def stream_rejects(spark, d):
+    """SM2: every record's JSON line and, as broken lines, all documents' texts streamed into a table; the rejects, written twice as after a crash."""
+    from ..operators.records import record_json
+    from ..streaming.ingest import run_ingest
+    src, out, rej = (scratch_path(spark, n) for n in ("rejects-src", "rejects-table", "rejects"))
+    broken = derived.broken_records(spark, d).select(F.col("record").alias("value"))
+    texts = table(spark, d, "documents").filter("text IS NOT NULL").select(F.translate("text", "\n\r", "  ").alias("value"))
+    good = derived.doc_records(spark, d)
+    good.select(record_json(good).alias("value")).unionByName(broken).unionByName(texts).write.text(src)
+    for _ in range(2):  # the second run replays the same batch from a new checkpoint
+        run_ingest(spark, src, out, scratch_path(spark, "rejects-ck"), rej).awaitTermination()
+    return spark.read.parquet(rej).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES.update({f.__name__: f for f in (model_retries, model_partials, process_documents_tables, ingest_table, stream_rejects)})

@@ -261,3 +261,53 @@ def name_questions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = c.withColumn("name", F.concat(F.element_at(before, (F.pmod("c_custkey", F.lit(5)) + 1).cast("int")), "c_name"))
     q = c.select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("Is there a letter for "), "name", F.lit(", please?")).alias("question"), F.lit(AS_OF).cast("date").alias("as_of"))
     return q, c.select("name").unionByName(c.select(F.col("c_name").alias("name"))).distinct()
+
+
+# ---------------------------------------------------------------- deterministic models over the tables (UD1, UD6)
+
+
+def letter_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every order as a letter file (path, content), as ``binaryFile`` reads them: a page of fields and a page of text."""
+    docs = doc_records(spark, d).select("doc_id", "title_in_english", "sender", "addressed_to", "sent_date", "summary_in_english")
+    line = lambda label, c: F.concat(F.lit(f"{label}: "), F.col(c).cast("string"), F.lit("\n"))
+    text = F.concat(line("From", "sender"), line("To", "addressed_to"), line("Date", "sent_date"), line("Subject", "title_in_english"), F.lit("\f"), "summary_in_english")
+    return docs.select(F.concat(F.lit("/letters/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), text.cast("binary").alias("content"))
+
+
+def read_letter(prompts: list[str], **_) -> list[str]:
+    """A model that reads the fields of ``letter_files``: a reply is due for letters from the tax office."""
+    import json
+    out = []
+    for p in prompts:
+        head = dict(x.split(": ", 1) for x in p.splitlines() if ": " in x)
+        body = p.splitlines()[-1]
+        actions = [{"action_type": "reply_required", "reply": {"documents_to_send_in_original_language": ["Antwort"], "documents_to_send_in_english": ["Reply"],
+                                                                "deadline": f"{head['Date']}T12:00:00", "address_to_send_to": "PO Box 1"}}] if head["From"] == "Tax" else []
+        out.append(json.dumps({"title_in_original_language": head["Subject"], "title_in_english": head["Subject"], "sender": head["From"], "sent_date": head["Date"],
+                               "addressed_to": head["To"], "content_in_original_language": body, "content_in_english": body, "summary_in_english": body, "required_actions": actions}))
+    return out
+
+
+def forgetful(prompts: list[str], **_) -> list[str]:
+    """A model that answers with the number in its prompt; every third number gets no JSON at first, every fifteenth never."""
+    import json
+    out = []
+    for p in prompts:
+        number, *told = p.split("\n\n")
+        n = int(number)
+        out.append("let me see" if n % 15 == 0 or (n % 3 == 0 and not told) else json.dumps({"answer": f"answer {n} after {len(told)}"}))
+    return out
+
+
+def step_by_step(prompts: list[str], **_) -> list:
+    """A model that fills a record one field after the other: number n gets 1 + n % 4 partial records; every ninth breaks off with an error."""
+
+    def parts(n: int):
+        record = {}
+        for name in ("title", "sender", "summary", "addressee")[:1 + n % 4]:
+            record[name] = f"{name} {n}"
+            yield dict(record)
+        if n % 9 == 0:
+            raise RuntimeError("connection lost")
+
+    return [parts(int(p)) for p in prompts]

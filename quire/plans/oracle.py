@@ -185,15 +185,15 @@ SELECT doc_id, name, addressed_to || '/' || sender AS folder_path, addressed_to
 FROM f""",
 
     "folder_get_or_create": f"""WITH {DOCS_CTE},
-w AS (SELECT DISTINCT addressed_to, sender, sent_date < DATE '1998-01-01' AS old FROM docs WHERE pr <> '5-LOW'),
-l1 AS (SELECT addressed_to AS name, bool_or(old) AS old FROM w GROUP BY addressed_to),
-l2 AS (SELECT addressed_to, sender, bool_or(old) AS old FROM w GROUP BY addressed_to, sender),
-f1 AS (SELECT CASE WHEN old THEN 'old-' || sha256(name) ELSE sha256(name) END AS id,
+d AS (SELECT DISTINCT addressed_to AS a, sender AS s, sent_date < DATE '1998-01-01' AS old FROM docs WHERE pr <> '5-LOW'),
+w AS (SELECT * FROM d UNION ALL SELECT a || '/B', s, false FROM d UNION ALL SELECT a, 'B/' || s, false FROM d UNION ALL SELECT a || ' again', NULL, false FROM d),
+l1 AS (SELECT a AS name, bool_or(old) AS old FROM w GROUP BY a),
+l2 AS (SELECT a, s, bool_or(old) AS old FROM w WHERE s IS NOT NULL GROUP BY a, s),
+f1 AS (SELECT CASE WHEN old THEN 'old-' || sha256(name) ELSE sha256(strlen(name) || ':' || name) END AS id,
               name, CAST(NULL AS VARCHAR) AS parent_id, name AS path FROM l1),
-f2 AS (SELECT CASE WHEN l2.old THEN 'old-' || sha256(l2.addressed_to || '/' || l2.sender)
-                   ELSE sha256(l2.addressed_to || '/' || l2.sender) END AS id,
-              l2.sender AS name, f1.id AS parent_id, l2.addressed_to || '/' || l2.sender AS path
-       FROM l2 JOIN f1 ON f1.name = l2.addressed_to)
+f2 AS (SELECT CASE WHEN l2.old THEN 'old-' || sha256(a || '/' || s) ELSE sha256(strlen(a) || ':' || a || strlen(s) || ':' || s) END AS id,
+              s AS name, f1.id AS parent_id, a || '/' || s AS path
+       FROM l2 JOIN f1 ON f1.name = a)
 SELECT * FROM f1 UNION ALL SELECT * FROM f2""",
 
     "document_card": """WITH last AS (SELECT conv_id AS doc_id, max(turn) AS seq, arg_max(text, turn) AS record FROM conversations GROUP BY conv_id)
@@ -434,3 +434,20 @@ ctx AS (SELECT query_id, {CONTEXT_SQL} AS context FROM hits GROUP BY query_id)
 SELECT query_id, CAST(0 AS BIGINT) AS "no", 'system' AS role, sha256('{_SYSTEM}') AS digest FROM qs
 UNION ALL SELECT query_id, 1, 'user', sha256('Question:' || chr(10) || question) FROM qs
 UNION ALL SELECT query_id, 2, 'assistant', sha256('Documents found:' || chr(10) || coalesce(context, '[]')) FROM qs LEFT JOIN ctx USING (query_id)"""
+
+ORACLE["model_retries"] = """SELECT o_orderkey AS doc_id,
+  CASE WHEN o_orderkey % 15 <> 0 THEN 'answer ' || o_orderkey || ' after ' || (CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) END AS answer,
+  CASE WHEN o_orderkey % 15 = 0 THEN 'unparseable output' END AS reason FROM orders"""
+ORACLE["model_partials"] = """SELECT o_orderkey AS doc_id, o_orderkey % 4 AS seq,
+  '{"title": "title ' || o_orderkey || CASE WHEN o_orderkey % 4 > 0 THEN '", "sender": "sender ' || o_orderkey ELSE '' END
+  || CASE WHEN o_orderkey % 4 > 1 THEN '", "summary": "summary ' || o_orderkey ELSE '' END
+  || CASE WHEN o_orderkey % 4 > 2 THEN '", "addressee": "addressee ' || o_orderkey ELSE '' END || '"}' AS record,
+  o_orderkey % 4 + 1 AS n_partials, CASE WHEN o_orderkey % 9 = 0 THEN 'RuntimeError: connection lost' END AS error FROM orders"""
+ORACLE["process_documents_tables"] = f"""WITH {DOCS_CTE}
+SELECT doc_id, sender, addressed_to, title AS title_in_english, strftime(sent_date, '%Y-%m-%d') AS sent_date, summary AS summary_in_english,
+  CASE WHEN sender = 'Tax' THEN 'Deadline: Reply Required - ' || title END AS event,
+  CASE WHEN sender = 'Tax' THEN strftime(sent_date, '%Y-%m-%dT12:00:00') END AS start_ts FROM docs"""
+ORACLE["ingest_table"] = ORACLE["stream_ingest"]
+ORACLE["stream_rejects"] = f"""SELECT reason, count(*) AS n FROM (
+  SELECT [{_REASONS}][o_orderkey % {len(BROKEN_ACTIONS)} + 1] AS reason FROM orders JOIN customer ON o_custkey = c_custkey
+  UNION ALL SELECT 'unparseable' FROM documents WHERE trim(translate(text, chr(10) || chr(13), '  ')) <> '') GROUP BY reason"""

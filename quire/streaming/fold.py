@@ -4,9 +4,9 @@
 its documents (``max_by``, combined before the shuffle) and appends those rows to an
 update log, O(batch) work and no state between batches. The log is the state: readers
 take the latest row per document (``read_latest``), and ``compact`` writes the log
-anew with that row alone. A replayed or late micro-batch appends rows the fold ranks
-by ``seq`` like any other, so the sink is idempotent and the order of arrival does not
-matter.
+anew with that row alone. A replayed micro-batch replaces its own partition of the log,
+a late one adds rows the fold ranks by ``seq`` like any other, so the sink is idempotent
+and the order of arrival does not matter.
 """
 
 from __future__ import annotations
@@ -20,9 +20,18 @@ def fold_partials(batch: DataFrame, key: str = "doc_id", seq: str = "seq", recor
     return batch.groupBy(key).agg(F.max(seq).alias(seq), F.max_by(record, seq).alias(record))
 
 
+def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write a micro-batch's rows as its own partition (``_batch``) of the table at ``path``; a replay replaces them.
+
+    A batch without rows has no partition. The rows of a batch are one file a task, so small batches stay small files.
+    """
+    (rows.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("_batch").parquet(path))
+
+
 def append_updates(batch: DataFrame, path: str, batch_id: int) -> None:
-    """Append one micro-batch of updated documents to the update log at ``path``."""
-    batch.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(path)
+    """Add one micro-batch of updated documents to the update log at ``path``."""
+    write_batch(batch, path, batch_id)
 
 
 def read_latest(spark: SparkSession, path: str, key: str = "doc_id", seq: str = "seq") -> DataFrame:
@@ -34,7 +43,7 @@ def read_latest(spark: SparkSession, path: str, key: str = "doc_id", seq: str =
 
 def compact(spark: SparkSession, path: str, target: str, key: str = "doc_id", seq: str = "seq") -> None:
     """Writes the folded state of the log at ``path`` as a new log at ``target``, one row per document; swap readers and stream over to it."""
-    read_latest(spark, path, key, seq).withColumn("_batch", F.lit(-1).cast("bigint")).write.parquet(target)
+    read_latest(spark, path, key, seq).withColumn("_batch", F.lit(-1).cast("bigint")).write.partitionBy("_batch").parquet(target)
 
 
 def run_fold(spark: SparkSession, source: str, schema: T.StructType | str, out_path: str, checkpoint: str,

@@ -3,8 +3,9 @@
 Text ``readStream`` (a record per line, or per file) -> the same parsing and rules as
 a batch (SR5, offsets in times included) -> vector records (PF1-PF3, UD2) ->
 ``foreachBatch`` upsert into a ``VectorTable``. Ids are deterministic and an update
-keeps the stored ingest time, so a replayed micro-batch leaves the table unchanged;
-rejected records are appended to a rejects folder with their reason.
+keeps the stored ingest time, so a replayed micro-batch leaves the table unchanged.
+Rejected records go to a rejects folder with their reason, a partition per micro-batch
+(``_batch``) that a replay writes anew; the folder belongs to one checkpoint.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from pyspark.sql import functions as F
 from ..operators.records import record_texts, validate_records, vector_records
 from ..operators.store import VectorTable
 from ..session import reliable_checkpoint
+from .fold import write_batch
 
 
-def _batch(df: DataFrame, table: VectorTable, rejects_path: str | None, dim: int, embed: Callable[[Column], Column] | None) -> None:
+def _batch(df: DataFrame, batch_id: int, table: VectorTable, rejects_path: str | None, dim: int, embed: Callable[[Column], Column] | None) -> None:
     checked = reliable_checkpoint(validate_records(df))  # parsed once for both outcomes
     if rejects_path:
         bad = checked.filter(F.col("reason").isNotNull()).select("source", F.col("_raw").alias("record"), "reason")
-        bad.write.mode("append").parquet(rejects_path)
+        write_batch(bad, rejects_path, batch_id)
     ok = checked.filter(F.col("reason").isNull()).select("rec.*")
     table.upsert(vector_records(ok, embed=embed or True, dim=dim), keep_stored=("ingest_ts", "week_start"))
 
@@ -33,6 +35,6 @@ def run_ingest(spark: SparkSession, source_dir: str, table_path: str, checkpoint
     s = record_texts(spark, source_dir, one_per_file, stream=True)
     table = VectorTable(spark, table_path)
     w = (s.writeStream.option("checkpointLocation", checkpoint)
-         .foreachBatch(lambda df, _bid: _batch(df, table, rejects_path, dim, embed)))
+         .foreachBatch(lambda df, bid: _batch(df, bid, table, rejects_path, dim, embed)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()

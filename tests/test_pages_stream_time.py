@@ -87,8 +87,13 @@ def test_stream_ingest_replay_is_idempotent(spark, tmp_dir):
     first = sorted(r["id"] for r in t.read().collect())
     assert len(first) == 1
     assert spark.read.parquet(rej).first()["reason"] == "sender outside domain"
-    run_ingest(spark, src, tpath, f"{tmp_dir}/ck2").awaitTermination()  # a full replay
+    run_ingest(spark, src, tpath, f"{tmp_dir}/ck2", rej).awaitTermination()  # a full replay
     assert sorted(r["id"] for r in t.read().collect()) == first
+    assert spark.read.parquet(rej).count() == 1
+    with open(f"{src}/3.json", "w") as f:
+        f.write("{broken")
+    run_ingest(spark, src, tpath, f"{tmp_dir}/ck2", rej).awaitTermination()  # the next batch
+    assert sorted((r["_batch"], r["reason"]) for r in spark.read.parquet(rej).collect()) == [(0, "sender outside domain"), (1, "unparseable")]
 
 
 def test_time_functions(spark):

@@ -61,3 +61,16 @@ def test_preprocess_with_model(spark):
     assert got[1]["q_sender"] == "Tax" and got[1]["start_ts"] == dt.datetime(2024, 4, 1)
     assert got[2]["q_sender"] is None and got[2]["q_addressed_to"] == "Kim Lee"   # sender outside the domain dropped
     assert got[3]["q_sender"] is None and got[3]["start_ts"] is None              # unparseable: no filter
+
+
+def test_names_that_share_words_meet_by_the_whole_name(spark):
+    """Names with a common first word: the join sees one candidate per question and name length, not every name."""
+    from quire.operators.rag import named_in_questions
+    n = 3000
+    names = spark.createDataFrame([(f"Anna P{i}",) for i in range(n)] + [("Anna",), ("P5",), ("a b c d e f g h",)], "name string")
+    q = spark.createDataFrame([(i, f"Any letter for Anna P{i}, please?") for i in range(n)] + [(n, "Anna"), (n + 1, "(P5) and Anna"), (n + 2, ""), (n + 3, None)], "query_id int, question string")
+    found = named_in_questions(q, names)
+    got = {(r["query_id"], r["name"]) for r in found.collect()}
+    assert got == {(i, f"Anna P{i}") for i in range(n)} | {(i, "Anna") for i in [*range(n + 2)]} | {(5, "P5"), (n + 1, "P5")}
+    join = [ln for ln in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in ln][0]
+    assert "run#" in join and "nw#" in join  # whole names are the join's keys

@@ -3,7 +3,7 @@
 import json
 
 from quire.operators import records as rec
-from quire.operators.model import apply_model, echo_model
+from quire.operators.model import apply_model, echo_model, model_outcomes, model_partials
 from quire.schemas import ANSWER
 
 BASE = {
@@ -182,3 +182,77 @@ def test_empty_notes_read_as_none(spark):
     from quire.operators import actions as act
     ok, _ = rec.parse_records(spark.createDataFrame([(1, _doc([dict(APPT, appointment=dict(APPT["appointment"], additional_notes=""))]))], "doc_id int, record string"))
     assert "Additional Notes: None" in act.calendar_events(ok).first()["description"]
+
+
+def test_refused_outputs_alone_are_asked_again(spark, tmp_dir):
+    """Every third output is no JSON at first: it is asked once more with the reason, its batch is not; number 6 never answers."""
+    import glob
+    import os
+    from pyspark.sql import types as T
+    log = f"{tmp_dir}/calls"
+    os.makedirs(log)
+
+    def model(prompts, **_):
+        open(f"{log}/{os.urandom(6).hex()}", "w").write("\n".join(p.replace("\n", " ") for p in prompts))
+        return ["hm" if p[:2] == "p6" or (int(p.split("\n")[0][1:]) % 3 == 0 and "not accepted: unparseable" not in p) else json.dumps({"answer": p[:3].strip()}) for p in prompts]
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(10)], "id int, prompt string").coalesce(1)
+    schema = T.StructType([T.StructField("answer", T.StringType())])
+    rows = model_outcomes(df, "prompt", model, schema, max_retries=3).collect()
+    assert {r["id"]: (r["answer"], r["reason"]) for r in rows} == {i: (None, "unparseable output") if i == 6 else (f"p{i}", None) for i in range(10)}
+    calls = sorted(len(open(f).read().split("\n")) for f in glob.glob(f"{log}/*"))
+    assert calls == [1, 4, 10]  # all; 0, 3, 6 and 9 again; 6 for the last time
+
+
+def test_own_check_and_message_lists(spark):
+    """A check of the caller's decides what is refused; a list of messages gets the answer and the reason as two more."""
+    from pyspark.sql import types as T
+
+    def model(chats, **_):
+        return [json.dumps({"answer": str(len(c)), "note": c[-1]["content"]}) for c in chats]
+
+    msgs = [{"role": "user", "content": "hello"}]
+    df = spark.createDataFrame([(1, msgs)], "id int, messages array<struct<role string, content string>>")
+    schema = T.StructType([T.StructField("answer", T.StringType()), T.StructField("note", T.StringType())])
+    r = model_outcomes(df, "messages", model, schema, check=lambda o: None if json.loads(o)["answer"] == "5" else "answer too short").first()
+    assert (r["answer"], r["reason"]) == ("5", None) and r["note"].endswith("answer too short")
+    r = model_outcomes(df, "messages", model, schema, max_retries=2, check=lambda o: "never").first()
+    assert (r["answer"], r["reason"]) == (None, "never")
+
+
+def test_partial_outputs(spark):
+    """Partials in order; an input that breaks off keeps its own; a failing call and an input without partials."""
+    def parts(p):
+        yield {"a": 1}
+        if p == "stop":
+            raise ValueError("stop")
+        yield '{"a": 2}'
+
+    def model(prompts, **_):
+        return [[] if p == "none" else (str(i) for i in range(9000)) if p == "many" else parts(p) for p in prompts]
+
+    df = spark.createDataFrame([(1, "go"), (2, "stop"), (3, "none"), (4, "many")], "id int, prompt string").coalesce(1)
+    rows = model_partials(df, "prompt", model).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["id"], []).append((r["seq"], r["record"], r["error"]))
+    assert got[1] == [(0, '{"a": 1}', None), (1, '{"a": 2}', None)]
+    assert got[2] == [(0, '{"a": 1}', None), (1, None, "ValueError: stop")]
+    assert 3 not in got and [x[0] for x in got[4]] == list(range(9000))
+
+    def offline(prompts, **_):
+        raise RuntimeError("offline")
+
+    assert {(r["id"], r["seq"], r["error"]) for r in model_partials(df, "prompt", offline).collect()} == {(i, 0, "RuntimeError: offline") for i in range(1, 5)}
+    assert model_partials(df.limit(0), "prompt", model).collect() == []
+
+
+def test_folders_of_names_with_slashes_and_without_names(spark):
+    from quire.operators.folders import get_or_create_folders
+    none = spark.createDataFrame([], "id string, name string, parent_id string, path string")
+    paths = spark.createDataFrame([("A/B", "C"), ("A", "B/C"), (None, "C"), ("D", None), ("1:A", "x"), ("A", "B/C")], "addressed_to string, sender string")
+    made = get_or_create_folders(paths, none)
+    rows = made.collect()
+    assert len(rows) == len({r["id"] for r in rows}) == 7  # four top folders, three below
+    assert all(r["id"] and r["name"] and r["path"] for r in rows)
+    assert sorted(map(tuple, get_or_create_folders(paths, made).collect()), key=str) == sorted(map(tuple, rows), key=str)
