@@ -43,7 +43,7 @@ WINDOW = 13
 GRAM = 5
 #: Text bytes of a batch of documents, and of the texts a shard answers for, about.
 BATCH_BYTES = 4 << 20
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20
 #: Text bytes an automaton is built over, about: a shard's minimizers are taken in groups of this size.
 AUTOMATON_BYTES = 1 << 20
 #: Documents from which on a minimizer's windows are dealt one by one.
