@@ -451,3 +451,5 @@ ORACLE["ingest_table"] = ORACLE["stream_ingest"]
 ORACLE["stream_rejects"] = f"""SELECT reason, count(*) AS n FROM (
   SELECT [{_REASONS}][o_orderkey % {len(BROKEN_ACTIONS)} + 1] AS reason FROM orders JOIN customer ON o_custkey = c_custkey
   UNION ALL SELECT 'unparseable' FROM documents WHERE trim(translate(text, chr(10) || chr(13), '  ')) <> '') GROUP BY reason"""
+
+ORACLE["stream_fold_state"] = ORACLE["last_partial"]

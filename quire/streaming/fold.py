@@ -7,6 +7,10 @@ take the latest row per document (``read_latest``), and ``compact`` writes the l
 anew with that row alone. A replayed micro-batch replaces its own partition of the log,
 a late one adds rows the fold ranks by ``seq`` like any other, so the sink is idempotent
 and the order of arrival does not matter.
+
+Where partials carry a time of arrival, ``fold_with_state`` keeps the last partial of each
+open document as stream state instead, writes a row only when it changes, and lets a
+watermark close documents and ignore late partials.
 """
 
 from __future__ import annotations
@@ -61,3 +65,71 @@ def run_fold(spark: SparkSession, source: str, schema: T.StructType | str, out_p
          .foreachBatch(lambda df, bid: append_updates(fold_partials(df, key, seq, record), out_path, bid)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
+
+
+# ---------------------------------------------------------------- with state and a watermark
+
+
+def _keep_last(to_key, names: list[str], idle_ms: int):
+    """The function ``applyInPandasWithState`` runs for each document with new partials, or whose time is up."""
+    import pandas as pd
+
+    def rank(partial):
+        seq, record = partial
+        return seq, record is not None, record or ""
+
+    def run(group, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before, last = ((state.get[0], state.get[1]), state.get[2]) if state.exists else (None, 0)
+        best = before
+        for f in frames:
+            last = max(last, int(f["ms"].max()))
+            top = f[f["seq"] == f["seq"].max()]
+            texts = [t for t in top["record"] if isinstance(t, str)]
+            found = (int(top["seq"].iloc[0]), max(texts) if texts else None)
+            best = found if best is None else max(best, found, key=rank)
+        state.update((*best, last))
+        state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
+        if best != before:
+            yield pd.DataFrame(dict(zip(names, ([to_key(group[0])], [best[0]], pd.Series([best[1]], dtype=object)), strict=True)))
+
+    return run
+
+
+def fold_with_state(partials: DataFrame, time: str, key: str = "doc_id", seq: str = "seq", record: str = "record",
+                    late: str = "10 minutes", idle_seconds: int = 3600) -> DataFrame:
+    """A stream of partials as a stream of updates (key, seq, record): one row whenever a document's last partial changes.
+
+    State is the last partial of each open document. A document is open until the
+    watermark (greatest ``time`` seen, less ``late``) has passed its last partial by
+    ``idle_seconds``; then its state is dropped, so the state is bounded by the documents
+    in progress. Partials older than the watermark are ignored. One that comes after its
+    document was closed, but not late, opens it again; its update ranks by ``seq`` in
+    ``read_latest`` like any other. Of partials with one ``seq`` the greatest record text
+    counts, a null record least. Rows whose key, ``seq`` or ``time`` is null take no part.
+    ``key`` is an integer or text, ``record`` text, ``time`` a timestamp; other columns
+    are dropped. A document's partials reach its task as Arrow batches, never as one frame.
+    """
+    key_type = partials.schema[key].dataType
+    if not isinstance(key_type, T.IntegralType | T.StringType):
+        raise ValueError(f"{key} must be an integer or text")
+    out = T.StructType([T.StructField(key, key_type), T.StructField(seq, T.LongType()), T.StructField(record, T.StringType())])
+    held = T.StructType([T.StructField("seq", T.LongType()), T.StructField("record", T.StringType()), T.StructField("last", T.LongType())])
+    at = F.col(time).cast("timestamp")
+    rows = partials.select(F.col(key).alias("key"), F.col(seq).cast("bigint").alias("seq"), F.col(record).cast("string").alias("record"),
+                           at.alias("time"), F.unix_millis(at).alias("ms")).dropna(subset=["key", "seq", "time"])
+    to_key = int if isinstance(key_type, T.IntegralType) else str
+    return rows.withWatermark("time", late).groupBy("key").applyInPandasWithState(
+        _keep_last(to_key, out.names, idle_seconds * 1000), out, held, "update", "EventTimeTimeout")
+
+
+def run_fold_with_state(partials: DataFrame, out_path: str, checkpoint: str, time: str, key: str = "doc_id", seq: str = "seq", record: str = "record",
+                        late: str = "10 minutes", idle_seconds: int = 3600, available_now: bool = True):
+    """Start the fold with state over the streaming frame ``partials``; its updates go to the log at ``out_path`` (``read_latest``)."""
+    updates = fold_with_state(partials, time, key, seq, record, late, idle_seconds)
+    w = (updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda df, bid: append_updates(df, out_path, bid)))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()

@@ -136,3 +136,30 @@ def test_fold_keeps_no_state_and_compacts(spark, tmp_dir):
     assert got(f"{tmp_dir}/log") == want
     compact(spark, f"{tmp_dir}/log", f"{tmp_dir}/log2")
     assert got(f"{tmp_dir}/log2") == want and spark.read.parquet(f"{tmp_dir}/log2").count() == 5
+
+
+def test_fold_with_state_closes_documents_and_ignores_late_partials(spark, tmp_dir):
+    from quire.streaming.fold import run_fold_with_state
+    schema = "doc_id string, seq bigint, record string, at timestamp, extra int"
+    t0 = dt.datetime(2024, 1, 1)
+    hour = dt.timedelta(hours=1)
+    batches = [
+        [("a", 1, "a1", t0, 0), ("a", 2, "a2", t0, 0), ("a", 2, "a2b", t0, 0), ("b", 3, None, t0, 0), ("b", 3, None, t0, 0),
+         (None, 1, "x", t0, 0), ("n", None, "x", t0, 0), ("n", 1, "x", None, 0)],
+        [("a", 1, "old", t0, 0), ("c", 1, "c1", t0 + 5 * hour, 0)],  # an earlier partial of a: no update
+        [("d", 1, "d1", t0 + 5 * hour, 0), ("a", 9, "late", t0, 0)],  # behind the watermark: ignored
+        [("b", 4, "b4", t0 + 6 * hour, 0)],  # closed, opened again
+    ]
+    state = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_dir}/in")
+        q = run_fold_with_state(spark.readStream.schema(schema).parquet(f"{tmp_dir}/in"), f"{tmp_dir}/log", f"{tmp_dir}/ck", "at")
+        q.awaitTermination()
+        state.append([p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]])
+    log = sorted((r["doc_id"], r["seq"], r["record"]) for r in spark.read.parquet(f"{tmp_dir}/log").collect())
+    assert log == [("a", 2, "a2b"), ("b", 3, None), ("b", 4, "b4"), ("c", 1, "c1"), ("d", 1, "d1")]
+    got = {r["doc_id"]: (r["seq"], r["record"]) for r in read_latest(spark, f"{tmp_dir}/log").collect()}
+    assert got == {"a": (2, "a2b"), "b": (4, "b4"), "c": (1, "c1"), "d": (1, "d1")}
+    assert max(state[0]) == 2 and max(state[1]) == 3
+    assert state[1][-1] == 1  # a and b are closed once the watermark has passed them
+    assert state[3][-1] <= 3
