@@ -664,10 +664,9 @@ QUERIES.update({f.__name__: f for f in (model_retries, model_partials, process_d
 
 def stream_fold_state(spark, d):
     """SM1: the fold with state per conversation over the conversations file, a minute between turns, watermark and idle time set; final state."""
-    from ..streaming.fold import read_latest, run_fold_with_state
+    from ..streaming.fold import parquet_stream, read_latest, run_fold_with_state
     out, ck = scratch_path(spark, "fold-state-out"), scratch_path(spark, "fold-state-ck")
-    parts = (spark.readStream.schema("conv_id bigint, turn bigint, role string, text string").option("pathGlobFilter", "*.parquet")
-             .parquet(f"{d.rstrip('/')}/conversations.parquet"))
+    parts = parquet_stream(spark, f"{d.rstrip('/')}/conversations.parquet", "conv_id bigint, turn bigint, role string, text string")
     parts = parts.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.col("text").alias("record"),
                          F.timestamp_seconds(F.col("turn") * 60).alias("arrived"))
     run_fold_with_state(parts, out, ck, "arrived").awaitTermination()

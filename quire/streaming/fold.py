@@ -50,15 +50,17 @@ def compact(spark: SparkSession, path: str, target: str, key: str = "doc_id", se
     read_latest(spark, path, key, seq).withColumn("_batch", F.lit(-1).cast("bigint")).write.partitionBy("_batch").parquet(target)
 
 
+def parquet_stream(spark: SparkSession, source: str, schema: T.StructType | str) -> DataFrame:
+    """A stream of the Parquet files at ``source``: a folder, or one file, which Spark takes for a stream only as a pattern."""
+    head, dot, ext = source.rstrip("/").rpartition(".")
+    return spark.readStream.schema(schema).parquet(f"{head}[.]{ext}" if dot and ext == "parquet" else source)
+
+
 def run_fold(spark: SparkSession, source: str, schema: T.StructType | str, out_path: str, checkpoint: str,
              key: str = "doc_id", seq: str = "seq", record: str = "record", rename: dict | None = None,
              available_now: bool = True):
     """Start the fold over Parquet files at ``source``; returns the StreamingQuery."""
-    reader = spark.readStream.schema(schema)
-    if source.endswith(".parquet"):  # one file: stream its folder, filtered to that file name
-        source, name = source.rsplit("/", 1)
-        reader = reader.option("pathGlobFilter", name)
-    s = reader.parquet(source)
+    s = parquet_stream(spark, source, schema)
     for a, b in (rename or {}).items():
         s = s.withColumnRenamed(a, b)
     w = (s.writeStream.option("checkpointLocation", checkpoint)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import times
 from quire.operators import assembly
 from quire.operators.store import VectorTable
-from quire.plans import derived
+from quire.plans import catalog, derived
 from quire.sources import pages
 from quire.streaming.fold import read_latest, run_fold
 from quire.streaming.ingest import run_ingest
@@ -71,6 +71,14 @@ def test_stream_fold_equals_batch(spark, sf, tmp_dir):
     assert s == b
 
 
+def test_stream_reads_a_table_of_one_file_or_of_a_folder(spark, sf, tmp_dir):
+    spark.read.parquet(f"{sf}/conversations.parquet").repartition(3).write.parquet(f"{tmp_dir}/conversations.parquet")
+    rows = []
+    for d in (sf, tmp_dir):
+        rows.append({f.__name__: sorted(tuple(r) for r in f(spark, d).collect()) for f in (catalog.stream_last_partial, catalog.stream_fold_state)})
+    assert rows[0] == rows[1] and rows[0]["stream_fold_state"] == rows[0]["stream_last_partial"] and rows[0]["stream_fold_state"]
+
+
 def test_stream_ingest_replay_is_idempotent(spark, tmp_dir):
     src = os.path.join(tmp_dir, "in")
     os.makedirs(src)
