@@ -430,7 +430,7 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str =
             qid_col: str = "query_id", qvec_col: str = "embedding", payload: list[str] | None = None,
             question_filter: QuestionFilter | None = None, dim: int | None = None,
             max_block_bytes: int = DEFAULT_BLOCK_BYTES, probe=None, same_length: bool = False,
-            store_block_bytes: int = DEFAULT_BLOCK_BYTES) -> DataFrame:
+            store_block_bytes: int = DEFAULT_BLOCK_BYTES, prune: bool = False) -> DataFrame:
     """JN1 + WN1: exact cosine top-k of ``store`` rows for every question.
 
     Returns ``qid_col, distance, rank`` plus ``payload`` store columns (default:
@@ -440,7 +440,9 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str =
 
     Questions of up to ``max_block_bytes`` are broadcast; more of them meet the store in
     cogroups of question and store blocks, with the same rows and one scan of the store
-    (which should then be a stored table).
+    (which should then be a stored table). With ``prune`` those questions are grouped by
+    direction, and a store row goes only to the groups it can be a hit of (``pruned``): two
+    scans, and the fewer copies of a row the more the vectors are clustered.
     """
     if k <= 0:
         raise ValueError("k must be positive")
@@ -462,6 +464,10 @@ def nearest(store: DataFrame, questions: DataFrame, k: int = 5, *, id_col: str =
             raise ValueError("a probe search of this many questions is IvfIndex.search_grouped")
         if dim is not None:
             questions = questions.filter(F.size(qvec_col) == dim)
+        if prune:
+            from .pruned import nearest_pruned  # which builds on this module
+            return nearest_pruned(store, questions, k, qid_col=qid_col, qvec_col=qvec_col, id_col=id_col, vec_col=vec_col, payload=payload, question_filter=qf,
+                                  max_block_bytes=max_block_bytes, store_block_bytes=store_block_bytes, same_length=same_length)
         return _nearest_in_blocks(store, questions, k, qid_col, qvec_col, id_col, vec_col, payload, qf, max_block_bytes, store_block_bytes, same_length)
 
     store_cols = list(dict.fromkeys(payload + [vec_col] + (qf.store_columns() if qf else [])

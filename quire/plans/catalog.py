@@ -674,3 +674,12 @@ def stream_fold_state(spark, d):
 
 
 QUERIES["stream_fold_state"] = stream_fold_state
+
+
+def topk_question_groups(spark, d):
+    """JN1 with more questions than one block, grouped by direction: a store row goes only to the groups it can be a hit of."""
+    res = search.nearest(derived.vector_store(spark, d), derived.label_questions(spark, d), k=3, max_block_bytes=2_000, prune=True)
+    return _report(res, ["query_id", "rank", "id", "distance"])
+
+
+QUERIES["topk_question_groups"] = topk_question_groups

@@ -453,3 +453,4 @@ ORACLE["stream_rejects"] = f"""SELECT reason, count(*) AS n FROM (
   UNION ALL SELECT 'unparseable' FROM documents WHERE trim(translate(text, chr(10) || chr(13), '  ')) <> '') GROUP BY reason"""
 
 ORACLE["stream_fold_state"] = ORACLE["last_partial"]
+ORACLE["topk_question_groups"] = ORACLE["topk_batch"]
