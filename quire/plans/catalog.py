@@ -173,15 +173,15 @@ def record_count(spark, d):
 def metadata_expand(spark, d):
     """PF2 + PF4 + SC16: pack metadata to JSON, expand it back to typed columns, id as text."""
     s = derived.vector_store(spark, d)
-    return s.select(F.col("id").cast("string").alias("id"), "metadata",
-                    *expand_metadata("metadata", {"lang": "string", "source": "string", "label": "bigint"}))
+    s = s.select(F.col("id").cast("string").alias("id"), "metadata")
+    return expand_metadata(s, {"lang": "string", "source": "string", "label": "bigint"})
 
 
 def event_props(spark, d):
     """PF4 on the events' JSON props: typed key, unknown key is null."""
     ev = table(spark, d, "events")
-    return ev.select(F.col("event_id").cast("string").alias("id"),
-                     *expand_metadata("props", {"k": "bigint", "missing": "string"}))
+    ev = ev.select(F.col("event_id").cast("string").alias("id"), "props")
+    return expand_metadata(ev, {"k": "bigint", "missing": "string"}, "props", keep=["id"])
 
 
 QUERIES.update({

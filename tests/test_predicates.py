@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from quire.functions.meta import expand_metadata
 from quire.operators.predicates import Predicate, apply_filters, metadata_filter
 
 ROWS = [
@@ -46,3 +49,23 @@ def test_time_range_bounds(spark):
     assert sept == list(range(29))                            # end exclusive
     assert _ids(apply_filters(df, time=(dt.datetime(2024, 8, 1), dt.datetime(2024, 8, 30)))) == []
     assert _ids(apply_filters(df, time=(dt.datetime(2024, 10, 8), None))) == list(range(37, 40))
+
+
+def test_metadata_is_parsed_once(spark):
+    df = spark.createDataFrame(ROWS, "id int, metadata string").withColumn("lang", F.lit("de")).withColumn("_parsed", F.lit(0))
+    p = (Predicate("price", ">", 100) | Predicate("rating", ">=", 4.5)) & Predicate("category", "!=", "x") & Predicate("lang", "==", "de")
+    got = apply_filters(df, filter=[{"category": "Shipping"}, {"category": "Books"}], predicates=p)
+    assert got.columns == df.columns and _ids(got) == [1, 6]
+    typed = expand_metadata(df, {"category": "string", "price": "double", "rating": "double"}, keep=["id", "_parsed"])
+    assert {r["id"]: tuple(r)[1:] for r in typed.collect()}[2] == (0, "Services", 200.0, None)
+    for q in (got, typed):
+        assert q._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1
+
+
+def test_metadata_values(spark):
+    rows = [(1, '{"a b": 1, "it\'s": true, "o": {"x": [1, 2]}, "n": 4.0}'), (2, "not json"), (3, None), (4, ""), (5, "[1]"), (6, '{"n": 1, "n": 2}')]
+    df = spark.createDataFrame(rows, "id int, metadata string")
+    keys = {"a b": "bigint", "it's": "boolean", "o": "string", "n": "double", "both \"'": "string"}
+    got = {r["id"]: tuple(r)[1:] for r in expand_metadata(df, keys, keep=["id"]).collect()}
+    assert got == {1: (1, True, '{"x":[1,2]}', 4.0, None), **{i: (None,) * 5 for i in range(2, 7)}}
+    assert _ids(apply_filters(df, predicates=Predicate("n", "==", 4))) == [1]
