@@ -84,14 +84,14 @@ def _keep_last(to_key, names: list[str], idle_ms: int):
         if state.hasTimedOut:
             state.remove()
             return
-        before, last = ((state.get[0], state.get[1]), state.get[2]) if state.exists else (None, 0)
+        held = state.get if state.exists else None
+        before, last = ((held[0], held[1]), held[2]) if held else (None, 0)
         best = before
         for f in frames:
-            last = max(last, int(f["ms"].max()))
-            top = f[f["seq"] == f["seq"].max()]
-            texts = [t for t in top["record"] if isinstance(t, str)]
-            found = (int(top["seq"].iloc[0]), max(texts) if texts else None)
-            best = found if best is None else max(best, found, key=rank)
+            seqs, texts, times = (f[c].to_numpy() for c in ("seq", "record", "ms"))  # arrays: most documents have a few rows
+            last, top = max(last, int(times.max())), seqs.max()
+            found = [(int(top), t if isinstance(t, str) else None) for t in texts[seqs == top]]
+            best = max(found if best is None else [best, *found], key=rank)
         state.update((*best, last))
         state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
         if best != before:
