@@ -222,63 +222,78 @@ def test_quality_constants_and_empty(spark):
 # ---------------------------------------------------------------- op 6
 
 
-def lm_by_hand(rows, of, words, trans_delta=0.1):
-    """Scores from the classes the operator found, everything else counted anew."""
+def lm_by_hand(rows, of, words, classes):
+    """Scores from the seeds' classes, everything else counted and placed anew, word by word."""
     toks = lambda t: (t or "").encode().lower().split()
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     train = [t for i, t in rows if not held(i)]
     counts = Counter(w for t in train for w in toks(t))
     n, v = sum(counts.values()) + len(train), len(counts) + 1
-    index = {w: i for i, w in enumerate(words)}
-    end = len(words) + brown.ENDINGS
-    unit = lambda w: index.get(w, len(words) + brown.ending(w))
-    pair, seen = Counter(), Counter()
+    seed = dict(zip(words, of, strict=False))
+    other, end, width = classes, classes + 1, classes + 2
+    pair, left, right = Counter(), {}, {}
     for t in train:
-        ids = [end, *map(unit, toks(t)), end]
-        pair.update((of[a], of[b]) for a, b in zip(ids, ids[1:], strict=False))
-        seen.update(ids[1:])
-    k = max(of) + 1
-    after = Counter()
-    for (a, _), c in pair.items():
-        after[a] += c
-    in_class, units = Counter(), Counter(of)
-    for u, c in seen.items():
-        in_class[of[u]] += c
-    group_n, group_v = Counter(), Counter()
+        ws = toks(t)
+        cls = [end, *[seed.get(w, other) for w in ws], end]
+        pair.update(zip(cls, cls[1:], strict=False))
+        for i, w in enumerate(ws):
+            if w not in seed:
+                left.setdefault(w, Counter())[cls[i]] += 1
+                right.setdefault(w, Counter())[cls[i + 2]] += 1
+    cell = lambda x, y: pair[x, y] + 0.1
+    rowsum = [sum(cell(x, y) for y in range(width)) for x in range(width)]
+    colsum = [sum(cell(x, y) for x in range(width)) for y in range(width)]
+    cls_of = dict(seed)
+    for w in left:
+        gain = [round(sum(c * math.log(cell(x, k) / colsum[k]) for x, c in left[w].items()) + sum(c * math.log(cell(k, y) / rowsum[k]) for y, c in right[w].items()), 6)
+                for k in range(classes)]
+        cls_of[w] = gain.index(max(gain))
+    assert set(cls_of) == set(counts)
+    once = Counter(cls_of[w] for w, c in counts.items() if c == 1)
+    unseen = min(range(classes), key=lambda k: (-once[k], k))
+    within = Counter()
     for w, c in counts.items():
-        if w not in index:
-            group_n[brown.ending(w)] += c
-            group_v[brown.ending(w)] += 1
+        within[cls_of[w]] += c + 0.1
+    within[unseen] += 0.1
+    pair, after = Counter(), Counter()
+    path = lambda ws: [classes, *[cls_of.get(w, unseen) for w in ws], classes]
+    for t in train:
+        p = path(toks(t))
+        pair.update(zip(p, p[1:], strict=False))
+        after.update(p[:-1])
     out = []
     for i, t in rows:
         ws, base, score = toks(t), 0.0, 0.0
         for w in [*ws, None]:
             c = len(train) if w is None else counts[w]
             base += math.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        ids = [end, *map(unit, ws), end]
-        for a, b in zip(ids, ids[1:], strict=False):
-            score += math.log10((pair[of[a], of[b]] + 0.1) / (after[of[a]] + 0.1 * k)) + math.log10((seen[b] + 0.1) / (in_class[of[b]] + 0.1 * units[of[b]]))
+        p = path(ws)
+        for x, y in zip(p, p[1:], strict=False):
+            score += math.log10((pair[x, y] + 0.1) / (after[x] + 0.1 * (classes + 1)))
         for w in ws:
-            if w not in index:
-                e = brown.ending(w)
-                score += math.log10((counts[w] + 0.1) / (group_n[e] + 0.1 * (group_v[e] + 1)))
+            score += math.log10((counts[w] + 0.1) / within[cls_of.get(w, unseen)])
         out.append((i, held(i), len(ws) + 1, sum(counts[w] > 0 for w in ws) + 1, n, round(base, 6), round(score, 6)))
-    return sorted(out, key=str)
+    return sorted(out, key=str), cls_of
 
 
-def test_brown_scores(spark, monkeypatch):
-    rows = corpus(120, length=30) + ODD
-    monkeypatch.setattr(brown, "LOOKUP", 40)
+@pytest.mark.parametrize("lookup", [40, 200_000])
+def test_brown_scores(spark, monkeypatch, lookup):
+    rows = corpus(120, length=30) + ODD + [(909, "x" * 100 + " of data"), (910, "seen once " + "y" * 100)]
+    monkeypatch.setattr(brown, "LOOKUP", lookup)
     monkeypatch.setattr(brown, "WORDS", 20)
+    monkeypatch.setattr(brown, "HELD_TOKENS", 100)
     found = {}
     exchange = brown.exchange
-    monkeypatch.setattr(brown, "exchange", lambda b, c: found.setdefault("of", exchange(b, c)))
+    monkeypatch.setattr(brown, "exchange", lambda b, c, kept: found.setdefault("of", exchange(b, c, kept=kept)))
     bigrams = brown.unit_bigrams
     monkeypatch.setattr(brown, "unit_bigrams", lambda t, w: bigrams(t, found.setdefault("words", w)))
+    classes_of = brown.classes_of
+    monkeypatch.setattr(brown, "classes_of", lambda *a: found.setdefault("classes", classes_of(*a)))
     got = brown.scores(docs_table(spark, rows), classes=6).collect()
     counts = Counter(w for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 10 for w in (t or "").encode().lower().split())
     assert found["words"] == [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:len(found["words"])]] and len(found["words"]) > 5
-    want = lm_by_hand(rows, found["of"].tolist(), found["words"])
+    want, cls_of = lm_by_hand(rows, found["of"].tolist(), found["words"], 6)
+    assert {bytes(r["word"]): (r["c"], r["cls"]) for r in found["classes"].collect()} == {w: (c, cls_of[w]) for w, c in counts.items()}
     mine = sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got), key=str)
     assert len(mine) == len(want)
     for a, b in zip(mine, want, strict=True):
@@ -299,6 +314,26 @@ def test_brown_clusters_words_of_equal_count_whatever_the_lookup_holds(spark, mo
     assert seen[0] == seen[1] == sorted(f"w{i}".encode() for i in range(60))[:20]
 
 
+def test_brown_places_words_by_their_neighbours(spark, monkeypatch):
+    """Words outside the seeds join the class whose neighbours they share, whatever their letters."""
+    r = random.Random(9)
+    texts = []
+    for _ in range(400):
+        kind = r.randrange(2)
+        rare = f"{'ab'[kind]}{r.randrange(40)}{r.choice(['tion', 'ing'])}"
+        ws = ["el", r.choice(["perro", "gato"]), "corre"] if kind else ["muy", r.choice(["bien", "mal"]), "hecho"]
+        texts.append(" ".join([*ws, ws[0], rare, ws[2]]))
+    monkeypatch.setattr(brown, "WORDS", 8)
+    found = {}
+    classes_of = brown.classes_of
+    monkeypatch.setattr(brown, "classes_of", lambda *a: found.setdefault("classes", classes_of(*a)))
+    brown.scores(docs_table(spark, enumerate(texts, 1)), classes=6)
+    cls = {bytes(r["word"]).decode(): r["cls"] for r in found["classes"].collect()}
+    for kind, seeds in (("a", {"bien", "mal"}), ("b", {"perro", "gato"})):
+        placed = Counter(k for w, k in cls.items() if w[0] == kind and w not in seeds and w[1].isdigit())
+        assert len(placed) == 1 and set(placed) <= {cls[w] for w in seeds}  # the two seeds themselves may be in two classes
+
+
 def test_exchange_finds_alternating_classes():
     rng = np.random.default_rng(4)
     n = 24
