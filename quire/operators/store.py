@@ -14,6 +14,10 @@ Upsert semantics (D7): ``on_conflict="update"`` replaces a stored row with the
 new one (insert-or-update); ``"ignore"`` keeps the stored row. Within one
 batch the same id twice resolves to the last by ``seq_col`` (or any one if no
 order is given).
+
+An upsert or a delete by ids finds the weeks to rewrite by the ids and weeks of the whole
+table. Where ids never change their week, ``id_in_week=True`` makes (id, week) the
+key instead, null weeks being equal: no week but those the batch names is read then.
 """
 
 from __future__ import annotations
@@ -29,46 +33,62 @@ WEEK_FILES = 8
 NO_WEEK = "__HIVE_DEFAULT_PARTITION__"
 
 
-def dedupe_last(df: DataFrame, key: str = "id", seq_col: str | None = None) -> DataFrame:
+def _renamed(df: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """The key columns as ``_k0``, ``_k1``, ..., so that a join with the same columns names each once."""
+    return df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *more)
+
+
+def _same(keys: list[str]) -> Column:
+    """Rows of one key: the id equal, a further column equal or null on both sides."""
+    cond = F.col(keys[0]) == F.col("_k0")
+    for i, k in enumerate(keys[1:], 1):
+        cond &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return cond
+
+
+def dedupe_last(df: DataFrame, key: str | list[str] = "id", seq_col: str | None = None) -> DataFrame:
     """Keep one row per key: the last by ``seq_col``.
 
     An aggregate (``max_by`` over the whole row), not a window: it combines
     partially before the shuffle, so a key repeated in a third of all rows
     reaches the reducer as one row per map task.
     """
+    keys = [key] if isinstance(key, str) else key
     if seq_col is None:
-        return df.dropDuplicates([key])
-    cols = [c for c in df.columns if c != key]
-    return (df.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(seq_col)).alias("_last"))
-            .select(key, *[F.col("_last")[c].alias(c) for c in cols]).select(*df.columns))
+        return df.dropDuplicates(keys)
+    cols = [c for c in df.columns if c not in keys]
+    return (df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col(seq_col)).alias("_last"))
+            .select(*keys, *[F.col("_last")[c].alias(c) for c in cols]).select(*df.columns))
 
 
-def merge_upsert(old: DataFrame, new: DataFrame, key: str = "id", on_conflict: str = "update",
+def merge_upsert(old: DataFrame, new: DataFrame, key: str | list[str] = "id", on_conflict: str = "update",
                  seq_col: str | None = None, keep_stored: tuple[str, ...] = ()) -> DataFrame:
     """SK5 / JN5: the table after inserting ``new`` into ``old``.
 
     An update takes every column from the new row but those in ``keep_stored``,
-    which keep the stored row's values.
+    which keep the stored row's values. Of several key columns those after the first may be null.
     """
+    keys = [key] if isinstance(key, str) else key
     if on_conflict not in ("update", "ignore"):
         raise ValueError("on_conflict must be 'update' or 'ignore'")
     new1 = dedupe_last(new, key, seq_col)
     if seq_col and seq_col not in old.columns:
         new1 = new1.drop(seq_col)
     new1 = new1.select(*old.columns)
-    keys_new = new1.select(key)
+    keys_new = _renamed(new1, keys)
     if on_conflict == "update":
         if keep_stored:
-            stored = old.select(key, F.lit(True).alias("_stored"), *[F.col(c).alias(f"_old_{c}") for c in keep_stored])
-            new1 = new1.join(stored, key, "left").select(
+            stored = _renamed(old, keys, F.lit(True).alias("_stored"), *[F.col(c).alias(f"_old_{c}") for c in keep_stored])
+            new1 = new1.join(stored, _same(keys), "left").select(
                 *[F.when(F.col("_stored"), F.col(f"_old_{c}")).otherwise(F.col(c)).alias(c) if c in keep_stored else F.col(c) for c in old.columns])
-        return old.join(keys_new, key, "left_anti").unionByName(new1)
-    return old.unionByName(new1.join(old.select(key), key, "left_anti"))
+        return old.join(keys_new, _same(keys), "left_anti").unionByName(new1)
+    return old.unionByName(new1.join(_renamed(old, keys), _same(keys), "left_anti"))
 
 
-def remove_ids(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+def remove_ids(df: DataFrame, ids: DataFrame, key: str | list[str] = "id") -> DataFrame:
     """SK8: delete rows whose key is in ``ids`` (anti join)."""
-    return df.join(ids.select(key).distinct(), key, "left_anti")
+    keys = [key] if isinstance(key, str) else key
+    return df.join(_renamed(ids, keys).distinct(), _same(keys), "left_anti")
 
 
 def remove_matching(df: DataFrame, pred: Column) -> DataFrame:
@@ -199,25 +219,32 @@ class VectorTable:
         return [r[0] for r in df.select(self.part_col).distinct().collect()]
 
     # --- SK5
-    def upsert(self, new: DataFrame, on_conflict: str = "update", seq_col: str | None = None, keep_stored: tuple[str, ...] = ()) -> None:
+    def upsert(self, new: DataFrame, on_conflict: str = "update", seq_col: str | None = None, keep_stored: tuple[str, ...] = (), id_in_week: bool = False) -> None:
+        """``id_in_week``: a row's key is its id and week, so only the batch's weeks are read; an id in another week is another row."""
+        key = [self.key, self.part_col] if id_in_week else self.key
         if not self.exists():
-            self.create(dedupe_last(new, self.key, seq_col).drop(*([seq_col] if seq_col else [])))
+            self.create(dedupe_last(new, key, seq_col).drop(*([seq_col] if seq_col else [])))
             return
         cur = self.read()
-        new1 = dedupe_last(new, self.key, seq_col)
+        new1 = dedupe_last(new, key, seq_col)
         if seq_col:
             new1 = new1.drop(seq_col)
         # the incoming batch is used three times (its weeks, the id probe, the merge): compute it once
         new1 = reliable_checkpoint(new1)
-        hit = cur.join(new1.select(self.key), self.key, "left_semi")
-        affected = sorted(set(self._affected(new1)) | set(self._affected(hit)), key=str)
+        weeks = set(self._affected(new1))
+        if not id_in_week:
+            weeks |= set(self._affected(cur.join(new1.select(self.key), self.key, "left_semi")))
+        affected = sorted(weeks, key=str)
         in_aff = cur.filter(self._in_weeks(affected))
-        self._replace_partitions(affected, merge_upsert(in_aff, new1, self.key, on_conflict, keep_stored=keep_stored))
+        self._replace_partitions(affected, merge_upsert(in_aff, new1, key, on_conflict, keep_stored=keep_stored))
 
     # --- SK8-SK10
-    def delete(self, ids: list | None = None, metadata_filter: dict | None = None, delete_all: bool = False) -> None:
+    def delete(self, ids: list | DataFrame | None = None, metadata_filter: dict | None = None, delete_all: bool = False, id_in_week: bool = False) -> None:
+        """``id_in_week``: ``ids`` is a frame with the id and the week column, and only the weeks in it are read."""
         from .predicates import metadata_filter as mf
         which = check_delete_args(ids, metadata_filter, delete_all)
+        if id_in_week and not (which == "ids" and isinstance(ids, DataFrame) and {self.key, self.part_col} <= set(ids.columns)):
+            raise ValueError(f"id_in_week takes ids as a frame with the columns {self.key} and {self.part_col}")
         if not self.exists():
             return
         cur = self.read()
@@ -228,9 +255,12 @@ class VectorTable:
             self._save_schema(sch)
             return
         if which == "ids":
-            id_df = reliable_checkpoint(self._ids(ids).distinct())  # used twice: the weeks, then their rows
-            affected = self._affected(cur.join(id_df, self.key, "left_semi"))
-            rows = remove_ids(cur.filter(self._in_weeks(affected)), id_df, self.key)
+            key = [self.key, self.part_col] if id_in_week else [self.key]
+            asked = ids.select(*key) if id_in_week else self._ids(ids)
+            id_df = reliable_checkpoint(asked.distinct())  # used twice: the weeks, then their rows
+            named = cur.filter(self._in_weeks(self._affected(id_df))) if id_in_week else cur
+            affected = self._affected(named.join(_renamed(id_df, key), _same(key), "left_semi"))
+            rows = remove_ids(cur.filter(self._in_weeks(affected)), id_df, key)
         else:
             pred = mf(metadata_filter, set(cur.columns))
             affected = self._affected(cur.filter(pred))

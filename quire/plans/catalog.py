@@ -513,6 +513,16 @@ def table_delete(spark, d):
     return _store_report(t.read())
 
 
+def table_in_week(spark, d):
+    """SK5 + SK8 with (id, week) as the key: only the weeks of the batch and of the asked ids are read."""
+    t = _stored(spark, d)
+    batch = _some_undated(_relabelled(spark, d))
+    t.upsert(batch, id_in_week=True)
+    toxic = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    t.delete(ids=batch.join(toxic, "id", "left_semi").select("id", "week_start"), id_in_week=True)
+    return _store_report(t.read())
+
+
 def table_clear(spark, d):
     """SK10: the stored table before and after deleting everything."""
     t = _stored(spark, d)
@@ -544,7 +554,7 @@ def page_files(spark, d):
                     F.sha2("text", 256).alias("digest"), F.col("n_pages").cast("bigint").alias("n_pages"))
 
 
-QUERIES.update({f.__name__: f for f in (record_roundtrip, table_upsert, table_delete, table_clear, stream_ingest, page_files)})
+QUERIES.update({f.__name__: f for f in (record_roundtrip, table_upsert, table_delete, table_in_week, table_clear, stream_ingest, page_files)})
 
 
 # ---------------------------------------------------------------- search and answers with other settings (SK7, PF12, PF20, UD5)

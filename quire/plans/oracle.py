@@ -403,6 +403,8 @@ SELECT {UNDATED_REPORT} FROM m"""
 ORACLE["table_delete"] = f"""WITH {FLAT_STORE}
 SELECT {UNDATED_REPORT} FROM flat WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND NOT coalesce(lang = 'de' AND source = 'src1', false)"""
 
+ORACLE["table_in_week"] = ORACLE["table_upsert"] + " WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+
 ORACLE["table_clear"] = f"""WITH {FLAT_STORE} SELECT count(*) AS n_before, CAST(0 AS BIGINT) AS n_after FROM flat"""
 
 ORACLE["stream_ingest"] = f"""WITH {DOC_ROWS_CTE}

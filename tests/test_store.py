@@ -102,3 +102,32 @@ def test_few_files_per_week(spark, tmp_dir):
     df = df.withColumn("week_start", F.to_date(F.date_trunc("week", "ingest_ts")))
     VectorTable(spark, f"{tmp_dir}/vt4").create(df)
     assert len(glob.glob(f"{tmp_dir}/vt4/week_start=*/*.parquet")) <= 40 * vs.WEEK_FILES
+
+
+def test_ids_with_their_week_read_no_other_week(spark, tmp_dir):
+    import glob
+    t = VectorTable(spark, f"{tmp_dir}/vt5")
+    undated = _rows(spark, [("n", 1, "{}", 1)]).withColumn("week_start", F.lit(None).cast("date"))
+    t.create(_rows(spark, [("a", 1, "{}", 1), ("b", 2, "{}", 1), ("c", 9, "{}", 1), ("d", 16, "{}", 1)]).unionByName(undated).drop("seq"))
+    whole = {p: open(p, "rb").read() for p in glob.glob(f"{tmp_dir}/vt5/week_start=2024-01-15/*.parquet")}
+    for p in whole:  # a week nobody names can no longer be read
+        with open(p, "wb") as f:
+            f.write(b"x" * 100)
+    # 'c' of the first week is another row than 'c' of the second; the batch's last row of a key wins
+    new = _rows(spark, [("a", 1, "{}", 2), ("a", 1, "{}", 3), ("c", 2, "{}", 4), ("c", 9, "{}", 5)])
+    t.upsert(new.unionByName(undated.selectExpr("id", "ingest_ts", "week_start", "metadata", "'text n v2' AS contents", "2 AS seq")), seq_col="seq", id_in_week=True)
+    with pytest.raises(Exception):
+        t.upsert(new, seq_col="seq")
+    t.upsert(_rows(spark, [("b", 2, "{}", 9), ("e", 9, "{}", 1)]).drop("seq"), on_conflict="ignore", id_in_week=True)
+    t.upsert(_rows(spark, [("b", 2, "{}", 9)]).drop("seq").withColumn("metadata", F.lit("new")), keep_stored=("contents",), id_in_week=True)
+    t.delete(ids=spark.createDataFrame([("c", dt.date(2024, 1, 1)), ("e", dt.date(2024, 1, 1)), ("z", dt.date(2023, 1, 2))], "id string, week_start date"), id_in_week=True)
+    for p, data in whole.items():
+        with open(p, "wb") as f:
+            f.write(data)
+    assert _state(t) == [("a", "text a v3"), ("b", "text b v1"), ("c", "text c v5"), ("d", "text d v1"), ("e", "text e v1"), ("n", "text n v2")]
+    assert t.read().filter("id = 'b'").first()["metadata"] == "new"
+    t.delete(ids=spark.createDataFrame([("n", None)], "id string, week_start date"), id_in_week=True)
+    assert "n" not in dict(_state(t))
+    for ids in (["a"], spark.createDataFrame([("a",)], "id string")):
+        with pytest.raises(ValueError):
+            t.delete(ids=ids, id_in_week=True)
