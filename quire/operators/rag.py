@@ -106,9 +106,9 @@ def named_in_questions(questions: DataFrame, names: DataFrame, qid: str = "query
     if not lengths:
         return questions.select(qid, F.lit(None).cast("string").alias("name")).limit(0)
     n = n.withColumn("h", F.xxhash64("nw"))
-    q = questions.select(qid, _words(text).alias("w")).withColumn("n", F.explode(F.array(*[F.lit(x) for x in lengths]))).filter(F.col("n") <= F.size("w"))
+    q = questions.select(qid, text).repartition(qid, text).select(qid, _words(text).alias("w")).withColumn("n", F.explode(F.array(*[F.lit(x) for x in lengths]))).filter(F.col("n") <= F.size("w"))
     q = q.select(qid, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda at: F.slice("w", at, F.col("n")))).alias("run"))
-    return q.withColumn("h", F.xxhash64("run")).join(n, ["h"]).filter(F.col("run") == F.col("nw")).select(qid, "name").distinct()
+    return q.withColumn("h", F.xxhash64("run")).join(n.hint("shuffle_hash"), ["h"]).filter(F.col("run") == F.col("nw")).select(qid, "name").distinct()
 
 
 def preprocess_questions(questions: DataFrame, addressees: DataFrame | None = None, *, qid: str = "query_id",
