@@ -83,6 +83,11 @@ SEGMENT_SENDER = {
 }
 
 
+def _with_customers(rows: DataFrame, customers: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to their customers by a shuffle: customers grow with the data, so they are never sent whole through the driver."""
+    return rows.join(customers.hint("shuffle_hash"), F.col(key) == F.col("c_custkey"), how)
+
+
 def doc_records(spark: SparkSession, d: str) -> DataFrame:
     """One extracted record per order (schemas.DOC + doc_id, source_path).
 
@@ -94,7 +99,7 @@ def doc_records(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                          "o_orderdate", "o_orderpriority")
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    j = o.join(c, o.o_custkey == c.c_custkey)
+    j = _with_customers(o, c, "o_custkey")
     seg = F.col("c_mktsegment")
     sender = F.coalesce(*[F.when(seg == k, F.lit(v)) for k, v in SEGMENT_SENDER.items()], F.lit("Other"))
     pr, od, nk = F.col("o_orderpriority"), F.col("o_orderdate"), F.col("c_nationkey").cast("string")
@@ -182,7 +187,7 @@ def raw_records(spark: SparkSession, d: str) -> DataFrame:
     """Record fields before the rules: honorific-prefixed names, long titles, open sender text."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    j = o.join(c, o.o_custkey == c.c_custkey)
+    j = _with_customers(o, c, "o_custkey")
     st = F.col("o_orderstatus")
     prefix = F.when(st == "P", F.lit("Herr ")).when(st == "O", F.lit("Frau Dr. ")).otherwise(F.lit(""))
     sender = F.coalesce(*[F.when(F.col("c_mktsegment") == k, F.lit(v)) for k, v in SEGMENT_SENDER.items()
@@ -210,7 +215,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     an addressee (the customer with the item's number), or an addressee, a sender and a year."""
     b = table(spark, d, "benchmark").select("item_id", "text")
     c = table(spark, d, "customer").select("c_custkey", "c_name")
-    j = b.join(c, b.item_id == c.c_custkey, "left")
+    j = _with_customers(b, c, "item_id", "left")
     form = F.pmod(F.col("item_id"), F.lit(4))
     name = F.coalesce(F.col("c_name"), F.lit("nobody"))
     suffix = (F.when(form == 1, F.lit(" Which letters came from the tax office last month?"))
