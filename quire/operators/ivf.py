@@ -32,6 +32,9 @@ from ..session import reliable_checkpoint
 from .search import DEFAULT_BLOCK_BYTES, QuestionFilter, grouped_top_k, nearest, top_k_per_group
 
 MAX_CENTROID_BYTES = 256 << 20
+#: The most cells, and the rows that cells are trained on: with both bounded, a build takes time in proportion to the rows.
+MAX_CELLS = 1_024
+TRAIN_ROWS = 1 << 16
 #: Tasks, and so files, a cell is written by.
 CELL_FILES = 8
 #: Cells a question probes first.
@@ -116,8 +119,8 @@ class Probe:
 
 
 def cells_for(rows: int, dim: int) -> int:
-    """Number of cells for a store of this size: about the square root of its rows, within the centroid table's bytes."""
-    return max(1, min(math.isqrt(max(rows, 1)), MAX_CENTROID_BYTES // (8 * max(dim, 1))))
+    """Number of cells for a store of this size: about the square root of its rows, within ``MAX_CELLS`` and the centroid table's bytes."""
+    return max(1, min(math.isqrt(max(rows, 1)), MAX_CELLS, MAX_CENTROID_BYTES // (8 * max(dim, 1))))
 
 
 class IvfIndex:
@@ -136,11 +139,15 @@ class IvfIndex:
     def tombstone_path(self) -> str:
         return self.path + "_tombstones"
 
+    @staticmethod
+    def _content(vec_col: str, id_col: str) -> list[Column]:
+        return [F.count("*").alias("rows"), F.sum(F.xxhash64(id_col, vec_col).cast("decimal(38,0)")).alias("hash")]
+
     @staticmethod
     def signature(store: DataFrame, vec_col: str = "embedding", id_col: str = "id") -> tuple[int, str]:
         """Rows of a store and a sum over their ids and vectors: equal for equal content, in any order."""
-        r = store.agg(F.count("*").alias("n"), F.sum(F.xxhash64(id_col, vec_col).cast("decimal(38,0)")).cast("string").alias("h")).first()
-        return r["n"], r["h"] or "0"
+        r = store.agg(*IvfIndex._content(vec_col, id_col)).first()
+        return r["rows"], str(r["hash"] or 0)
 
     # ------------------------------------------------------------ build and changes
 
@@ -149,20 +156,23 @@ class IvfIndex:
         """Train the cells and write every row with its cell.
 
         ``n_cells`` defaults to about the square root of the rows. ``skipped`` counts the rows
-        of the last cell (zero vectors, other lengths). ``train_fraction`` < 1 trains the
-        centroids on that share of the rows (each k-means iteration is a full pass).
+        of the last cell (zero vectors, other lengths). The centroids are trained on about
+        ``TRAIN_ROWS`` rows (all rows of a smaller store), or on the share ``train_fraction`` if
+        that is less; every row is indexed, and exact search does not depend on the centroids.
         """
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
         nonzero = F.exists(vec_col, lambda x: x != 0) & ~F.exists(vec_col, lambda x: x.isNull() | F.isnan(x.cast("double")))
-        lengths = {r["n"]: r["count"] for r in store.groupBy(F.when(nonzero, F.size(vec_col)).otherwise(0).alias("n")).count().collect()}  # a row per length
+        by_length = store.groupBy(F.when(nonzero, F.size(vec_col)).otherwise(0).alias("n")).agg(*self._content(vec_col, id_col)).collect()  # a row per length
+        lengths = {r["n"]: r["rows"] for r in by_length}
         dim = max((n for n in lengths if n), key=lambda n: (lengths[n], n), default=0)
         if dim == 0:
             raise ValueError("the store holds no vector to index")
         n_cells = n_cells or cells_for(lengths[dim], dim)
         if n_cells * dim * 8 > MAX_CENTROID_BYTES:
             raise ValueError("too many cells for the centroid table")
-        rows, content = self.signature(store, vec_col, id_col)
+        rows, content = sum(lengths.values()), str(sum(int(r["hash"]) for r in by_length))
+        train_fraction = min(train_fraction, TRAIN_ROWS / lengths[dim])
         feats = store.filter((F.size(vec_col) == dim) & nonzero).withColumn("_f", array_to_vector(F.col(vec_col)))
         km = KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol=self.cell_col, distanceMeasure="cosine")
         centers = km.fit(feats if train_fraction >= 1.0 else feats.sample(fraction=train_fraction, seed=seed)).clusterCenters()

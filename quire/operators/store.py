@@ -24,11 +24,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import reliable_checkpoint, scratch_path
 
-#: Tasks, and so files, a week is written by.
+#: Tasks, and so files, a week is written by; a week of more than ``WEEK_FILES * FILE_ROWS`` rows has one for every ``FILE_ROWS``.
 WEEK_FILES = 8
+FILE_ROWS = 50_000
 #: Folder of the rows without a week, as Spark's writer names it.
 NO_WEEK = "__HIVE_DEFAULT_PARTITION__"
 
@@ -155,8 +157,9 @@ class VectorTable:
         return StructType.fromJson(__import__("json").loads(text)) if text else None
 
     # --- SK6
-    def create(self, df: DataFrame, mode: str = "overwrite") -> "VectorTable":
-        self._laid_out(df).write.mode(mode).partitionBy(self.part_col).parquet(self.path)
+    def create(self, df: DataFrame, mode: str = "overwrite", weeks: DataFrame | None = None) -> "VectorTable":
+        """``weeks``: rows with the weeks of ``df``, or more, that are cheaper to count."""
+        self._laid_out(df, df if weeks is None else weeks).write.mode(mode).partitionBy(self.part_col).parquet(self.path)
         self._save_schema(self.spark.read.parquet(self.path).schema if df.isEmpty() is False else df.schema)
         return self
 
@@ -190,10 +193,18 @@ class VectorTable:
             return asked.withColumn("exists", F.lit(False))
         return flag_existing(asked, self.read(), self.key)
 
-    def _laid_out(self, rows: DataFrame) -> DataFrame:
-        """Each week's rows dealt to at most ``WEEK_FILES`` tasks and sorted by id there (row-group statistics then skip data for id lookups)."""
-        salt = F.pmod(F.xxhash64(self.key), F.lit(WEEK_FILES))
-        return rows.repartition(self.part_col, salt).sortWithinPartitions(self.part_col, self.key)
+    def _laid_out(self, rows: DataFrame, weeks: DataFrame) -> DataFrame:
+        """Each week's rows dealt to at most ``WEEK_FILES`` tasks, or as many as ``FILE_ROWS`` asks for, and sorted by id there (row-group statistics then skip data for id lookups)."""
+        sizes = weeks.groupBy(self.part_col).count().filter(F.col("count") > WEEK_FILES * FILE_ROWS).collect()  # a row per large week
+        if not sizes:
+            salt = F.pmod(F.xxhash64(self.key), F.lit(WEEK_FILES))
+            return rows.repartition(self.part_col, salt).sortWithinPartitions(self.part_col, self.key)
+        files = {r[0]: -(-r["count"] // FILE_ROWS) for r in sizes}
+        large = self.spark.createDataFrame(list(files.items()), T.StructType([T.StructField("_week", rows.schema[self.part_col].dataType), T.StructField("_files", T.LongType())]))
+        dealt = rows.join(F.broadcast(large), F.col(self.part_col).eqNullSafe(F.col("_week")), "left")
+        dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64(self.key), F.coalesce("_files", F.lit(WEEK_FILES))))
+        n = max(sum(files.values()), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return dealt.repartition(n, self.part_col, "_salt").drop("_week", "_files", "_salt").sortWithinPartitions(self.part_col, self.key)
 
     def _in_weeks(self, weeks: list) -> Column:
         """Rows of these weeks; None is the rows without a week."""
@@ -206,7 +217,7 @@ class VectorTable:
         staged = scratch_path(self.spark, "stage")
         rows.write.mode("overwrite").parquet(staged)
         staged_df = self.spark.read.schema(self.read().schema).parquet(staged)
-        (self._laid_out(staged_df).write.mode("overwrite")
+        (self._laid_out(staged_df, staged_df).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(self.part_col).parquet(self.path))
         kept = set(self._affected(staged_df))
         for v in affected:
@@ -223,7 +234,7 @@ class VectorTable:
         """``id_in_week``: a row's key is its id and week, so only the batch's weeks are read; an id in another week is another row."""
         key = [self.key, self.part_col] if id_in_week else self.key
         if not self.exists():
-            self.create(dedupe_last(new, key, seq_col).drop(*([seq_col] if seq_col else [])))
+            self.create(dedupe_last(new, key, seq_col).drop(*([seq_col] if seq_col else [])), weeks=new)
             return
         cur = self.read()
         new1 = dedupe_last(new, key, seq_col)

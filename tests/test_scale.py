@@ -23,3 +23,74 @@ def test_runs_of_words_and_names_are_never_broadcast(spark, tmp_dir):
     assert "BroadcastExchange" not in _plan(found)
     got = sorted((r["query_id"] is None, r["query_id"], r["name"]) for r in found.collect())
     assert got == sorted([(False, i, f"Anna Maria {i}") for i in range(0, 50, 2)] + [(False, 7, "7"), (True, None, "7")])
+
+
+def test_files_of_a_week_grow_with_its_rows(spark, tmp_dir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quire.operators import store
+    monkeypatch.setattr(store, "FILE_ROWS", 20)
+    rows = spark.range(1_000).select("id", F.expr("IF(id < 990, DATE '2024-01-01', IF(id < 995, DATE '2024-01-08', NULL))").alias("week_start"))
+    t = store.VectorTable(spark, f"{tmp_dir}/t")
+    t.upsert(rows)
+    t.upsert(rows.filter("id % 2 = 0").unionByName(rows.limit(1)))
+    files = t.read().select("id", "week_start", F.col("_metadata.file_path").alias("f"))
+    sizes = {r["week_start"]: (r["n"],) for r in files.groupBy("week_start", "f").count().groupBy("week_start").agg(F.count("*").alias("n")).collect()}
+    (large,) = [v for k, v in sizes.items() if str(k) == "2024-01-01"]
+    assert large[0] > 2 * store.WEEK_FILES and len(sizes) == 3
+    assert sorted((r["id"], str(r["week_start"])) for r in t.read().collect()) == sorted((r["id"], str(r["week_start"])) for r in rows.collect())
+
+
+def test_cells_and_training_rows_are_bounded(spark, tmp_dir, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.sql import functions as F
+
+    from quire.operators import ivf
+    assert ivf.cells_for(100_000_000, 64) <= 1_024
+    trained, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, df, *a: (trained.append(df.count()), fit(self, df, *a))[1])
+    monkeypatch.setattr(ivf, "TRAIN_ROWS", 200)
+    rows = spark.range(2_000).select("id", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.cos(F.col("id") * (i + 1)) + 0.01).alias("embedding"))
+    idx = ivf.IvfIndex(spark, f"{tmp_dir}/ivf").build(rows)
+    assert 100 < trained[0] < 400 and idx.read().count() == 2_000
+    assert idx.signature(idx.read()) == idx.signature(rows) and not idx.stale(rows)
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from quire.sources import pages
+    spark.range(120).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("value")).write.partitionBy("id").text(f"{tmp_dir}/in")
+    before, asked = spark.conf.get(pages.LISTING, None), []
+    spark.sparkContext.setJobGroup("listing", "listing")
+    got = pages.read_files(spark, f"{tmp_dir}/in", recursive=True)
+    tracker = spark.sparkContext.statusTracker()
+    for job in tracker.getJobIdsForGroup("listing"):
+        asked += [tracker.getStageInfo(s).numTasks for s in tracker.getJobInfo(job).stageIds if tracker.getStageInfo(s)]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got.count() == 120 and spark.conf.get(pages.LISTING, None) == before
+    assert asked and max(asked) <= pages.LISTING_TASKS * spark.sparkContext.defaultParallelism
+
+
+def test_token_counts_are_made_in_small_slices(monkeypatch):
+    import pyarrow as pa
+
+    from quire.operators import embed
+    texts = pa.array(["a b", None, "", "x " * 50, "c"] * 40)
+    whole = embed._counts(texts, 16, False)
+    monkeypatch.setattr(embed, "SLICE_ROWS", 7)
+    monkeypatch.setattr(embed, "SLICE_BYTES", 60)
+    parts = embed._slices(texts)
+    assert len(parts) > 1 and max(len(p) for p in parts) <= 7
+    assert pa.concat_arrays([embed._counts(p, 16, False) for p in parts]).equals(whole)
+    assert [len(p) for p in embed._slices(texts.slice(0, 0))] == [0]
+    assert embed._counts_udf(16, False, False).func(texts).equals(whole)
+
+
+def test_full_probe_indexes_only_what_it_searches(spark, sf, monkeypatch):
+    from quire.operators.ivf import IvfIndex
+    from quire.plans import catalog
+    seen, build = [], IvfIndex.build
+    monkeypatch.setattr(IvfIndex, "build", lambda self, store, *a, **kw: (seen.append(store.columns), build(self, store, *a, **kw))[1])
+    assert catalog.ann_full_probe(spark, sf).count() > 0
+    assert seen == [["id", "lang", "embedding"]]
