@@ -548,7 +548,9 @@ def page_files(spark, d):
     path = scratch_path(spark, "page-files")
     docs = table(spark, d, "documents").select("doc_id", "source", F.floor(F.col("doc_id") / 200).alias("part"), F.translate("text", "\n\r", "  ").alias("text"))
     lines = docs.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id")
-    lines.select("source", "part", F.concat("text", F.lit("\f")).alias("text")).write.partitionBy("source", "part").text(path)
+    # a file per source and part: tasks put their files in place themselves, not the driver one by one at the end
+    out = lines.select("source", "part", F.concat("text", F.lit("\f")).alias("text")).write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    out.partitionBy("source", "part").text(path)
     t = extract_text(read_files(spark, path, recursive=True))
     return t.select(F.regexp_extract("doc_id", "source=([^/]*)/", 1).alias("source"), F.regexp_extract("doc_id", "part=([^/]*)/", 1).cast("bigint").alias("part"),
                     F.sha2("text", 256).alias("digest"), F.col("n_pages").cast("bigint").alias("n_pages"))

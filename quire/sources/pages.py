@@ -26,6 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..schemas import PAGE
 
 PAGE_SPLIT = "\f"
+#: Spark lists up to 10,000 folders in a task each; here a listing is shared by a few tasks a core.
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+LISTING_TASKS = 4
 
 
 def default_extractor(content: bytes) -> list:
@@ -53,7 +56,13 @@ def read_files(spark: SparkSession, path: str, glob: str | None = None, recursiv
         r = r.option("pathGlobFilter", glob)
     if recursive:
         r = r.option("recursiveFileLookup", "true")
-    return r.load(path)
+    conf, tasks = spark.conf, str(LISTING_TASKS * spark.sparkContext.defaultParallelism)
+    before = conf.get(LISTING, None)
+    conf.set(LISTING, tasks)  # ``load`` lists the files
+    try:
+        return r.load(path)
+    finally:
+        conf.unset(LISTING) if before is None else conf.set(LISTING, before)
 
 
 def extract_pages(files: DataFrame, extract: Callable = default_extractor) -> DataFrame:
