@@ -563,7 +563,7 @@ QUERIES.update({f.__name__: f for f in (record_roundtrip, table_upsert, table_de
 
 
 def _full_probe(spark, d, strategy, **kw):
-    idx = IvfIndex(spark, scratch_path(spark, "ivf")).build(derived.vector_store(spark, d), n_cells=8)
+    idx = IvfIndex(spark, scratch_path(spark, "ivf")).build(derived.vector_store(spark, d).select("id", "lang", "embedding"), n_cells=8)  # what the search reads
     res = idx.search(derived.label_questions(spark, d), k=3, nprobe=8, strategy=strategy, fallback=False, **kw)
     return _report(res, ["query_id", "rank", "id", "distance"])
 
