@@ -34,6 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKEN_SPLIT = "[^a-z0-9]+"
+#: Rows and bytes of text whose tokens are counted at a time.
+SLICE_ROWS = 2_000
+SLICE_BYTES = 4 << 20
 
 
 def _c(x) -> Column:
@@ -89,10 +92,25 @@ def _counts_udf(dim: int, unit: bool, double: bool):
 
     @F.arrow_udf(sql)
     def counts(texts: pa.Array) -> pa.Array:
-        return _counts(texts, dim, unit, dtype)
+        done = [_counts(part, dim, unit, dtype) for part in _slices(texts)]
+        return pa.concat_arrays(done) if len(done) != 1 else done[0]
     return counts
 
 
+def _slices(texts: pa.Array) -> list:
+    """A batch in slices of at most ``SLICE_ROWS`` rows and about ``SLICE_BYTES`` of text, so that the arrays made for its tokens stay small."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    out, lo = [], 0
+    while lo < len(texts):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, min(lo + SLICE_ROWS, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))))
+        out.append(texts.slice(lo, hi - lo))
+        lo = hi
+    return out or [texts]
+
+
 def hash_embed(text, dim: int = 64, unit: bool = False, double: bool = False) -> Column:
     """Hashed bag-of-words vector of up to 65,536 buckets (16 bits of the token's hash); null when the text has no token.
 

@@ -39,7 +39,7 @@ from ..functions.vectors import cosine_distance
 
 # Budget for one broadcast question block and for one in-kernel score tile.
 DEFAULT_BLOCK_BYTES = 128 << 20
-TILE_ELEMENTS = 4_000_000
+TILE_ELEMENTS = 1_000_000
 
 
 @dataclass(frozen=True)

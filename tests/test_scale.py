@@ -94,3 +94,8 @@ def test_full_probe_indexes_only_what_it_searches(spark, sf, monkeypatch):
     monkeypatch.setattr(IvfIndex, "build", lambda self, store, *a, **kw: (seen.append(store.columns), build(self, store, *a, **kw))[1])
     assert catalog.ann_full_probe(spark, sf).count() > 0
     assert seen == [["id", "lang", "embedding"]]
+
+
+def test_tile_of_scores_is_small():
+    from quire.operators import search
+    assert search.TILE_ELEMENTS * 8 <= 8 << 20  # bytes of one of its arrays
