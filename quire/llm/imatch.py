@@ -23,6 +23,8 @@ their text's digest. Extra columns are ignored; an empty table gives an empty re
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,14 +122,15 @@ def _range_of(ids: DataFrame, n: int) -> Column:
     return F.when(row == 0, 0).otherwise((row - 1) * step + inside)
 
 
-def with_next(rows: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+def with_next(rows: DataFrame, range_rows: int = RANGE_ROWS, add: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``rows`` (an integer ``_id`` and more columns) with ``_next``, a struct of the next row's columns in descending ``_id``; the last row's next is the first row.
 
-    Rows are dealt into ranges of ids. A row's successor is the next row of its range; a
-    range's last row takes the first row of the following range. The ranges of one id
-    (null ids among them) are divided by a hash, which is their order.
+    Rows are dealt into ranges of ids. A row's successor is the next row of its range; the
+    first row of the following range stands at the end of a range as a copy, for its last row.
+    The ranges of one id (null ids among them) are divided by a hash, which is their order.
+    ``add`` gives the rows, and those copies, further columns; ranges are made without them.
     """
-    payload = F.struct(*rows.columns)
+    own = ["_r", "_sub", "_tie"]
     n = rows.select("_id").count()
     d = rows.withColumn("_r", F.when(F.col("_id").isNull(), -1).otherwise(_range_of(rows.select("_id"), min(MAX_RANGES, -(-n // range_rows)))).cast("bigint"))
     d = d.withColumn("_tie", F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.monotonically_increasing_id()), 33))
@@ -137,19 +140,23 @@ def with_next(rows: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     for r, k in split.items():
         sub = F.when(F.col("_r") == r, F.floor(F.col("_tie") / F.lit(float(1 << 31)) * k)).otherwise(sub)
     d = d.withColumn("_sub", sub)
-    d = d.select("_r", "_sub", "_tie", payload.alias("_payload"))
-    key = [F.col("_payload._id").desc_nulls_last(), F.col("_tie").desc()]
-    w = Window.partitionBy("_r", "_sub").orderBy(*key)
-    ordered = d.withColumns({"_rn": F.row_number().over(w), "_lead": F.lead("_payload").over(w)})
-    firsts = ordered.filter("_rn = 1").select("_r", "_sub", "_payload")
+    d = d.select(*own, *rows.columns)
+    key = [F.col("_id").desc_nulls_last(), F.col("_tie").desc()]
+    firsts = d.withColumn("_rn", F.row_number().over(Window.partitionBy("_r", "_sub").orderBy(*key))).filter("_rn = 1").drop("_rn")
     firsts = written(firsts, "range-heads")  # a row per range
     at = Window.orderBy(F.col("_r").desc(), F.col("_sub").desc())
     follows = firsts.select("_r", "_sub", F.lead(F.struct("_r", "_sub")).over(at).alias("to"), F.first(F.struct("_r", "_sub")).over(at).alias("top"))
-    follows = follows.select("_r", "_sub", F.coalesce("to", "top").alias("to"))
-    heads = firsts.select(F.col("_r").alias("_hr"), F.col("_sub").alias("_hs"), F.col("_payload").alias("_head"))
-    heads = follows.join(heads, (F.col("to._r") == F.col("_hr")) & (F.col("to._sub") == F.col("_hs"))).select("_r", "_sub", "_head")
-    out = ordered.join(heads, ["_r", "_sub"])
-    return out.select("_payload.*", F.coalesce("_lead", "_head").alias("_next"))
+    follows = follows.select(F.col("_r").alias("_to_end_r"), F.col("_sub").alias("_to_end_sub"), F.coalesce("to", "top").alias("_to"))
+    ends = firsts.join(follows, (F.col("_to._r") == F.col("_r")) & (F.col("_to._sub") == F.col("_sub")))
+    ends = ends.select(F.col("_to_end_r").alias("_r"), F.col("_to_end_sub").alias("_sub"), "_tie", *rows.columns)
+
+    def packed(df: DataFrame, end: bool) -> DataFrame:
+        df = add(df)
+        return df.select(*own, F.lit(end).alias("_end"), F.struct(*[c for c in df.columns if c not in own]).alias("_payload"))
+
+    w = Window.partitionBy("_r", "_sub").orderBy("_end", F.col("_payload._id").desc_nulls_last(), F.col("_tie").desc())
+    out = packed(d, False).unionByName(packed(ends, True)).withColumn("_next", F.lead("_payload").over(w))
+    return out.filter(~F.col("_end")).select("_payload.*", "_next")
 
 
 def near_report(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE, range_rows: int = RANGE_ROWS,
@@ -161,7 +168,7 @@ def near_report(docs: DataFrame, min_share: float = MIN_SHARE, max_share: float
     """
     lex = lexicon(docs, min_share, max_share, text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    d = with_next(with_fingerprint(rows, "_fp", "_text", lex), range_rows)
+    d = with_next(rows, range_rows, lambda df: with_fingerprint(df, "_fp", "_text", lex))
     n = F.length("_text")
     k = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("_text", F.lit(1), n - k), F.substring(F.col("_next._text"), F.lit(1), k))
