@@ -99,3 +99,16 @@ def test_full_probe_indexes_only_what_it_searches(spark, sf, monkeypatch):
 def test_tile_of_scores_is_small():
     from quire.operators import search
     assert search.TILE_ELEMENTS * 8 <= 8 << 20  # bytes of one of its arrays
+
+
+def test_next_document_without_a_join_of_all_rows(spark):
+    from pyspark.sql import functions as F
+
+    from quire.llm import imatch
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(40)] + [(7, "t7"), (None, "none")], "_id bigint, _text string")
+    d = imatch.with_next(rows, 5, lambda df: df.withColumn("_n", F.length("_text")))
+    assert "Join" not in _plan(d).split("Union")[0]  # above the rows and the copies
+    got = d.select("_id", "_n", "_next._id", "_next._n").toDF("id", "n", "next", "next_n").collect()
+    follows = sorted((r["id"] if r["id"] is not None else -1, r["next"] if r["next"] is not None else -1) for r in got)
+    assert follows == sorted([(i, i - 1) for i in range(40)] + [(7, 7), (-1, 39)])
+    assert all(r["n"] == (len(f"t{r['id']}") if r["id"] is not None else 4) for r in got) and {r["next_n"] for r in got} == {2, 3, 4}
