@@ -7,7 +7,7 @@ Validation never aborts a batch: every record lands either in ``ok`` or in
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,47 +60,63 @@ def reject_reason(doc: Column | None = None) -> Column:
     )
 
 
-def _as_found(dt: T.DataType) -> T.DataType:
-    """The schema with every text, date and time replaced by a variant, which keeps the JSON type it had."""
+def _leaves(dt: T.DataType, leaf: T.DataType) -> T.DataType:
+    """The schema with every text, date and time replaced by ``leaf``."""
     if isinstance(dt, (T.TimestampNTZType, T.TimestampType, T.DateType, T.StringType)):
-        return T.VariantType()
+        return leaf
     if isinstance(dt, T.StructType):
-        return T.StructType([T.StructField(f.name, _as_found(f.dataType), f.nullable) for f in dt.fields])
+        return T.StructType([T.StructField(f.name, _leaves(f.dataType, leaf), f.nullable) for f in dt.fields])
     if isinstance(dt, T.ArrayType):
-        return T.ArrayType(_as_found(dt.elementType), dt.containsNull)
+        return T.ArrayType(_leaves(dt.elementType, leaf), dt.containsNull)
     if isinstance(dt, T.MapType):
-        return T.MapType(dt.keyType, _as_found(dt.valueType), dt.valueContainsNull)
+        return T.MapType(dt.keyType, _leaves(dt.valueType, leaf), dt.valueContainsNull)
     return dt
 
 
-DOC_FOUND = _as_found(DOC)
-#: A record between the brackets of an array: text after it makes the whole malformed.
-WRAPPED = T.StructType([T.StructField("r", T.ArrayType(DOC_FOUND)), T.StructField(CORRUPT, T.StringType())])
+def _wrapped(leaf: T.DataType) -> T.StructType:
+    """A record between the brackets of an array: text after it makes the whole malformed."""
+    return T.StructType([T.StructField("r", T.ArrayType(_leaves(DOC, leaf))), T.StructField(CORRUPT, T.StringType())])
 
 
-def _text(c: Column) -> Column:
-    return F.try_variant_get(c, "$", "string")
+#: Texts as Spark reads them, which turns other JSON values into text too; and as variants, which keep the JSON type they had.
+AS_TEXT, AS_FOUND = _wrapped(T.StringType()), _wrapped(T.VariantType())
+#: How the texts begin, and look, that Spark makes of JSON lists, objects, numbers and words.
+OTHER_FIRST = [ord(x) for x in '[{"+-0123456789tfNI']
+OTHER = r'^([\[{"]|([-+]?[0-9.]+([eE][-+]?[0-9]+)?|true|false|NaN|[-+]?(INF|Infinity))\s*$)'
+
+
+def _is_text(dt: T.DataType) -> bool:
+    return isinstance(dt, (T.StringType, T.TimestampNTZType, T.DateType))
+
+
+def _texts(c: Column, dt: T.DataType) -> Column:
+    """Value as found -> the same with its variants as text."""
+    if _is_text(dt):
+        return F.try_variant_get(c, "$", "string")
+    if isinstance(dt, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_texts(c[f.name], f.dataType).alias(f.name) for f in dt.fields]))
+    if isinstance(dt, T.ArrayType):
+        return F.transform(c, lambda x: _texts(x, dt.elementType))
+    if isinstance(dt, T.MapType):
+        return F.transform_values(c, lambda _, v: _texts(v, dt.valueType))
+    return c
 
 
 def _typed(c: Column, dt: T.DataType) -> Column:
-    """Value as found -> ``dt``; bad date/time text becomes null."""
-    if isinstance(dt, T.StringType):
-        return _text(c)
+    """Value with its dates as text -> ``dt``; bad date/time text becomes null."""
     if isinstance(dt, T.TimestampNTZType):
-        return parse_iso(_text(c))
+        return parse_iso(c)
     if isinstance(dt, T.DateType):
-        return F.to_date(parse_iso(_text(c)))
-    if isinstance(dt, T.StructType):
+        return F.to_date(parse_iso(c))
+    if isinstance(dt, T.StructType) and _dated(dt):
         return F.when(c.isNotNull(), F.struct(*[_typed(c[f.name], f.dataType).alias(f.name) for f in dt.fields]))
-    if isinstance(dt, T.ArrayType):
+    if isinstance(dt, T.ArrayType) and _dated(dt):
         return F.transform(c, lambda x: _typed(x, dt.elementType))
-    if isinstance(dt, T.MapType):
-        return F.transform_values(c, lambda _, v: _typed(v, dt.valueType))
     return c
 
 
 def _any(parts: list[Column]) -> Column:
-    return F.coalesce(F.greatest(*[F.coalesce(p, F.lit(False)) for p in parts], F.lit(False)), F.lit(False))
+    return reduce(or_, [F.coalesce(p, F.lit(False)) for p in parts], F.lit(False))
 
 
 def _dated(dt: T.DataType) -> bool:
@@ -109,19 +125,37 @@ def _dated(dt: T.DataType) -> bool:
     return _dated(dt.elementType) if isinstance(dt, T.ArrayType) else isinstance(dt, (T.TimestampNTZType, T.DateType))
 
 
-def _bad_dates(found: Column, typed: Column, dt: T.DataType) -> Column:
+def _bad_dates(text: Column, typed: Column, dt: T.DataType) -> Column:
     """True when some date/time text did not parse."""
     if isinstance(dt, (T.TimestampNTZType, T.DateType)):
-        return _text(found).isNotNull() & typed.isNull()
+        return text.isNotNull() & typed.isNull()
     if isinstance(dt, T.StructType):
-        return found.isNotNull() & _any([_bad_dates(found[f.name], typed[f.name], f.dataType) for f in dt.fields if _dated(f.dataType)])
-    # re-type each element inside the lambda (cheap: only its date/time fields are read)
-    return F.coalesce(F.exists(found, lambda x: _bad_dates(x, _typed(x, dt.elementType), dt.elementType)), F.lit(False))
+        return text.isNotNull() & _any([_bad_dates(text[f.name], typed[f.name], f.dataType) for f in dt.fields if _dated(f.dataType)])
+    pairs = F.zip_with(text, typed, lambda x, y: _bad_dates(x, y, dt.elementType))
+    return F.coalesce(F.exists(pairs, lambda bad: bad), F.lit(False))
+
+
+def _looks_other(c: Column) -> Column:
+    """True for every text that Spark may have made of a JSON list, object, number or word (and for some that are texts)."""
+    return F.ascii(c).isin(*OTHER_FIRST) & c.rlike(OTHER)
+
+
+def _perhaps_mistyped(c: Column, dt: T.DataType, inner: bool = False) -> Column:
+    """False only when every text is surely one: then ``_mistyped`` of the value as found is false too."""
+    if _is_text(dt):
+        return (c.isNull() | _looks_other(c)) if inner else _looks_other(c)
+    if isinstance(dt, T.StructType):
+        return c.isNotNull() & _any([_perhaps_mistyped(c[f.name], f.dataType) for f in dt.fields if not isinstance(f.dataType, T.DoubleType)])
+    if isinstance(dt, T.ArrayType):
+        return F.exists(c, lambda x: F.coalesce(_perhaps_mistyped(x, dt.elementType, True), F.lit(False)))
+    if isinstance(dt, T.MapType):
+        return _perhaps_mistyped(F.map_values(c), T.ArrayType(dt.valueType))
+    return F.lit(False)
 
 
 def _mistyped(found: Column, dt: T.DataType, inner: bool = False) -> Column:
     """True when a value is no text where text is due; only lists and maps (``inner``) take no null for one."""
-    if isinstance(dt, (T.StringType, T.TimestampNTZType, T.DateType)):
+    if _is_text(dt):
         kind = F.schema_of_variant(found)
         return (kind != "STRING") if inner else ~kind.isin("STRING", "VOID")
     if isinstance(dt, T.StructType):
@@ -133,38 +167,43 @@ def _mistyped(found: Column, dt: T.DataType, inner: bool = False) -> Column:
     return F.lit(False)
 
 
-def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
-    """Add ``expr`` as column ``name``, computed exactly once per row.
-
-    Catalyst inlines a struct-valued column into every field reference made
-    later (for JSON that means one parse per referenced field); a one-element
-    ``inline`` generator keeps the value as a plain attribute instead.
-    """
-    return df.select("*", F.inline(F.array(F.struct(expr.alias(name)))))
+def _barrier(df: DataFrame, *names: str) -> DataFrame:
+    """``names`` as a one-element ``inline`` generator gives them: no filter on them is pushed below, where it would take all their steps along."""
+    return df.select(*[c for c in df.columns if c not in names], F.inline(F.array(F.struct(*names))))
 
 
 def validate_records(df: DataFrame, text_col: str = "record", keep: list[str] | None = None) -> DataFrame:
     """SR5 in one pass: ``keep`` columns, ``_raw`` text, typed ``rec`` struct and ``reason`` (null = valid).
 
-    ``from_json`` (PERMISSIVE) reads texts, dates and times as variants, which tell what
-    JSON type they were; dates and times are then parsed as ISO, offsets allowed (D22).
+    ``from_json`` (PERMISSIVE) reads texts, dates and times as text; dates and times are then parsed
+    as ISO, offsets allowed (D22). Only a record that Spark could not read whole, or with a text that
+    may have been another JSON value, is read again with variants, which tell what JSON type it was.
     Reasons: malformed JSON (``unparseable``), more than one JSON value, unparseable dates,
     the record rules (``reject_reason``), and a value of another type than the schema's: a
     list or number as text, a text as list, a list with anything but texts.
     """
     keep = keep or [c for c in df.columns if c != text_col]
-    p = once(df.select(*keep, F.col(text_col).alias("_raw")), "json",
-             F.from_json(F.concat(F.lit('{"r":['), F.col("_raw"), F.lit("]}")), WRAPPED, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
-    one = F.when(F.size("json.r") == 1, F.element_at("json.r", 1))
-    p = once(p, "found", one)
+    between = F.concat(F.lit('{"r":['), F.col("_raw"), F.lit("]}"))
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    # one stage for every value read more than once: Spark keeps such stages apart, so each is computed once and compiled
+    p = df.select(*keep, F.col(text_col).alias("_raw")).withColumn("_read", F.from_json(between, AS_TEXT, opts))
+    as_text = F.get("_read.r", F.lit(0))
+    # absent or null is the same in a text, not in a variant: a record without its first field is read again too
+    sure = F.col(f"_read.{CORRUPT}").isNull() & (F.size("_read.r") == 1) & as_text[DOC.fields[0].name].isNotNull() & ~_perhaps_mistyped(as_text, DOC)
+    p = p.withColumn("_sure", F.coalesce(sure, F.lit(False)))
+    p = p.withColumn("_json", F.when(~F.col("_sure"), F.from_json(between, AS_FOUND, opts)))
+    p = p.withColumn("_found", F.when(F.size("_json.r") == 1, F.element_at("_json.r", 1)))
     # PERMISSIVE gives nulls for what it cannot read: treat all-null as unparseable
-    some = F.coalesce(*[F.col("found")[f.name].isNotNull() for f in DOC.fields], F.lit(False))
-    p = once(p.withColumn("found", F.when(some, F.col("found"))), "rec", _typed(F.col("found"), DOC))
+    some = F.coalesce(*[F.col("_found")[f.name].isNotNull() for f in DOC.fields], F.lit(False))
+    p = p.withColumn("_found", F.when(some, F.col("_found")))
+    p = p.withColumn("_text", F.when(F.col("_sure"), as_text).otherwise(_texts(F.col("_found"), DOC)))
+    p = p.withColumn("rec", _typed(F.col("_text"), DOC))
     first = F.schema_of_variant(F.try_parse_json("_raw"))  # reads one value and stops; asked of unreadable texts alone
-    return p.withColumn("reason", F.coalesce(
-        F.when(F.col("found").isNull(), F.when(first.startswith("OBJECT") & ~F.coalesce(F.size("json.r") == 1, F.lit(False)), F.lit("more than one value"))),
-        F.when(_bad_dates(F.col("found"), F.col("rec"), DOC), F.lit("bad date or time text")), reject_reason(),
-        F.when(F.col(f"json.{CORRUPT}").isNotNull() | _mistyped(F.col("found"), DOC), F.lit("value of another type")))).drop("json", "found")
+    p = p.withColumn("reason", F.coalesce(
+        F.when(F.col("_text").isNull(), F.when(first.startswith("OBJECT") & ~F.coalesce(F.size("_json.r") == 1, F.lit(False)), F.lit("more than one value"))),
+        F.when(_bad_dates(F.col("_text"), F.col("rec"), DOC), F.lit("bad date or time text")), reject_reason(),
+        F.when(~F.col("_sure") & (F.col(f"_json.{CORRUPT}").isNotNull() | _mistyped(F.col("_found"), DOC)), F.lit("value of another type"))))
+    return _barrier(p.select(*keep, "_raw", "rec", "reason"), "rec", "reason")
 
 
 def parse_records(df: DataFrame, text_col: str = "record", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

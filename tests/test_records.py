@@ -57,6 +57,42 @@ def test_values_of_another_type_are_rejected(spark):
     assert {i: r for i, r in got.items() if i != 11} == {i: want for i, (_, want) in cases.items() if i != 11}
 
 
+def test_texts_that_look_like_other_values(spark):
+    """A text may look like a number, word or list; only a value that is one is refused, however it is spaced."""
+    def pay(**kw):
+        return _doc([dict(PAY, payment=dict(PAY["payment"], **kw))])
+    cases = {
+        1: (pay(reference_number="4711"), "ok"), 2: (pay(reference_number="-1.5e3"), "ok"), 3: (pay(bank_details={"iban": "12"}), "ok"),
+        4: (pay(recipient="true"), "ok"), 5: (_doc([], summary_in_english="{}"), "ok"), 6: (_doc([], summary_in_english=""), "ok"),
+        7: (pay(reference_number=4711), "value of another type"), 8: (pay(recipient=True), "value of another type"),
+        9: (_doc([], summary_in_english="@").replace('"@"', " -1.5e3 "), "value of another type"),
+        10: (_doc([], summary_in_english="@").replace('"@"', "NaN"), "value of another type"),
+        11: (_doc([], summary_in_english={"a": "b"}), "value of another type"), 12: (_doc([], sent_date=2024), "value of another type"),
+        13: (pay(bank_details={"iban": None}), "value of another type"), 14: (_doc([], title_in_original_language=None), "missing title_in_original_language"),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in cases.items()], "doc_id int, record string")
+    rows = {r["doc_id"]: r for r in rec.validate_records(df).collect()}
+    assert {i: r["reason"] or "ok" for i, r in rows.items()} == {i: want for i, (_, want) in cases.items()}
+    assert rows[1]["rec"]["required_actions"][0]["payment"]["reference_number"] == "4711"
+
+
+def test_columns_kept_may_have_any_name(spark):
+    df = spark.createDataFrame([(_doc([REPLY]), "a", "b", "c")], "record string, text string, json string, found string")
+    ok, _ = rec.parse_records(df)
+    assert ok.select("text", "json", "found").first() == ("a", "b", "c")
+
+
+def test_records_are_read_in_compiled_stages(spark):
+    """Nothing is computed in a generator (Spark would interpret it), none of it twice; JSON is read again for doubtful records alone."""
+    import re
+    df = spark.createDataFrame([(1, _doc([REPLY]))], "doc_id int, record string")
+    ok, bad = rec.parse_records(df)
+    for part in (rec.validate_records(df), ok, bad, ok.filter("sender = 'Tax'")):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 2 and "from_json(" in plan.split("CASE WHEN NOT _sure", 1)[1]
+        assert re.findall(r"inline\(.*?\)\)\)", re.sub(r"#\d+", "", plan)) == ["inline(array(struct(rec, rec, reason, reason)))"]
+
+
 def test_parse_ok_and_rejects(spark):
     cases = [
         (1, _doc([REPLY])), (2, _doc([APPT])), (3, _doc([PAY])), (4, _doc([REPLY, PAY])),

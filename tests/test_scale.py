@@ -14,6 +14,12 @@ def test_customers_are_never_broadcast(spark, sf):
     assert derived.doc_records(spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count()
 
 
+def test_actions_are_not_built_to_be_replaced(spark, sf):
+    bad = derived.broken_records(spark, sf)
+    assert "Treasury" in _plan(derived.doc_records(spark, sf)) and "Treasury" not in _plan(bad)
+    assert bad.filter(~bad["record"].contains('"required_actions":[')).count() == 0
+
+
 def test_runs_of_words_and_names_are_never_broadcast(spark, tmp_dir):
     q = spark.createDataFrame([(i, f"a letter for Anna Maria {i}, please?") for i in range(50)] + [(None, "for 7"), (3, None)], "query_id bigint, question string")
     names = spark.createDataFrame([(f"Anna Maria {i}",) for i in range(0, 50, 2)] + [("7",), ("7",), (None,)], "name string")
