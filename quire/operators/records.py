@@ -191,7 +191,7 @@ def validate_records(df: DataFrame, text_col: str = "record", keep: list[str] |
     # absent or null is the same in a text, not in a variant: a record without its first field is read again too
     sure = F.col(f"_read.{CORRUPT}").isNull() & (F.size("_read.r") == 1) & as_text[DOC.fields[0].name].isNotNull() & ~_perhaps_mistyped(as_text, DOC)
     p = p.withColumn("_sure", F.coalesce(sure, F.lit(False)))
-    p = p.withColumn("_json", F.when(~F.col("_sure"), F.from_json(between, AS_FOUND, opts)))
+    p = p.withColumn("_json", F.when(~F.col("_sure") & F.col("_read.r").isNotNull(), F.from_json(between, AS_FOUND, opts)))  # what is no JSON as text is none as variants
     p = p.withColumn("_found", F.when(F.size("_json.r") == 1, F.element_at("_json.r", 1)))
     # PERMISSIVE gives nulls for what it cannot read: treat all-null as unparseable
     some = F.coalesce(*[F.col("_found")[f.name].isNotNull() for f in DOC.fields], F.lit(False))

@@ -89,7 +89,7 @@ def test_records_are_read_in_compiled_stages(spark):
     ok, bad = rec.parse_records(df)
     for part in (rec.validate_records(df), ok, bad, ok.filter("sender = 'Tax'")):
         plan = part._jdf.queryExecution().optimizedPlan().toString()
-        assert plan.count("from_json(") == 2 and "from_json(" in plan.split("CASE WHEN NOT _sure", 1)[1]
+        assert plan.count("from_json(") == 2 and "from_json(" in plan.split("CASE WHEN (NOT _sure", 1)[1]
         assert re.findall(r"inline\(.*?\)\)\)", re.sub(r"#\d+", "", plan)) == ["inline(array(struct(rec, rec, reason, reason)))"]
 
 
