@@ -4,9 +4,9 @@ Frame-level operators (``merge_upsert``, ``remove_ids``, ``remove_matching``,
 ``flag_existing``) are pure DataFrame transformations; ``VectorTable`` applies
 them to a Parquet table partitioned by ``week_start`` the way a Spark user does
 on plain Parquet: compute the rows of only the *affected* week partitions,
-stage them as a written table under the shared checkpoint folder (this also
-cuts lineage, so a lost executor never re-reads a half-replaced partition),
-then replace exactly those partitions with dynamic partition overwrite.
+stage them as written tables under the shared checkpoint folder (this also
+cuts lineage, so a lost executor never re-reads a half-replaced partition; they
+and each step's shuffle files are removed as soon as they were read), then replace exactly those partitions with dynamic partition overwrite.
 Partitions that end up empty are removed explicitly (dynamic overwrite alone
 would leave them untouched). Untouched weeks are never read or rewritten.
 
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import reliable_checkpoint, scratch_path
+from ..session import reliable_checkpoint, shuffles_removed, staged
 
 #: Tasks, and so files, a week is written by; a week of more than ``WEEK_FILES * FILE_ROWS`` rows has one for every ``FILE_ROWS``.
 WEEK_FILES = 8
@@ -63,6 +63,13 @@ def dedupe_last(df: DataFrame, key: str | list[str] = "id", seq_col: str | None
             .select(*keys, *[F.col("_last")[c].alias(c) for c in cols]).select(*df.columns))
 
 
+def with_stored(new: DataFrame, old: DataFrame, keys: list[str], keep_stored: tuple[str, ...]) -> DataFrame:
+    """``new`` with the values that rows of ``old`` with its key have in ``keep_stored``."""
+    stored = _renamed(old, keys, F.lit(True).alias("_stored"), *[F.col(c).alias(f"_old_{c}") for c in keep_stored])
+    return new.join(stored, _same(keys), "left").select(
+        *[F.when(F.col("_stored"), F.col(f"_old_{c}")).otherwise(F.col(c)).alias(c) if c in keep_stored else F.col(c) for c in new.columns])
+
+
 def merge_upsert(old: DataFrame, new: DataFrame, key: str | list[str] = "id", on_conflict: str = "update",
                  seq_col: str | None = None, keep_stored: tuple[str, ...] = ()) -> DataFrame:
     """SK5 / JN5: the table after inserting ``new`` into ``old``.
@@ -80,9 +87,7 @@ def merge_upsert(old: DataFrame, new: DataFrame, key: str | list[str] = "id", on
     keys_new = _renamed(new1, keys)
     if on_conflict == "update":
         if keep_stored:
-            stored = _renamed(old, keys, F.lit(True).alias("_stored"), *[F.col(c).alias(f"_old_{c}") for c in keep_stored])
-            new1 = new1.join(stored, _same(keys), "left").select(
-                *[F.when(F.col("_stored"), F.col(f"_old_{c}")).otherwise(F.col(c)).alias(c) if c in keep_stored else F.col(c) for c in old.columns])
+            new1 = with_stored(new1, old, keys, keep_stored)
         return old.join(keys_new, _same(keys), "left_anti").unionByName(new1)
     return old.unionByName(new1.join(_renamed(old, keys), _same(keys), "left_anti"))
 
@@ -157,12 +162,15 @@ class VectorTable:
         return StructType.fromJson(__import__("json").loads(text)) if text else None
 
     # --- SK6
-    def create(self, df: DataFrame, mode: str = "overwrite", weeks: DataFrame | None = None) -> "VectorTable":
-        """``weeks``: rows with the weeks of ``df``, or more, that are cheaper to count."""
-        self._laid_out(df, df if weeks is None else weeks).write.mode(mode).partitionBy(self.part_col).parquet(self.path)
+    def create(self, df: DataFrame, mode: str = "overwrite") -> "VectorTable":
+        self._write(df, mode)
         self._save_schema(self.spark.read.parquet(self.path).schema if df.isEmpty() is False else df.schema)
         return self
 
+    def _write(self, rows: DataFrame, mode: str, **options) -> None:
+        with shuffles_removed(rows.sparkSession):
+            self._laid_out(rows).write.mode(mode).options(compression="zstd", **options).partitionBy(self.part_col).parquet(self.path)
+
     def drop(self) -> None:
         if self._fs()[0].exists(self._fs()[1]):
             self._delete_path(self.path)
@@ -193,9 +201,9 @@ class VectorTable:
             return asked.withColumn("exists", F.lit(False))
         return flag_existing(asked, self.read(), self.key)
 
-    def _laid_out(self, rows: DataFrame, weeks: DataFrame) -> DataFrame:
+    def _laid_out(self, rows: DataFrame) -> DataFrame:
         """Each week's rows dealt to at most ``WEEK_FILES`` tasks, or as many as ``FILE_ROWS`` asks for, and sorted by id there (row-group statistics then skip data for id lookups)."""
-        sizes = weeks.groupBy(self.part_col).count().filter(F.col("count") > WEEK_FILES * FILE_ROWS).collect()  # a row per large week
+        sizes = rows.groupBy(self.part_col).count().filter(F.col("count") > WEEK_FILES * FILE_ROWS).collect()  # a row per large week
         if not sizes:
             salt = F.pmod(F.xxhash64(self.key), F.lit(WEEK_FILES))
             return rows.repartition(self.part_col, salt).sortWithinPartitions(self.part_col, self.key)
@@ -211,43 +219,50 @@ class VectorTable:
         some = F.col(self.part_col).isin([w for w in weeks if w is not None])
         return some | F.col(self.part_col).isNull() if None in weeks else some
 
-    def _replace_partitions(self, affected: list, rows: DataFrame) -> None:
+    def _replace_partitions(self, affected: list, rows: DataFrame, more: DataFrame | None = None) -> None:
+        """``rows`` and ``more`` become the rows of the ``affected`` weeks; ``more`` is in files already, outside the table."""
         if not affected:
             return
-        staged = scratch_path(self.spark, "stage")
-        rows.write.mode("overwrite").parquet(staged)
-        staged_df = self.spark.read.schema(self.read().schema).parquet(staged)
-        (self._laid_out(staged_df, staged_df).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(self.part_col).parquet(self.path))
-        kept = set(self._affected(staged_df))
+        with staged(rows, self.read().schema) as kept:
+            rows = kept if more is None else kept.unionByName(more)
+            self._write(rows, "overwrite", partitionOverwriteMode="dynamic")
+            filled = set(self._affected(rows))
         for v in affected:
-            if v not in kept:
+            if v not in filled:
                 self._delete_path(f"{self.path}/{self.part_col}={NO_WEEK if v is None else v}")
-        self._delete_path(staged)
 
     def _affected(self, df: DataFrame) -> list:
         # one row per week partition: bounded by the number of partitions, not rows
-        return [r[0] for r in df.select(self.part_col).distinct().collect()]
+        with shuffles_removed(df.sparkSession):
+            return [r[0] for r in df.select(self.part_col).distinct().collect()]
 
     # --- SK5
     def upsert(self, new: DataFrame, on_conflict: str = "update", seq_col: str | None = None, keep_stored: tuple[str, ...] = (), id_in_week: bool = False) -> None:
         """``id_in_week``: a row's key is its id and week, so only the batch's weeks are read; an id in another week is another row."""
-        key = [self.key, self.part_col] if id_in_week else self.key
+        keys = [self.key, self.part_col] if id_in_week else [self.key]
+        new1 = dedupe_last(new, keys, seq_col)
+        if seq_col:
+            new1 = new1.drop(seq_col)
         if not self.exists():
-            self.create(dedupe_last(new, key, seq_col).drop(*([seq_col] if seq_col else [])), weeks=new)
+            with staged(new1) as rows:
+                self.create(rows)
             return
         cur = self.read()
-        new1 = dedupe_last(new, key, seq_col)
-        if seq_col:
-            new1 = new1.drop(seq_col)
-        # the incoming batch is used three times (its weeks, the id probe, the merge): compute it once
-        new1 = reliable_checkpoint(new1)
-        weeks = set(self._affected(new1))
-        if not id_in_week:
-            weeks |= set(self._affected(cur.join(new1.select(self.key), self.key, "left_semi")))
-        affected = sorted(weeks, key=str)
-        in_aff = cur.filter(self._in_weeks(affected))
-        self._replace_partitions(affected, merge_upsert(in_aff, new1, key, on_conflict, keep_stored=keep_stored))
+        new1 = new1.select(*cur.columns)
+        early = on_conflict == "update" and not id_in_week  # the kept values are looked up in all weeks
+        if early and keep_stored:
+            new1 = with_stored(new1, cur, keys, keep_stored)
+        # the incoming batch is used several times (its weeks, the id probe, the merge): compute it once, with the table's types
+        with staged(cur.limit(0).unionByName(new1), cur.schema) as new1:
+            weeks = set(self._affected(new1))
+            if not id_in_week and (others := set(self._affected(cur)) - weeks):
+                weeks |= set(self._affected(cur.filter(self._in_weeks(list(others))).join(new1.select(self.key), self.key, "left_semi")))
+            affected = sorted(weeks, key=str)
+            in_aff = cur.filter(self._in_weeks(affected))
+            if early:
+                self._replace_partitions(affected, remove_ids(in_aff, new1, keys), new1)
+            else:
+                self._replace_partitions(affected, merge_upsert(in_aff, new1, keys, on_conflict, keep_stored=keep_stored))
 
     # --- SK8-SK10
     def delete(self, ids: list | DataFrame | None = None, metadata_filter: dict | None = None, delete_all: bool = False, id_in_week: bool = False) -> None:

@@ -23,7 +23,7 @@ from ..operators.embed import hash_embed
 from ..operators.ivf import IvfIndex
 from ..operators.predicates import Predicate, apply_filters
 from ..operators.records import vector_records
-from ..session import reliable_checkpoint, scratch_path
+from ..session import reliable_checkpoint, scratch_path, shuffles_removed
 from ..sources.tables import table
 from . import derived
 
@@ -531,6 +531,10 @@ def table_clear(spark, d):
     return t.read().agg(F.lit(before).cast("bigint").alias("n_before"), F.count(F.lit(1)).alias("n_after"))
 
 
+#: Text files for a stream: packed, and of few enough records each that reading them can be dealt out, as a packed file cannot be split.
+PACKED = {"compression": "gzip", "maxRecordsPerFile": 20_000}
+
+
 def stream_ingest(spark, d):
     """SM2: the records' JSON lines streamed into a vector table; its rows."""
     from ..operators.records import write_records
@@ -665,7 +669,8 @@ def stream_rejects(spark, d):
     broken = derived.broken_records(spark, d).select(F.col("record").alias("value"))
     texts = table(spark, d, "documents").filter("text IS NOT NULL").select(F.translate("text", "\n\r", "  ").alias("value"))
     good = derived.doc_records(spark, d)
-    good.select(record_json(good).alias("value")).unionByName(broken).unionByName(texts).write.text(src)
+    with shuffles_removed(spark):
+        good.select(record_json(good).alias("value")).unionByName(broken).unionByName(texts).write.options(**PACKED).text(src)
     for _ in range(2):  # the second run replays the same batch from a new checkpoint
         run_ingest(spark, src, out, scratch_path(spark, "rejects-ck"), rej).awaitTermination()
     return spark.read.parquet(rej).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

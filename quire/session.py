@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -71,6 +73,54 @@ def reliable_checkpoint(df):
     return df.checkpoint(eager=True)
 
 
+#: Rows of a file of ``staged``: so few that a task that reads files up to ``spark.sql.files.maxPartitionBytes`` gets no more rows than it can sort.
+STAGE_ROWS = 20_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_CLEANING: dict = {}
+_LOCK = threading.Lock()
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """The shuffle files of a job started inside are removed when it ends, not when the driver next collects its garbage.
+
+    For frames that are run once: one that is run again would have to shuffle anew.
+    """
+    session = spark._jsparkSession.hashCode()
+    with _LOCK:
+        users, before = _CLEANING.get(session) or (0, spark.conf.get(CLEANUP) if spark._jsparkSession.sessionState().conf().contains(CLEANUP) else None)
+        _CLEANING[session] = users + 1, before
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            users, before = _CLEANING.pop(session)
+            if users > 1:  # another thread's, or one around this
+                _CLEANING[session] = users - 1, before
+            elif before is None:
+                spark.conf.unset(CLEANUP)
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
+@contextmanager
+def staged(df, schema=None):
+    """``df`` written once under the shared checkpoint folder, packed by column, and read back (as ``schema``); the files are removed at the end of the ``with``.
+
+    Unlike a checkpoint it leaves nothing behind, neither rows nor shuffle files, so whatever reads it must run inside.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "stage")
+    try:
+        with shuffles_removed(spark):
+            df.write.option("compression", "zstd").option("maxRecordsPerFile", STAGE_ROWS).parquet(path)
+        yield spark.read.schema(schema or df.schema).parquet(path)
+    finally:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _SHIPPED: set = set()
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shuffles_removed
+
 
 def fold_partials(batch: DataFrame, key: str = "doc_id", seq: str = "seq", record: str = "record") -> DataFrame:
     return batch.groupBy(key).agg(F.max(seq).alias(seq), F.max_by(record, seq).alias(record))
@@ -29,8 +31,9 @@ def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
 
     A batch without rows has no partition. The rows of a batch are one file a task, so small batches stay small files.
     """
-    (rows.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("_batch").parquet(path))
+    with shuffles_removed(rows.sparkSession):
+        (rows.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .option("compression", "zstd").partitionBy("_batch").parquet(path))
 
 
 def append_updates(batch: DataFrame, path: str, batch_id: int) -> None:

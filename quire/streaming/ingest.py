@@ -17,17 +17,18 @@ from pyspark.sql import functions as F
 
 from ..operators.records import record_texts, validate_records, vector_records
 from ..operators.store import VectorTable
-from ..session import reliable_checkpoint
+from ..session import staged
 from .fold import write_batch
 
 
 def _batch(df: DataFrame, batch_id: int, table: VectorTable, rejects_path: str | None, dim: int, embed: Callable[[Column], Column] | None) -> None:
-    checked = reliable_checkpoint(validate_records(df))  # parsed once for both outcomes
-    if rejects_path:
-        bad = checked.filter(F.col("reason").isNotNull()).select("source", F.col("_raw").alias("record"), "reason")
-        write_batch(bad, rejects_path, batch_id)
-    ok = checked.filter(F.col("reason").isNull()).select("rec.*")
-    table.upsert(vector_records(ok, embed=embed or True, dim=dim), keep_stored=("ingest_ts", "week_start"))
+    valid = F.col("reason").isNull()
+    fields = ["source", F.when(~valid, F.col("_raw")).alias("record")] if rejects_path else []  # what each outcome needs
+    with staged(validate_records(df).select(*fields, F.when(valid, F.col("rec")).alias("rec"), "reason")) as checked:  # parsed once for both
+        if rejects_path:
+            write_batch(checked.filter(~valid).select("source", "record", "reason"), rejects_path, batch_id)
+        ok = checked.filter(valid).select("rec.*")
+        table.upsert(vector_records(ok, embed=embed or True, dim=dim), keep_stored=("ingest_ts", "week_start"))
 
 
 def run_ingest(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str, rejects_path: str | None = None, dim: int = 64,

@@ -118,3 +118,47 @@ def test_next_document_without_a_join_of_all_rows(spark):
     follows = sorted((r["id"] if r["id"] is not None else -1, r["next"] if r["next"] is not None else -1) for r in got)
     assert follows == sorted([(i, i - 1) for i in range(40)] + [(7, 7), (-1, 39)])
     assert all(r["n"] == (len(f"t{r['id']}") if r["id"] is not None else 4) for r in got) and {r["next_n"] for r in got} == {2, 3, 4}
+
+
+def _kept(spark) -> set:
+    """Files of rows that a step left in the shared checkpoint folder, and of shuffles."""
+    import glob
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = glob.glob(f"{folder}/**/*part-*", recursive=True) + [f for d in dirs for f in glob.glob(f"{d.getPath()}/*/shuffle_*.data")]
+    return {f for f in files if "quire-pyfiles" not in f}
+
+
+def _nothing_more(spark, before: set) -> bool:
+    import time
+    for _ in range(50):  # Spark removes shuffle files without waiting for it
+        if not _kept(spark) - before:
+            return True
+        time.sleep(0.2)
+    return False
+
+
+def _vectors(spark, ids, week, dim=4):
+    from pyspark.sql import functions as F
+    rows = spark.range(*ids).select(F.col("id").cast("string").alias("id"), F.to_date(F.lit(week)).alias("week_start"), F.concat(F.lit("text "), "id").alias("contents"),
+                                    F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.cos(F.col("id") * (i + 1)).cast("float")).alias("embedding"))
+    return rows.repartition(4, "contents")
+
+
+def test_an_upsert_leaves_no_file_but_the_tables(spark, tmp_dir):
+    import glob
+
+    from quire.operators import store
+    t, before = store.VectorTable(spark, f"{tmp_dir}/t"), _kept(spark)
+    t.upsert(_vectors(spark, (0, 100), "2024-01-01"))
+    t.upsert(_vectors(spark, (50, 150), "2024-01-08"))
+    t.upsert(_vectors(spark, (140, 160), "2024-01-15"), keep_stored=("week_start",))
+    t.upsert(_vectors(spark, (0, 10), "2024-01-22"), on_conflict="ignore")
+    t.delete(metadata_filter={"id": "7"})
+    assert _nothing_more(spark, before)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    weeks = {r["week_start"].day: r["n"] for r in t.read().groupBy("week_start").agg({"id": "count"}).toDF("week_start", "n").collect()}
+    assert weeks == {1: 49, 8: 100, 15: 10}
+    files = glob.glob(f"{tmp_dir}/t/*/*.parquet")
+    assert files and all(f.endswith(".zstd.parquet") for f in files)
+
