@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import reliable_checkpoint
+from ..session import reliable_checkpoint, shuffles_removed, staged
 from .search import DEFAULT_BLOCK_BYTES, QuestionFilter, grouped_top_k, nearest, top_k_per_group
 
 MAX_CENTROID_BYTES = 256 << 20
@@ -210,7 +210,8 @@ class IvfIndex:
         """Write ``rows`` as a generation, then its statistics."""
         # a cell is written by a few tasks, whatever the number of input splits
         laid = self._assigned(rows, vec_col).withColumn(GEN, F.lit(gen)).repartition(self.cell_col, F.pmod(F.xxhash64(id_col), F.lit(CELL_FILES)))
-        laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(GEN, self.cell_col).parquet(self.path)
+        with shuffles_removed(rows.sparkSession):
+            laid.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(GEN, self.cell_col).parquet(self.path)
         stats = (self.spark.read.schema(laid.schema).parquet(self.path).filter(F.col(GEN) == gen).groupBy(F.col(self.cell_col).alias("cell"))
                  .agg(F.count("*").alias("n_rows"), F.min("_cos").alias("least_cos")))
         # a generation without rows counts as well
@@ -219,8 +220,9 @@ class IvfIndex:
 
     def _bury(self, ids: DataFrame, gen: int, id_col: str) -> None:
         """Tombstones: rows of these ids in generations before ``gen`` are gone."""
-        (ids.select(id_col).distinct().withColumn(GEN, F.lit(gen)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(GEN).parquet(self.tombstone_path))
+        with shuffles_removed(ids.sparkSession):
+            (ids.select(id_col).distinct().withColumn(GEN, F.lit(gen)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .option("compression", "zstd").partitionBy(GEN).parquet(self.tombstone_path))
 
     def _generations(self) -> list[int]:
         return sorted(r[0] for r in self._stats().select(GEN).distinct().collect())  # a row per batch since the last merge
@@ -231,10 +233,10 @@ class IvfIndex:
         Only ``rows`` are assigned to cells. ``batch``, a number greater than those before,
         makes a repeated call write the same generation again.
         """
-        rows = reliable_checkpoint(rows)  # written twice: the rows and their ids
         gen = batch if batch is not None else self._generations()[-1] + 1
-        self._bury(rows, gen, id_col)
-        self._add(rows.select(*[c for c in self._rows().columns if c in rows.columns]), gen, vec_col, id_col)
+        with staged(rows.select(*[c for c in self._rows().columns if c in rows.columns])) as rows:  # read twice: the rows and their ids
+            self._bury(rows, gen, id_col)
+            self._add(rows, gen, vec_col, id_col)
         return gen
 
     def delete(self, ids: DataFrame, vec_col: str = "embedding", id_col: str = "id", batch: int | None = None) -> int:

@@ -162,3 +162,11 @@ def test_an_upsert_leaves_no_file_but_the_tables(spark, tmp_dir):
     files = glob.glob(f"{tmp_dir}/t/*/*.parquet")
     assert files and all(f.endswith(".zstd.parquet") for f in files)
 
+
+def test_an_index_that_follows_an_upsert_leaves_no_copy(spark, tmp_dir):
+    from quire.operators import ivf
+    idx, before = ivf.IvfIndex(spark, f"{tmp_dir}/ivf").build(_vectors(spark, (1, 100), "2024-01-01"), n_cells=3), _kept(spark)
+    idx.upsert(_vectors(spark, (50, 150), "2024-01-08"))
+    assert not [f for f in _kept(spark) - before if "shuffle_" not in f]  # it reads its statistics, a row per cell, by small shuffles
+    assert idx.read().count() == 149
+
