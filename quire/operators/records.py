@@ -18,6 +18,7 @@ from ..functions.meta import pack_metadata
 from ..functions.times import ISO_NTZ, parse_iso, week_start
 from ..functions.vectors import l2_norm
 from ..schemas import ACTION_TYPES, DOC, DOC_REQUIRED, SENDERS
+from ..session import shuffles_removed
 from .embed import embedding_text, hash_embed
 
 CORRUPT = "_corrupt_record"
@@ -235,9 +236,10 @@ def read_records(spark: SparkSession, path: str, one_per_file: bool = False) ->
     return scan_records(spark, path, one_per_file)[0].drop("source")
 
 
-def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """SK1: JSON lines, dates as ISO text, null fields kept."""
-    df.write.mode(mode).options(ignoreNullFields="false", **JSON_OPTS).json(path)
+def write_records(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:
+    """SK1: JSON lines, dates as ISO text, null fields kept; ``options`` of Spark's writer, such as ``compression``."""
+    with shuffles_removed(df.sparkSession):
+        df.write.mode(mode).options(ignoreNullFields="false", **JSON_OPTS, **options).json(path)
 
 
 def record_json(df: DataFrame) -> Column:

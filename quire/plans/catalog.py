@@ -540,7 +540,7 @@ def stream_ingest(spark, d):
     from ..operators.records import write_records
     from ..streaming.ingest import run_ingest
     src, out, ck = (scratch_path(spark, n) for n in ("ingest-src", "ingest-table", "ingest-ck"))
-    write_records(derived.doc_records(spark, d), src)
+    write_records(derived.doc_records(spark, d), src, **PACKED)
     run_ingest(spark, src, out, ck).awaitTermination()
     t = vstore.VectorTable(spark, out).read()
     return t.select("contents", "sender", "addressed_to", F.date_format("sent_date", "yyyy-MM-dd").alias("sent_date"), F.size("embedding").cast("bigint").alias("dim"))

@@ -170,3 +170,38 @@ def test_an_index_that_follows_an_upsert_leaves_no_copy(spark, tmp_dir):
     assert not [f for f in _kept(spark) - before if "shuffle_" not in f]  # it reads its statistics, a row per cell, by small shuffles
     assert idx.read().count() == 149
 
+
+def test_a_stream_into_a_table_leaves_no_copy(spark, tmp_dir):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from quire.operators.records import write_records
+    from quire.operators.store import VectorTable
+    from quire.schemas import DOC
+    from quire.streaming.ingest import run_ingest
+    action = {"action_type": "no_action"}
+    rec = {"title_in_original_language": "T", "title_in_english": "Notice", "sender": "Tax", "sent_date": "2024-01-03", "addressed_to": "Sam",
+           "content_in_original_language": "x", "content_in_english": "y", "summary_in_english": "s", "required_actions": [action]}
+    docs = spark.range(60).select(F.from_json(F.lit(json.dumps(rec)), DOC).alias("r"), "id").select("r.*", "id")
+    docs = docs.withColumn("summary_in_english", F.col("id").cast("string")).withColumn("sender", F.when(F.col("id") % 3 == 0, "Bank").otherwise(F.col("sender"))).drop("id")
+    before = _kept(spark)
+    write_records(docs.repartition(2, "summary_in_english"), f"{tmp_dir}/in", compression="gzip", maxRecordsPerFile=20)
+    for n in range(2):  # the second is a replay
+        run_ingest(spark, f"{tmp_dir}/in", f"{tmp_dir}/t", f"{tmp_dir}/ck{n}", f"{tmp_dir}/rejects").awaitTermination()
+    assert _nothing_more(spark, before)
+    assert VectorTable(spark, f"{tmp_dir}/t").read().count() == 40
+    bad = spark.read.parquet(f"{tmp_dir}/rejects")
+    assert {r["reason"] for r in bad.collect()} == {"sender outside domain"} and bad.filter("record LIKE '{%\"Bank\"%}' AND source LIKE '%.gz'").count() == 20
+
+
+def test_texts_for_a_stream_are_packed(spark, sf):
+    import glob
+
+    from quire.plans import catalog
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    seen = set(glob.glob(f"{folder}/quire-*-src-*/part-*"))
+    catalog.stream_ingest(spark, sf)
+    catalog.stream_rejects(spark, sf)
+    new = set(glob.glob(f"{folder}/quire-*-src-*/part-*")) - seen
+    assert new and all(f.endswith(".gz") for f in new)
